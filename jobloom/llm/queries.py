@@ -36,9 +36,9 @@ cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, pos AS p FROM hit
 top AS (SELECT rid, max(n) AS n FROM (SELECT rid, word, count(*) AS n FROM w GROUP BY rid, word) GROUP BY rid),
 base AS (
   SELECT rid, doc_id, len(ws) AS n_words,
-    coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
     length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters
   FROM d),
@@ -65,8 +65,8 @@ s AS (
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS pos FROM d WHERE len(ws) >= 4)
   UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS node, doc_id AS low FROM d UNION SELECT edge.b, reach.low FROM reach JOIN edge ON edge.a = reach.node WHERE reach.low < edge.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, low.component_id, d.doc_id = low.component_id AS kept
