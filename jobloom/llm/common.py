@@ -51,6 +51,13 @@ def below_share(key, share: float, seed: int):
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's vocabulary file; every machine has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 CHUNK_BYTES = 1 << 19
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, neardup, quality, rules, toxicity
-from .common import read_table
+from . import chat, decontam, htmltemplate, langid, neardup, piecefst, quality, rules, tokenfile, toxicity
+from .common import read_table, tokenizer_path
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,22 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecefst.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltemplate.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +58,11 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
