@@ -1 +1,22 @@
+"""Queries: operators bound to the given tables, each with the same query in DuckDB SQL."""
 
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL where SQL can express it."""
+
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE[name] = sql
+        return fn
+
+    return keep
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import ORACLE, QUERIES, boards, evidence, matching, overlays, pages, sources, text, training
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
+
+
+__all__ = ["boards", "evidence", "matching", "overlays", "pages", "sources", "text", "training"]
