@@ -1 +1,179 @@
-"""Placeholder."""
+"""Evidence, sections and top-k scoring over lines of documents, conversations, benchmark and labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import match_text, tokens
+from ..operators import evidence as E
+from ..operators import scoring
+from ..operators.matching import tags
+from . import query, sqlparts as S, table
+from .matching import TAGS, tag_sql
+
+
+def lines(spark, sf):
+    """Paragraphs: the lines of documents."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+
+
+LINES = "(SELECT doc_id AS doc, unnest(range(0, len(string_split(text, chr(10))))) AS idx, unnest(string_split(text, chr(10))) AS text FROM documents)"
+_UPPER = r"(upper(text) = text AND lower(text) <> text AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 6)"
+
+
+@query("d8_document_types", "SELECT doc, CASE WHEN contains(doc, 'resume') THEN 'resume' WHEN contains(doc, 'question') THEN 'application_qa' WHEN bool_or(contains(lower(text), 'dear hiring')) THEN 'cover_letter' ELSE 'other' END AS doc_type FROM (SELECT CASE doc % 4 WHEN 0 THEN 'a/resume_' WHEN 1 THEN 'b/questions_' ELSE 'c/d_' END || doc AS doc, CASE WHEN doc % 4 = 2 AND idx = 0 THEN 'Dear Hiring team' ELSE text END AS text FROM " + LINES + ") GROUP BY doc")
+def d8(spark, sf):
+    p = lines(spark, sf)
+    name = F.expr("CASE doc % 4 WHEN 0 THEN 'a/resume_' WHEN 1 THEN 'b/questions_' ELSE 'c/d_' END || doc")
+    return E.document_types(p.select(name.alias("doc"), F.when((F.col("doc") % 4 == 2) & (F.col("idx") == 0), "Dear Hiring team").otherwise(F.col("text")).alias("text")))
+
+
+@query("d9_line_classes", f"SELECT doc, count_if({_UPPER}) AS headings, count_if(contains(text, '@') AND NOT contains(text, ' ') OR starts_with(lower(text), 'email:') OR starts_with(text, 'http')) AS contacts, count_if(regexp_matches(text, '(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\\s+\\d{{4}}')) AS dates FROM {LINES} GROUP BY 1")
+def d9(spark, sf):
+    return lines(spark, sf).groupBy("doc").agg(F.count_if(E.is_heading("text")).alias("headings"), F.count_if(E.is_contact("text")).alias("contacts"), F.count_if(E.is_date_line("text")).alias("dates"))
+
+
+def _any(words):
+    return "(" + " OR ".join(f"contains(t, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+_TYPE = f"CASE WHEN s = 'skills' THEN 'skill_demonstration' WHEN s = 'education' THEN 'education' WHEN {_any(E.LEADERSHIP)} THEN 'leadership' WHEN {_any(E.CUSTOMER)} THEN 'customer_interaction' WHEN {_any(E.WRITING)} THEN 'writing_sample' WHEN {_any(E.PREFERENCE)} THEN 'preference' WHEN {_any(E.BUILDING)} THEN CASE WHEN s = 'projects' THEN 'project' ELSE 'achievement' END WHEN s = 'experience' THEN 'responsibility' ELSE 'other' END"
+_SEC = "CASE doc % 6 WHEN 0 THEN 'skills' WHEN 1 THEN 'education' WHEN 2 THEN 'projects' WHEN 3 THEN 'experience' ELSE '' END"
+_WORDED = "text || CASE idx % 7 WHEN 0 THEN ' built it' WHEN 1 THEN ' onboarding' WHEN 2 THEN ' user guides' WHEN 3 THEN ' looking for' WHEN 4 THEN ' 42 units' ELSE '' END"
+
+
+def _worded(spark, sf):
+    return lines(spark, sf).select("doc", "idx", F.expr(_WORDED).alias("text"), F.expr(_SEC).alias("section"))
+
+
+@query("d11_evidence_types", f"SELECT doc, idx, {_TYPE} AS kind FROM (SELECT doc, idx, lower({_WORDED}) AS t, {_SEC} AS s FROM {LINES})")
+def d11(spark, sf):
+    return _worded(spark, sf).select("doc", "idx", E.evidence_type("text", "section", F.lit("other")).alias("kind"))
+
+
+@query("d12_strength", f"SELECT doc, idx, CASE WHEN kind IN ('achievement', 'project', 'skill_demonstration', 'leadership', 'customer_interaction') THEN CASE WHEN regexp_matches(t, '\\b\\d') OR {_any(E.STRONG)} THEN 'strong' ELSE 'medium' END WHEN kind IN ('preference', 'education') THEN 'medium' ELSE 'weak' END AS strength FROM (SELECT doc, idx, t, {_TYPE} AS kind FROM (SELECT doc, idx, lower({_WORDED}) AS t, {_SEC} AS s FROM {LINES}))")
+def d12(spark, sf):
+    return _worded(spark, sf).withColumn("kind", E.evidence_type("text", "section", F.lit("other"))).select("doc", "idx", E.strength("text", "kind", F.lit("other")).alias("strength"))
+
+
+_QA = "CASE idx % 4 WHEN 0 THEN 'Why (so)I ' || text WHEN 1 THEN 'How? Because ' || text WHEN 2 THEN text || '?' ELSE text END"
+
+
+@query("d13_prompts", r"SELECT doc, idx, CASE idx % 4 WHEN 0 THEN 'Why (so)' WHEN 1 THEN 'How?' END AS prompt, md5(CASE idx % 4 WHEN 0 THEN trim('I ' || text) WHEN 1 THEN trim('Because ' || text) WHEN 2 THEN text || '?' ELSE text END) AS answer, idx % 4 = 2 OR regexp_matches(CASE idx % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'H' ELSE trim(text) END, '^[1-9]\.') AS question FROM " + LINES + " WHERE NOT contains(text, '?') AND NOT regexp_matches(text, '[)](I|At|One) ')")
+def d13(spark, sf):
+    p = lines(spark, sf).where("not contains(text, '?') and not text rlike '[)](I|At|One) '").withColumn("qa", F.expr(_QA))
+    return p.select("doc", "idx", E.prompt_and_answer("qa").alias("x"), (E.is_question("qa")).alias("question")).select("doc", "idx", "x.prompt", F.md5("x.answer").alias("answer"), "question")
+
+
+@query("d14_entity_references", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN contains(text, 'the') THEN 'ref_a' END, CASE WHEN contains(text, 'tion') AND lang = 'en' THEN 'ref_b' END, CASE WHEN contains(text, 'ung') THEN 'ref_c' END, CASE WHEN source = 'src1' THEN 'ref_a' END], lambda x: x IS NOT NULL))), '|') AS refs FROM documents")
+def d14(spark, sf):
+    d = table(spark, sf, "documents")
+    text = F.col("text")
+    rules = [("ref_a", text.contains("the")), ("ref_b", text.contains("tion") & (F.col("lang") == "en")), ("ref_c", text.contains("ung")), ("ref_a", F.col("source") == "src1")]
+    refs = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())))
+    return d.select("doc_id", F.array_join(refs, "|").alias("refs"))
+
+
+@query("d15_kept_evidence", rf"SELECT doc, idx, md5(c) AS digest FROM (SELECT doc, idx, trim(regexp_replace(regexp_replace('(n' || idx || ') ' || text, '^\([^)]*\)', ''), '\s+', ' ', 'g')) AS c FROM {LINES}) WHERE length(trim(c)) >= 20 AND NOT (contains(c, '@') AND NOT contains(c, ' ')) AND NOT starts_with(c, 'http') AND NOT regexp_matches(lower(c), '^(location:|mobile:|email:|linkedin:|website:|github|\+1 \(|dear hiring|sincerely)') AND NOT (c LIKE '%?' OR regexp_matches(c, '^[1-9]\.')) AND NOT contains(lower(c), 'resume honest') AND NOT contains(lower(c), 'for this posting')")
+def d15(spark, sf):
+    p = lines(spark, sf).select("doc", "idx", E.cleaned(F.concat(F.lit("(n"), "idx", F.lit(") "), "text")).alias("c"))
+    return p.where(E.keeps("c")).select("doc", "idx", F.md5("c").alias("digest"))
+
+
+@query("d16_style_notes", "SELECT doc_id, concat_ws('|', CASE WHEN contains(lower(text), 'the') THEN 'plain' END, CASE WHEN contains(lower(text), 'que') OR contains(lower(text), 'ung') THEN 'foreign' END) AS notes FROM documents WHERE length(text) >= 120")
+def d16(spark, sf):
+    d = table(spark, sf, "documents").where(F.length("text") >= 120)
+    return d.select("doc_id", F.array_join(E.style_notes("text", [("plain", ("the",)), ("foreign", ("que", "ung"))]), "|").alias("notes"))
+
+
+_RES = "CASE WHEN idx % 9 = 0 THEN CASE doc % 5 WHEN 0 THEN 'TECHNICAL SKILLS' WHEN 1 THEN 'PROJECTS' WHEN 2 THEN 'PROFESSIONAL EXPERIENCE' WHEN 3 THEN 'EDUCATION' ELSE 'OTHER THINGS' END WHEN idx % 9 = 4 THEN 'PROFESSIONAL EXPERIENCE' WHEN idx % 9 = 2 THEN 'Org ' || idx || ' | Role' WHEN idx % 9 = 6 THEN 'Plan ' || idx || ' (2024) x' WHEN idx % 9 = 7 THEN 'JAN 2020 to MAY 2021' ELSE 'w ' || text END"
+
+
+@query("h1_resume_sections", f"""
+WITH p AS (SELECT doc, idx, {_RES} AS text FROM {LINES}),
+c AS (SELECT *, (contains(text, '@') AND NOT contains(text, ' ')) AS contact, {_UPPER} AS heading FROM p),
+s AS (SELECT *, coalesce(last_value(CASE WHEN heading AND NOT contact THEN CASE WHEN contains(upper(text), 'SKILLS') THEN 'skills' WHEN contains(upper(text), 'PROJECT') THEN 'projects' WHEN contains(upper(text), 'EXPERIENCE') THEN 'experience' WHEN contains(upper(text), 'EDUCATION') THEN 'education' ELSE '' END END IGNORE NULLS) OVER w, '') AS section FROM c WINDOW w AS (PARTITION BY doc ORDER BY idx)),
+f AS (SELECT *, NOT contact AND NOT heading AND NOT regexp_matches(text, '(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\\s+\\d{{4}}') AS free FROM s),
+o AS (SELECT *, free AND contains(text, '|') AND section = 'experience' AS org FROM f),
+j AS (SELECT *, free AND NOT org AND section = 'projects' AND regexp_matches(text, '\\(\\d{{4}}\\)') AS project FROM o),
+v AS (SELECT *, last_value(CASE WHEN org THEN trim(split_part(text, '|', 1)) END IGNORE NULLS) OVER w AS so, last_value(CASE WHEN project THEN trim(split_part(text, '(', 1)) END IGNORE NULLS) OVER w AS sp FROM j WINDOW w AS (PARTITION BY doc ORDER BY idx))
+SELECT doc, idx, section, coalesce(sp, so) AS organisation FROM v WHERE free AND NOT org AND NOT project AND length(text) >= 12""")
+def h1(spark, sf):
+    p = lines(spark, sf).select("doc", "idx", F.expr(_RES).alias("text"))
+    return E.resume_sections(p).select("doc", "idx", "section", "organisation")
+
+
+@query("h2_carried_question", "SELECT conv_id, turn, length(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn)) AS question_chars FROM conversations")
+def h2(spark, sf):
+    c = table(spark, sf, "conversations")
+    return E.carry_question(c, "conv_id", "turn", F.col("role") == "user", "text", "question").select("conv_id", "turn", F.length("question").cast("long").alias("question_chars"))
+
+
+@query("h3_two_sections", f"SELECT doc, section, string_agg(md5(text), '' ORDER BY idx) AS digest, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc, section ORDER BY idx) AS pos FROM (SELECT doc, idx, text, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx) AS section FROM (SELECT doc, idx, text, CASE WHEN idx % 11 = 1 THEN 'duties' WHEN idx % 11 = 6 THEN 'needs' END AS mark FROM {LINES})) WHERE mark IS NULL AND section IS NOT NULL) WHERE pos <= 10 GROUP BY ALL")
+def h3(spark, sf):
+    rows = E.two_sections(lines(spark, sf), {"duties": F.col("idx") % 11 == 1, "needs": F.col("idx") % 11 == 6})
+    g = rows.groupBy("doc", "section").agg(F.array_sort(F.collect_list(F.struct("idx", F.md5("text").alias("m")))).alias("l"), F.count("*").alias("n"))
+    return g.select("doc", "section", F.array_join(F.transform("l", lambda x: x["m"]), "").alias("digest"), "n")
+
+
+@query("f5_supporting_ids", "SELECT item, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM (SELECT doc_id, 'toxic' AS item FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT doc_id, 'good' FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang = 'en') GROUP BY 1")
+def f5(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    s = E.supporting_ids([("toxic", F.col("toxic") == 1), ("good", (F.col("quality") == 1) & (F.col("lang") == "en"))], d, "doc_id")
+    return s.select("item", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query("f6_tag_entries", f"WITH t AS (SELECT doc_id, source, unnest(string_split({tag_sql('text')}, '|')) AS tag FROM documents) SELECT tag, count(DISTINCT doc_id) AS n_ids, array_to_string(list_sort(list(DISTINCT source)), ',') AS contexts FROM t WHERE tag <> '' GROUP BY 1")
+def f6(spark, sf):
+    d = table(spark, sf, "documents").withColumn("t", tags("text", TAGS))
+    out = E.tag_entries(d, "t", "doc_id", F.col("source"))
+    return out.select("tag", "n_ids", F.array_join("contexts", ",").alias("contexts"))
+
+
+@query("f7_evidence_totals", f"SELECT lang, count(DISTINCT doc_id) AS docs, count(*) AS paragraphs, count_if(length(p) >= 120) AS long_ones FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS p FROM documents) GROUP BY 1")
+def f7(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("p"))
+    return d.groupBy("lang").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("paragraphs"), F.count_if(F.length("p") >= 120).alias("long_ones"))
+
+
+_BT = f"list_filter(list_distinct(string_split({S.match('text')}, ' ')), lambda w: length(w) >= 3)"
+
+
+@query("e12_token_overlap", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents WHERE source = 'src3') SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id")
+def e12(spark, sf):
+    jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))
+    ev = table(spark, sf, "documents").where("source = 'src3'").select("doc_id", (F.col("doc_id") % 3).alias("static"), tokens("text").alias("tokens"))
+    return scoring.overlap_scores(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "overlap", "score")
+
+
+@query("h5_overlap_top", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents), s AS (SELECT item_id, doc_id, count(*) AS overlap FROM a JOIN b USING (token) GROUP BY ALL), e AS (SELECT i.item_id, d.doc_id, 3 * coalesce(s.overlap, 0) + CASE WHEN d.doc_id % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN d.n_chars > 500 THEN -1 ELSE 0 END + 2 AS score, d.doc_id % 5 = 0 AS strong FROM benchmark i CROSS JOIN documents d LEFT JOIN s USING (item_id, doc_id)) SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, strong DESC, doc_id) AS rank FROM e WHERE score > 0) WHERE rank <= 12")
+def h5(spark, sf):
+    jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))
+    static = (F.when(F.col("doc_id") % 5 == 0, 4).otherwise(0) + F.when(F.col("n_chars") > 500, -1).otherwise(0) + 2).cast("long")
+    ev = table(spark, sf, "documents").select("doc_id", static.alias("static"), (F.col("doc_id") % 5 == 0).alias("strong"), F.col("doc_id").alias("seq"), tokens("text").alias("tokens"))
+    return scoring.top_by_overlap(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_PT = "list_distinct([p_type, CASE WHEN p_size > 25 THEN 'big' ELSE 'little' END, split_part(p_name, ' ', 1)])"
+
+
+@query("h4_tag_top", f"WITH e AS (SELECT p_partkey AS id, p_brand AS org, p_name AS summary, {_PT} AS t, p_size % 2 = 0 AS strong, p_size % 5 = 0 AS q FROM part), j AS (SELECT n_nationkey AS job, CASE n_nationkey % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'big' ELSE 'SMALL' END AS family, ['red', CASE WHEN n_nationkey % 2 = 0 THEN 'blue' ELSE 'hot' END] AS tags FROM nation), s AS (SELECT job, id, org, summary, strong, CASE WHEN list_contains(t, family) THEN 5 ELSE 0 END + 3 * len(list_intersect(tags, t)) + CASE WHEN strong THEN 2 ELSE 0 END + CASE WHEN q THEN 1 ELSE 0 END AS score FROM e CROSS JOIN j), o AS (SELECT *, row_number() OVER (PARTITION BY job, org, summary ORDER BY score DESC, strong DESC, id DESC) AS rn FROM s WHERE score > 0) SELECT job, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY score DESC, strong DESC, id DESC) AS rank FROM o WHERE rn = 1) WHERE rank <= 8")
+def h4(spark, sf):
+    p = table(spark, sf, "part")
+    t = F.array("p_type", F.when(F.col("p_size") > 25, "big").otherwise("little"), F.substring_index("p_name", " ", 1))
+    ev = p.select(F.col("p_partkey").alias("evidence_id"), F.col("p_brand").alias("organisation"), F.col("p_name").alias("summary"), t.alias("t"), (F.col("p_size") % 2 == 0).alias("strong"), (F.col("p_size") % 5 == 0).alias("q"))
+    jobs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("job"), F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'big' ELSE 'SMALL' END").alias("family"), F.array(F.lit("red"), F.when(F.col("n_nationkey") % 2 == 0, "blue").otherwise("hot")).alias("tags"))
+    # nation always has 25 rows
+    both = ev.crossJoin(F.broadcast(jobs))
+    scored = both.withColumn("score", scoring.tag_score(F.col("family"), F.col("tags"), F.col("t"), F.col("t"), F.col("strong"), F.col("q")))
+    return scoring.top_by_tags(scored, "job").select("job", F.col("evidence_id").alias("id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("j2_tag_sets", f"SELECT p_partkey, array_to_string(list_sort(list_intersect({_PT}, ['big', 'red', 'PROMO'])), '|') AS shared, len(list_filter({_PT}, lambda x: x NOT IN ('big', 'red'))) AS rest FROM part")
+def j2(spark, sf):
+    t = F.array("p_type", F.when(F.col("p_size") > 25, "big").otherwise("little"), F.substring_index("p_name", " ", 1))
+    want = F.array(F.lit("big"), F.lit("red"), F.lit("PROMO"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_intersect(t, want)), "|").alias("shared"), F.size(F.array_except(t, F.array(F.lit("big"), F.lit("red")))).cast("long").alias("rest"))
+
+
+__all__ = ["lines", "match_text"]
