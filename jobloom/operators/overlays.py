@@ -41,6 +41,14 @@ def status_rank(c: Column) -> Column:
     return out
 
 
+def _detail_step(detail: str, date: str):
+    def step(acc, r):
+        kept = (acc["date"] != "") & (acc["date"] > r[date])
+        return F.struct(F.when(kept, acc["detail"]).otherwise(first_filled(r[detail], acc["detail"])).alias("detail"), first_filled(r[date], acc["date"]).alias("date"))
+
+    return step
+
+
 def merge_records(df: DataFrame, key: str, fields: list[str], ranked: list[str], dated: dict[str, str] | None = None) -> DataFrame:
     """Field-wise merge of a key's rows in seq order.
 
@@ -61,9 +69,7 @@ def merge_records(df: DataFrame, key: str, fields: list[str], ranked: list[str],
         out = out.withColumn(f, F.coalesce(f, F.lit("")))
     for detail, date in dated.items():
         start = F.struct(F.lit("").alias("detail"), F.lit("").alias("date"))
-        fold = F.aggregate("__rows", start, lambda acc, r, detail=detail, date=date: F.struct(
-            F.when((acc["date"] != "") & (acc["date"] > r[date]), acc["detail"]).otherwise(first_filled(r[detail], acc["detail"])).alias("detail"),
-            first_filled(r[date], acc["date"]).alias("date")))
+        fold = F.aggregate("__rows", start, _detail_step(detail, date))
         out = out.withColumn(detail, fold["detail"])
     return out.drop("__rows")
 
