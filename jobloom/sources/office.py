@@ -29,7 +29,11 @@ def paragraphs_of(data: bytes) -> list[tuple[int, str]]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per paragraph of every .docx below path; lock files are skipped, an empty document is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")).select("path", "content")
+    return parse_files(files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Paragraphs of documents given as (path, content) rows."""
 
     def run(frames):
         for frame in frames:
@@ -41,4 +45,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(name, i, t) for i, t in found]
             yield pd.DataFrame(rows, columns=["source_file", "idx", "text"])
 
-    return files.mapInPandas(run, PARAGRAPHS)
+    return files.select("path", "content").mapInPandas(run, PARAGRAPHS)
+
+
+def build_file(paragraphs: list[str]) -> bytes:
+    """A minimal document with one paragraph per text."""
+    root = ElementTree.Element(f"{_W}document")
+    body = ElementTree.SubElement(root, f"{_W}body")
+    for text in paragraphs:
+        run = ElementTree.SubElement(ElementTree.SubElement(body, f"{_W}p"), f"{_W}r")
+        ElementTree.SubElement(run, f"{_W}t").text = text
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", ElementTree.tostring(root, "utf-8"))
+    return out.getvalue()
