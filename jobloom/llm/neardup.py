@@ -8,8 +8,9 @@
    pairs below the match threshold never leave their list.
 4. Merging skips what is settled. First each list only proposes its members with its smallest member; those
    links are confirmed on the full sets and joined into components. Then only lists that still hold more than
-   one component propose pairs, and only across components, in blocks of bounded size. So a list of g copies
-   costs about g pairs, not its square, and no link between components is lost.
+   one component are looked into, and only across components: their close members are compared on full sets in
+   cells of bounded size that return just the links that join components. So a list of g copies costs about g
+   rows, not its square, and no link between components is lost.
 
 Defined results: a text with fewer words than a shingle has one shingle, its whole word sequence; null, empty
 and blank texts have an empty set, are linked with nothing and kept. Rows with a null doc_id are passed through
@@ -32,7 +33,8 @@ K, M = 64, 35
 PREFIX = K - M + 1
 #: Of the 64 packed bits of a pair at similarity 0.8, 57.6 agree on average (deviation 2.4).
 MIN_EQUAL_BITS = 47
-BLOCK = 256
+#: Members of a list that are compared in one piece.
+CELL = 1024
 
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(12).integers(1, 1 << 63, K, np.uint64)
@@ -100,10 +102,8 @@ def _close(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= K - MIN_EQUAL_BITS
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles: sorted 64-bit hashes) of at least the documents among ids."""
     wanted = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids, "__maybe").where("__maybe").select("doc_id", "text")
 
     def sets(batches):
@@ -112,7 +112,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
                 value, first = shingle_sets(buf, off, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "shingles"])
 
-    known = wanted.mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return wanted.mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = full_sets(docs, ids, size)
 
     def check(batches):
         for batch in batches:
@@ -130,32 +137,95 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Close pairs of different components within each list; lists (key, n, doc_id, bits, component)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = lists.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    cells = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("doc_id", "bits", "component", "mine")).alias("members"))
+def _suspects(lists: DataFrame) -> DataFrame:
+    """(key, lo, hi, doc_id, component): members of a list with a close partner of another component in a cell of it.
+
+    lists: (key, n, doc_id, bits, component, keys), each with more than one component. A list longer than CELL is
+    dealt into pairs of blocks. A pair is looked at in the first list that it shares and skipped in later ones.
+    """
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = lists.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.groupBy("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("doc_id", "bits", "component", "mine", "keys")).alias("members"))
 
-    def pairs(batches):
+    def look(batches):
         for batch in batches:
-            a, b = [], []
-            for lo, hi, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                flat = members.values
-                ids, bits, comp, mine = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                left = np.flatnonzero(mine == lo)
-                right = np.flatnonzero(mine == hi)
-                same = np.bitwise_count(bits[left, None] ^ bits[None, right]) <= K - MIN_EQUAL_BITS
-                same &= comp[left, None] != comp[None, right]
-                i, j = np.nonzero(same)
-                a.append(np.maximum(ids[left[i]], ids[right[j]]))
-                b.append(np.minimum(ids[left[i]], ids[right[j]]))
-            if a:
-                got = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    return cells.select("lo", "hi", "members").mapInArrow(pairs, "a long, b long")
+            out = []
+            for key, lo, hi, members in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                ids, bits, comp, mine = (members.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= K - MIN_EQUAL_BITS
+                close &= (comp[:, None] != comp[None, :]) & (mine[:, None] == lo) & (mine[None, :] == hi)
+                i, j = np.nonzero(close)
+                if len(i):
+                    keys = members.values.field(4).flatten().to_numpy().reshape(-1, PREFIX)
+                    before = int(np.argmax(keys[0] == key))
+                    new = np.ones(len(i), bool)
+                    for at in range(0, len(i), 65536):
+                        part = slice(at, at + 65536)
+                        new[part] = ~(keys[i[part], :before] == keys[j[part], :before]).any(1)
+                    found = np.unique(np.concatenate([i[new], j[new]]))
+                    if len(found):
+                        out.append((key, lo, hi, ids[found], comp[found]))
+            if out:
+                sizes = [len(o[3]) for o in out]
+                column = lambda k: np.repeat(np.array([o[k] for o in out], np.int64), sizes)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(column(0)), pa.array(column(1)), pa.array(column(2)), pa.array(np.concatenate([o[3] for o in out])), pa.array(np.concatenate([o[4] for o in out]))], names=["key", "lo", "hi", "doc_id", "component"])
+
+    return cells.mapInArrow(look, "key long, lo long, hi long, doc_id long, component long")
+
+
+def _forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components among some documents, on full sets: enough of them to join what belongs together."""
+    n, size = len(ids), np.array([len(s) for s in sets])
+    value, back, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    shared = np.cumsum(often > 1) - 1
+    use = often[back] > 1
+    owner, back = owner[use], shared[back[use]]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(back, kind="stable")
+    owner, back = owner[order], back[order]
+    for lo in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
+        a, b = np.searchsorted(back, [lo, lo + 4096])
+        part = np.zeros((n, 4096), np.float32)
+        part[owner[a:b], back[a:b] - lo] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    linked &= comp[:, None] != comp[None, :]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def _with_keys(lists: DataFrame, first: DataFrame) -> DataFrame:
+    return lists.join(first.select("doc_id", "keys"), "doc_id")
+
+
+def _links_across(docs: DataFrame, lists: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that the lists allow: suspects of a cell are compared in full, in one place of
+    bounded size, and the cell returns fewer links than it has documents."""
+    near = written(_suspects(lists), "suspects")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        found = _forest(table.column("doc_id").to_numpy(), table.column("component").to_numpy(), sets, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    cells = near.join(full_sets(docs, near.select("doc_id").distinct(), size), "doc_id")
+    return written(cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -172,7 +242,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     joined = components(links)
     labelled = written(lists.select("key", "n", "doc_id", "bits").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "n", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = confirm(docs, _across(labelled.join(mixed, "key", "left_semi")), size, percent)
+    more = _links_across(docs, _with_keys(labelled.join(mixed, "key", "left_semi"), first), size, percent)
     joined = components(links.union(more))
     drop_written(lists)
     drop_written(labelled)
