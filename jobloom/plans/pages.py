@@ -15,9 +15,6 @@ def c1(spark, sf):
     return t.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
-_Q = '"'
-
-
 def _head(spark, sf):
     ld = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json"> {"@type":"Thing"} </script><script type="application/ld+json">{"@type":"JobPosting","title":"T'), "page_id", F.lit('","description":"D&amp;D"}</script>'))
     link = F.concat(F.lit('<link  rel="canonical" href="'), "url", F.lit('"/>'))

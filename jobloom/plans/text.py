@@ -54,7 +54,6 @@ def b9(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
 
 
-_DAY = "CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN '' WHEN 2 THEN '2026-5-1' WHEN 3 THEN '2026-02-30' ELSE 'soon' END"
 _DAY_SPARK = "CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN '' WHEN 2 THEN '2026-5-1' WHEN 3 THEN '2026-02-30' ELSE 'soon' END"
 
 
@@ -81,8 +80,6 @@ def b13(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.labelled_line(line).alias("l")).select("p_partkey", "l.*")
 
 
-_LINES = f"SELECT s_suppkey AS seq, {S.variants('s_name', 's_suppkey % 7')} AS line FROM supplier"
-
 
 @query("a5_list_first_wins", f"WITH l AS (SELECT seq, {S.clean('line')} AS name, {S.fingerprint('line')} AS company_key FROM (SELECT c_custkey AS seq, CASE WHEN c_custkey % 10 = 0 THEN '# note' WHEN c_custkey % 10 = 1 THEN '  ' ELSE {S.variants('c_mktsegment', 'c_custkey')} END AS line FROM customer)) SELECT company_key, arg_min(name, seq) AS name FROM l WHERE name <> '' AND name NOT LIKE '#%' GROUP BY 1")
 def a5(spark, sf):
@@ -107,9 +104,6 @@ def g2(spark, sf):
     return O.first_by(keyed, ["company_key"], "seq").select("company_key", "name", "seen")
 
 
-_URL = "'HTTPS://Boards.Example.com/acme/jobs/' || page_id || '/?for=beta&token=' || page_id || '#x'"
-
-
 @query("c11_built_urls", "SELECT p_partkey, 'https://acme.wd5.host.com/wday/cxs/' || replace(p_brand, '#', '%23') || '/' || replace(p_name, ' ', '%20') || '/jobs' AS api, 'https://acme.wd5.host.com/en/jobs/x/job/' || p_partkey AS detail, 'https://acme.wd5.host.com/en/jobs/x/jobs/details/' || p_partkey AS route, 'https://w.host.com/us/job/' || p_partkey || '/' || replace(p_name, ' ', '-') AS page FROM part")
 def c11(spark, sf):
     board = F.lit("https://acme.wd5.host.com/en/jobs/x/jobs")

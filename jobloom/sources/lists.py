@@ -9,9 +9,9 @@ from ..functions.text import clean, company_fingerprint
 
 
 def scan(spark, path: str) -> DataFrame:
-    """Lines of text files in file order: seq is (file, position) packed by the reader's row index."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return lines.select(F.struct("file", "row").alias("seq"), F.col("value").alias("line"))
+    """Lines of text files in file order: seq is (file, start of the block, position in the block)."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    return spark.read.text(path).select(F.struct(*place).alias("seq"), F.col("value").alias("line"))
 
 
 def first_wins(lines: DataFrame) -> DataFrame:

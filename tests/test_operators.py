@@ -188,3 +188,27 @@ def test_detail_filter_stays_below_the_join(spark):
     details = spark.createDataFrame([(1, True)], "k int, has_detail boolean")
     m = boards.match_details(listings, details, ["k"], F.lit(True))
     assert m.first()["is_match"] is True
+
+
+def test_text_list_keeps_file_order(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# head\nAcme Inc\n\nBeta\nACME\n")
+    rows = lists.scan(spark, f"file://{tmp_path}/list.txt")
+    assert {r["name"] for r in lists.first_wins(rows).collect()} == {"Acme Inc", "Beta"}
+    assert {r["name"] for r in lists.last_wins(rows).collect()} >= {"ACME", "Beta"}
+
+
+@pytest.mark.parametrize("build", ["d1_title_match", "g4_field_merge", "e6_registry_build", "h5_overlap_top", "b1_clean_text"])
+def test_hot_paths_stay_in_the_jvm(spark, build):
+    from jobloom.plans import registry
+    from tests.conftest import SF
+
+    plan = registry.queries()[build](spark, SF)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_scan_reads_only_what_it_needs(spark):
+    from jobloom.plans import registry
+    from tests.conftest import SF
+
+    plan = registry.queries()["slice_listing_assessment"](spark, SF)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,49.0)" in plan and "l_extendedprice" not in plan.split("Physical Plan")[1]
