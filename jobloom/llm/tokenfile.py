@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -182,6 +183,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self):
@@ -190,11 +194,17 @@ class Encoder:
         self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _learn(self, new: list[str]):
-        coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        lists = [e.ids for e in coded]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
-        first = len(self.index)
+        """Encode unseen chunks: plain words in one call, as each ends with the one token that closes a word."""
+        words = [c for c in new if c.isalpha()]
+        others = [c for c in new if not c.isalpha()]
+        flat = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
+            words, others, flat, ends = [], new, flat[:0], ends[:0]
+        lists = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, lists), np.int64, len(lists))]).astype(np.int64)
+        flat = np.concatenate([flat, np.fromiter((i for ids in lists for i in ids), np.uint32)])
+        new, first = words + others, len(self.index)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(new) > len(self.at):
@@ -211,7 +221,9 @@ class Encoder:
         if "<|" not in text:
             if text.isascii():
                 text = text.lower()
-            if not _BESIDE.search(text):
+            # a letter that becomes letter and mark could join the mark to a full stop
+            steady = text.isascii() or ("İ" not in text and unicodedata.is_normalized("NFC", text))
+            if steady and not _BESIDE.search(text):
                 text = text.replace(".", " . ").replace(",", " , ")
         return text.replace("\n", " ").split(" ")
 
@@ -220,12 +232,12 @@ class Encoder:
         if len(self.index) > CACHE_CHUNKS:
             self._reset()
         parts = [self.chunks(t or "") for t in texts]
-        index = self.index
-        new = {c for p in parts for c in p if c not in index}
+        every = [c for p in parts for c in p]
+        new = set(every).difference(self.index)
         if new:
             self._learn(sorted(new))
         per_text = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.fromiter((index[c] for p in parts for c in p), np.int64, int(per_text.sum()))
+        which = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
         sizes = self.size[which]
         ends = np.cumsum(per_text)
         total = np.concatenate([[0], np.cumsum(sizes)])
