@@ -20,6 +20,27 @@ def top_by_tags(scored: DataFrame, job: str, limit: int = 8) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*order))).where(F.col("rank") <= limit).drop("rn")
 
 
+def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int = 8, bonus: Column | None = None) -> DataFrame:
+    """Best pieces of each job by tags, through an inverted index instead of comparing all jobs with all pieces.
+
+    jobs (job, family, tags), evidence (evidence_id, organisation, summary, role_tags, skill_tags, strong,
+    quantified). Pieces that share no tag with a job can only score by themselves; the `limit` best of them, one
+    for each (organisation, summary), stand in for all others, which is exact: whatever ranks above a piece by
+    itself also ranks above it for the job. A bonus may only be given to pairs that share a tag.
+    """
+    wanted = jobs.select(job, F.explode(F.array_distinct(F.concat(F.array("family"), "tags"))).alias("tag"))
+    offered = evidence.select("evidence_id", F.explode(F.array_distinct(F.concat("role_tags", "skill_tags"))).alias("tag"))
+    own = F.when(F.col("strong"), 2).otherwise(0) + F.when(F.col("quantified"), 1).otherwise(0)
+    order = [F.desc("own"), F.desc("strong"), F.desc("evidence_id")]
+    first = evidence.withColumn("own", own).withColumn("rn", F.row_number().over(Window.partitionBy("organisation", "summary").orderBy(*order)))
+    best = first.where("rn = 1").orderBy(*order).limit(limit).agg(F.collect_list("evidence_id").alias("ids"))
+    idle = jobs.select(job).crossJoin(F.broadcast(best)).select(job, F.explode("ids").alias("evidence_id"))  # one row, `limit` ids
+    pairs = wanted.join(offered, "tag").select(job, "evidence_id").unionByName(idle).distinct()
+    scored = pairs.join(jobs, job).join(evidence, "evidence_id")
+    score = tag_score(F.col("family"), F.col("tags"), F.col("role_tags"), F.col("skill_tags"), F.col("strong"), F.col("quantified"), bonus)
+    return top_by_tags(scored.withColumn("score", score), job, limit)
+
+
 def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str) -> DataFrame:
     """(job, piece, overlap, score): 3 for each shared token plus the piece's own score, for pairs that share a token.
 

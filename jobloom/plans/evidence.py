@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import match_text, tokens
+from ..functions.text import tokens
 from ..operators import evidence as E
 from ..operators import scoring
 from ..operators.matching import tags
@@ -163,10 +163,9 @@ def h4(spark, sf):
     t = F.array("p_type", F.when(F.col("p_size") > 25, "big").otherwise("little"), F.substring_index("p_name", " ", 1))
     ev = p.select(F.col("p_partkey").alias("evidence_id"), F.col("p_brand").alias("organisation"), F.col("p_name").alias("summary"), t.alias("t"), (F.col("p_size") % 2 == 0).alias("strong"), (F.col("p_size") % 5 == 0).alias("q"))
     jobs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("job"), F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'big' ELSE 'SMALL' END").alias("family"), F.array(F.lit("red"), F.when(F.col("n_nationkey") % 2 == 0, "blue").otherwise("hot")).alias("tags"))
-    # nation always has 25 rows
-    both = ev.crossJoin(F.broadcast(jobs))
-    scored = both.withColumn("score", scoring.tag_score(F.col("family"), F.col("tags"), F.col("t"), F.col("t"), F.col("strong"), F.col("q")))
-    return scoring.top_by_tags(scored, "job").select("job", F.col("evidence_id").alias("id"), "score", F.col("rank").cast("long").alias("rank"))
+    ev = ev.withColumn("role_tags", F.col("t")).withColumnRenamed("t", "skill_tags").withColumnRenamed("q", "quantified")
+    top = scoring.select_by_tags(jobs, ev, "job")
+    return top.select("job", F.col("evidence_id").alias("id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("j2_tag_sets", f"SELECT p_partkey, array_to_string(list_sort(list_intersect({_PT}, ['big', 'red', 'PROMO'])), '|') AS shared, len(list_filter({_PT}, lambda x: x NOT IN ('big', 'red'))) AS rest FROM part")
@@ -174,6 +173,3 @@ def j2(spark, sf):
     t = F.array("p_type", F.when(F.col("p_size") > 25, "big").otherwise("little"), F.substring_index("p_name", " ", 1))
     want = F.array(F.lit("big"), F.lit("red"), F.lit("PROMO"))
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_intersect(t, want)), "|").alias("shared"), F.size(F.array_except(t, F.array(F.lit("big"), F.lit("red")))).cast("long").alias("rest"))
-
-
-__all__ = ["lines", "match_text"]

@@ -212,3 +212,22 @@ def test_scan_reads_only_what_it_needs(spark):
 
     plan = registry.queries()["slice_listing_assessment"](spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,49.0)" in plan and "l_extendedprice" not in plan.split("Physical Plan")[1]
+
+
+def test_tag_top_equals_all_pairs(spark):
+    rng = random.Random(8)
+    names = list("abcdefg")
+    jobs = [(i, rng.choice(names), rng.sample(names, 2)) for i in range(12)]
+    pieces = [(f"ev_{i:03d}", rng.choice("xyz"), rng.choice("pq"), rng.sample(names, rng.randint(0, 2)), rng.sample(names, rng.randint(0, 2)), rng.random() < 0.4, rng.random() < 0.3) for i in range(60)]
+    got = {}
+    evidence_rows = spark.createDataFrame(pieces, "evidence_id string, organisation string, summary string, role_tags array<string>, skill_tags array<string>, strong boolean, quantified boolean")
+    for r in scoring.select_by_tags(spark.createDataFrame(jobs, "job int, family string, tags array<string>"), evidence_rows, "job", 4).orderBy("job", "rank").collect():
+        got.setdefault(r["job"], []).append(r["evidence_id"])
+    for j, family, want in jobs:
+        score = lambda p: 5 * (family in p[3]) + 3 * len(set(want) & set(p[4])) + 2 * p[5] + p[6]  # noqa: B023, E731
+        chosen, seen = [], set()
+        for p in sorted(pieces, key=lambda p: (score(p), p[5], p[0]), reverse=True):
+            if score(p) > 0 and (p[1], p[2]) not in seen and len(chosen) < 4:
+                seen.add((p[1], p[2]))
+                chosen.append(p[0])
+        assert got.get(j, []) == chosen
