@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 META = "▁"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 HEAD = 6
 UNIGRAM, BPE = 1, 2
 
