@@ -1,22 +1,24 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Texts are sequences of lower-cased words of letters and digits. Every test item yields seeds: of each WINDOW
-consecutive n-grams the one that is rarest in the whole corpus (ties by hash), so that each stretch of an item is
-seeded however often the item was copied. Documents that hold a seed are aligned with its item around the hit:
-MATCH, MISMATCH and GAP score a local alignment, whose score over that of a perfect copy is the similarity.
-A pair at SIMILARITY or more is a leak. Before aligning, pairs are passed over only if the words that item and
-passage share cannot reach it.
+Texts are sequences of lower-cased words of letters and digits. MATCH, MISMATCH and GAP score a local alignment
+of an item and a passage, whose score over that of a perfect copy is the similarity. A pair at SIMILARITY or more
+is a leak. An alignment that reaches it leaves a least number of the item's n-grams whole (whole_grams), wherever
+the edits are; n is the largest up to NGRAM for which that number is not 0. All n-grams of an item are its seeds,
+except the most frequent ones of the corpus (ties by hash), fewer than that number, so every leak holds a seed.
+Documents that hold enough seeds are aligned with the item around each hit, as far as gaps can carry the passage.
+Before aligning, pairs are passed over only if the seeds or words that item and passage share cannot reach it.
 
 Test items are taken in blocks of BLOCK_ITEMS, each broadcast in turn, so the broadcast size is bounded whatever
 the benchmark's size; all documents meet all items.
 
-Defined results: null, empty or wordless texts and items match nothing; items shorter than an n-gram are seeded by
-their whole word sequence; repeated rows of documents give repeated pairs, repeated item ids are all tried; ids
+Defined results: null, empty or wordless texts and items match nothing; items too short for
+larger n-grams are seeded by their words; repeated rows of documents give repeated pairs, repeated item ids are all tried; ids
 may be null; other columns are ignored; an empty table on either side gives no pairs.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 from . import vectext as V
 from .common import text_chunks, utf8_column
 
-NGRAM, WINDOW = 3, 4
+NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.6
 BLOCK_ITEMS = 20_000
+MAX_HITS = 1 << 21  # pairs of a hit and a seed that are looked at together
 PAIRS = "doc_id long, item_id long, similarity double, first_word long, last_word long"
 
 
@@ -70,28 +73,49 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
+def longest_passage(length: int, similarity: float) -> int:
+    """Words by which a passage that reaches the similarity can be longer than the item."""
+    return math.floor(MATCH * (1 - similarity) * length / -GAP + 1e-9)
+
+
+def whole_grams(length: int, n: int, similarity: float) -> int:
+    """The least number of an item's n-grams that an alignment at `similarity` leaves whole.
+
+    With m words matched there are at most (MATCH * m - need) / cost edits, each of which ends one run of matches;
+    r runs hold m - r * (n - 1) whole n-grams at least. This is linear in m, so its ends are enough.
+    """
+    need, cost = similarity * MATCH * length, min(-MISMATCH, -GAP)
+    ends = (need / MATCH, length)
+    return math.ceil(min(m - (n - 1) * (1 + (MATCH * m - need) / cost) for m in ends) - 1e-9)
+
+
+def gram_size(length: int, similarity: float) -> int:
+    return next((n for n in range(NGRAM, 1, -1) if whole_grams(length, n, similarity) > 0), 1)
+
+
 @dataclass
 class Items:
-    """One block of test items: words, and seeds sorted by hash."""
+    """One block of test items: words, seeds each needs in a document, and seeds sorted by hash."""
 
     ids: list
     words: list[np.ndarray]
+    need: np.ndarray
     seed: np.ndarray
     item: np.ndarray
     at: np.ndarray
     size: np.ndarray
 
 
-def _grams(items: DataFrame) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(items: DataFrame, similarity: float) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     table = items.select(F.col("item_id").cast("long").alias("item_id"), "text").toArrow()
     w = word_sequence(*utf8_column(table.column("text")))
     words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
     owner, at, value, size = [], [], [], []
     text = w.text
+    wanted = np.array([gram_size(k, similarity) for k in np.diff(w.first).tolist()])
     for n in range(1, NGRAM + 1):
         first, hashes = V.windows(w, n)
-        long_enough = np.diff(w.first)[text[first]] >= NGRAM
-        take = long_enough if n == NGRAM else (np.diff(w.first)[text[first]] == n)
+        take = wanted[text[first]] == n
         first, hashes = first[take], hashes[take]
         owner.append(text[first])
         at.append(first - w.first[text[first]])
@@ -113,9 +137,9 @@ def _lookup(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hit, spot[hit]
 
 
-def build_items(docs: DataFrame, items: DataFrame) -> Items | None:
+def build_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> Items | None:
     """Choose the seeds of a block of items by how often their n-grams occur in all documents."""
-    ids, words, value, owner, at, size = _grams(items)
+    ids, words, value, owner, at, size = _grams(items, similarity)
     if not len(value):
         return None
     known = np.unique(value)
@@ -139,21 +163,22 @@ def build_items(docs: DataFrame, items: DataFrame) -> Items | None:
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank))
     order = np.lexsort((at, owner))
-    chosen = []
+    chosen, need = [], np.ones(len(words), np.int64)
     bounds = np.searchsorted(owner[order], np.arange(len(words) + 1))
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
         mine = order[a:b]
-        for k in range(max(1, len(mine) - WINDOW + 1) if len(mine) else 0):
-            part = mine[k : k + WINDOW]
-            chosen.append(part[np.argmin(place[part])])
+        if len(mine):
+            whole = max(1, whole_grams(len(words[i]), int(size[mine[0]]), similarity))
+            skipped = whole // 2
+            need[i] = whole - skipped
+            chosen.extend(mine[np.argsort(place[mine])][: len(mine) - skipped])
     chosen = np.unique(chosen)
     chosen = chosen[np.argsort(value[chosen], kind="stable")]
-    return Items(ids, words, value[chosen], owner[chosen], at[chosen], size[chosen])
+    return Items(ids, words, need, value[chosen], owner[chosen], at[chosen], size[chosen])
 
 
-def _windows_of(hits_at: np.ndarray, item_at: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
+def _windows_of(hits_at: np.ndarray, item_at: np.ndarray, length: int, n: int, slack: int) -> list[tuple[int, int]]:
     """Passages of a document to align: around each hit, merged where they overlap."""
-    slack = max(4, length // 3)
     lo = np.maximum(hits_at - item_at - slack, 0)
     hi = np.minimum(hits_at - item_at + length + slack, n)
     out: list[tuple[int, int]] = []
@@ -177,26 +202,45 @@ def find_leaks(block: Items, buf: np.ndarray, off: np.ndarray, similarity: float
         if not len(hit):
             continue
         repeat = np.searchsorted(known, known[spot], "right") - spot
-        which = np.repeat(spot - np.cumsum(repeat) + repeat, repeat) + np.arange(repeat.sum())
-        word, seed = np.repeat(at[hit], repeat), pick[which]
-        text = w.text[word]
-        key = text * len(block.words) + block.item[seed]
-        order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        for group in np.split(order, cuts):
-            t, i = int(text[group[0]]), int(block.item[seed[group[0]]])
-            item, passage = block.words[i], w.hash[w.first[t] : w.first[t + 1]]
-            need = similarity * MATCH * len(item)
-            best = (0, 0, 0)
-            for lo, hi in _windows_of(word[group] - w.first[t], block.at[seed[group]], len(item), len(passage)):
-                part = passage[lo:hi]
-                if MATCH * np.isin(item, part).sum() < need:
-                    continue
-                score, a, b = align(item, part)
-                if score > best[0]:
-                    best = (score, lo + a, lo + b)
-            if best[0] >= need:
-                rows.append((t, i, best[0] / (MATCH * len(item)), best[1], best[2]))
+        order = np.argsort(at[hit], kind="stable")
+        hit, spot, repeat = hit[order], spot[order], repeat[order]
+        upto = np.cumsum(repeat)
+        ends = np.flatnonzero(np.diff(w.text[at[hit]], append=-1)) + 1  # whole texts, about MAX_HITS pairs at a time
+        turn = upto[ends - 1] // MAX_HITS
+        lo = 0
+        for hi in ends[np.flatnonzero(np.diff(turn, append=-1))].tolist():
+            rows += _leaks_of(block, w, at[hit[lo:hi]], spot[lo:hi], repeat[lo:hi], pick, similarity)
+            lo = hi
+    return rows
+
+
+def _leaks_of(block: Items, w: V.Words, at: np.ndarray, spot: np.ndarray, repeat: np.ndarray, pick: np.ndarray, similarity: float) -> list:
+    """The leaks among hits: words `at`, each of which holds `repeat` seeds from `spot` on."""
+    rows = []
+    which = np.repeat(spot - np.cumsum(repeat) + repeat, repeat) + np.arange(repeat.sum())
+    word, seed = np.repeat(at, repeat), pick[which]
+    key = w.text[word] * len(block.words) + block.item[seed]
+    order = np.argsort(key, kind="stable")
+    key, word, seed = key[order], word[order], seed[order]
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    size = np.diff(cuts, append=len(key))
+    maybe = np.flatnonzero(size >= block.need[key[cuts] % len(block.words)])
+    for a, b in zip(cuts[maybe].tolist(), (cuts + size)[maybe].tolist()):
+        t, i = divmod(int(key[a]), len(block.words))
+        if len(np.unique(block.at[seed[a:b]])) < block.need[i]:
+            continue
+        item, passage = block.words[i], w.hash[w.first[t] : w.first[t + 1]]
+        need = similarity * MATCH * len(item)
+        best = (0, 0, 0)
+        for lo, hi in _windows_of(word[a:b] - w.first[t], block.at[seed[a:b]], len(item), len(passage), longest_passage(len(item), similarity)):
+            part = passage[lo:hi]
+            if MATCH * np.isin(item, part).sum() < need:
+                continue
+            score, x, y = align(item, part)
+            if score > best[0]:
+                best = (score, lo + x, lo + y)
+        if best[0] >= need:
+            rows.append((t, i, best[0] / (MATCH * len(item)), best[1], best[2]))
     return rows
 
 
@@ -207,7 +251,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for k in range(blocks):
-        block = build_items(own, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
+        block = build_items(own, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), similarity)
         if block is None:
             continue
         shared = spark.sparkContext.broadcast(block)
@@ -231,7 +275,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     blocks = -(-benchmark.count() // BLOCK_ITEMS)
     own = docs.select("doc_id", "text")
     for k in range(blocks):
-        block = build_items(own, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
+        block = build_items(own, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), similarity)
         if block is None:
             continue
         shared = spark.sparkContext.broadcast(block)

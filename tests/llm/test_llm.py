@@ -205,6 +205,24 @@ def test_leaks_equal_brute_force_and_survive_edits(spark):
     assert [r["doc_id"] for r in decontam.leaks(d, spark.createDataFrame([(9, " ".join(passage))], "item_id long, text string")).collect()] == [1]
 
 
+def test_dense_edits_equal_brute_force(spark):
+    """Words replaced or inserted every few words, next to whole copies and common words, at all item lengths."""
+    rng = np.random.default_rng(8)
+    items, docs = [], []
+    for k, length in enumerate([1, 2, 3, 5, 6, 8, 12, 16, 40, 90]):
+        item = [f"i{k}w{j}" if rng.random() < 0.8 else "the" for j in range(length)]
+        items.append((k, " ".join(item)))
+        for every in (2, 3, 4, 5, 6):
+            docs.append(" ".join(w if j % every != every - 1 else "zz" for j, w in enumerate(item)))
+            docs.append(" ".join(w + " zz" * (j % every == every - 1) for j, w in enumerate(item)))
+            docs.append(" ".join(w for j, w in enumerate(item) if j % every != every - 1))
+        docs += ["intro the the " + " ".join(item) + " outro", " ".join("qq" if rng.random() < 0.2 else w for w in item)]
+    rows = list(enumerate(docs))
+    want = {(i, k) for i, t in rows for k, item in items if smith_waterman(item.split(), t.split()) >= decontam.SIMILARITY * decontam.MATCH * len(item.split())}
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 # 5 near duplicates
 
 
