@@ -42,16 +42,20 @@ _SCOPES = frozenset("ul ol dl table article section div body main td th".split()
 #: Paths that end in an element which can hold an article.
 _CONTAINER = r"(^|>)(html|body|main|article|section|div|td|center)([.#][^>]*)?$"
 _MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|side-?bar|menu|nav|navbar|navigation|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|newsletter|subscribe|popup|modal|related|breadcrumbs?|pagination|widget)(?:$|[\s_-])", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies|disqus)(?:$|[\s_-])", re.I)
+#: Elements that never hold a page's main text.
+_ALWAYS = _BOILERPLATE - {"header", "form", "dialog", "object", "canvas"}
+NONE, BY_TAG, BY_NAME, BY_COMMENT = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
 def walk(page: str):
-    """Yield ('open', path, tag, boilerplate), ('text', text) and ('close', path) in page order."""
-    stack: list[tuple[str, str, bool]] = []
+    """Yield ('open', path, tag, own mark), ('text', text) and ('close', path) in page order."""
+    stack: list[tuple[str, str]] = []
     at, size = 0, len(page)
 
     def pop():
-        name, path, _ = stack.pop()
+        name, path = stack.pop()
         return ("close", path, name)
 
     while at < size:
@@ -88,15 +92,16 @@ def walk(page: str):
                     break
                 if stack[k][0] in _SCOPES and stack[k][0] not in ends:
                     break
-        label, marked = name, name in _BOILERPLATE
+        label, mark = name, BY_TAG if name in _BOILERPLATE else NONE
         if m[3]:
             for key, a, b, c in _NAMED.findall(m[3]):
                 value = a or b or c
                 if key.lower() == "role":
-                    marked |= value.strip().lower() in _ROLES
+                    mark = BY_TAG if value.strip().lower() in _ROLES else mark
                 elif name not in ("html", "body"):
-                    label += ("." if key.lower() == "class" else "#") + " ".join(value.split())
-                    marked |= name not in ("article", "main") and bool(_MARKED.search(value))
+                    label += ("." if key.lower() == "class" else "#") + " ".join(value.replace(">", " ").split())
+                    if mark != BY_TAG and name not in ("article", "main") and _MARKED.search(value):
+                        mark = BY_COMMENT if mark == BY_COMMENT or _COMMENTS.search(value) else BY_NAME
         path = (stack[-1][1] + ">" if stack else "") + label
         if name in _VOID:
             yield ("void", path, name, False)
@@ -105,18 +110,65 @@ def walk(page: str):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        marked |= bool(stack) and stack[-1][2]
-        stack.append((name, path, marked))
-        yield ("open", path, name, marked)
+        stack.append((name, path))
+        yield ("open", path, name, mark)
     while stack:
         yield (*pop(), False)
 
 
+def events(page: str, names: bool = True) -> list[tuple]:
+    """walk() with each element's mark settled and handed down: whether it is boilerplate.
+
+    A name says nothing of what else an element holds. An element keeps no mark if it holds `main`, the longest
+    article (comments can hold articles of their own), or, on pages that have neither elsewhere, half of the text
+    outside elements that are boilerplate by tag or role. Without `names`, only elements of _ALWAYS are boilerplate.
+    """
+    seen = list(walk(page))
+    if not names:
+        settled = {k: e[2] in _ALWAYS for k, e in enumerate(seen) if e[0] == "open"}
+    else:
+        spans, open_, text, free = {}, [], [0] * (len(seen) + 1), [0] * (len(seen) + 1)
+        tagged = 0
+        for k, (kind, path, _, mark) in enumerate(seen):
+            n = 0
+            if kind == "open":
+                open_.append(k)
+                tagged += mark == BY_TAG
+            elif kind == "close":
+                at = open_.pop()
+                spans[at] = k
+                tagged -= seen[at][3] == BY_TAG
+            elif kind == "text":
+                n = len(path.strip())
+            text[k + 1], free[k + 1] = text[k] + n, free[k] + (0 if tagged else n)
+        length = lambda k: text[spans[k]] - text[k]
+        mains = [k for k in spans if seen[k][2] == "main" and length(k)]
+        articles = [k for k in spans if seen[k][2] == "article" and length(k)]
+        longest = max(articles, key=lambda k: (length(k), -k), default=None)
+
+        def keeps(k):
+            mark, end = seen[k][3], spans[k]
+            if any(k <= m < end for m in mains) or (mark != BY_COMMENT and longest is not None and k <= longest < end):
+                return False
+            within = all(k <= m < end for m in (*mains, *articles))
+            return not (mark != BY_TAG and within and 2 * (free[end] - free[k]) >= free[-1] > 0)
+
+        settled = {k: seen[k][3] != NONE and keeps(k) for k in spans}
+    out, held = [], [False]
+    for k, (kind, path, tag, _) in enumerate(seen):
+        if kind == "open":
+            held.append(held[-1] or settled[k])
+        out.append((kind, path, tag, held[-1]))
+        if kind == "close":
+            held.pop()
+    return out
+
+
 def tokens_of(page: str) -> dict[str, list[int]]:
     """Element path -> [occurrences, characters of text below it]; boilerplate elements are left out."""
     seen: dict[str, list[int]] = {}
     open_: list[tuple[str, bool]] = []
-    for kind, path, _, marked in walk(page):
+    for kind, path, _, marked in events(page):
         if kind == "open":
             open_.append((path, marked))
             if not marked:
@@ -131,10 +183,12 @@ def tokens_of(page: str) -> dict[str, list[int]]:
 
 
 def extract(page: str | None, slot: str | None) -> str:
-    """The text of a page's slot: the element at path `slot`, else article or main, else everything outside boilerplate."""
+    """The text of a page's slot: the element at path `slot`, else article or main, else everything outside boilerplate, else of names."""
     if not page:
         return ""
-    for wanted in (lambda path, tag: path == slot, lambda path, tag: tag in ("article", "main"), lambda path, tag: True):
+    found_in = events(page)
+    for wanted, names in ((lambda path, tag: path == slot, True), (lambda path, tag: tag in ("article", "main"), True), (lambda path, tag: True, True), (lambda path, tag: True, False)):
+        found_in = found_in if names else events(page, False)
         blocks, parts, skipping, inside, found = [], [], 0, 0, False
 
         def flush():
@@ -144,7 +198,7 @@ def extract(page: str | None, slot: str | None) -> str:
             parts.clear()
 
         open_: list[tuple[bool, bool]] = []
-        for kind, path, tag, marked in walk(page):
+        for kind, path, tag, marked in found_in:
             if kind == "text":
                 if inside and not skipping:
                     parts.append(path)

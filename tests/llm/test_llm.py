@@ -320,6 +320,21 @@ def test_pages_keep_every_article_word(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="page with-nav">{}</div>', '<div id="content-menu">{}</div>', '<form>{}</form>'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_of_wrappers_drop_no_text(spark, wrapper, tag):
+    body = "<nav>Menu one two three</nav>" + wrapper.format(f"<div class=sidebar>Side</div><{tag}><p>Main text of page {{}}</p><p>More of it</p></{tag}>") + "<footer>Foot</footer>"
+    rows = [(k, "https://w.example/", f"<html><body>{body.format(k)}</body></html>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in htmltemplate.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    side = "Side\n" if wrapper.startswith("<form") and tag == "div" else ""  # found without names, so none is left out
+    assert got == {k: f"{side}Main text of page {k}\nMore of it" for k in range(3)}
+
+
+def test_comments_with_articles_stay_out():
+    page = "<html><body><div class=post><p>A long text of the page itself</p></div><section class=comments><article>Reader</article></section></body></html>"
+    assert htmltemplate.extract(page, None) == "A long text of the page itself"
+
+
 # 8 token files
 
 
