@@ -4,8 +4,8 @@ Tokens are element paths (tag, class and id of every open element). For each hos
 over all of the host's pages is kept as page count, occurrence count and an order-free hash of (page, count)
 pairs; tokens with equal vectors form an equivalence class. A class is valid if it covers at least half of the
 pages; valid classes nest by their paths into the host's template. The slot to extract is the deepest container
-of the template that occurs once a page and holds at least half of the text outside boilerplate elements. Pages without
-that token fall back to their own article or main element, then to the body.
+of the template that occurs once a page and holds all of the host's text outside boilerplate elements. Pages without
+that token give all of their text outside boilerplate elements.
 
 Boilerplate inside the slot (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) is left out by element, role, class or id; all other text stays. Character references are decoded,
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT, MIN_TEXT_SHARE = 0.5, 0.5
+MIN_SUPPORT = 0.5
 MAX_BROADCAST_HOSTS = 20_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -165,8 +165,8 @@ def events(page: str, names: bool = True) -> list[tuple]:
 
 
 def tokens_of(page: str) -> dict[str, list[int]]:
-    """Element path -> [occurrences, characters of text below it]; boilerplate elements are left out."""
-    seen: dict[str, list[int]] = {}
+    """Element path -> [occurrences, characters of text below it]; boilerplate elements are left out, '' is the page."""
+    seen: dict[str, list[int]] = {"": [1, 0]}
     open_: list[tuple[str, bool]] = []
     for kind, path, _, marked in events(page):
         if kind == "open":
@@ -175,21 +175,21 @@ def tokens_of(page: str) -> dict[str, list[int]]:
                 seen.setdefault(path, [0, 0])[0] += 1
         elif kind == "close":
             open_.pop()
-        elif kind == "text" and open_ and not open_[-1][1]:
+        elif kind == "text" and not (open_ and open_[-1][1]):
             n = len(path.strip())
-            for p in {p for p, _ in open_} if n else ():
+            for p in {"", *(p for p, _ in open_)} if n else ():
                 seen[p][1] += n
     return seen
 
 
 def extract(page: str | None, slot: str | None) -> str:
-    """The text of a page's slot: the element at path `slot`, else article or main, else everything outside boilerplate, else of names."""
+    """The text of a page's slot: the element at path `slot`, else everything outside boilerplate, else of names."""
     if not page:
         return ""
     found_in = events(page)
-    for wanted, names in ((lambda path, tag: path == slot, True), (lambda path, tag: tag in ("article", "main"), True), (lambda path, tag: True, True), (lambda path, tag: True, False)):
+    for wanted, names in ((lambda path, tag: path == slot, True), (None, True), (None, False)):
         found_in = found_in if names else events(page, False)
-        blocks, parts, skipping, inside, found = [], [], 0, 0, False
+        blocks, parts, skipping, inside, found = [], [], 0, int(wanted is None), "<" in page and wanted is None
 
         def flush():
             text = " ".join(entities.unescape("".join(parts)).split())
@@ -208,7 +208,7 @@ def extract(page: str | None, slot: str | None) -> str:
             elif kind == "void" and tag == "br":
                 parts.append(" ")
             if kind == "open":
-                hit = not marked and wanted(path, tag)
+                hit = wanted is not None and not marked and wanted(path, tag)
                 found |= hit
                 open_.append((hit, marked))
                 inside += hit
@@ -249,11 +249,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
     seen = own.mapInArrow(run, "host string, path string, pages long, n long, text long, vector long")
     tokens = seen.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("text").alias("text"), F.bit_xor("vector").alias("vector"))
-    size = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("text").alias("host_text"))
-    valid = tokens.join(size, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
+    size = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("text").alias("host_text"))  # of the page itself
+    valid = tokens.where("path <> ''").join(size, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
     classes = valid.groupBy("host", "pages", "vector").agg(F.collect_list(F.struct("path", "n", "text", "host_text")).alias("members"))
     member = classes.select("host", "pages", "vector", F.explode("members").alias("m")).select("host", "pages", "vector", "m.*")
-    fits = F.col("path").rlike(_CONTAINER) & (F.col("n") == F.col("pages")) & (F.col("text") >= MIN_TEXT_SHARE * F.col("host_text"))
+    fits = F.col("path").rlike(_CONTAINER) & (F.col("n") == F.col("pages")) & (F.col("text") == F.col("host_text"))
     deep = F.struct(F.size(F.split("path", ">")), "text", "path")
     return member.groupBy("host").agg(F.max_by(F.when(fits, F.col("path")), F.when(fits, deep)).alias("slot"), F.count("*").alias("tokens"), F.count_distinct("pages", "vector").alias("classes"))
 

@@ -330,6 +330,14 @@ def test_names_of_wrappers_drop_no_text(spark, wrapper, tag):
     assert got == {k: f"{side}Main text of page {k}\nMore of it" for k in range(3)}
 
 
+@pytest.mark.parametrize("form, want", [("<article><h1>Head {0}</h1><p>Lead {0}</p><div class=body><p>{1}</p></div><p>Tail {0}</p></article>", "Head {0}\nLead {0}\n{1}\nTail {0}"), ("<div class=one>{1}</div><div class=two>Second {0}</div>", "{1}\nSecond {0}"), ("By {0}<article>{1}</article>", "By {0}\n{1}")])
+def test_slot_holds_all_text(spark, form, want):
+    long = "most of the text is here " * 4
+    rows = [(k, "https://s.example/", "<html><body><nav>Menu</nav>" + form.format(k, f"{long}{k}") + "</body></html>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in htmltemplate.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want.format(k, f"{long}{k}") for k in range(3)}
+
+
 def test_comments_with_articles_stay_out():
     page = "<html><body><div class=post><p>A long text of the page itself</p></div><section class=comments><article>Reader</article></section></body></html>"
     assert htmltemplate.extract(page, None) == "A long text of the page itself"
