@@ -1,9 +1,12 @@
 """Main-text extraction by equivalence classes of template tokens.
 
-Tokens are element paths (tag, class and id of every open element). For each host, a token's occurrence vector
-over all of the host's pages is kept as page count, occurrence count and an order-free hash of (page, count)
-pairs; tokens with equal vectors form an equivalence class. A class is valid if it covers at least half of the
-pages; valid classes nest by their paths into the host's template. The slot to extract is the deepest container
+Tokens are element paths (tag, class and id of every open element) and texts with the path they stand at. For
+each host, a token's occurrence vector over all of the host's pages is kept as page count, occurrence count and an
+order-free hash of (page, count) pairs; tokens with equal vectors form an equivalence class. A class is valid if it
+covers at least half of the pages; its texts that do not come in the same order and after the same once-a-page
+element wherever they occur are taken out (a class that repeats may repeat as a whole). Texts of valid classes are the template's words
+and are left out; a text must also be on MIN_TEXT_PAGES pages, as a few pages can share an article's words.
+A page, or a host, of nothing but template words keeps them. The slot to extract is the deepest container
 of the template that occurs once a page and holds all of the host's text outside boilerplate elements. Pages without
 that token give all of their text outside boilerplate elements.
 
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_SUPPORT = 0.5
+MIN_TEXT_PAGES = 8
 MAX_BROADCAST_HOSTS = 20_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -164,30 +168,67 @@ def events(page: str, names: bool = True) -> list[tuple]:
     return out
 
 
-def tokens_of(page: str) -> dict[str, list[int]]:
-    """Element path -> [occurrences, characters of text below it]; boilerplate elements are left out, '' is the page."""
-    seen: dict[str, list[int]] = {"": [1, 0]}
-    open_: list[tuple[str, bool]] = []
+def text_token(path: str, text: str) -> int:
+    """Hash of a text and the element it stands in, never 0."""
+    return (xxhash.xxh64_intdigest(f"{path}\0{' '.join(text.split())}") >> 1) | 1
+
+
+def tokens_of(page: str) -> dict[tuple[str, int], list[int]]:
+    """(element path, 0) or (path, text token) -> [occurrences, characters of text]; boilerplate elements are left out, '' is the page."""
+    seen: dict[tuple[str, int], list[int]] = {("", 0): [1, 0]}
+    open_: list[tuple[str, bool]] = [("", False)]
     for kind, path, _, marked in events(page):
         if kind == "open":
             open_.append((path, marked))
             if not marked:
-                seen.setdefault(path, [0, 0])[0] += 1
+                seen.setdefault((path, 0), [0, 0])[0] += 1
         elif kind == "close":
             open_.pop()
-        elif kind == "text" and not (open_ and open_[-1][1]):
-            n = len(path.strip())
-            for p in {"", *(p for p, _ in open_)} if n else ():
-                seen[p][1] += n
+        elif kind == "text" and not open_[-1][1] and (n := len(path.strip())):
+            for p, _ in open_:
+                seen[p, 0][1] += n
+            one = seen.setdefault((open_[-1][0], text_token(open_[-1][0], path)), [0, 0])
+            one[0] += 1
+            one[1] += n
     return seen
 
 
-def extract(page: str | None, slot: str | None) -> str:
-    """The text of a page's slot: the element at path `slot`, else everything outside boilerplate, else of names."""
+def orders_of(page: str, roots: set[str], classes: dict[int, int]) -> dict[int, int]:
+    """Text token -> hash of where it stands on a page: after which texts of its class and which once-a-page element.
+
+    Texts whose places are equal on all pages are in one order on all of them.
+    """
+    found: dict[int, list[tuple[int, str]]] = {}
+    open_, last = [("", False)], ""
+    for kind, path, _, marked in events(page):
+        if kind == "open":
+            open_.append((path, marked))
+            last = path if path in roots else last
+        elif kind == "close":
+            open_.pop()
+            last = "/" + path if path in roots else last
+        elif kind == "text" and not open_[-1][1] and path.strip():
+            token = text_token(open_[-1][0], path)
+            if token in classes:
+                found.setdefault(classes[token], []).append((token, last))
+    out = {}
+    for order in found.values():
+        size = order.index(order[0], 1) if order[0] in order[1:] else len(order)
+        repeats = order[:size] * (len(order) // size) == order
+        before = 0
+        for token, last in order[:size] if repeats else order:
+            if token not in out:
+                out[token] = xxhash.xxh64_intdigest(f"{before} {last} {'' if repeats else order}") >> 1
+                before ^= token
+    return out
+
+
+def extract(page: str | None, slot: str | None, template: frozenset[int] = frozenset()) -> str:
+    """The text of a page's slot: the element at path `slot`, else everything outside boilerplate, else of template words, else of names."""
     if not page:
         return ""
     found_in = events(page)
-    for wanted, names in ((lambda path, tag: path == slot, True), (None, True), (None, False)):
+    for wanted, names, left_out in ((lambda path, tag: path == slot, True, template), (None, True, template), (None, True, frozenset()), (None, False, frozenset())):
         found_in = found_in if names else events(page, False)
         blocks, parts, skipping, inside, found = [], [], 0, int(wanted is None), "<" in page and wanted is None
 
@@ -198,9 +239,10 @@ def extract(page: str | None, slot: str | None) -> str:
             parts.clear()
 
         open_: list[tuple[bool, bool]] = []
+        paths = [""]
         for kind, path, tag, marked in found_in:
             if kind == "text":
-                if inside and not skipping:
+                if inside and not skipping and not (left_out and text_token(paths[-1], path) in left_out):
                     parts.append(path)
                 continue
             if tag in _BLOCK:
@@ -211,10 +253,12 @@ def extract(page: str | None, slot: str | None) -> str:
                 hit = wanted is not None and not marked and wanted(path, tag)
                 found |= hit
                 open_.append((hit, marked))
+                paths.append(path)
                 inside += hit
                 skipping += marked
             elif kind == "close":
                 hit, was = open_.pop()
+                paths.pop()
                 inside -= hit
                 skipping -= was
                 if hit and not inside:
@@ -229,47 +273,79 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _bounded(hosts: DataFrame) -> DataFrame:
+    hosts = hosts.cache()
+    return F.broadcast(hosts) if hosts.count() <= MAX_BROADCAST_HOSTS else hosts
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: host, slot (path of the token to extract), tokens and classes of its template."""
+    """One row per host: host, slot (path of the element to extract), words (text tokens to leave out), tokens and classes of its template."""
     own = pages.select(host_of("url").alias("host"), F.col("page_id").cast("long").alias("page_id"), "html")
 
     def run(batches):
         for batch in batches:
-            held: dict[tuple[str, str], list[int]] = {}
-            for host, page_id, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for path, (n, text) in tokens_of(page or "").items():
-                    one = held.setdefault((host, path), [0, 0, 0, 0])
-                    one[0] += 1
-                    one[1] += n
-                    one[2] += text
-                    one[3] ^= xxhash.xxh64_intdigest(f"{page_id}:{n}") >> 1
-            hosts, paths = zip(*held) if held else ((), ())
-            numbers = np.array(list(held.values()), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *(pa.array(numbers[:, k]) for k in range(4))], names=["host", "path", "pages", "n", "text", "vector"])
-
-    seen = own.mapInArrow(run, "host string, path string, pages long, n long, text long, vector long")
-    tokens = seen.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("text").alias("text"), F.bit_xor("vector").alias("vector"))
-    size = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("text").alias("host_text"))  # of the page itself
-    valid = tokens.where("path <> ''").join(size, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
-    classes = valid.groupBy("host", "pages", "vector").agg(F.collect_list(F.struct("path", "n", "text", "host_text")).alias("members"))
-    member = classes.select("host", "pages", "vector", F.explode("members").alias("m")).select("host", "pages", "vector", "m.*")
-    fits = F.col("path").rlike(_CONTAINER) & (F.col("n") == F.col("pages")) & (F.col("text") == F.col("host_text"))
+            for lo in range(0, batch.num_rows, 500):
+                held: dict[tuple[str, str, int], list[int]] = {}
+                for host, page_id, page in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
+                    for (path, token), (n, text) in tokens_of(page or "").items():
+                        one = held.setdefault((host, path, token), [0, 0, 0, 0])
+                        one[0] += 1
+                        one[1] += n
+                        one[2] += text
+                        one[3] ^= xxhash.xxh64_intdigest(f"{page_id}:{n}") >> 1
+                hosts, paths, words = zip(*held) if held else ((), (), ())
+                numbers = np.array(list(held.values()), np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(words, pa.int64()), *(pa.array(numbers[:, k]) for k in range(4))], names=["host", "path", "token", "pages", "n", "text", "vector"])
+
+    seen = own.mapInArrow(run, "host string, path string, token long, pages long, n long, text long, vector long")
+    tokens = seen.groupBy("host", "path", "token").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("text").alias("text"), F.bit_xor("vector").alias("vector"))
+    # the page itself is a token of every page, so a host's rows all come with its size
+    size = tokens.where("path = '' and token = 0").select("host", F.col("pages").alias("host_pages"), F.col("text").alias("host_text"))
+    found = tokens.join(size, "host").where((F.col("pages") >= MIN_SUPPORT * F.col("host_pages")) & ((F.col("token") == 0) | (F.col("pages") >= MIN_TEXT_PAGES)))
+    found = found.withColumn("class", F.xxhash64("pages", "n", "vector")).cache()
+
+    root = (F.col("token") == 0) & (F.col("n") == F.col("pages")) & (F.col("pages") == F.col("host_pages"))
+    known = found.groupBy("host").agg(F.collect_list(F.when(root, F.col("path"))).alias("roots"), F.collect_list(F.when(F.col("token") != 0, F.struct("token", "class"))).alias("texts")).where(F.size("texts") > 0)
+    laid = own.join(_bounded(known), "host").select("host", "html", "roots", "texts")
+
+    def order(batches):
+        for batch in batches:
+            held: dict[tuple[str, int], list[int]] = {}
+            for lo in range(0, batch.num_rows, 200):
+                for host, page, roots, texts in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns)):
+                    for token, value in orders_of(page or "", set(roots), {t["token"]: t["class"] for t in texts}).items():
+                        one = held.setdefault((host, token), [value, value])
+                        one[0], one[1] = min(one[0], value), max(one[1], value)
+            hosts, names = zip(*held) if held else ((), ())
+            low, high = zip(*held.values()) if held else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["host", "token", "low", "high"])
+
+    valid = laid.mapInArrow(order, "host string, token long, low long, high long").groupBy("host", "token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select("host", "token")
+    words = found.where("token <> 0").join(valid, ["host", "token"]).select("host", "path", "token", "text", "host_text")
+    # a host of nothing but template words keeps them
+    some = words.groupBy("host").agg(F.sum("text").alias("gone"), F.max("host_text").alias("all")).where("gone < all").select("host")
+    words = words.join(some, "host").cache()
+    parts = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(0), F.when(F.col("path") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
+    gone = words.select("host", F.explode(F.array_distinct(above)).alias("path"), "text").groupBy("host", "path").agg(F.sum("text").alias("gone"))
+    total = gone.where("path = ''").select("host", F.col("gone").alias("host_gone"))
+    left = found.where("token = 0 and path <> ''").join(gone, ["host", "path"], "left").join(total, "host", "left")
+    fits = F.col("path").rlike(_CONTAINER) & (F.col("n") == F.col("pages")) & (F.col("text") - F.coalesce("gone", F.lit(0)) == F.col("host_text") - F.coalesce("host_gone", F.lit(0)))
     deep = F.struct(F.size(F.split("path", ">")), "text", "path")
-    return member.groupBy("host").agg(F.max_by(F.when(fits, F.col("path")), F.when(fits, deep)).alias("slot"), F.count("*").alias("tokens"), F.count_distinct("pages", "vector").alias("classes"))
+    slots = left.groupBy("host").agg(F.max_by(F.when(fits, F.col("path")), F.when(fits, deep)).alias("slot"), F.count("*").alias("tokens"), F.count_distinct("class").alias("classes"))
+    return slots.join(words.groupBy("host").agg(F.collect_list("token").alias("words")), "host", "left")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    slots = templates(pages).select("host", "slot").cache()
-    if slots.count() <= MAX_BROADCAST_HOSTS:
-        slots = F.broadcast(slots)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host")).join(slots, "host", "left").select("page_id", "url", "html", "slot")
+    slots = _bounded(templates(pages).select("host", "slot", "words"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host")).join(slots, "host", "left").select("page_id", "url", "html", "slot", "words")
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = batch.slice(lo, 200)
-                texts = [extract(p, s) for p, s in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())]
+                texts = [extract(p, s, frozenset(w or ())) for p, s, w in zip(*(rows.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -338,6 +338,20 @@ def test_slot_holds_all_text(spark, form, want):
     assert got == {k: want.format(k, f"{long}{k}") for k in range(3)}
 
 
+def test_template_words_are_left_out(spark):
+    """Words of the template in elements without a telling name; words that change their place or are rare stay."""
+    def page(k):
+        swap = ["<i>one</i>", "<i>two</i>"][:: 1 if k % 2 else -1]
+        return f"<html><body><div class=x1>Site slogan</div><div class=x2><p>Story {k}</p>{'<p>Read also</p>' * (1 + k % 3)}<p>Same on two</p>{swap[0]} and {swap[1]}</div><div class=x3>(c) all rights {'' if k else 'x'}</div></body></html>"
+
+    rows = [(k, "https://t.example/", page(k) if k < 2 else page(k).replace("<p>Same on two</p>", "")) for k in range(12)] + [(20 + k, "https://u.example/", "<body><div>All the same</div></body>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in htmltemplate.extract_pages(df).collect()}
+    assert got[5] == "Story 5\none and two" and got[4] == "Story 4\ntwo and one"
+    assert got[1] == "Story 1\nSame on two\none and two" and got[0] == "Story 0\nSame on two\ntwo and one\n(c) all rights x"
+    assert {got[20 + k] for k in range(9)} == {"All the same"}
+
+
 def test_comments_with_articles_stay_out():
     page = "<html><body><div class=post><p>A long text of the page itself</p></div><section class=comments><article>Reader</article></section></body></html>"
     assert htmltemplate.extract(page, None) == "A long text of the page itself"
