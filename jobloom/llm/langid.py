@@ -72,8 +72,8 @@ class Filter:
         first, second = self._spots(keys)
         return self.slots[first] & self.slots[second]
 
-    def decide(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the language, score) of every text."""
+    def count(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams by text and language, n-grams by text)."""
         low, at = V.letters_only(buf, off)
         text, keys = grams(low, at)
         mask, n = self.masks(keys), len(off) - 1
@@ -82,6 +82,18 @@ class Filter:
         for k, rate in enumerate(self.false_rate):
             hits = np.bincount(text[(mask >> mask.dtype.type(k) & mask.dtype.type(1)).astype(bool)], minlength=n)
             counts[:, k] = np.maximum(0.0, (hits - rate * total) / (1 - rate))
+        return counts, total
+
+    def evidence(self, counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """By text: shares of its n-grams that the best language has, and has more than the next; free of how many languages there are."""
+        high = np.sort(np.hstack([np.zeros((len(counts), 1)), counts]), axis=1)
+        return np.stack([high[:, -1], high[:, -1] - high[:, -2]], 1) / np.maximum(total, 1)[:, None]
+
+    def decide(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the language, score) of every text."""
+        return self.best(self.count(buf, off)[0])
+
+    def best(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         every = counts.sum(1)
         best = np.where(every > 0, counts.argmax(1), self.common)
         return best, np.where(every > 0, counts.max(1) / np.maximum(every, 1e-9), 0.0)
@@ -89,12 +101,17 @@ class Filter:
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filter | None:
     """Fit the filter; what reaches the driver is bounded by the sample, not by the table."""
+    return _fit(docs, sample_rows)[0]
+
+
+def _fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Filter | None, DataFrame | None]:
+    """The filter and its learning rows."""
     known = docs.where(F.col("lang").isNotNull() & (fold() != 2))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"{len(counts)} languages; the bitmask holds {MAX_LANGUAGES}")
     if not counts:
-        return None
+        return None, None
     languages = sorted(counts)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, sample_rows / counts[lang]) * (1 << 30)))])
     code = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
@@ -114,7 +131,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filter | None:
     totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         found.unpersist()
-        return Filter(languages, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0)
+        return Filter(languages, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0), sample
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))])[F.col("lang")]
     rated = found.where(F.col("n") >= MIN_COUNT).select("gram", "lang", rate.alias("rate"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("langs"))
@@ -123,7 +140,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filter | None:
     found.unpersist()
     keys, masks = (table.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in ("gram", "mask"))
     most = max(range(len(languages)), key=lambda k: (counts[languages[k]], -k))
-    return Filter(languages, keys, masks, most)
+    return Filter(languages, keys, masks, most), sample
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -159,19 +176,40 @@ def identify(docs: DataFrame, model: Filter | None = None) -> DataFrame:
 
 
 MIN_SCORE = 0.25
+#: Parts of the learning rows' median share and margin that a text must reach.
+MIN_OF_MEDIAN = (0.5, 0.125)
+
+
+def floors(model: Filter, sample: DataFrame) -> np.ndarray:
+    """Least share and margin of a text whose language is found, from the learning rows."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, buf, off in text_chunks(batch):
+                counts, total = shared.value.count(buf, off)
+                seen = shared.value.evidence(counts, total)[total > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["share", "margin"])
+
+    table = sample.mapInArrow(run, "share double, margin double").toArrow()  # bounded by the sample
+    if not table.num_rows:
+        return np.zeros(2)
+    return np.array([part * np.median(table.column(k).to_numpy()) for k, part in enumerate(MIN_OF_MEDIAN)])
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents (all their columns) whose language is found with at least `min_score`."""
-    model = learn(docs)
+    """The documents (all their columns) whose language is found: with `min_score`, and with share and margin of floors()."""
+    model, sample = _fit(docs)
     if model is None:
         return docs.limit(0)
+    least = floors(model, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, off in text_chunks(batch):
-                _, score = shared.value.decide(buf, off)
-                yield batch.slice(lo, hi - lo).filter(pa.array(has_letter(buf, off) & (score >= min_score)))
+                counts, total = shared.value.count(buf, off)
+                found = (shared.value.evidence(counts, total) >= least).all(1) & (shared.value.best(counts)[1] >= min_score)
+                yield batch.slice(lo, hi - lo).filter(pa.array(has_letter(buf, off) & found))
 
     return docs.mapInArrow(run, docs.schema)

@@ -459,3 +459,14 @@ def test_pipeline_stages(spark):
 
 def test_hash_is_stable():
     assert chat.Mapping("x", ({"a": ""},)).fingerprints == [hashlib.sha256(b"{a>").hexdigest()]
+
+
+@pytest.mark.parametrize("langs", [("de", "en", "es", "fr"), ("en", "fr")])
+def test_foreign_text_and_gibberish_are_rejected(spark, langs):
+    docs, marks = read_table(spark, LARGER, "documents"), read_table(spark, LARGER, "labels")
+    docs = docs.where(F.col("lang").isin(*langs)).select("doc_id", "text", "lang")
+    odd = ["Questo è un testo scritto in una lingua straniera che il modello non ha mai visto prima", "Przykładowy tekst w języku polskim, którego model nie zna", "xqzj wvkq zzxq jjkw pqxv bnmq wrtz kjhg fdsq the", "Быстрая лиса прыгает"]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionByName(more)).select("doc_id").collect()}
+    good = {r["doc_id"] for r in docs.join(marks.where("quality = 1"), "doc_id").select("doc_id").collect()}
+    assert not {i for i in kept if i < 0} and len(good & kept) > 0.99 * len(good)
