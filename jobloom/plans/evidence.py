@@ -146,6 +146,14 @@ def e12(spark, sf):
     return scoring.overlap_scores(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "overlap", "score")
 
 
+@query("e12_token_overlap_all", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents) SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id")
+def e12_all(spark, sf):
+    """e12 over the documents of all sources."""
+    jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))
+    ev = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("static"), tokens("text").alias("tokens"))
+    return scoring.overlap_scores(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "overlap", "score")
+
+
 @query("h5_overlap_top", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents), s AS (SELECT item_id, doc_id, count(*) AS overlap FROM a JOIN b USING (token) GROUP BY ALL), e AS (SELECT i.item_id, d.doc_id, 3 * coalesce(s.overlap, 0) + CASE WHEN d.doc_id % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN d.n_chars > 500 THEN -1 ELSE 0 END + 2 AS score, d.doc_id % 5 = 0 AS strong FROM benchmark i CROSS JOIN documents d LEFT JOIN s USING (item_id, doc_id)) SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, strong DESC, doc_id) AS rank FROM e WHERE score > 0) WHERE rank <= 12")
 def h5(spark, sf):
     jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))

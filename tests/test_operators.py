@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import text as T
 from jobloom.operators import boards, evidence, matching, overlays, pages, scoring, training
+from jobloom.plans import registry
 from jobloom.sources import jsonl, lists, office
+from tests.conftest import SF
 
 
 def value(spark, column, **cells):
@@ -231,3 +233,9 @@ def test_tag_top_equals_all_pairs(spark):
                 seen.add((p[1], p[2]))
                 chosen.append(p[0])
         assert got.get(j, []) == chosen
+
+
+def test_overlap_of_all_sources(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["source"] for r in registry.queries()["e12_token_overlap_all"](spark, SF).join(docs, "doc_id").select("source").distinct().collect()}
+    assert got == {r["source"] for r in docs.select("source").distinct().collect()}
