@@ -65,6 +65,13 @@ def d13(spark, sf):
     return p.select("doc", "idx", E.prompt_and_answer("qa").alias("x"), (E.is_question("qa")).alias("question")).select("doc", "idx", "x.prompt", F.md5("x.answer").alias("answer"), "question")
 
 
+@query("d13_prompts_all")
+def d13_all(spark, sf):
+    """d13 over all lines as they are, with the prompts that they hold themselves."""
+    p = lines(spark, sf)
+    return p.select("doc", "idx", E.prompt_and_answer("text").alias("x"), E.is_question("text").alias("question")).select("doc", "idx", "x.prompt", F.md5("x.answer").alias("answer"), "question")
+
+
 @query("d14_entity_references", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN contains(text, 'the') THEN 'ref_a' END, CASE WHEN contains(text, 'tion') AND lang = 'en' THEN 'ref_b' END, CASE WHEN contains(text, 'ung') THEN 'ref_c' END, CASE WHEN source = 'src1' THEN 'ref_a' END], lambda x: x IS NOT NULL))), '|') AS refs FROM documents")
 def d14(spark, sf):
     d = table(spark, sf, "documents")

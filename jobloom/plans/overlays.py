@@ -20,6 +20,12 @@ def g1(spark, sf):
     return O.last_by(_events(spark, sf).where("user_id % 7 <> 0").select("user_id", "event_type", "seq"), ["user_id"], "seq")
 
 
+@query("g1_last_wins_all", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq FROM events GROUP BY 1")
+def g1_all(spark, sf):
+    """g1 over all users."""
+    return O.last_by(_events(spark, sf).select("user_id", "event_type", "seq"), ["user_id"], "seq")
+
+
 @query("g3_latest_by_date", "SELECT user_id, arg_max(event_type, d || ' ' || lpad(event_id::VARCHAR, 12, '0')) AS event_type, max(d || ' ' || lpad(event_id::VARCHAR, 12, '0')) AS mark FROM (SELECT *, CASE WHEN event_type = 'view' THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS d FROM events) GROUP BY 1")
 def g3(spark, sf):
     rows = _events(spark, sf).select("user_id", "event_type", "seq", F.when(F.col("event_type") == "view", "").otherwise(F.col("day")).alias("last_scraped"))

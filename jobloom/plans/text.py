@@ -33,6 +33,14 @@ def b4(spark, sf):
     return T.canonical_name(s, "name", aliases).select("s_suppkey", "canonical_name")
 
 
+@query("b4_canonical_name_all", f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Vendor ' || s_suppkey ELSE {S.clean(S.variants('s_name', 's_suppkey'))} END AS canonical_name FROM supplier")
+def b4_all(spark, sf):
+    """b4 over all suppliers, those without a name of their own too."""
+    s = table(spark, sf, "supplier").withColumn("name", F.expr(S.variants("s_name", "s_suppkey")))
+    aliases = s.where("s_suppkey % 3 = 0").select(T.company_fingerprint("name").alias("fingerprint"), F.concat(F.lit("Vendor "), F.col("s_suppkey")).alias("canonical"))
+    return T.canonical_name(s, "name", aliases).select("s_suppkey", "canonical_name")
+
+
 @query("b6_job_ids", f"SELECT p_partkey, p_partkey::VARCHAR AS from_integer, {S.clean(chr(39) + ' ' + chr(39) + ' || p_brand')} AS from_text FROM part")
 def b6(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.job_id_text("p_partkey", True).alias("from_integer"), T.job_id_text(F.concat(F.lit(" "), "p_brand")).alias("from_text"))

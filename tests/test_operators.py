@@ -1,5 +1,6 @@
 """Small rows taken from the branches of the operators, folds against plain loops, and plan shapes."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -239,3 +240,18 @@ def test_overlap_of_all_sources(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["source"] for r in registry.queries()["e12_token_overlap_all"](spark, SF).join(docs, "doc_id").select("source").distinct().collect()}
     assert got == {r["source"] for r in docs.select("source").distinct().collect()}
+
+
+def test_prompts_of_all_lines(spark, tmp_path):
+    text = "Why here? Because I can\nWhat (so)I did it\nReally?\n1. Name it\nPlain line"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["d13_prompts_all"](spark, str(tmp_path)).orderBy("idx").collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert [(r["prompt"], r["answer"], r["question"]) for r in rows] == [("Why here?", md5("Because I can"), False), ("What (so)", md5("I did it"), False), (None, md5("Really?"), True), (None, md5("1. Name it"), True), (None, md5("Plain line"), False)]
+
+
+def test_queries_on_all_rows_leave_none_out(spark):
+    count = lambda name: registry.queries()[name](spark, SF).count()
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert count("g1_last_wins_all") == read("events").select("user_id").distinct().count() > count("g1_last_wins")
+    assert count("b4_canonical_name_all") == read("supplier").count() > count("b4_canonical_name")
