@@ -273,18 +273,84 @@ def test_five_word_components(spark):
 # 6 SentencePiece
 
 
+PUNCTUATED = ["He said 'no'.", "a->b", "<!-- note -->", "f('a', 'b');", "[-1, -2]", "foo-(bar)", "__init__.py", "it's 'fine', really", "<s> <0x41> <unk>", "  two  spaces ", "123,456.7 'quoted'", "naïve — Привет α٢", "▁meta", "\n\n\t x"]
+
+
 def test_transducer_equals_library_and_round_trips():
     from sentencepiece import SentencePieceProcessor
 
     path = tokenizer_path("piece_bpe_32k.model")
     fst, library = piecefst.machine(path), SentencePieceProcessor(model_file=path)
-    texts = [t for _, t, _ in documents()] + [o for o in ODD if o] + ["  two  spaces ", "123,456.7 'quoted'", "naïve — Привет α٢", "▁meta"]
+    texts = [t for _, t, _ in documents()] + [o for o in ODD if o] + PUNCTUATED
     for t in texts:
         ids = fst.encode(t)
         assert ids.tolist() == library.encode(t)
         assert fst.decode(ids) == t.replace("▁", " ")
 
 
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(32, 127))), "!'()-_.,;:<>=/#*\"ab ", "abeéàßñЖдабαβ日本한🎉ا\u0301 \n\t'-1"])
+def test_transducer_equals_library_on_random_texts(alphabet):
+    from sentencepiece import SentencePieceProcessor
+
+    path, rng = tokenizer_path("piece_bpe_32k.model"), np.random.default_rng(len(alphabet))
+    letters = np.array(list(alphabet))
+    texts = ["".join(letters[rng.integers(0, len(letters), rng.integers(0, 60))]) for _ in range(7000)]
+    import pyarrow as pa
+
+    from jobloom.llm.common import utf8_column
+
+    ids, n = piecefst.machine(path).encode_block(*utf8_column(pa.array(texts)))
+    got = np.split(ids, np.cumsum(n)[:-1])
+    assert all(g.tolist() == w for g, w in zip(got, SentencePieceProcessor(model_file=path).encode(texts)))
+
+
+def test_long_words_are_joined_from_stretches(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    monkeypatch.setattr(piecefst, "LONG", 200)
+    monkeypatch.setattr(piecefst, "STRETCH", 150)
+    monkeypatch.setattr(piecefst, "OVERLAP", 40)
+    path, rng = tokenizer_path("piece_bpe_32k.model"), np.random.default_rng(3)
+    fst, library = piecefst.Transducer(path), SentencePieceProcessor(model_file=path)
+    for letters in ("abcdefgh", "x", "yx", "etaoin", "q", "xyé"):
+        for _ in range(5):
+            t = "".join(np.array(list(letters))[rng.integers(0, len(letters), rng.integers(150, 2000))])
+            assert fst.encode(t).tolist() == library.encode(t)
+
+
+def test_cache_stays_small_and_right(monkeypatch):
+    monkeypatch.setattr(piecefst, "CACHE_IDS", 64)
+    monkeypatch.setattr(piecefst, "CACHE_SLOTS", 16)
+    path = tokenizer_path("piece_bpe_32k.model")
+    fst, plain = piecefst.Transducer(path), piecefst.machine(path)
+    for _, t, _ in documents()[:60]:
+        assert fst.encode(t).tolist() == plain.encode(t).tolist() and fst.used <= 64
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_model_equals_library(tmp_path, fallback):
+    """A model written by hand: pieces with log probabilities, with and without bytes."""
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    if fallback:
+        for b in range(256):
+            model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for k, piece in enumerate(["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "cab", "▁ab", "ca"]):
+        model.pieces.add(piece=piece, score=-1.0 - 0.37 * k - 0.011 * k * k)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = piecefst.UNIGRAM, fallback
+    spec = model.normalizer_spec
+    spec.add_dummy_prefix, spec.escape_whitespaces, spec.remove_extra_whitespaces = True, True, False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    fst, library, rng = piecefst.Transducer(str(path)), SentencePieceProcessor(model_file=str(path)), np.random.default_rng(2)
+    for _ in range(300):
+        t = "".join(np.array(list("aabbcc zé"))[rng.integers(0, 9, rng.integers(0, 25))])
+        assert fst.encode(t).tolist() == library.encode(t)
+
+
 def test_encode_and_decode_documents(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     d = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "doc_id long, text string")
