@@ -8,9 +8,12 @@
    pairs below the match threshold never leave their list.
 4. Merging skips what is settled. First each list only proposes its members with its smallest member; those
    links are confirmed on the full sets and joined into components. Then only lists that still hold more than
-   one component are looked into, and only across components: their close members are compared on full sets in
-   cells of bounded size that return just the links that join components. So a list of g copies costs about g
-   rows, not its square, and no link between components is lost.
+   one component are looked into, and only across components. So a list of g copies costs about g rows, not its
+   square, and no link between components is lost.
+5. A list of more than CELL members is split by bands of set size, since linked sets differ by a quarter at most,
+   and what is still longer is dealt into blocks; a block is one row, and each two blocks are one cell. Members of a cell with
+   a close partner of another component are compared on full sets, in groups of at most GROUP_DOCS documents
+   and about GROUP_SHINGLES shingles, each of which returns fewer links than it has documents.
 
 Defined results: a text with fewer words than a shingle has one shingle, its whole word sequence; null, empty
 and blank texts have an empty set, are linked with nothing and kept. Rows with a null doc_id are passed through
@@ -33,8 +36,13 @@ K, M = 64, 35
 PREFIX = K - M + 1
 #: Of the 64 packed bits of a pair at similarity 0.8, 57.6 agree on average (deviation 2.4).
 MIN_EQUAL_BITS = 47
-#: Members of a list that are compared in one piece.
-CELL = 1024
+#: Members of a list that are looked at together.
+CELL = 2048
+#: Least percentage that the bounds above are made for.
+MIN_PERCENT = 80
+#: Bounds of what is compared on full sets in one place; a set above the second bound is half a group of its own.
+GROUP_DOCS, GROUP_SHINGLES = 512, 1 << 19
+TILE = 256
 
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(12).integers(1, 1 << 63, K, np.uint64)
@@ -137,41 +145,87 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
-def _suspects(lists: DataFrame) -> DataFrame:
-    """(key, lo, hi, doc_id, component): members of a list with a close partner of another component in a cell of it.
+def _cells(lists: DataFrame, percent: int) -> DataFrame:
+    """(key, lo, hi, members: one or two blocks): what is looked at together, of at most about 2 * CELL members.
 
-    lists: (key, n, doc_id, bits, component, keys), each with more than one component. A list longer than CELL is
-    dealt into pairs of blocks. A pair is looked at in the first list that it shares and skipped in later ones.
+    lists: (key, n, doc_id, size, bits, component, heads), each with more than one component. In a list split by
+    bands a member stands in its own band and as a guest in the next one; two guests are not compared there.
+    """
+    member = F.struct("doc_id", "size", "bits", "component", "heads", "guest")
+    short = lists.where(F.col("n") <= CELL).withColumn("guest", F.lit(False))
+    short = short.groupBy("key").agg(F.collect_list(member).alias("block")).select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.array("block").alias("members"))
+    # a little more than the ratio of sizes at the threshold, so that linked sets are in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(101 / percent))).cast("int")
+    homes = F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
+    long_ = written(lists.where(F.col("n") > CELL).withColumn("home", F.explode(homes)).select("*", "home.band", "home.guest"), "banded")
+    sizes = written(long_.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or(~F.col("guest")).alias("owned")).where("low <> high and owned").select("key", "band", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "bands")
+    dealt = long_.join(sizes, ["key", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    packed = dealt.groupBy("key", "band", "mine").agg(F.first("blocks").alias("blocks"), F.collect_list(member).alias("block"))
+    paired = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long_ = paired.groupBy("key", "band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list("block").alias("members"))
+    # bands of a list get numbers of cells of their own
+    shift = F.col("band").cast("long") * F.lit(1 << 32)
+    return short.select("key", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "members").unionByName(long_.select("key", (shift + F.col("lo")).alias("lo"), (shift + F.col("hi")).alias("hi"), "members"))
+
+
+def _suspects(lists: DataFrame, percent: int) -> DataFrame:
+    """(key, lo, hi, group, doc_id, component): members of a cell with a close partner of another component in it.
+
+    A pair is looked at in the first list that it shares and skipped in later ones; lists are told apart by 32 bits
+    of their keys here. Suspects of a cell are dealt into groups that can be compared in one place.
     """
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    dealt = lists.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.groupBy("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("doc_id", "bits", "component", "mine", "keys")).alias("members"))
 
     def look(batches):
         for batch in batches:
             out = []
-            for key, lo, hi, members in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-                ids, bits, comp, mine = (members.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= K - MIN_EQUAL_BITS
-                close &= (comp[:, None] != comp[None, :]) & (mine[:, None] == lo) & (mine[None, :] == hi)
-                i, j = np.nonzero(close)
-                if len(i):
-                    keys = members.values.field(4).flatten().to_numpy().reshape(-1, PREFIX)
-                    before = int(np.argmax(keys[0] == key))
-                    new = np.ones(len(i), bool)
-                    for at in range(0, len(i), 65536):
-                        part = slice(at, at + 65536)
-                        new[part] = ~(keys[i[part], :before] == keys[j[part], :before]).any(1)
-                    found = np.unique(np.concatenate([i[new], j[new]]))
-                    if len(found):
-                        out.append((key, lo, hi, ids[found], comp[found]))
+            for key, lo, hi, blocks in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                found = _close_members(key, blocks, percent)
+                if found is not None:
+                    out.append(((key, lo, hi), *found))
             if out:
-                sizes = [len(o[3]) for o in out]
-                column = lambda k: np.repeat(np.array([o[k] for o in out], np.int64), sizes)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(column(0)), pa.array(column(1)), pa.array(column(2)), pa.array(np.concatenate([o[3] for o in out])), pa.array(np.concatenate([o[4] for o in out]))], names=["key", "lo", "hi", "doc_id", "component"])
-
-    return cells.mapInArrow(look, "key long, lo long, hi long, doc_id long, component long")
+                sizes = [len(o[1]) for o in out]
+                head = [np.repeat(np.array([o[0][k] for o in out], np.int64), sizes) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*head, *(np.concatenate([o[k] for o in out]) for k in (1, 2, 3)))], names=["key", "lo", "hi", "group", "doc_id", "component"])
+
+    return _cells(lists, percent).mapInArrow(look, "key long, lo long, hi long, group long, doc_id long, component long")
+
+
+def _close_members(key: int, blocks: pa.ListScalar, percent: int):
+    """(group, doc_id, component) of a cell's members that have a close partner, or None."""
+    members = blocks.values.flatten()
+    ids, size, bits, comp, guest = (members.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
+    if comp.min() == comp.max():
+        return None
+    heads = members.field(4).flatten().to_numpy().reshape(-1, PREFIX)
+    before = int(np.argmax(heads[0] == int(np.fmod(np.int64(key), np.int64(1 << 31)))))
+    first = len(blocks.values[0])  # in a cell of two blocks, pairs within a block belong to other cells
+    other = np.arange(len(ids)) if len(blocks.values) == 1 else np.arange(first, len(ids))
+    hit = np.zeros(len(ids), bool)
+    for lo in range(0, first, TILE):
+        rows = slice(lo, min(lo + TILE, first))
+        close = np.bitwise_count(bits[rows, None] ^ bits[None, other]) <= K - MIN_EQUAL_BITS
+        close &= comp[rows, None] != comp[None, other]
+        close &= ~(guest[rows, None] & guest[None, other])
+        i, j = np.nonzero(close)
+        i, j = i + lo, other[j]
+        fit = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[fit], j[fit]
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            new = ~(heads[x, :before] == heads[y, :before]).any(1)
+            hit[x[new]], hit[y[new]] = True, True
+    found = np.flatnonzero(hit)
+    if not len(found):
+        return None
+    full = np.maximum(np.arange(len(found)) // GROUP_DOCS, np.cumsum(size[found]) // GROUP_SHINGLES)
+    part = np.unique(full, return_inverse=True)[1]
+    parts = int(part[-1]) + 1
+    if parts == 1:
+        return part, ids[found], comp[found]
+    # a group is two parts: every part meets every other one
+    pairs = [(a, b) for a in range(parts) for b in range(a + 1, parts)]
+    which = [found[(part == a) | (part == b)] for a, b in pairs]
+    return np.repeat(np.arange(len(pairs)), list(map(len, which))), ids[np.concatenate(which)], comp[np.concatenate(which)]
 
 
 def _forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -182,17 +236,14 @@ def _forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent:
     shared = np.cumsum(often > 1) - 1
     use = often[back] > 1
     owner, back = owner[use], shared[back[use]]
-    both = np.zeros((n, n), np.float32)
     order = np.argsort(back, kind="stable")
     owner, back = owner[order], back[order]
-    for lo in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
-        a, b = np.searchsorted(back, [lo, lo + 4096])
-        part = np.zeros((n, 4096), np.float32)
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared[-1]) + 1 if len(shared) else 0, 2048):
+        a, b = np.searchsorted(back, [lo, lo + 2048])
+        part = np.zeros((n, 2048), np.float32)
         part[owner[a:b], back[a:b] - lo] = 1
         both += part @ part.T
-    both = both.astype(np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    linked &= comp[:, None] != comp[None, :]
     root = {c: c for c in comp.tolist()}
 
     def find(c):
@@ -202,50 +253,54 @@ def _forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent:
         return c
 
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
-        x, y = find(int(comp[i])), find(int(comp[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+    for i in range(n):
+        common = both[i, i + 1 :].astype(np.int64)
+        linked = (100 * common >= percent * (size[i] + size[i + 1 :] - common)) & (comp[i + 1 :] != comp[i])
+        for j in (np.flatnonzero(linked) + i + 1).tolist():
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
     return out
 
 
-def _with_keys(lists: DataFrame, first: DataFrame) -> DataFrame:
-    return lists.join(first.select("doc_id", "keys"), "doc_id")
-
-
 def _links_across(docs: DataFrame, lists: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components that the lists allow: suspects of a cell are compared in full, in one place of
-    bounded size, and the cell returns fewer links than it has documents."""
-    near = written(_suspects(lists), "suspects")
+    """Links between components that the lists allow: suspects are compared in full, in groups of bounded size."""
+    near = written(_suspects(lists, percent), "suspects")
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         found = _forest(table.column("doc_id").to_numpy(), table.column("component").to_numpy(), sets, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    cells = near.join(full_sets(docs, near.select("doc_id").distinct(), size), "doc_id")
-    return written(cells.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"), "links")
+    groups = near.join(full_sets(docs, near.select("doc_id").distinct(), size), "doc_id")
+    links = written(groups.groupBy("key", "lo", "hi", "group").applyInArrow(compare, "a long, b long"), "links")
+    drop_written(near)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with an equal set)."""
+    if percent < MIN_PERCENT:
+        raise ValueError(f"the match threshold is made for {MIN_PERCENT} percent or more")
     profiles = written(_profiles(docs, size), "profiles")
     real = profiles.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
     first = real.join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
-    posted = first.select("doc_id", "bits", F.explode("keys").alias("key"))
-    leads = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "bits")).alias("lead")).where("n > 1")
+    posted = written(first.select("doc_id", "bits", F.explode("keys").alias("key")), "posted")
+    # written, so that the join reads two plain shuffles and Spark can split a hot key
+    leads = written(posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "bits")).alias("lead")).where("n > 1"), "leads")
     lists = written(posted.join(leads, "key").select("key", "n", "doc_id", "bits", F.col("lead.doc_id").alias("lead_id"), F.col("lead.bits").alias("lead_bits")), "lists")
     stars = lists.where("doc_id <> lead_id").where(_close("bits", "lead_bits")).select(F.col("doc_id").alias("a"), F.col("lead_id").alias("b"))
     links = confirm(docs, stars, size, percent)
     joined = components(links)
-    labelled = written(lists.select("key", "n", "doc_id", "bits").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "n", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = _links_across(docs, _with_keys(labelled.join(mixed, "key", "left_semi"), first), size, percent)
+    labelled = written(lists.select("key", "n", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    mixed = written(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    wide = first.select("doc_id", F.col("n_shingles").alias("size"), "bits", F.transform("keys", lambda k: (k % F.lit(1 << 31)).cast("int")).alias("heads"))
+    more = _links_across(docs, labelled.join(mixed, "key", "left_semi").join(wide, "doc_id"), size, percent)
     joined = components(links.union(more))
-    drop_written(lists)
-    drop_written(labelled)
+    for table in (posted, leads, lists, labelled, mixed):
+        drop_written(table)
     out = profiles.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     out = out.join(joined, F.col("class_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
