@@ -1,12 +1,16 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Lexicon: lower-cased words and word beginnings of 4, 5 and 6 bytes that occur far more often in toxic than in
-   other learning documents (bounded, hashed sample of labelled rows). Entries are dealt to small voters by kind
-   and hash, and pattern voters watch the number and density of hits and runs of symbols and capitals.
-2. Label model: the true label is latent. EM over the voters' patterns on learning rows, labelled or not, gives
-   each voter's rates of firing in either class; residual correlations inside the classes discount voters that
-   say the same thing; the posterior of each sampled row is its probabilistic label.
-3. A logistic regression on hit counts and patterns is trained on those posteriors and scores every whole text.
+   other documents of labelled learning rows (bounded, hashed sample). Rows are dealt into two halves; each half
+   is voted on by the lexicon of the other one, so no voter has read the label of a row that it votes on. Entries are dealt to
+   small voters by kind and hash; pattern voters watch density of hits, and, free of any label, runs of symbols, capitals,
+   exclamations and words masked by symbols.
+2. Label model: the true label is latent. EM over the voters' patterns on the learning rows of a half gives each
+   voter's rates of firing in either class. Correlations of every two voters inside the classes are estimated
+   from what the rates leave over; voters joined by a correlation of MIN_CORRELATION or more form a cluster, inside
+   which each counts the less the more it repeats the others. The posterior of a row is its probabilistic label. Given labels do not
+   enter it; they only name the classes.
+3. A logistic regression on hit counts (of the lexicon of both halves) and patterns is trained on those posteriors and scores every whole text.
 
 Labels are learnt only from rows outside fold 2 (crc32 of doc_id as text, mod 4); lang, source and doc_id are
 never inputs of a score. Defined results: a null or empty text is scored like one without words; repeated rows
@@ -27,17 +31,22 @@ from .common import below_share, fold, text_chunks
 
 SAMPLE_ROWS = 12000  # labelled rows for the lexicon, and rows for the label model and classifier, at most about
 MIN_TOXIC_ROWS, MIN_RATIO, MAX_ENTRIES = 6, 30.0, 4096
-#: Log odds that a given label adds to its row in the label model.
-GIVEN = 4.0
+MIN_CORRELATION = 0.3
 PREFIXES = (4, 5, 6)
 VOTERS_PER_KIND = 4
 CLASSIFIER_ENTRIES = 768
 THRESHOLD = 0.3
+LEXICAL = (1 + len(PREFIXES)) * VOTERS_PER_KIND
+VOTERS = LEXICAL + 7
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "!#*$%&@"]] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
+_LETTER = _CAPITAL.copy()
+_LETTER[97:123] = True
+_MASK = np.zeros(256, bool)
+_MASK[[ord(c) for c in "*#$%@&"]] = True
 
 
 def entries(buf: np.ndarray, off: np.ndarray):
@@ -82,23 +91,26 @@ def observe(lexicon: Lexicon, buf: np.ndarray, off: np.ndarray):
     votes = np.zeros(n, np.int64)
     voter = lexicon.kinds[entry].astype(np.int64) * VOTERS_PER_KIND + (lexicon.keys[entry] & np.uint64(VOTERS_PER_KIND - 1)).astype(np.int64)
     np.bitwise_or.at(votes, who, np.int64(1) << voter)
-    base = (1 + len(PREFIXES)) * VOTERS_PER_KIND
     dense = count / np.maximum(words, 1)
-    for k, fires in enumerate((count >= 2, count >= 4, count >= 8, dense > 0.01, dense > 0.03, symbols > 0.05, capitals > 0.3)):
-        votes |= fires.astype(np.int64) << (base + k)
+    shouts = V.sum_by_text(buf == ord("!"), off) / np.maximum(words, 1)
+    letter = _LETTER[buf]
+    masked = np.zeros(len(buf), bool)  # a symbol right after a letter and before a letter or symbol of the same text
+    masked[1:-1] = letter[:-2] & _MASK[buf[1:-1]] & (letter[2:] | _MASK[buf[2:]])
+    masks = V.sum_by_text(masked, off) / np.maximum(words, 1)
+    for k, fires in enumerate((count >= 4, dense > 0.01, dense > 0.03, symbols > 0.05, capitals > 0.3, shouts > 0.1, masks > 0.02)):
+        votes |= fires.astype(np.int64) << (LEXICAL + k)
     patterns = np.stack([np.log1p(count), np.sqrt(dense), np.minimum(symbols * 10, 1), np.minimum(capitals * 2, 1), np.log1p(words) / 10], 1)
     return votes, patterns, who, entry
 
 
-VOTERS = (1 + len(PREFIXES)) * VOTERS_PER_KIND + 7
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray  # entries taken into the classifier, then patterns, then the constant
-    accuracies: np.ndarray  # (2, VOTERS): firing rates by class
-    discounts: np.ndarray
+    accuracies: list[np.ndarray | None]  # by half of the rows: (2, VOTERS), firing rates by class
+    discounts: list[np.ndarray | None]
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
@@ -116,13 +128,19 @@ def _design(lexicon, n, patterns, who, entry, weights):
     return z + np.bincount(pair // CLASSIFIER_ENTRIES, np.log1p(count) * weights[pair % CLASSIFIER_ENTRIES], minlength=n)
 
 
-def label_model(patterns: np.ndarray, given: np.ndarray, counts: np.ndarray, rounds: int = 60):
-    """EM for a latent binary label over voter bitmasks; returns posterior by pattern, rates and discounts.
+def discounts(rho: np.ndarray) -> np.ndarray:
+    """Weight of each voter: voters joined by MIN_CORRELATION or more form clusters, and copies in a cluster share one vote."""
+    near = rho >= MIN_CORRELATION
+    np.fill_diagonal(near, True)
+    while not (more := (near.astype(int) @ near > 0))[~near].sum() == 0:
+        near = more
+    return 1 / np.where(near, rho, 0).sum(1)
 
-    given: 1 or -1 where the rows of a pattern have a label, else 0; it is one more voter, of known strength.
-    """
+
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60):
+    """EM for a latent binary label over voter bitmasks; returns posterior by pattern, rates and discounts."""
     fires = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
-    lexical = fires[:, : VOTERS - 2].sum(1)
+    lexical = fires[:, :LEXICAL].sum(1)
     q = np.where(lexical >= 3, 0.95, np.where(lexical > 0, 0.15, 0.01))
     discount, weight = np.ones(VOTERS), counts.astype(float)
     for step in range(rounds):
@@ -130,16 +148,17 @@ def label_model(patterns: np.ndarray, given: np.ndarray, counts: np.ndarray, rou
         prior = np.clip(w1.sum() / weight.sum(), 0.005, 0.995)
         rate1 = (w1 @ fires + 1) / (w1.sum() + 2)
         rate0 = (w0 @ fires + 1) / (w0.sum() + 2)
-        if step >= 5:  # residual correlations inside the classes
+        if step >= 5:  # correlations of every two voters inside the classes
             total = np.zeros((VOTERS, VOTERS))
             for w, rate in ((w1, rate1), (w0, rate0)):
                 rest = fires - rate
                 total += (rest * w[:, None]).T @ rest
             scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
             rho = np.clip(total / scale[:, None] / scale[None, :], 0, 1)
-            discount = 1 / rho.sum(1)
+            np.fill_diagonal(rho, 1)
+            discount = discounts(rho)
         llr = fires * np.log(rate1 / rate0) + (1 - fires) * np.log((1 - rate1) / (1 - rate0))
-        z = np.log(prior / (1 - prior)) + llr @ discount + GIVEN * given
+        z = np.log(prior / (1 - prior)) + llr @ discount
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return q, np.stack([rate0, rate1]), discount
 
@@ -160,74 +179,93 @@ def _train(x: np.ndarray, q: np.ndarray, rounds: int = 400) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     rated = labels.where("toxic is not null and doc_id is not null").where(fold() != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = rated.count()
-    sample = rated.where(below_share(F.col("doc_id"), sample_rows / max(1, total), 5)).withColumnRenamed("doc_id", "__id")
-    read = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select((F.col("toxic") == 1).alias("toxic"), "text")
-
-    def distinct(buf, off, keep=None):
-        text, keys, kinds, _ = entries(buf, off)
-        if keep is not None:
-            at = keep(keys)
-            text, keys, kinds = text[at], keys[at], kinds[at]
-        _, first = np.unique(V.mix(keys + text.astype(np.uint64) * V._BASE), return_index=True)
-        value, at, n = np.unique(keys[first], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(kinds[first][at].astype(np.int32)), pa.array(n)], names=["key", "kind", "n"])
-
-    def of_toxic(batches):
-        for batch in batches:
-            for _, _, buf, off in text_chunks(batch):
-                yield distinct(buf, off)
+    half = lambda c: F.pmod(F.xxhash64(c, F.lit(8)), F.lit(2)).cast("int")
+    sample = rated.where(below_share(F.col("doc_id"), sample_rows / max(1, total), 5)).select(F.col("doc_id").alias("__id"), (F.col("toxic") == 1).alias("toxic"))
+    read = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("toxic", half("doc_id").alias("half"), "text")
+    seen = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy(half("__id").alias("half"), "toxic").count().collect()}
+    size = np.array([[seen.get((h, t), 0) for h in (0, 1)] for t in (False, True)], float)
 
-    found = read.where("toxic").select("text").mapInArrow(of_toxic, "key long, kind int, n long").groupBy("key").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")).where(F.col("n") >= MIN_TOXIC_ROWS).toArrow()
-    seen = {bool(r["toxic"]): r["count"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
-    if not found.num_rows or not seen.get(False):
+    def distinct(batches, known=None):
+        for batch in batches:
+            halves = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, off in text_chunks(batch):
+                text, keys, kinds, _ = entries(buf, off)
+                if known is not None:
+                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys)
+                    text, keys, kinds = text[at], keys[at], kinds[at]
+                _, first = np.unique(V.mix(keys + text.astype(np.uint64) * V._BASE), return_index=True)
+                keys, kinds, of = keys[first], kinds[first], halves[lo:hi][text[first]]
+                _, at, n = np.unique(V.mix(keys + of.astype(np.uint64)), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(kinds[at].astype(np.int32)), *(pa.array(np.where(of[at] == h, n, 0)) for h in (0, 1))], names=["key", "kind", "n0", "n1"])
+
+    def counted(rows, known=None):
+        found = rows.select("half", "text").mapInArrow(lambda b: distinct(b, known.value if known else None), "key long, kind int, n0 long, n1 long")
+        return found.groupBy("key").agg(F.first("kind").alias("kind"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    found = counted(read.where("toxic")).where(F.col("n0") + F.col("n1") >= MIN_TOXIC_ROWS).toArrow()
+    if not found.num_rows or not size[0].sum():
         return None
-    keys, kinds, pos = found.column("key").to_numpy().view(np.uint64), found.column("kind").to_numpy(), found.column("n").to_numpy().astype(float)
+    keys, kinds = found.column("key").to_numpy().view(np.uint64), found.column("kind").to_numpy()
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(keys))
-
-    def of_others(batches):
-        known = wanted.value
-        for batch in batches:
-            for _, _, buf, off in text_chunks(batch):
-                yield distinct(buf, off, lambda x: np.flatnonzero(known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x))
-
-    others = read.where("not toxic").select("text").mapInArrow(of_others, "key long, kind int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    neg = dict(zip(others.column("key").to_numpy().view(np.uint64).tolist(), others.column("n").to_numpy().tolist()))
-    neg = np.array([neg.get(k, 0) for k in keys.tolist()], float)
-    ratio = (pos / seen[True]) / ((neg + 0.5) / seen[False])
-    value = np.where(ratio >= MIN_RATIO, pos * np.log(ratio), -1)
-    best = np.argsort(-value, kind="stable")[:MAX_ENTRIES]
-    best = best[value[best] > 0]
-    if not len(best):
+    others = counted(read.where("not toxic"), wanted).toArrow()
+    wanted.destroy()
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    pos, neg = np.stack([found.column(c).to_numpy() for c in ("n0", "n1")]).astype(float), np.zeros((2, len(keys)))
+    neg[:, [place[k] for k in others.column("key").to_numpy().view(np.uint64).tolist()]] = [others.column(c).to_numpy() for c in ("n0", "n1")]
+    lexicon = _lexicon(keys, kinds, pos.sum(0), neg.sum(0), size.sum(1), MIN_TOXIC_ROWS)
+    # by half of a row: the lexicon of the other half, and that of both
+    across = [_lexicon(keys, kinds, pos[1 - h], neg[1 - h], size[:, 1 - h], MIN_TOXIC_ROWS / 2) for h in (0, 1)]
+    if not len(lexicon.keys):
         return None
-    lexicon = Lexicon(keys[best], kinds[best], np.arange(len(best)))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, across))
     every = docs.where(fold() != 2)
     some = every.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left")
-    some = some.where(F.col("toxic").isNotNull() | below_share(F.col("doc_id"), sample_rows / max(1, every.count()), 6)).select("text", F.coalesce(F.when(F.col("toxic") == 1, 1).otherwise(F.col("toxic") - 1), F.lit(0)).cast("int").alias("given"))
+    some = some.where(F.col("toxic").isNotNull() | below_share(F.col("doc_id"), sample_rows / max(1, every.count()), 6)).select("text", F.coalesce(F.when(F.col("toxic"), 1).otherwise(F.when(~F.col("toxic"), -1)), F.lit(0)).cast("int").alias("given"), F.coalesce(half("doc_id"), F.lit(0)).alias("half"))
 
     def watch(batches):
+        lexicon, across = shared.value
         for batch in batches:
+            halves = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in text_chunks(batch):
-                votes, patterns, who, entry = observe(shared.value, buf, off)
-                n, rank = len(off) - 1, shared.value.rank[entry]
+                votes = np.where(halves[lo:hi] == 0, observe(across[0], buf, off)[0], observe(across[1], buf, off)[0])
+                _, patterns, who, entry = observe(lexicon, buf, off)
+                n, rank = len(off) - 1, lexicon.rank[entry]
                 use = rank < CLASSIFIER_ENTRIES
                 pair = np.sort(who[use].astype(np.int64) * CLASSIFIER_ENTRIES + rank[use])
                 at = np.searchsorted(pair, np.arange(n + 1) * CLASSIFIER_ENTRIES).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(votes), pa.array(list(patterns), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(at), pa.array((pair % CLASSIFIER_ENTRIES).astype(np.int32)))], names=["votes", "patterns", "hits"]).append_column("given", batch.column(1).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(votes), pa.array(list(patterns), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(at), pa.array((pair % CLASSIFIER_ENTRIES).astype(np.int32))), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)], names=["votes", "patterns", "hits", "given", "half"])
 
-    rows = some.mapInArrow(watch, "votes long, patterns array<double>, hits array<int>, given int").toArrow()
+    rows = some.mapInArrow(watch, "votes long, patterns array<double>, hits array<int>, given int, half int").toArrow()  # bounded by the samples
+    shared.destroy()
     if not rows.num_rows:
         return None
-    votes, given = rows.column("votes").to_numpy(), rows.column("given").to_numpy().astype(np.int64)
-    seen_votes, back, n = np.unique(votes * 4 + given + 1, return_inverse=True, return_counts=True)
-    q, rates, discount = label_model(seen_votes >> 2, (seen_votes & 3) - 1, n)
+    votes, given, halves = (rows.column(c).to_numpy().astype(np.int64) for c in ("votes", "given", "half"))
+    q, rates, discount = np.zeros(len(votes)), [None, None], [None, None]
+    for h in (0, 1):
+        mine = np.flatnonzero(halves == h)
+        if len(mine):
+            kinds_of, back, n = np.unique(votes[mine], return_inverse=True, return_counts=True)
+            found_q, rates[h], discount[h] = label_model(kinds_of, n)
+            q[mine] = found_q[back]
+            bad, good = q[mine][given[mine] > 0], q[mine][given[mine] < 0]
+            if len(bad) and len(good) and bad.mean() < good.mean():  # which class is which
+                q[mine], rates[h] = 1 - q[mine], rates[h][::-1]
     x = np.zeros((len(votes), CLASSIFIER_ENTRIES + 6), np.float32)
     for i, hits in enumerate(rows.column("hits").to_pylist()):
         np.add.at(x[i], hits, 1)
     x[:, :CLASSIFIER_ENTRIES] = np.log1p(x[:, :CLASSIFIER_ENTRIES])
     x[:, CLASSIFIER_ENTRIES:-1] = np.array(rows.column("patterns").to_pylist())
     x[:, -1] = 1
-    return Model(lexicon, _train(x, q[back].astype(np.float32)).astype(float), rates, discount)
+    return Model(lexicon, _train(x, q.astype(np.float32)).astype(float), rates, discount)
+
+
+def _lexicon(keys: np.ndarray, kinds: np.ndarray, pos: np.ndarray, neg: np.ndarray, size: np.ndarray, least: float) -> Lexicon:
+    """Entries on `least` toxic documents or more and far more frequent there; size: other and toxic documents read."""
+    ratio = (pos / max(size[1], 1)) / ((neg + 0.5) / max(size[0], 1))
+    value = np.where((ratio >= MIN_RATIO) & (pos >= least), pos * np.log(np.maximum(ratio, 1)), -1)
+    best = np.argsort(-value, kind="stable")[:MAX_ENTRIES]
+    best = best[value[best] > 0]
+    return Lexicon(keys[best], kinds[best], np.arange(len(best)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
