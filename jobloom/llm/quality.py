@@ -3,8 +3,8 @@
 Two bag-of-n-grams models share one table of hashed buckets: word unigrams, word bigrams, and unigrams and
 bigrams of word shapes (length class, classes of the first and last byte, inner capitals, repetition of the word
 before). The raw model counts all documents; the target model counts a bounded sample of documents labelled
-good, smoothed towards the raw model. A document's log importance weight is its mean log ratio of the two
-models times min(n-grams, LENGTH): beyond that length more text adds no certainty.
+good, smoothed towards the raw model. A document's log importance weight is the log ratio of the two models for
+the whole text: the sum over all its n-grams, whatever their number.
 
 k, the number of documents to draw, is how many have a weight above the cut that best separates the labelled
 sample. Gumbel noise seeded by doc_id is added to the weights and the k largest are drawn without replacement,
@@ -27,7 +27,6 @@ from .common import below_share, drop_written, text_chunks, written
 SAMPLE_ROWS = 12000  # labelled rows, at most about
 BUCKETS = 1 << 16
 SMOOTHING = 2000.0
-LENGTH = 200
 NOISE = 1.0
 
 _CLASS = np.full(256, 5, np.uint64)  # other bytes of UTF-8
@@ -70,8 +69,7 @@ def weights(table: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.nda
     """(log importance weight, number of n-grams) of every text."""
     text, bucket = features(buf, off)
     n = np.bincount(text, minlength=len(off) - 1)
-    total = np.bincount(text, table[bucket], minlength=len(off) - 1)
-    return total / np.maximum(n, 1) * np.minimum(n, LENGTH), n
+    return np.bincount(text, table[bucket], minlength=len(off) - 1).astype(float), n
 
 
 def perturbed(doc_id: pa.Array, weight: np.ndarray) -> np.ndarray:
