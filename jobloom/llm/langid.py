@@ -2,7 +2,7 @@
 
 Byte n-grams of lower-cased letters are counted per language on a bounded sample of the learning rows. An
 n-gram belongs to a language if its share there is at least half of its highest share anywhere. All languages'
-n-gram sets go into one Bloom filter that is sliced by bit: every slot holds a bitmask of languages, and the AND
+n-gram sets go into one Bloom filter that is sliced by bit: every slot holds a bitmask of languages (any number of them), and the AND
 of an n-gram's slots is the set of all languages that contain it. A text's n-grams are looked up in bulk; each
 language's popcount, less the filter's expected false positives, decides.
 
@@ -25,8 +25,7 @@ from .common import below_share, fold, text_chunks
 SAMPLE_ROWS = 1500  # for each language
 SIZES = (3, 5)
 MIN_COUNT, MIN_SHARE_OF_BEST = 5, 0.5
-HASHES, SLOTS_PER_GRAM, MAX_SLOTS = 2, 16, 1 << 24
-MAX_LANGUAGES = 64
+HASHES, SLOTS_PER_GRAM, MAX_BYTES = 2, 16, 1 << 27
 
 
 def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,28 +48,33 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """Bit-sliced Bloom filter: slot -> bitmask of languages."""
+    """Bit-sliced Bloom filter: slot -> bitmask of languages, in as many mask words as there are languages for."""
 
-    def __init__(self, languages: list[str], keys: np.ndarray, masks: np.ndarray, common: int):
+    def __init__(self, languages: list[str], keys: np.ndarray, langs: list[np.ndarray], common: int):
+        """langs: for every language, the indices of the keys that it contains."""
         self.languages, self.common = languages, common
+        kind = np.uint8 if len(languages) <= 8 else np.uint64
+        width = 8 * np.dtype(kind).itemsize
+        words = -(-len(languages) // width)
         slots = 1 << 12
-        while slots < SLOTS_PER_GRAM * len(keys) and slots < MAX_SLOTS:
+        while slots < SLOTS_PER_GRAM * len(keys) and 2 * slots * words * np.dtype(kind).itemsize <= MAX_BYTES:
             slots *= 2
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
-        self.slots = np.zeros(slots, kind)
-        for spot in self._spots(keys):
-            np.bitwise_or.at(self.slots, spot, masks.astype(kind))
-        fill = np.array([np.count_nonzero(self.slots >> kind(k) & kind(1)) / slots for k in range(len(languages))])
+        self.slots = np.zeros((words, slots), kind)
+        self.at = [(k // width, kind(k % width)) for k in range(len(languages))]
+        for (word, bit), which in zip(self.at, langs):
+            for spot in self._spots(keys[which]):
+                self.slots[word, spot] |= kind(1) << bit
+        fill = np.array([np.count_nonzero(self.slots[word] >> bit & kind(1)) / slots for word, bit in self.at])
         self.false_rate = fill**HASHES
 
     def _spots(self, keys: np.ndarray):
-        bits = np.uint64(len(self.slots) - 1)
+        bits = np.uint64(self.slots.shape[1] - 1)
         return [(keys >> np.uint64(32 * k)) & bits if k == 0 else (keys >> np.uint64(64 - 40)) & bits for k in range(HASHES)]
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """All languages that contain each n-gram."""
+        """All languages that contain each n-gram: one row for each mask word."""
         first, second = self._spots(keys)
-        return self.slots[first] & self.slots[second]
+        return self.slots[:, first] & self.slots[:, second]
 
     def count(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams by text and language, n-grams by text)."""
@@ -79,8 +83,8 @@ class Filter:
         mask, n = self.masks(keys), len(off) - 1
         total = np.bincount(text, minlength=n)
         counts = np.empty((n, len(self.languages)))
-        for k, rate in enumerate(self.false_rate):
-            hits = np.bincount(text[(mask >> mask.dtype.type(k) & mask.dtype.type(1)).astype(bool)], minlength=n)
+        for k, ((word, bit), rate) in enumerate(zip(self.at, self.false_rate)):
+            hits = np.bincount(text[(mask[word] >> bit & mask.dtype.type(1)).astype(bool)], minlength=n)
             counts[:, k] = np.maximum(0.0, (hits - rate * total) / (1 - rate))
         return counts, total
 
@@ -108,8 +112,6 @@ def _fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Filter | None
     """The filter and its learning rows."""
     known = docs.where(F.col("lang").isNotNull() & (fold() != 2))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; the bitmask holds {MAX_LANGUAGES}")
     if not counts:
         return None, None
     languages = sorted(counts)
@@ -131,16 +133,19 @@ def _fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Filter | None
     totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         found.unpersist()
-        return Filter(languages, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0), sample
+        return Filter(languages, np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * len(languages), 0), sample
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))])[F.col("lang")]
     rated = found.where(F.col("n") >= MIN_COUNT).select("gram", "lang", rate.alias("rate"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("langs"))
-    mask = F.aggregate("langs", F.lit(0).cast("long"), lambda acc, x: F.when(x["rate"] >= MIN_SHARE_OF_BEST * F.col("best"), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"]))).otherwise(acc))
-    table = best.select("gram", mask.alias("mask")).toArrow()
+    own = F.transform(F.filter("langs", lambda x: x["rate"] >= MIN_SHARE_OF_BEST * F.col("best")), lambda x: x["lang"])
+    table = best.select("gram", own.alias("langs")).toArrow()  # bounded by the sample
     found.unpersist()
-    keys, masks = (table.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in ("gram", "mask"))
+    keys = table.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    lists = table.column("langs").combine_chunks()
+    of, gram = lists.flatten().to_numpy(), np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
+    langs = [gram[of == k] for k in range(len(languages))]
     most = max(range(len(languages)), key=lambda k: (counts[languages[k]], -k))
-    return Filter(languages, keys, masks, most), sample
+    return Filter(languages, keys, langs, most), sample
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -159,8 +164,8 @@ def identify(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = learn(docs) if model is None else model
     if model is None:
-        return docs.select("doc_id", (fold() == 2).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_SLOTS
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_BYTES
 
     def run(batches):
         filter_ = shared.value
