@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a vectorised predicate over a block of texts that says which texts it rejects. A bounded, hashed
-sample of rows gives each rule's cost (seconds a byte) and which rows it rejects; rules are then ordered
-greedily by rejections among the rows still alive per cost, and a rule only ever sees texts that all earlier
-rules let through. The verdict is the same in any order: a text is kept if no rule rejects it.
+Each rule is a vectorised predicate over a block of texts that says which texts it rejects. A bounded
+sample of rows gives each rule's marginal cost, which is what it takes when the facts that are computed anyway are known,
+and which rows it rejects; rules are then ordered greedily by rejections among the rows still alive per cost, and a
+rule only ever sees texts that all earlier rules let through. Facts are computed when a rule first asks for
+them, for the texts alive then. The verdict is the same in any order: a text is kept if no rule rejects it.
+
+keep_good() needs words only and saves every other fact of rejected texts; evaluations() counts what is saved.
+apply_rules() returns five counts of every text, which are known facts to its rules; what it saves is the rest.
 
 Defined results: a null text counts as empty, has no words and is rejected; repeated rows each get a row; an
 empty table gives an empty result; other columns of the input are ignored, whatever their names.
@@ -147,35 +151,53 @@ def _select(block: Block, rows: np.ndarray) -> Block:
     return out
 
 
-def cascade(block: Block, rules) -> np.ndarray:
-    """True for the texts that no rule rejects; each rule runs on the texts alive before it."""
+def cascade(block: Block, rules, seen: list[int] | None = None) -> np.ndarray:
+    """True for the texts that no rule rejects; each rule runs on the texts alive before it, whose number is added to `seen`."""
     alive, now = np.arange(len(block.off) - 1), block
     for rule in rules:
+        if seen is not None:
+            seen.append(len(alive))
         if not len(alive):
             break
         passed = ~rule.rejects(now)
         if not passed.all():
             alive, now = alive[passed], _select(now, np.flatnonzero(passed))
+    if seen is not None:
+        seen.append(len(alive))
     kept = np.zeros(len(block.off) - 1, bool)
     kept[alive] = True
     return kept
 
 
-def measured_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names ordered by rejection per cost on a hashed sample of about `sample_rows` rows."""
+WORDS = ("n_words",)
+COUNTS = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+
+
+def _known(buf: np.ndarray, off: np.ndarray, facts: tuple[str, ...]) -> Block:
+    block = Block(buf, off)
+    for name in facts:
+        getattr(block, name)
+    return block
+
+
+def measured_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = WORDS) -> list[str]:
+    """Rule names ordered by rejection per marginal cost on a sample of about `sample_rows` rows; `known` facts cost nothing."""
     total = docs.count()
     if not total:
         return [r.name for r in rules]
-    sample = docs.where(below_share(F.col("text"), sample_rows / total, 9)).select("text")
+    sample = docs.select("text").sample(min(1.0, sample_rows / total), seed=9)
     names = [r.name for r in rules]
 
     def probe(batches):
         for batch in batches:
             for _, _, buf, off in text_chunks(batch):
                 bits, seconds = np.zeros(len(off) - 1, np.int64), []
+                block = _known(buf, off, known)
+                facts = dict(block._known)
                 for k, r in enumerate(rules):
+                    block._known = dict(facts)
                     began = time.perf_counter()
-                    bits |= r.rejects(Block(buf, off)).astype(np.int64) << k
+                    bits |= r.rejects(block).astype(np.int64) << k
                     seconds.append(time.perf_counter() - began)
                 values, counts = np.unique(bits, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"bits": pa.array(values, pa.int64()), "n": pa.array(counts, pa.int64()), "seconds": pa.array([seconds] + [[0.0] * len(rules)] * (len(values) - 1), pa.list_(pa.float64()))})
@@ -183,13 +205,18 @@ def measured_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS)
     found = sample.mapInArrow(probe, "bits long, n long, seconds array<double>")
     rows = found.groupBy("bits").agg(F.sum("n").alias("n"), *[F.sum(F.get("seconds", F.lit(k))).alias(f"s{k}") for k in range(len(rules))]).collect()  # at most 2 ** rules
     cost = [sum(r[f"s{k}"] for r in rows) + 1e-9 for k in range(len(rules))]
-    alive, order = [(r["bits"], r["n"]) for r in rows], []
-    while len(order) < len(rules):
-        left = [k for k in range(len(rules)) if k not in order]
+    return [names[k] for k in best_order([(r["bits"], r["n"]) for r in rows], cost)]
+
+
+def best_order(seen: list[tuple[int, int]], cost: list[float]) -> list[int]:
+    """Greedy order of rules: most rejections among the rows still alive per cost. seen: (bits of rejecting rules, rows)."""
+    alive, order = seen, []
+    while len(order) < len(cost):
+        left = [k for k in range(len(cost)) if k not in order]
         best = max(left, key=lambda k: (sum(n for bits, n in alive if bits >> k & 1) / cost[k], -cost[k], -k))
         order.append(best)
         alive = [(bits, n) for bits, n in alive if not bits >> best & 1]
-    return [names[k] for k in order]
+    return order
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -197,7 +224,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def apply_rules(docs: DataFrame, rules=RULES, order: list[str] | None = None) -> DataFrame:
     """One row per document: counts, the base verdict and the cascade's verdict (kept)."""
-    order = measured_order(docs, rules) if order is None else order
+    order = measured_order(docs, rules, known=COUNTS) if order is None else order
     by_name = {r.name: r for r in rules}
     ordered = [by_name[n] for n in order]
 
@@ -205,10 +232,42 @@ def apply_rules(docs: DataFrame, rules=RULES, order: list[str] | None = None) ->
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, off in text_chunks(batch):
-                b = Block(buf, off)
+                b = _known(buf, off, COUNTS)
                 n, repeats = b.n_words, b.n_repeat_words
                 failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
                 columns = [n, b.word_chars, b.n_symbols, b.lines[1], repeats, failed, cascade(b, ordered) & ~failed]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *map(pa.array, columns)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
+def _ordered(docs: DataFrame, rules, order: list[str] | None) -> list[Rule]:
+    by_name = {r.name: r for r in rules}
+    return [by_name[n] for n in (measured_order(docs, rules) if order is None else order)]
+
+
+def keep_good(docs: DataFrame, rules=RULES, order: list[str] | None = None) -> DataFrame:
+    """The documents (all their columns) that no rule rejects."""
+    ordered = _ordered(docs, rules, order)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, off in text_chunks(batch):
+                yield batch.slice(lo, hi - lo).filter(pa.array(cascade(Block(buf, off), ordered)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def evaluations(docs: DataFrame, rules=RULES, order: list[str] | None = None) -> DataFrame:
+    """One row per rule in the order they run: place, rule, seen (texts that it looked at), rejected."""
+    ordered = _ordered(docs, rules, order)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, buf, off in text_chunks(batch):
+                seen: list[int] = []
+                cascade(Block(buf, off), ordered, seen)
+                seen += [0] * (len(ordered) + 1 - len(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(ordered)), pa.int64()), pa.array([r.name for r in ordered]), pa.array(seen[:-1], pa.int64()), pa.array([a - b for a, b in zip(seen, seen[1:])], pa.int64())], names=["place", "rule", "seen", "rejected"])
+
+    return docs.select("text").mapInArrow(run, "place long, rule string, seen long, rejected long").groupBy("place", "rule").agg(F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected")).orderBy("place")
