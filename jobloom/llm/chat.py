@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record is a VARIANT. Its nested field paths, without types, are hashed; the hash selects a declarative mapping
-that turns the record's layout into canonical turns (conversation, position, role, text). Turns are rendered as
+A record is a VARIANT, or a row of a typed table. Its nested field paths, without types, are hashed; the hash selects
+a declarative mapping that turns the record's layout into canonical turns (conversation, position, role, text).
+Turns are rendered as
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -9,7 +10,8 @@ with an escape that can be undone: inside texts `<`, any number of `%`, `|` gets
 a control string; in roles `%`, line feed and `<` are percent-encoded. loss_spans marks the assistant texts.
 
 A conversation is rendered in blocks of BLOCK turn numbers first and then joined, so that a hot conversation is
-sorted and concatenated piece by piece before its blocks meet; what remains is the string that is asked for.
+sorted and concatenated piece by piece before its blocks meet; what remains is the string that is asked for, one
+row in one task, which Spark bounds by 2 GB.
 
 Defined results: null role and text count as empty; equal turn numbers are ordered by role and text, a null turn
 comes first; a null conversation id is a conversation of its own; repeated rows are repeated turns; a record of
@@ -23,6 +25,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 64
 START, END = "<|im_start|>", "<|im_end|>"
@@ -141,7 +144,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (1-based start and length in code points)."""
     head = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
     body = escape_text(F.coalesce("text", F.lit("")))
-    row = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long").alias("block"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("raw"), F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.char_length(head).cast("long").alias("skip"), F.char_length(body).cast("long").alias("size"))
+    row = turns.select("conv_id", F.floor(F.col("turn") / BLOCK).cast("long").alias("block"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("raw"), F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.char_length(head).cast("long").alias("skip"), F.char_length(body).cast("long").alias("size"))
     row = row.withColumn("learn", F.col("role") == "assistant")
     blocks = row.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "raw", "piece", "skip", "size", "learn"))).alias("t"))
     blocks = blocks.withColumn("ends", F.transform("t", lambda t: t["skip"] + t["size"] + F.lit(len(END) + 1)))
@@ -149,7 +152,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     blocks = blocks.select("conv_id", "block", F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("text"), _before(F.col("ends"), F.size("ends")).alias("chars"), F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["length"].alias("length"))).alias("spans"))
     whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "text", "chars", "spans"))).alias("b"))
     whole = whole.withColumn("chars", F.transform("b", lambda b: b["chars"]))
-    moved = F.flatten(F.transform("b", lambda b, i: F.transform(b["spans"], lambda s: F.struct((s["at"] + _before(F.col("chars"), i) + 1).alias("start"), s["length"].alias("length")))))
+    whole = whole.withColumn("b", F.transform("b", lambda b, i: F.struct(b["text"].alias("text"), b["spans"].alias("spans"), _before(F.col("chars"), i).alias("before"))))
+    moved = F.flatten(F.transform("b", lambda b: F.transform(b["spans"], lambda s: F.struct((s["at"] + b["before"] + 1).alias("start"), s["length"].alias("length")))))
     return whole.select("conv_id", F.array_join(F.transform("b", lambda b: b["text"]), "").alias("formatted"), moved.alias("loss_spans"))
 
 
@@ -175,6 +179,41 @@ def digest(formatted: DataFrame) -> DataFrame:
     )
 
 
+def schema_shape(kind: T.DataType) -> str:
+    """The path notation of a typed column, as shape() gives it for a record."""
+    if isinstance(kind, T.StructType):
+        inner = sorted((f.name, schema_shape(f.dataType)) for f in kind.fields)
+        return "{" + ", ".join(f"{name}: {rest}" if rest else name for name, rest in inner) + ">"
+    if isinstance(kind, T.ArrayType):
+        return "[" + schema_shape(kind.elementType) + ">"
+    return ""
+
+
+def _typed(row: str, path: str) -> Column:
+    return F.col(f"{row}.`" + path.removeprefix("$.").replace(".", "`.`") + "`")
+
+
+def canonical_rows(table: DataFrame, conv: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
+    """Rows conv_id, turn, role, text of a typed table, whose schema is its records' one layout.
+
+    The schema is fingerprinted like a record and selects the mapping, so no record is made a VARIANT and texts
+    may be as long as a string can be. An unknown layout is an error.
+    """
+    fp = hashlib.sha256(schema_shape(table.schema).encode()).hexdigest()
+    m = next((m for m in mappings if fp in m.fingerprints), None)
+    if m is None:
+        raise ValueError(f"no mapping for {schema_shape(table.schema)}")
+    own = table.select(F.col(conv).cast("long").alias("conv_id"), F.struct("*").alias("r"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    if m.row:
+        return own.select("conv_id", _typed("r", m.row[0]).cast("long").alias("turn"), text(_typed("r", m.row[1])).alias("role"), text(_typed("r", m.row[2])).alias("text"))
+    if m.turns:
+        items = F.transform(_typed("r", m.turns), lambda x, i: F.struct(i.cast("long").alias("pos"), _renamed(text(x[m.role.removeprefix("$.")]), m.aliases).alias("role"), text(x[m.text.removeprefix("$.")]).alias("text")))
+    else:
+        items = F.filter(F.array(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(role).alias("role"), text(_typed("r", path)).alias("text")) for i, (role, path) in enumerate(m.pairs)]), lambda t: (t["text"] != "") | (t["role"] == "assistant"))
+    return own.select("conv_id", F.explode(items).alias("t")).select("conv_id", F.col("t.pos").alias("turn"), "t.role", "t.text")
+
+
 def rows_as_records(conversations: DataFrame) -> DataFrame:
     """Turn rows as VARIANT records of the layout turn_rows; other columns are left out."""
     own = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
