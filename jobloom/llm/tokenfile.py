@@ -12,7 +12,7 @@ ones before every 512 bits, so access, rank, count, select and occurrence look-u
 Encoding caches whole space-separated chunks, which the vocabulary's pre-tokenizer never joins; unseen chunks of
 a block of texts are encoded by the library in bulk.
 
-Defined results: a null or empty text has only the end id; equal doc_ids are ordered by text, a null doc_id comes
+Defined results: a null or empty text has only the end id; equal doc_ids are ordered by a hash of the text, a null doc_id comes
 first; repeated rows are repeated documents; an empty table writes no shard; other columns are ignored.
 """
 
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 SHARD_TOKENS = 1 << 20
-ROWS_PER_RANGE = 4000
+ROWS_PER_RANGE, MAX_RANGES = 4000, 50_000
 END_ID = 2
 BLOCK_BITS = 512
+PARTS_PER_BLOCK = 4096
 CACHE_CHUNKS = 1_500_000
 _MAGIC = b"WVM1"
 
@@ -152,8 +153,8 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in reversed(range(len(self.planes))):
             b = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            up = np.empty_like(out)
-            up[np.concatenate([np.flatnonzero(~b), np.flatnonzero(b)])] = out
+            up, zeros = np.empty_like(out), self.zeros[k]
+            up[~b], up[b] = out[:zeros], out[zeros:]
             out = up | (b.astype(out.dtype) << out.dtype.type(len(self.planes) - 1 - k))
         return out
 
@@ -174,6 +175,21 @@ def unpack_shard(data) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
 
 
 _BESIDE = re.compile(r"[^\w\s][.,]|[.,](?:[^\w\s]|_)|_[.,]")
+_STOP = np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
+#: ASCII letters, digits and white space: bytes that never make _BESIDE match next to a full stop or comma.
+_HARMLESS = np.array([chr(b).isalnum() or chr(b).isspace() for b in range(128)] + [False] * 128)
+
+
+def _stops_beside(text: str) -> bool:
+    """Whether _BESIDE matches; most texts are settled by a look at the bytes next to full stops and commas."""
+    raw = np.frombuffer(f"  {text}  ".encode(), np.uint8)
+    at = np.flatnonzero(_STOP[raw])
+    # letters of Latin-1 are 0xC3 and a byte that is not one of two signs
+    letter = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    if (_HARMLESS[raw[at - 1]] | letter[at - 2]).all() and (_HARMLESS[raw[at + 1]] | letter[at + 1]).all():
+        return False
+    return _BESIDE.search(text) is not None
 
 
 class Encoder:
@@ -223,7 +239,7 @@ class Encoder:
                 text = text.lower()
             # a letter that becomes letter and mark could join the mark to a full stop
             steady = text.isascii() or ("İ" not in text and unicodedata.is_normalized("NFC", text))
-            if steady and not _BESIDE.search(text):
+            if steady and not _stops_beside(text):
                 text = text.replace(".", " . ").replace(",", " , ")
         return text.replace("\n", " ").split(" ")
 
@@ -264,8 +280,9 @@ def encoder(tokenizer_file: str) -> Encoder:
 def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode docs in ascending doc_id order and write one wavelet matrix file per shard under path."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = max(8, own.count() // ROWS_PER_RANGE)
-    ordered = own.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ranges = min(max(8, own.count() // ROWS_PER_RANGE), MAX_RANGES)
+    order = ("doc_id", F.xxhash64("text"), "text")
+    ordered = own.repartitionByRange(ranges, *order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches):
         encode, held, count, seq, part = encoder(tokenizer_file).encode, [], 0, 0, 0
@@ -292,24 +309,42 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
 
 
+def shard_starts(sizes: DataFrame) -> DataFrame:
+    """(part, seq, first: ids before the shard) of shards (part, seq, n_tokens), by sums of sums.
+
+    Shards are summed inside blocks of PARTS_PER_BLOCK parts, and blocks inside blocks of blocks, so that the one window
+    over all rows has a row for PARTS_PER_BLOCK ** 2 parts.
+    """
+    block = F.floor(F.col("part") / PARTS_PER_BLOCK)
+    sizes = sizes.select("part", "seq", "n_tokens", block.alias("block"), F.floor(block / PARTS_PER_BLOCK).alias("top"))
+    blocks = sizes.groupBy("top", "block").agg(F.sum("n_tokens").alias("n"))
+    tops = blocks.groupBy("top").agg(F.sum("n").alias("n"))
+    before = lambda n, *by, keys=(): F.coalesce(F.sum(n).over((Window.partitionBy(*keys) if keys else Window).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("top", before("n", "top").alias("top_first"))
+    blocks = blocks.select("top", "block", before("n", "block", keys=("top",)).alias("block_first")).join(tops, "top").select("block", (F.col("top_first") + F.col("block_first")).alias("block_first"))
+    own = sizes.select("part", "seq", "block", before("n_tokens", "part", "seq", keys=("block",)).alias("own"))
+    return own.join(blocks, "block").select("part", "seq", (F.col("own") + F.col("block_first")).alias("first"))
+
+
 def read_shards(spark, path: str) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    The table of shard sizes, which is broadcast, has one row of 24 bytes for every SHARD_TOKENS ids.
+    Payloads stay where they are read; only the short rows of documents meet the starts of their shards.
     """
     shards = spark.read.schema("part int, seq int, n_docs long, n_tokens long, payload binary").parquet(path)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    first = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, lengths, matrix = unpack_shard(batch.column(1)[k].as_buffer())
+                doc_ids, lengths, matrix = unpack_shard(batch.column(2)[k].as_buffer())
                 ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(batch.column(0)[k].as_py() + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                place = [pa.array(np.full(len(lengths), batch.column(c)[k].as_py(), np.int32)) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*place, doc_ids, pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    return shards.join(F.broadcast(first), ["part", "seq"]).select("first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    starts = shard_starts(shards.select("part", "seq", "n_tokens"))
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_digest(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
