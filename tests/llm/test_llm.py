@@ -108,10 +108,101 @@ def test_weights_equal_a_plain_sum():
     assert n[0] == len(bucket) == 6 + 5 + 6 + 5 and weight[0] == pytest.approx(sum(table[b] for b in bucket))
 
 
-@pytest.mark.parametrize("run", [lambda s, d: quality.resample(d, labels(s)), lambda s, d: quality.keep_drawn(d, labels(s)), lambda s, d: toxicity.score_toxicity(d, labels(s)), lambda s, d: rules.apply_rules(d), lambda s, d: langid.identify(d), lambda s, d: langid.keep_identified(d), lambda s, d: neardup.near_duplicates(d), lambda s, d: decontam.leaks(d, d.select(F.col("doc_id").alias("item_id"), "text")), lambda s, d: decontam.keep_clean(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(0)), lambda s, d: piecefst.round_trip(d, tokenizer_path("piece_bpe_32k.model")), lambda s, d: tokenfile.token_digest(d, tokenizer_path("word_bpe_49k.json"))])
-def test_odd_and_empty_documents(spark, run):
-    out = run(spark, odd_docs(spark)).collect()
-    assert len(out) <= 60 and run(spark, empty_docs(spark)).count() == 0
+PER_ROW = {
+    "quality": lambda s, d: quality.resample(d, labels(s)),
+    "toxicity": lambda s, d: toxicity.score_toxicity(d, labels(s)),
+    "rules": lambda s, d: rules.apply_rules(d),
+    "language": lambda s, d: langid.identify(d),
+    "near": lambda s, d: neardup.near_duplicates(d),
+    "pieces": lambda s, d: piecefst.round_trip(d, tokenizer_path("piece_bpe_32k.model")),
+    "tokens": lambda s, d: tokenfile.token_digest(d, tokenizer_path("word_bpe_49k.json")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PER_ROW))
+def test_odd_and_empty_documents_get_a_row_each(spark, name):
+    docs = odd_docs(spark)
+    out = [r.asDict() for r in PER_ROW[name](spark, docs).collect()]
+    ids = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in docs.collect())
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in out) == ids
+    assert PER_ROW[name](spark, empty_docs(spark)).count() == 0
+    of = {}
+    for r in out:
+        of.setdefault(r["doc_id"], []).append(r)
+    if name == "quality":
+        assert all(of[i][0]["weight"] == 0 and of[i][0]["n_grams"] == 0 and not of[i][0]["kept"] for i in (0, 1, 2))
+        assert of[3][0] == of[3][1] and of[3][0]["weight"] == of[50][0]["weight"] != 0
+    if name == "toxicity":
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] is not None for r in out)
+        assert of[0][0]["score"] == of[1][0]["score"] and of[3][0] == of[3][1]
+    if name == "rules":
+        assert all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for i in (0, 1, 2) for r in of[i])
+        assert of[7][0]["n_words"] == 24_000 == of[7][0]["n_repeat_words"] and of[9][0]["n_dup_lines"] == 3
+    if name == "language":
+        assert all(of[i][0]["lang_pred"] == "und" and of[i][0]["score"] == 0 for i in (0, 1, 2))
+        assert of[None][0]["held_out"] is False and all(0 <= r["score"] <= 1 for r in out)
+    if name == "near":
+        assert all(of[i][0]["n_shingles"] == 0 and of[i][0]["component_id"] == i and of[i][0]["kept"] for i in (0, 1, 2))
+        assert of[3][0]["component_id"] == of[3][1]["component_id"] == of[50][0]["component_id"] == 3 and not of[50][0]["kept"]
+        assert of[None][0]["component_id"] is None and of[None][0]["kept"]
+    if name == "pieces":
+        assert of[0][0]["n_tokens"] == of[1][0]["n_tokens"] == 0 and all(r["decoded_equal"] for r in out)
+    if name == "tokens":
+        assert of[0][0]["n_tokens"] == of[1][0]["n_tokens"] == 1 and of[None][0]["start"] == 0 and of[3][0]["ids_crc32"] == of[3][1]["ids_crc32"]
+
+
+def test_filters_keep_all_columns_of_odd_documents(spark):
+    docs, none = odd_docs(spark), empty_docs(spark).select(F.col("doc_id").alias("item_id"), "text")
+    assert sorted(map(str, decontam.keep_clean(docs, none).collect())) == sorted(map(str, docs.collect()))
+    items = docs.where("doc_id in (4, 50)").select(F.col("doc_id").alias("item_id"), "text")
+    left = decontam.keep_clean(docs, items)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 5, 6, 7, 8, 9]
+    pairs = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.leaks(docs, items).collect()}
+    assert pairs == {(3, 50, 1.0), (50, 50, 1.0), (4, 4, 1.0), (None, 4, 1.0)}
+    for run in (lambda d: quality.keep_drawn(d, labels(spark)), langid.keep_identified, rules.keep_good):
+        kept = run(docs)
+        assert kept.schema == docs.schema and {str(r) for r in kept.collect()} <= {str(r) for r in docs.collect()}
+        assert not {r["doc_id"] for r in kept.collect()} & {0, 1, 2} and run(empty_docs(spark)).count() == 0
+
+
+def test_draw_equals_brute_force(spark):
+    """Counts, log ratios, whole-text sums, noise, k and the k largest, in plain Python from the same hashed n-grams."""
+    docs, marks = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    good = {r["doc_id"]: r["quality"] for r in marks.where("quality is not null").collect()}
+    grams = {i: quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1].tolist() for i, t in text.items()}
+    raw = Counter(g for gs in grams.values() for g in gs)
+    target = Counter(g for i, gs in grams.items() if good.get(i) == 1 for g in gs)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = {}
+    for g in raw:
+        p = (raw[g] + 1) / (n_raw + quality.BUCKETS)
+        ratio[g] = np.log((target[g] + quality.SMOOTHING * p) / (n_target + quality.SMOOTHING)) - np.log(p)
+    weight = {i: sum(ratio[g] for g in gs) for i, gs in grams.items()}
+    labelled = sorted((weight[i], q) for i, q in good.items() if grams.get(i))
+    best, cut = -1.0, None
+    for k in range(len(labelled)):  # reject the k + 1 lowest
+        low, high = labelled[: k + 1], labelled[k + 1 :]
+        score = sum(q == 0 for _, q in low) / sum(q == 0 for _, q in labelled) + sum(q == 1 for _, q in high) / sum(q == 1 for _, q in labelled)
+        if score > best + 1e-12:
+            best, cut = score, (labelled[k][0] + labelled[min(k + 1, len(labelled) - 1)][0]) / 2
+    real = {i for i, gs in grams.items() if gs}
+    k = sum(weight[i] > cut for i in real)
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    noisy = {i: weight[i] - quality.NOISE * np.log(-np.log((mix(mix((i + 77) & mask) ^ int(V._SEEDS[5])) >> 11) / 2**53)) for i in real}
+    want = set(sorted(real, key=lambda i: -noisy[i])[:k])
+    rows = {r["doc_id"]: r for r in quality.resample(docs, marks).collect()}
+    assert all(rows[i]["weight"] == pytest.approx(weight[i], abs=1e-6) for i in weight)
+    assert {i for i, r in rows.items() if r["kept"]} == want
+    assert {r["doc_id"] for r in quality.keep_drawn(docs, marks).collect()} == want
 
 
 # 2 toxicity
@@ -132,10 +223,52 @@ def test_label_model_finds_accurate_voters():
     for k in range(toxicity.VOTERS - 2):
         votes |= (np.where(y, rng.random(4000) < 0.6, rng.random(4000) < 0.02)).astype(np.int64) << k
     seen, back, n = np.unique(votes, return_inverse=True, return_counts=True)
-    q, rates, _ = toxicity.label_model(seen, np.zeros(len(seen), int), n)
+    q, rates, _ = toxicity.label_model(seen, n)
     assert ((q[back] > 0.5) == y).mean() > 0.99 and abs(rates[1][0] - 0.6) < 0.1
 
 
+def simulated_votes(rng, y, voters):
+    votes = np.zeros(len(y), np.int64)
+    for k in range(voters):
+        votes |= np.where(y, rng.random(len(y)) < 0.5, rng.random(len(y)) < 0.05).astype(np.int64) << k
+    return votes
+
+
+def test_label_model_equals_plain_em(monkeypatch):
+    """Without correlated voters: the same posteriors as EM written row by row."""
+    monkeypatch.setattr(toxicity, "MIN_CORRELATION", 2.0)
+    rng = np.random.default_rng(5)
+    y = rng.random(600) < 0.2
+    votes = simulated_votes(rng, y, 8)
+    seen, back, n = np.unique(votes, return_inverse=True, return_counts=True)
+    q, rates, _ = toxicity.label_model(seen, n, rounds=20)
+    rows = [[v >> k & 1 for k in range(toxicity.VOTERS)] for v in votes.tolist()]
+    post = [0.95 if sum(r[: toxicity.LEXICAL]) >= 3 else 0.15 if sum(r[: toxicity.LEXICAL]) else 0.01 for r in rows]
+    for _ in range(20):
+        prior = min(max(sum(post) / len(post), 0.005), 0.995)
+        one = [(sum(p for p, r in zip(post, rows) if r[k]) + 1) / (sum(post) + 2) for k in range(toxicity.VOTERS)]
+        zero = [(sum(1 - p for p, r in zip(post, rows) if r[k]) + 1) / (len(post) - sum(post) + 2) for k in range(toxicity.VOTERS)]
+        z = [np.log(prior / (1 - prior)) + sum(np.log(one[k] / zero[k]) if r[k] else np.log((1 - one[k]) / (1 - zero[k])) for k in range(toxicity.VOTERS)) for r in rows]
+        post = [1 / (1 + np.exp(-min(max(x, -30), 30))) for x in z]
+    assert np.allclose(q[back], post) and np.allclose(rates, [zero, one])
+
+
+def test_copied_voters_count_once():
+    rng = np.random.default_rng(7)
+    y = rng.random(20_000) < 0.15
+    votes = simulated_votes(rng, y, 6)
+    copied = votes | (votes & 1) << 6 | (votes & 1) << 7  # voter 0 two times more
+
+    def posterior(v):
+        seen, back, n = np.unique(v, return_inverse=True, return_counts=True)
+        q, _, discount = toxicity.label_model(seen, n)
+        return q[back], discount
+
+    (plain, _), (more, discount) = posterior(votes), posterior(copied)
+    assert np.allclose(discount[[0, 6, 7]], 1 / 3, atol=0.02) and np.allclose(discount[1:6], 1, atol=0.02)
+    assert np.abs(plain - more).mean() < 0.01
+
+
 # 3 chat
 
 
@@ -161,6 +294,26 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_turns(df.where("false"))).count() == 0
 
 
+def test_order_of_turns_and_typed_layouts(spark):
+    rows = [(1, None, "user", "first"), (1, -200, "user", "a"), (1, 0, "assistant", "b"), (1, 70, "user", "c"), (1, 70, "assistant", "c"), (None, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_turns(chat.canonical_rows(df))).collect()}
+    assert got == {1: [("user", "first"), ("user", "a"), ("assistant", "b"), ("assistant", "c"), ("user", "c")], None: [("", "")]}
+    odd = df.withColumn("more", F.lit(1))
+    with pytest.raises(ValueError):
+        chat.canonical_rows(odd)
+    by_record = spark.createDataFrame([(1, '{"conv_id":1,"turn":0,"role":"user","text":"hi"}')], "conv_id long, j string").select("conv_id", F.parse_json("j").alias("record"))
+    assert [tuple(r) for r in chat.canonical_turns(by_record).collect()] == [(1, 0, "user", "hi")]
+
+
+def test_extra_columns_and_long_conversations(spark):
+    """Columns with clashing names are no part of the layout that is formatted; spans stay right over many blocks."""
+    rows = [(7, k, "assistant" if k % 2 else "user", f"text {k} " + "x" * (200_000 if k == 500 else 3), 1, "n") for k in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block long, formatted string")
+    r = chat.read_back(chat.format_turns(df)).first()
+    assert len(r["turns"]) == 1000 and r["loss_text"] == "".join(t for _, k, role, t, *_ in rows if role == "assistant")
+
+
 def test_chat_plan_has_no_python(spark):
     plan = queries.op3_chat_formatting(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -250,7 +403,8 @@ def brute_components(rows, size, percent):
 
 def test_hard_group_of_near_copies(spark, monkeypatch):
     """A large group whose members differ from its first one by more than the threshold, in small cells."""
-    monkeypatch.setattr(neardup, "CELL", 8)
+    for name, value in (("CELL", 8), ("GROUP_DOCS", 5), ("TILE", 3), ("GROUP_SHINGLES", 1000)):
+        monkeypatch.setattr(neardup, name, value)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -264,6 +418,41 @@ def test_hard_group_of_near_copies(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 80)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_common_passage_in_documents_of_all_sizes(spark, monkeypatch, small):
+    """One passage that many different documents share, among pairs right at the threshold and of unequal sizes."""
+    if small:
+        for name, value in (("CELL", 4), ("GROUP_DOCS", 2), ("GROUP_SHINGLES", 300), ("TILE", 2)):
+            monkeypatch.setattr(neardup, name, value)
+    rng, rows = np.random.default_rng(9), []
+    passage = [f"p{k}" for k in range(60)]
+    for i in range(120):
+        own = [f"d{i}x{k}" for k in range(int(rng.integers(1, 60)))]
+        rows.append((i, " ".join(passage + own)))
+    for i in range(40):  # the first m words of a text: similarity m / n
+        base = [f"b{i}x{k}" for k in range(103)]
+        rows += [(1000 + 3 * i, " ".join(base)), (1001 + 3 * i, " ".join(base[: 80 + i % 8])), (1002 + 3 * i, " ".join(base[:83]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 80)
+
+
+def test_large_group_of_long_near_copies_is_compared_in_bounded_groups():
+    """2,048 members of 20,000 shingles in one cell: every two meet in a group that stays under the bounds."""
+    import pyarrow as pa
+
+    n, size = 400, 20_000
+    member = {"doc_id": pa.array(range(n), pa.int64()), "size": pa.array([size] * n, pa.int64()), "bits": pa.array([5] * n, pa.int64()), "component": pa.array(range(n), pa.int64()), "heads": pa.array([[7] + [k] * (neardup.PREFIX - 1) for k in range(n)], pa.list_(pa.int32())), "guest": pa.array([False] * n)}
+    block = pa.StructArray.from_arrays(list(member.values()), names=list(member))
+    cell = pa.ListArray.from_arrays(pa.array([0, 1], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), block))
+    group, ids, _ = neardup._close_members(7, cell[0], 80)
+    held = {}
+    for g, i in zip(group.tolist(), ids.tolist()):
+        held.setdefault(g, set()).add(i)
+    assert max(len(h) * size for h in held.values()) <= 2 * (neardup.GROUP_SHINGLES + size)
+    met = {(i, j) for h in held.values() for i in h for j in h}
+    assert len(met) == n * n
+
+
 def test_five_word_components(spark):
     rows = [(i, t) for i, t, _ in documents()]
     got = neardup.near_duplicates(read_table(spark, SF, "documents")).collect()
@@ -450,6 +639,16 @@ def test_wavelet_matrix():
     assert tokenfile.WaveletMatrix.build(np.array([1 << 20, 3])).decode().tolist() == [1 << 20, 3]
 
 
+def test_shard_starts_are_sums_of_sums(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "PARTS_PER_BLOCK", 3)
+    rows = [(p, q, 10 * p + q + 1) for p in range(40) for q in range(p % 3 + (p % 5 > 0))]
+    got = {(r["part"], r["seq"]): r["first"] for r in tokenfile.shard_starts(spark.createDataFrame(rows, "part int, seq int, n_tokens long")).collect()}
+    want, total = {}, 0
+    for p, q, n in sorted(rows):
+        want[p, q], total = total, total + n
+    assert got == want
+
+
 # 9 rules
 
 
@@ -471,6 +670,22 @@ def test_rule_counts_on_odd_texts(spark):
         assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (len(w), sum(map(len, w)), len(cover), len(lines) - len(set(lines)))
 
 
+def test_cascade_saves_evaluations(spark):
+    docs = read_table(spark, SF, "documents")
+    names = rules.measured_order(docs)
+    seen = rules.evaluations(docs, order=names).collect()
+    assert [r["rule"] for r in seen] == names and seen[0]["seen"] == docs.count()
+    assert all(b["seen"] == a["seen"] - a["rejected"] for a, b in zip(seen, seen[1:])) and seen[-1]["seen"] < docs.count()
+    kept = {r["doc_id"] for r in rules.keep_good(docs, order=names).collect()}
+    assert len(kept) == seen[-1]["seen"] - seen[-1]["rejected"]
+    assert kept == {r["doc_id"] for r in rules.apply_rules(docs).where("kept").collect()}
+
+
+def test_order_of_rules_is_by_rejections_per_cost():
+    # rule 0 rejects 60 of 100 at cost 6, rule 1 the same 60 at cost 3, rule 2 another 20 at cost 4
+    assert rules.best_order([(0b011, 60), (0b100, 20), (0, 20)], [6.0, 3.0, 4.0]) == [1, 2, 0]
+
+
 # 10 languages
 
 
@@ -486,12 +701,60 @@ def test_undetermined_texts(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
-def test_filter_has_no_false_negatives():
-    keys = V.mix(np.arange(5000, dtype=np.uint64))
-    masks = (np.arange(5000) % 15 + 1).astype(np.uint64)
-    f = langid.Filter(["a", "b", "c", "d"], keys, masks, 0)
-    assert (f.masks(keys).astype(np.uint64) & masks == masks).all()
-    assert abs((f.masks(V.mix(np.arange(10_000, 60_000, dtype=np.uint64))) & 1).mean() - f.false_rate[0]) < 0.02
+@pytest.mark.parametrize("n", [4, 8, 70, 200])
+def test_filter_has_no_false_negatives(n):
+    keys, rng = V.mix(np.arange(5000, dtype=np.uint64)), np.random.default_rng(n)
+    langs = [np.sort(rng.choice(5000, 900, replace=False)) for _ in range(n)]
+    f = langid.Filter([f"l{k:03}" for k in range(n)], keys, langs, 0)
+    has = lambda k, x: (f.masks(x)[f.at[k][0]] >> f.at[k][1] & f.slots.dtype.type(1)).astype(bool)
+    for k in (0, 1, n - 1):
+        assert has(k, keys[langs[k]]).all()
+        assert abs(has(k, V.mix(np.arange(10_000, 60_000, dtype=np.uint64))).mean() - f.false_rate[k]) < 0.02
+
+
+def test_more_languages_than_a_mask_word_holds(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    def word(k, j):
+        rng = np.random.default_rng(k * 1000 + j)
+        return "".join(alphabet[x] for x in rng.integers(0, 26, 6))
+    rows = [(70 * j + k, " ".join(word(k, int(x)) for x in np.random.default_rng(j).integers(0, 8, 30)), name) for j in range(8) for k, name in enumerate(names)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: name for i, _, name in rows}
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got]) > 0.97
+
+
+def test_languages_equal_exact_sets(spark):
+    """The decisions of plain sets of n-grams per language; corrected popcounts may only differ where two languages are close."""
+    docs = read_table(spark, SF, "documents")
+    rows = docs.collect()
+    learn = [r for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+
+    def grams(text):
+        raw = (text or "").encode()
+        low, off = V.letters_only(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        low = low.tobytes()
+        return [low[i : i + k] for k in langid.SIZES for i in range(len(low) - k + 1)]
+
+    counts = {}
+    for r in learn:
+        counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    rate = {lang: {g: n / total[lang] for g, n in c.items() if n >= langid.MIN_COUNT} for lang, c in counts.items()}
+    best = Counter()
+    for of in rate.values():
+        for g, x in of.items():
+            best[g] = max(best[g], x)
+    sets = {lang: {g for g, x in of.items() if x >= langid.MIN_SHARE_OF_BEST * best[g]} for lang, of in rate.items()}
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        gs = grams(r["text"])
+        hits = sorted(((sum(g in s for g in gs), lang) for lang, s in sets.items()), key=lambda x: (-x[0], x[1]))
+        if not hits[0][0]:
+            continue
+        assert got[r["doc_id"]]["score"] == pytest.approx(hits[0][0] / sum(n for n, _ in hits), abs=0.02)
+        if hits[0][0] - hits[1][0] > 0.01 * len(gs) + 1:
+            assert got[r["doc_id"]]["lang_pred"] == hits[0][1]
 
 
 # pipeline
