@@ -1,29 +1,35 @@
 """Main-text extraction by equivalence classes of template tokens.
 
-Tokens are element paths (tag, class and id of every open element) and texts with the path they stand at. For
-each host, a token's occurrence vector over all of the host's pages is kept as page count, occurrence count and an
-order-free hash of (page, count) pairs; tokens with equal vectors form an equivalence class. A class is valid if it
-covers at least half of the pages; its texts that do not come in the same order and after the same once-a-page
-element wherever they occur are taken out (a class that repeats may repeat as a whole). Texts of valid classes are the template's words
-and are left out; a text must also be on MIN_TEXT_PAGES pages, as a few pages can share an article's words.
-A page, or a host, of nothing but template words keeps them. The slot to extract is the deepest container
-of the template that occurs once a page and holds all of the host's text outside boilerplate elements. Pages without
-that token give all of their text outside boilerplate elements.
-
-Boilerplate inside the slot (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) is left out by element, role, class or id; all other text stays. Character references are decoded,
-white space inside a block becomes one space, blocks are trimmed and joined by line feeds.
-
-Defined results: null or empty html gives an empty text; a null or relative url belongs to the host ''; repeated
-pages give repeated rows; a host with one page has a template of its own; an empty table gives an empty result;
-other columns are ignored. Vectors are aggregated on the map side, so a hot host is not gathered anywhere; the
-table of templates, a path for each host, is broadcast only up to MAX_BROADCAST_HOSTS rows and else joined.
+Tokens are elements (a hash of tag, class and id of it and of every element around it) and texts with the element they
+stand in. For each host, a token's occurrence vector over all of the host's pages is kept as page count, occurrence
+count and order-free sums of hashes of (page, count); tokens with equal vectors form an equivalence class. A class
+is valid if it covers at least half of the host's pages, and two at least. Its tokens that do not come in the same order and
+inside the same elements wherever they occur are taken out (a class that repeats may repeat as a whole).
+
+Valid classes nest into the host's template: elements that occur once a page are its nodes, texts on MIN_TEXT_PAGES pages or more its
+words. What lies between nodes are slots. Words are left out. Where the template has nodes that are `main` or
+`article`, the slots inside them are extracted, and those that lie directly in a node around them; the slots of nodes beside
+them are not (menus, adverts, notices, related links, whatever they are called). Where it has none, or a page lacks them,
+every slot is extracted, as nothing but names tells slots apart. A page of nothing but template words keeps them.
+
+Elements whose tag or role says that they are no main text (nav, header, footer, aside, form, script, style and
+others), and elements with a class or id made of names for such things only, are left out too, unless they hold the main text; a class or
+id never outweighs the template. Character references are decoded, white space inside a block becomes one space, blocks
+are trimmed and joined by line feeds.
+
+Defined results: null or empty html gives an empty text; text outside all elements is kept; a null or relative url
+belongs to the host ''; repeated pages give repeated rows; a host with one page has no template; an empty table gives
+an empty result; other columns are ignored. Vectors are aggregated on the map side, so a hot host is not gathered
+anywhere. Work and memory for a page are in proportion to its length, however deep its elements are nested. The table of
+templates is broadcast only if it holds at most MAX_BROADCAST_TOKENS tokens, else joined.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT = 0.5
+from .common import drop_written, written
+
+MIN_SUPPORT, MIN_PAGES = 0.5, 2
 MIN_TEXT_PAGES = 8
-MAX_BROADCAST_HOSTS = 20_000
+MAX_BROADCAST_TOKENS = 1_000_000  # 16 bytes each
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -43,59 +51,80 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea head title dialog menu object canvas xmp noembed noframes".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead"), "body": ("head",)}
 _SCOPES = frozenset("ul ol dl table article section div body main td th".split())
-#: Paths that end in an element which can hold an article.
-_CONTAINER = r"(^|>)(html|body|main|article|section|div|td|center)([.#][^>]*)?$"
-_MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|side-?bar|menu|nav|navbar|navigation|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|newsletter|subscribe|popup|modal|related|breadcrumbs?|pagination|widget)(?:$|[\s_-])", re.I)
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies|disqus)(?:$|[\s_-])", re.I)
+#: Elements at which a look up the stack for implied end tags can stop.
+_STOPS = _SCOPES | {"p"} | {name for ends in _CLOSES.values() for name in ends}
+#: Parts of class and id names: a name is telling if all its parts are among these and one is among the first.
+_TELLING = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation footer header masthead comment comments respond replies disqus share sharing social newsletter subscribe popup modal related breadcrumb breadcrumbs pagination widget widgets".split())
+_NEUTRAL = frozenset("area bar block bottom box btn buttons container content count form group holder inner item items left links list outer page panel row right section site slot top unit wrap wrapper posts reader user".split())
+_COMMENTS = frozenset("comment comments respond replies disqus".split())
 #: Elements that never hold a page's main text.
 _ALWAYS = _BOILERPLATE - {"header", "form", "dialog", "object", "canvas"}
 NONE, BY_TAG, BY_NAME, BY_COMMENT = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+_MAIN = ("main", "article")
+
+
+def _id(*parts) -> int:
+    """A 62-bit hash, never 0."""
+    return (xxhash.xxh64_intdigest("\0".join(map(str, parts))) >> 2) | 1
+
+
+def _mark_of(value: str) -> int:
+    """What a class or id says: of its names, one that is made of boilerplate words."""
+    mark = NONE
+    for name in value.split():
+        parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x]
+        low = [x.lower() for x in parts]
+        low = ["sidebar"] if low == ["side", "bar"] else low
+        if low and any(x in _TELLING for x in low) and all(x in _TELLING or x in _NEUTRAL or x.isdigit() for x in low):
+            mark = BY_COMMENT if mark == BY_COMMENT or any(x in _COMMENTS for x in low) else BY_NAME
+    return mark
 
 
 def walk(page: str):
-    """Yield ('open', path, tag, own mark), ('text', text) and ('close', path) in page order."""
-    stack: list[tuple[str, str]] = []
+    """Yield ('open', path, tag, own mark), ('text', text), ('void', path, tag) and ('close', path, tag) in page order."""
+    stack: list[tuple[str, int]] = []
+    stops: list[int] = []  # where in the stack elements of _STOPS are
+    held: Counter[str] = Counter()
     at, size = 0, len(page)
 
     def pop():
         name, path = stack.pop()
-        return ("close", path, name)
+        held[name] -= 1
+        if stops and stops[-1] == len(stack):
+            stops.pop()
+        return ("close", path, name, NONE)
 
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
-            yield ("text", page[at:], None, False)
+            yield ("text", page[at:], None, NONE)
             break
         if m.start() > at:
-            yield ("text", page[at : m.start()], None, False)
+            yield ("text", page[at : m.start()], None, NONE)
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         if m[1]:
-            if any(s[0] == name for s in stack):
-                while True:
-                    done = stack[-1][0] == name
-                    yield (*pop(), False)
-                    if done:
-                        break
+            if held[name]:
+                while stack[-1][0] != name:
+                    yield pop()
+                yield pop()
             continue
-        if name in _BLOCK:  # a new block ends an open paragraph
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in _SCOPES), -1)
-            if depth >= 0 and stack[depth][0] == "p":
-                while len(stack) > depth:
-                    yield (*pop(), False)
-        ends = _CLOSES.get(name)
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    while len(stack) > k:
-                        yield (*pop(), False)
-                    break
-                if stack[k][0] in _SCOPES and stack[k][0] not in ends:
-                    break
+        if name in _BLOCK and stops and stack[stops[-1]][0] == "p":  # a new block ends an open paragraph
+            depth = stops[-1]
+            while len(stack) > depth:
+                yield pop()
+        ends = _CLOSES.get(name, ())
+        for k in reversed(stops) if ends else ():
+            if stack[k][0] in ends:
+                while len(stack) > k:
+                    yield pop()
+                break
+            if stack[k][0] in _SCOPES:
+                break
         label, mark = name, BY_TAG if name in _BOILERPLATE else NONE
         if m[3]:
             for key, a, b, c in _NAMED.findall(m[3]):
@@ -103,21 +132,24 @@ def walk(page: str):
                 if key.lower() == "role":
                     mark = BY_TAG if value.strip().lower() in _ROLES else mark
                 elif name not in ("html", "body"):
-                    label += ("." if key.lower() == "class" else "#") + " ".join(value.replace(">", " ").split())
-                    if mark != BY_TAG and name not in ("article", "main") and _MARKED.search(value):
-                        mark = BY_COMMENT if mark == BY_COMMENT or _COMMENTS.search(value) else BY_NAME
-        path = (stack[-1][1] + ">" if stack else "") + label
+                    label += ("." if key.lower() == "class" else "#") + " ".join(value.split())
+                    if mark != BY_TAG and name not in _MAIN:
+                        mark = max(mark, _mark_of(value))
+        path = _id(stack[-1][1] if stack else 0, label)
         if name in _VOID:
-            yield ("void", path, name, False)
+            yield ("void", path, name, NONE)
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if name in _STOPS:
+            stops.append(len(stack))
         stack.append((name, path))
+        held[name] += 1
         yield ("open", path, name, mark)
     while stack:
-        yield (*pop(), False)
+        yield pop()
 
 
 def events(page: str, names: bool = True) -> list[tuple]:
@@ -146,15 +178,15 @@ def events(page: str, names: bool = True) -> list[tuple]:
                 n = len(path.strip())
             text[k + 1], free[k + 1] = text[k] + n, free[k] + (0 if tagged else n)
         length = lambda k: text[spans[k]] - text[k]
-        mains = [k for k in spans if seen[k][2] == "main" and length(k)]
-        articles = [k for k in spans if seen[k][2] == "article" and length(k)]
-        longest = max(articles, key=lambda k: (length(k), -k), default=None)
+        full = lambda name: [0, *accumulate(k in spans and e[2] == name and e[0] == "open" and length(k) > 0 for k, e in enumerate(seen))]
+        mains, articles = full("main"), full("article")
+        longest = max((k for k in spans if seen[k][2] == "article" and length(k)), key=lambda k: (length(k), -k), default=None)
 
         def keeps(k):
             mark, end = seen[k][3], spans[k]
-            if any(k <= m < end for m in mains) or (mark != BY_COMMENT and longest is not None and k <= longest < end):
+            if mains[end] > mains[k] or (mark != BY_COMMENT and longest is not None and k <= longest < end):
                 return False
-            within = all(k <= m < end for m in (*mains, *articles))
+            within = mains[end] - mains[k] + articles[end] - articles[k] == mains[-1] + articles[-1]
             return not (mark != BY_TAG and within and 2 * (free[end] - free[k]) >= free[-1] > 0)
 
         settled = {k: seen[k][3] != NONE and keeps(k) for k in spans}
@@ -168,69 +200,62 @@ def events(page: str, names: bool = True) -> list[tuple]:
     return out
 
 
-def text_token(path: str, text: str) -> int:
-    """Hash of a text and the element it stands in, never 0."""
-    return (xxhash.xxh64_intdigest(f"{path}\0{' '.join(text.split())}") >> 1) | 1
+def text_token(path: int, text: str) -> int:
+    return _id(path, "text", " ".join(text.split()))
 
 
-def tokens_of(page: str) -> dict[tuple[str, int], list[int]]:
-    """(element path, 0) or (path, text token) -> [occurrences, characters of text]; boilerplate elements are left out, '' is the page."""
-    seen: dict[tuple[str, int], list[int]] = {("", 0): [1, 0]}
-    open_: list[tuple[str, bool]] = [("", False)]
-    for kind, path, _, marked in events(page):
+def page_tokens(page: str):
+    """(token, is a text, is main or article) of a page's elements and texts outside boilerplate, in page order; None where an element ends."""
+    open_: list[tuple[int, bool]] = [(0, False)]
+    for kind, path, tag, marked in events(page):
         if kind == "open":
             open_.append((path, marked))
             if not marked:
-                seen.setdefault((path, 0), [0, 0])[0] += 1
+                yield path, False, tag in _MAIN
         elif kind == "close":
-            open_.pop()
-        elif kind == "text" and not open_[-1][1] and (n := len(path.strip())):
-            for p, _ in open_:
-                seen[p, 0][1] += n
-            one = seen.setdefault((open_[-1][0], text_token(open_[-1][0], path)), [0, 0])
-            one[0] += 1
-            one[1] += n
-    return seen
+            if not open_.pop()[1]:
+                yield None
+        elif kind == "text" and not open_[-1][1] and path.strip():
+            yield text_token(open_[-1][0], path), True, False
 
 
-def orders_of(page: str, roots: set[str], classes: dict[int, int]) -> dict[int, int]:
-    """Text token -> hash of where it stands on a page: after which texts of its class and which once-a-page element.
+def orders_of(page: str, classes: dict[int, int]) -> dict[int, int]:
+    """Token -> hash of where it stands on a page: after which tokens of its class, and inside which token of any class.
 
-    Texts whose places are equal on all pages are in one order on all of them.
+    Tokens whose places are equal on all pages are in one order and one nest on all of them.
     """
-    found: dict[int, list[tuple[int, str]]] = {}
-    open_, last = [("", False)], ""
-    for kind, path, _, marked in events(page):
-        if kind == "open":
-            open_.append((path, marked))
-            last = path if path in roots else last
-        elif kind == "close":
-            open_.pop()
-            last = "/" + path if path in roots else last
-        elif kind == "text" and not open_[-1][1] and path.strip():
-            token = text_token(open_[-1][0], path)
-            if token in classes:
-                found.setdefault(classes[token], []).append((token, last))
+    found: dict[int, list[tuple[int, int]]] = {}
+    around = [0]
+    for one in page_tokens(page):
+        if one is None:
+            around.pop()
+            continue
+        token, text, _ = one
+        if token in classes:
+            found.setdefault(classes[token], []).append((token, around[-1]))
+        if not text:
+            around.append(token if token in classes else around[-1])
     out = {}
     for order in found.values():
         size = order.index(order[0], 1) if order[0] in order[1:] else len(order)
         repeats = order[:size] * (len(order) // size) == order
-        before = 0
-        for token, last in order[:size] if repeats else order:
+        whole, before = "" if repeats else _id(order), 0
+        for token, outer in order[:size] if repeats else order:
             if token not in out:
-                out[token] = xxhash.xxh64_intdigest(f"{before} {last} {'' if repeats else order}") >> 1
+                out[token] = _id(before, outer, whole)
                 before ^= token
     return out
 
 
-def extract(page: str | None, slot: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The text of a page's slot: the element at path `slot`, else everything outside boilerplate, else of template words, else of names."""
+def extract(page: str | None, nodes: frozenset[int] = frozenset(), words: frozenset[int] = frozenset()) -> str:
+    """The text in a page's slots: without template words and the nodes beside main ones; else with words; else without regard to names."""
     if not page:
         return ""
     found_in = events(page)
-    for wanted, names, left_out in ((lambda path, tag: path == slot, True, template), (None, True, template), (None, True, frozenset()), (None, False, frozenset())):
+    for names, slots, left_out in ((True, nodes, words), (True, nodes, frozenset()), (True, frozenset(), frozenset()), (False, frozenset(), frozenset())):
         found_in = found_in if names else events(page, False)
-        blocks, parts, skipping, inside, found = [], [], 0, int(wanted is None), "<" in page and wanted is None
+        blocks: list[str] = []
+        parts: list[str] = []
 
         def flush():
             text = " ".join(entities.unescape("".join(parts)).split())
@@ -238,11 +263,13 @@ def extract(page: str | None, slot: str | None, template: frozenset[int] = froze
                 blocks.append(text)
             parts.clear()
 
-        open_: list[tuple[bool, bool]] = []
-        paths = [""]
-        for kind, path, tag, marked in found_in:
+        around, main = _around_main(found_in, slots)
+        # of each open element: its path, whether it is skipped, whether it is in a main node, whether its slots are wanted
+        open_: list[tuple[int, bool, bool, bool]] = [(0, False, False, True)]
+        for k, (kind, path, tag, marked) in enumerate(found_in):
+            outer, skipped, inside, wanted = open_[-1]
             if kind == "text":
-                if inside and not skipping and not (left_out and text_token(paths[-1], path) in left_out):
+                if not skipped and wanted and not (left_out and text_token(outer, path) in left_out):
                     parts.append(path)
                 continue
             if tag in _BLOCK:
@@ -250,70 +277,92 @@ def extract(page: str | None, slot: str | None, template: frozenset[int] = froze
             elif kind == "void" and tag == "br":
                 parts.append(" ")
             if kind == "open":
-                hit = wanted is not None and not marked and wanted(path, tag)
-                found |= hit
-                open_.append((hit, marked))
-                paths.append(path)
-                inside += hit
-                skipping += marked
+                inside |= path in main
+                if path in slots and main:
+                    wanted = inside or k in around
+                open_.append((path, marked, inside, wanted))
             elif kind == "close":
-                hit, was = open_.pop()
-                paths.pop()
-                inside -= hit
-                skipping -= was
-                if hit and not inside:
-                    flush()
+                open_.pop()
         flush()
-        if found and blocks:
+        if blocks:
             return "\n".join(blocks)
-    return " ".join(entities.unescape(page).split()) if "<" not in page else ""
+    return ""
+
+
+def _around_main(found_in: list[tuple], nodes: frozenset[int]) -> tuple[set[int], set[int]]:
+    """(events that open nodes around a main node, paths of main nodes); of nested ones the outermost counts."""
+    main = {path for kind, path, tag, marked in found_in if kind == "open" and tag in _MAIN and not marked and path in nodes}
+    around: set[int] = set()
+    open_: list[int] = []
+    if main:
+        for k, (kind, path, _, _) in enumerate(found_in):
+            if kind == "open":
+                if path in main:
+                    around.update(open_)
+                    open_ = []  # what is further out is known
+                open_.append(k)
+            elif kind == "close" and open_:
+                open_.pop()
+    return around, main
 
 
 def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _bounded(hosts: DataFrame) -> DataFrame:
-    hosts = hosts.cache()
-    return F.broadcast(hosts) if hosts.count() <= MAX_BROADCAST_HOSTS else hosts
+def _bounded(hosts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """hosts, to be broadcast if the tokens in it are few enough."""
+    return F.broadcast(hosts) if tokens.count() <= MAX_BROADCAST_TOKENS else hosts
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: host, slot (path of the element to extract), words (text tokens to leave out), tokens and classes of its template."""
-    own = pages.select(host_of("url").alias("host"), F.col("page_id").cast("long").alias("page_id"), "html")
+def _vectors(own: DataFrame) -> DataFrame:
+    """host, token, is_text, pages, n, low, high: occurrence vectors of all tokens; token 0 is the page itself."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                held: dict[tuple[str, str, int], list[int]] = {}
-                for host, page_id, page in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
-                    for (path, token), (n, text) in tokens_of(page or "").items():
-                        one = held.setdefault((host, path, token), [0, 0, 0, 0])
+            for lo in range(0, batch.num_rows, 200):
+                held: dict[tuple[str, int, bool], list[int]] = {}
+                for host, page_id, page in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns)):
+                    seen = Counter({(0, False): 1})
+                    seen.update(one[:2] for one in page_tokens(page or "") if one)
+                    for (token, text), n in seen.items():
+                        code = xxhash.xxh64_intdigest(f"{page_id}:{n}")
+                        one = held.setdefault((host, token, text), [0, 0, 0, 0])
                         one[0] += 1
                         one[1] += n
-                        one[2] += text
-                        one[3] ^= xxhash.xxh64_intdigest(f"{page_id}:{n}") >> 1
-                hosts, paths, words = zip(*held) if held else ((), (), ())
+                        one[2] += code & 0xFFFFFFFF
+                        one[3] += code >> 32
+                hosts, tokens, texts = zip(*held) if held else ((), (), ())
                 numbers = np.array(list(held.values()), np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(words, pa.int64()), *(pa.array(numbers[:, k]) for k in range(4))], names=["host", "path", "token", "pages", "n", "text", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(texts, pa.bool_()), *(pa.array(numbers[:, k]) for k in range(4))], names=["host", "token", "is_text", "pages", "n", "low", "high"])
 
-    seen = own.mapInArrow(run, "host string, path string, token long, pages long, n long, text long, vector long")
-    tokens = seen.groupBy("host", "path", "token").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("text").alias("text"), F.bit_xor("vector").alias("vector"))
-    # the page itself is a token of every page, so a host's rows all come with its size
-    size = tokens.where("path = '' and token = 0").select("host", F.col("pages").alias("host_pages"), F.col("text").alias("host_text"))
-    found = tokens.join(size, "host").where((F.col("pages") >= MIN_SUPPORT * F.col("host_pages")) & ((F.col("token") == 0) | (F.col("pages") >= MIN_TEXT_PAGES)))
-    found = found.withColumn("class", F.xxhash64("pages", "n", "vector")).cache()
+    seen = own.mapInArrow(run, "host string, token long, is_text boolean, pages long, n long, low long, high long")
+    return seen.groupBy("host", "token", "is_text").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "low", "high")])
 
-    root = (F.col("token") == 0) & (F.col("n") == F.col("pages")) & (F.col("pages") == F.col("host_pages"))
-    known = found.groupBy("host").agg(F.collect_list(F.when(root, F.col("path"))).alias("roots"), F.collect_list(F.when(F.col("token") != 0, F.struct("token", "class"))).alias("texts")).where(F.size("texts") > 0)
-    laid = own.join(_bounded(known), "host").select("host", "html", "roots", "texts")
+
+def templates(pages: DataFrame) -> DataFrame:
+    """One row per token of a host's template: host, token, is_text, class. Valid classes in one order and nest, nodes and words."""
+    own = pages.select(host_of("url").alias("host"), F.col("page_id").cast("long").alias("page_id"), "html")
+    vectors = written(_vectors(own), "vectors")
+    # the page itself is a token of every page, so a host's rows all come with its size
+    size = vectors.where("token = 0").select("host", F.col("pages").alias("host_pages"))
+    enough = (F.col("pages") >= MIN_SUPPORT * F.col("host_pages")) & (F.col("pages") >= MIN_PAGES)
+    node = ~F.col("is_text") & (F.col("n") == F.col("pages"))
+    found = vectors.where("token <> 0").join(size, "host").where(enough & (node | (F.col("is_text") & (F.col("pages") >= MIN_TEXT_PAGES))))
+    found = written(found.select("host", "token", "is_text", F.xxhash64("pages", "n", "low", "high").alias("class")), "classes")
+    known = _bounded(found.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("known")), found)
+    laid = own.join(known, "host").select("host", "html", "known")
 
     def order(batches):
         for batch in batches:
             held: dict[tuple[str, int], list[int]] = {}
+            classes: dict[str, dict[int, int]] = {}
             for lo in range(0, batch.num_rows, 200):
-                for host, page, roots, texts in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns)):
-                    for token, value in orders_of(page or "", set(roots), {t["token"]: t["class"] for t in texts}).items():
+                rows = batch.slice(lo, 200)
+                for k, (host, page) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+                    if host not in classes:
+                        classes[host] = {t["token"]: t["class"] for t in rows.column(2)[k].as_py()}
+                    for token, value in orders_of(page or "", classes[host]).items():
                         one = held.setdefault((host, token), [value, value])
                         one[0], one[1] = min(one[0], value), max(one[1], value)
             hosts, names = zip(*held) if held else ((), ())
@@ -321,31 +370,27 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["host", "token", "low", "high"])
 
     valid = laid.mapInArrow(order, "host string, token long, low long, high long").groupBy("host", "token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select("host", "token")
-    words = found.where("token <> 0").join(valid, ["host", "token"]).select("host", "path", "token", "text", "host_text")
-    # a host of nothing but template words keeps them
-    some = words.groupBy("host").agg(F.sum("text").alias("gone"), F.max("host_text").alias("all")).where("gone < all").select("host")
-    words = words.join(some, "host").cache()
-    parts = F.split("path", ">")
-    above = F.transform(F.sequence(F.lit(0), F.when(F.col("path") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
-    gone = words.select("host", F.explode(F.array_distinct(above)).alias("path"), "text").groupBy("host", "path").agg(F.sum("text").alias("gone"))
-    total = gone.where("path = ''").select("host", F.col("gone").alias("host_gone"))
-    left = found.where("token = 0 and path <> ''").join(gone, ["host", "path"], "left").join(total, "host", "left")
-    fits = F.col("path").rlike(_CONTAINER) & (F.col("n") == F.col("pages")) & (F.col("text") - F.coalesce("gone", F.lit(0)) == F.col("host_text") - F.coalesce("host_gone", F.lit(0)))
-    deep = F.struct(F.size(F.split("path", ">")), "text", "path")
-    slots = left.groupBy("host").agg(F.max_by(F.when(fits, F.col("path")), F.when(fits, deep)).alias("slot"), F.count("*").alias("tokens"), F.count_distinct("class").alias("classes"))
-    return slots.join(words.groupBy("host").agg(F.collect_list("token").alias("words")), "host", "left")
+    out = written(found.join(valid, ["host", "token"]), "template")
+    drop_written(vectors)
+    drop_written(found)
+    return out
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    slots = _bounded(templates(pages).select("host", "slot", "words"))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host")).join(slots, "host", "left").select("page_id", "url", "html", "slot", "words")
+    tokens = templates(pages)
+    hosts = tokens.groupBy("host").agg(F.collect_list(F.when(~F.col("is_text"), F.col("token"))).alias("nodes"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("words"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host")).join(_bounded(hosts, tokens), "host", "left").select("page_id", "url", "html", "host", "nodes", "words")
 
     def run(batches):
         for batch in batches:
+            known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
             for lo in range(0, batch.num_rows, 200):
-                rows = batch.slice(lo, 200)
-                texts = [extract(p, s, frozenset(w or ())) for p, s, w in zip(*(rows.column(k).to_pylist() for k in (2, 3, 4)))]
+                rows, texts = batch.slice(lo, 200), []
+                for k, (page, host) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())):
+                    if host not in known:
+                        known[host] = frozenset(rows.column(4)[k].as_py() or ()), frozenset(rows.column(5)[k].as_py() or ())
+                    texts.append(extract(page, *known[host]))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobloom.llm import chat, decontam, htmltemplate, langid, neardup, piecefst, quality, queries, rules, tokenfile, toxicity
@@ -562,7 +563,53 @@ def test_page_main_text(spark):
     assert got[2] == "Head 2 & tail\nFirst bold text more\nSecond <ok> x\ni1\ni2"
     assert got[8] == got[9] == "" and got[10] == "Only this" and got[11] == "plain & text"
     assert htmltemplate.extract_pages(df.where("false")).count() == 0
-    assert htmltemplate.templates(df.where("page_id < 4")).first()["slot"] == "html>body>article"
+    nodes = {t: n for t, n in htmltemplate.templates(df.where("page_id < 4")).groupBy("is_text").count().collect()}
+    assert nodes[False] >= 4 and True not in nodes
+
+
+@pytest.mark.parametrize("page, want", [("Intro text <p>para</p> tail", "Intro text\npara\ntail"), ("Hello <b>world</b>", "Hello world"), ("a < b and more text", "a < b and more text"), ("<article><div class=article-header>Top</div><section class='related-work'>Work</section></article>", "Top\nWork"), ("<p>a<p>b<div>c", "a\nb\nc"), ("<ul><li>a<li>b</ul>x", "a\nb\nx")])
+def test_no_text_is_lost(spark, page, want):
+    assert htmltemplate.extract(page) == want
+    for n in (1, 9):  # alone, and as the whole host: a page of nothing but template words keeps them
+        df = spark.createDataFrame([(k, "https://x.example/", page) for k in range(n)] + [(1, "https://x.example/", page)], "page_id long, url string, html string")
+        assert [r["text"] for r in htmltemplate.extract_pages(df).collect()] == [want] * (n + 1)
+
+
+def test_names_do_not_decide(spark):
+    """The result stays when every class and id gets a random name."""
+    import random
+
+    def page(k, names):
+        n = lambda x: names.setdefault(x, "n" + format(random.Random(x).getrandbits(40), "x"))
+        return f"""<html><body><div class="{n('menu')}"><ul><li>Item {k}</li></ul></div><div id="{n('ad')}">Buy {k * 7}</div><div class="{n('wrap')}">
+          <article class="{n('post')}"><h1>Title {k}</h1><p>Text {k} of it</p><div class="{n('body')}"><p>More {k}</p></div></article></div>
+          <div class="{n('related')}"><p>Other story {k + 1}</p></div><div class="{n('legal')}">All rights reserved</div></body></html>"""
+
+    keep = type("Same", (dict,), {"setdefault": lambda self, key, _: key})
+    schema = "page_id long, url string, html string"
+    plain, renamed = ({r["page_id"]: r["text"] for r in htmltemplate.extract_pages(spark.createDataFrame([(k, "https://r.example/x", page(k, names)) for k in range(12)], schema)).collect()} for names in (keep(), {}))
+    assert plain == renamed == {k: f"Title {k}\nText {k} of it\nMore {k}" for k in range(12)}
+
+
+def test_given_pages_do_not_depend_on_names(spark):
+    src = read_table(spark, SF, "pages")
+    renamed = src.withColumn("html", F.regexp_replace("html", 'class="ad"', 'class="q7f3"'))
+    one, two = ({r["page_id"]: r["text"] for r in htmltemplate.extract_pages(d).collect()} for d in (src, renamed))
+    many = {r["page_id"] for r in src.withColumn("h", htmltemplate.host_of("url")).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").collect()}
+    assert many and all(one[k] == two[k] for k in many)
+
+
+def test_deep_pages_take_linear_memory():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 100_000 + "x", "<span>" * 100_000 + "<p>a" * 1000, "<b>" * 50_000 + "text</b>" * 50_000):
+        tracemalloc.start()
+        began = time.time()
+        assert htmltemplate.extract(page).startswith(("x", "a", "text"))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6 and time.time() - began < 60
 
 
 def test_pages_keep_every_article_word(spark):
@@ -609,7 +656,7 @@ def test_template_words_are_left_out(spark):
 
 def test_comments_with_articles_stay_out():
     page = "<html><body><div class=post><p>A long text of the page itself</p></div><section class=comments><article>Reader</article></section></body></html>"
-    assert htmltemplate.extract(page, None) == "A long text of the page itself"
+    assert htmltemplate.extract(page) == "A long text of the page itself"
 
 
 # 8 token files
