@@ -156,6 +156,7 @@ def build_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARIT
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
 
     found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     often = np.zeros(len(known), np.int64)
     often[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     spot = np.searchsorted(known, value)

@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable. edges: two long columns a, b.
 
     Every step is a minimum per node and a join back to the edges, so that a node with very many
-    neighbours never has them gathered in one place. Each round is written to the shared folder.
+    neighbours never has them gathered in one place. Each round is written to the shared folder, and so is the
+    result, which the caller may drop.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -28,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         stats = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_written(last)
         if tuple(stats) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            found = written(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+            drop_written(now)
+            return found
         mark = tuple(stats)
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")

@@ -197,6 +197,7 @@ def floors(model: Filter, sample: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["share", "margin"])
 
     table = sample.mapInArrow(run, "share double, margin double").toArrow()  # bounded by the sample
+    shared.destroy()
     if not table.num_rows:
         return np.zeros(2)
     return np.array([part * np.median(table.column(k).to_numpy()) for k, part in enumerate(MIN_OF_MEDIAN)])

@@ -142,11 +142,13 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     joined = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    links = written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    drop_written(pairs)
+    return links
 
 
-def _cells(lists: DataFrame, percent: int) -> DataFrame:
-    """(key, lo, hi, members: one or two blocks): what is looked at together, of at most about 2 * CELL members.
+def _cells(lists: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, lo, hi, members: one or two blocks): what is looked at together, of at most about 2 * CELL members; written tables to drop.
 
     lists: (key, n, doc_id, size, bits, component, heads), each with more than one component. In a list split by
     bands a member stands in its own band and as a guest in the next one; two guests are not compared there.
@@ -157,18 +159,19 @@ def _cells(lists: DataFrame, percent: int) -> DataFrame:
     # a little more than the ratio of sizes at the threshold, so that linked sets are in one band or in neighbouring ones
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(101 / percent))).cast("int")
     homes = F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
-    long_ = written(lists.where(F.col("n") > CELL).withColumn("home", F.explode(homes)).select("*", "home.band", "home.guest"), "banded")
-    sizes = written(long_.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or(~F.col("guest")).alias("owned")).where("low <> high and owned").select("key", "band", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "bands")
-    dealt = long_.join(sizes, ["key", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    banded = written(lists.where(F.col("n") > CELL).withColumn("home", F.explode(homes)).select("*", "home.band", "home.guest"), "banded")
+    sizes = written(banded.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or(~F.col("guest")).alias("owned")).where("low <> high and owned").select("key", "band", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "bands")
+    dealt = banded.join(sizes, ["key", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     packed = dealt.groupBy("key", "band", "mine").agg(F.first("blocks").alias("blocks"), F.collect_list(member).alias("block"))
     paired = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     long_ = paired.groupBy("key", "band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list("block").alias("members"))
     # bands of a list get numbers of cells of their own
     shift = F.col("band").cast("long") * F.lit(1 << 32)
-    return short.select("key", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "members").unionByName(long_.select("key", (shift + F.col("lo")).alias("lo"), (shift + F.col("hi")).alias("hi"), "members"))
+    cells = short.select("key", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "members").unionByName(long_.select("key", (shift + F.col("lo")).alias("lo"), (shift + F.col("hi")).alias("hi"), "members"))
+    return cells, [banded, sizes]
 
 
-def _suspects(lists: DataFrame, percent: int) -> DataFrame:
+def _suspects(cells: DataFrame, percent: int) -> DataFrame:
     """(key, lo, hi, group, doc_id, component): members of a cell with a close partner of another component in it.
 
     A pair is looked at in the first list that it shares and skipped in later ones; lists are told apart by 32 bits
@@ -187,7 +190,7 @@ def _suspects(lists: DataFrame, percent: int) -> DataFrame:
                 head = [np.repeat(np.array([o[0][k] for o in out], np.int64), sizes) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*head, *(np.concatenate([o[k] for o in out]) for k in (1, 2, 3)))], names=["key", "lo", "hi", "group", "doc_id", "component"])
 
-    return _cells(lists, percent).mapInArrow(look, "key long, lo long, hi long, group long, doc_id long, component long")
+    return cells.mapInArrow(look, "key long, lo long, hi long, group long, doc_id long, component long")
 
 
 def _close_members(key: int, blocks: pa.ListScalar, percent: int):
@@ -266,7 +269,10 @@ def _forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent:
 
 def _links_across(docs: DataFrame, lists: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components that the lists allow: suspects are compared in full, in groups of bounded size."""
-    near = written(_suspects(lists, percent), "suspects")
+    cells, used = _cells(lists, percent)
+    near = written(_suspects(cells, percent), "suspects")
+    for table in used:
+        drop_written(table)
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
@@ -293,15 +299,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     lists = written(posted.join(leads, "key").select("key", "n", "doc_id", "bits", F.col("lead.doc_id").alias("lead_id"), F.col("lead.bits").alias("lead_bits")), "lists")
     stars = lists.where("doc_id <> lead_id").where(_close("bits", "lead_bits")).select(F.col("doc_id").alias("a"), F.col("lead_id").alias("b"))
     links = confirm(docs, stars, size, percent)
-    joined = components(links)
+    joined = stars_joined = components(links)
     labelled = written(lists.select("key", "n", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
     mixed = written(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
     wide = first.select("doc_id", F.col("n_shingles").alias("size"), "bits", F.transform("keys", lambda k: (k % F.lit(1 << 31)).cast("int")).alias("heads"))
     more = _links_across(docs, labelled.join(mixed, "key", "left_semi").join(wide, "doc_id"), size, percent)
     joined = components(links.union(more))
-    for table in (posted, leads, lists, labelled, mixed):
+    for table in (posted, leads, lists, labelled, mixed, links, more, stars_joined):
         drop_written(table)
     out = profiles.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     out = out.join(joined, F.col("class_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "class_id")
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "class_id")
+    found = written(out, "near")
+    drop_written(profiles)
+    drop_written(joined)
+    return found

@@ -17,7 +17,7 @@ them away. By this the model's own segmentation is the only path of finite weigh
 Texts are composed with the machines lazily, many words in step: at each position only the trie states that some
 start reaches are held, and the arcs that end there are relaxed in (min, +). A text is cut into words only between
 characters that no piece holds side by side, so words are independent. Shortest paths of words are kept in a cache
-of CACHE_SLOTS words and CACHE_IDS ids, about 50 MB whatever the corpus.
+of CACHE_SLOTS words and CACHE_IDS ids, about 25 MB whatever the corpus.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows get equal results;
 ids may be null; an empty table gives an empty result; other columns of the input are ignored. A meta symbol in
@@ -40,10 +40,10 @@ from .common import text_chunks, utf8_column
 
 META = "▁"
 UNIGRAM, BPE = 1, 2
-CACHE_SLOTS, CACHE_IDS = 1 << 20, 1 << 22
-PAIR_SLOTS = 1 << 20
+CACHE_SLOTS, CACHE_IDS = 1 << 19, 1 << 21
+PAIR_SLOTS = 1 << 19
 MAX_CACHED = 64  # characters of a word that is cached
-LATTICE = 1 << 21  # positions of the words that are composed in step
+LATTICE = 1 << 19  # positions of the words that are composed in step
 LONG, STRETCH, OVERLAP = 8192, 5040, 128  # characters of words that are taken in stretches
 PART = 1 << 20  # characters of a text that are looked at together
 CUT_BITS = 1 << 24
