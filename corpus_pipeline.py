@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from jobloom.llm import decontam, langid, neardup, piecefst, quality
-from jobloom.llm.common import read_table, tokenizer_path, without_ids, written
+from jobloom.llm.common import drop_written, read_table, tokenizer_path, without_ids, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near copies (five-word shingles, similarity 0.8)."""
-    dropped = written(neardup.near_duplicates(docs).where("not kept").select("doc_id"), "dropped")
+    groups = neardup.near_duplicates(docs)
+    dropped = written(groups.where("not kept").select("doc_id"), "dropped")
+    drop_written(groups)
     return without_ids(docs, "doc_id", dropped)
 
 
@@ -47,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each stage's result is written as Parquet and read again."""
+    """Apply all stages to documents; each stage's result is written as Parquet and read again, and dropped after the next."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+        if k:
+            drop_written(last)
     return STAGES[-1][1](spark, docs, sf_dir)
