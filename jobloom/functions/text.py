@@ -66,7 +66,7 @@ def title_from_slug(c) -> Column:
 
 def summary(c, words: int = 20) -> Column:
     """The first words of a text; a cut text loses trailing .,;: and gains three dots."""
-    parts = F.filter(F.split(blank(c), r"\s+"), lambda w: w != "")
+    parts = F.filter(F.split(blank(c), r"(?U)\s+"), lambda w: w != "")
     return F.when(F.size(parts) <= words, blank(c)).otherwise(F.concat(F.regexp_replace(F.array_join(F.slice(parts, 1, words), " "), "[.,;:]+$", ""), F.lit("...")))
 
 

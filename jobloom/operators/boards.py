@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, column, company_fingerprint
+from .registry import ABSENT
+
+#: Status texts of companies whose board gave no listing.
+NO_CANDIDATES, NO_OPEN_JOBS = "No slug candidates", "No open jobs"
 
 #: Tokens that discovery drops from the end of a name.
 DISCOVERY_SUFFIXES = ("co", "company", "corp", "corporation", "inc", "llc", "service", "services", "enterprise", "enterprises", "group", "holding", "holdings", "management", "technology", "technologies")
@@ -14,14 +18,15 @@ SITE_IDS = ("jobs", "Jobs", "careers", "Careers", "Search", "external", "Externa
 HOSTS = tuple(f"wd{i}" for i in range(1, 6))
 
 
-def match_details(listings: DataFrame, details: DataFrame, keys: list[str], place_ok: Column) -> DataFrame:
+def match_details(listings: DataFrame, details: DataFrame, keys: list[str], place_ok: Column, job_ok: Column | None = None) -> DataFrame:
     """Title-matched listings with their details: adds location_matched and is_match; a missing detail is no job.
 
-    `details` carries the column `has_detail`; filters on the listing side stay below the join.
+    `details` carries the column `has_detail`; filters on the listing side stay below the join. With `job_ok` a
+    place can match without there being a job.
     """
     joined = listings.join(details, keys, "left")
     matched = F.col("title_matched") & F.coalesce(F.col("has_detail"), F.lit(False))
-    return joined.withColumn("location_matched", matched & F.coalesce(place_ok, F.lit(False))).withColumn("is_match", F.col("location_matched"))
+    return joined.withColumn("location_matched", matched & F.coalesce(place_ok, F.lit(False))).withColumn("is_match", F.col("location_matched") & (F.lit(True) if job_ok is None else F.coalesce(job_ok, F.lit(False))))
 
 
 def assess(matches: DataFrame, board: str) -> DataFrame:
@@ -75,15 +80,35 @@ def waterfall_override(assessments: DataFrame, jobs: DataFrame, key: str) -> tup
 def first_success(attempts: DataFrame, key: str) -> DataFrame:
     """First non-empty board in attempt order; a not_found moves on, other errors stop, the last empty board stays.
 
-    attempts: (key, attempt_no, board, outcome, jobs) with outcome ok, not_found or an error text.
+    attempts: (key, attempt_no, board, outcome, jobs) with outcome ok, not_found or an error text. The status is ok or
+    a text that provider_status() reads.
     """
     ok = F.col("outcome") == "ok"
     stops = (ok & (F.col("jobs") > 0)) | ~F.col("outcome").isin("ok", "not_found")
     stop = F.min(F.when(stops, F.struct("attempt_no", "board", "outcome", "jobs"))).alias("stop")
     empty = F.max(F.when(ok & (F.col("jobs") == 0), F.struct("attempt_no", "board"))).alias("empty")
     g = attempts.groupBy(key).agg(stop, empty)
-    status = F.when(F.col("stop.outcome") == "ok", "ok").when(F.col("stop").isNotNull(), F.col("stop.outcome")).when(F.col("empty").isNotNull(), "no open jobs").otherwise("not_found")
-    return g.select(key, F.when(status == "ok", F.col("stop.board")).when(status == "no open jobs", F.col("empty.board")).alias("board"), status.alias("status"))
+    status = F.when(F.col("stop.outcome") == "ok", "ok").when(F.col("stop").isNotNull(), F.col("stop.outcome")).when(F.col("empty").isNotNull(), NO_OPEN_JOBS).otherwise(ABSENT["board1"][0])
+    return g.select(key, F.when(status == "ok", F.col("stop.board")).when(status == NO_OPEN_JOBS, F.col("empty.board")).alias("board"), status.alias("status"))
+
+
+def board_statuses(targets: DataFrame, resolved: DataFrame, assessed: DataFrame, key: str) -> DataFrame:
+    """Each target's status text and counts: the assessment of the board that it resolved to, else why there is none.
+
+    resolved (key, board, status) from first_success(), assessed (board, jobs_seen, matched_job_count, status).
+    """
+    seen = assessed.select(F.col("board"), "jobs_seen", "matched_job_count", F.col("status").alias("__assessed"))
+    out = targets.select(key).join(resolved.select(key, "board", F.col("status").alias("__resolved")), key, "left").join(seen, "board", "left")
+    status = F.when(F.col("__resolved").isNull(), NO_CANDIDATES).when(F.col("__resolved") == "ok", F.coalesce("__assessed", F.lit(NO_OPEN_JOBS))).otherwise(F.col("__resolved"))
+    zero = F.lit(0).cast("long")
+    return out.select(key, "board", status.alias("status"), F.coalesce("jobs_seen", zero).alias("jobs_seen"), F.coalesce("matched_job_count", zero).alias("matched_job_count"))
+
+
+def explicit_targets(names: DataFrame, limit: int | None, key: str, seq: str = "seq") -> DataFrame:
+    """Names asked for one by one: the first `limit` of the list, repeats counted, then one row for each key; no skip tables."""
+    first = names if limit is None else names.orderBy(seq).limit(limit)
+    rest = [c for c in names.columns if c != key]
+    return first.groupBy(key).agg(F.min_by(F.struct(*rest), seq).alias("__r")).select(key, "__r.*")
 
 
 def _listed(*cs) -> Column:

@@ -98,7 +98,7 @@ def prompt_and_answer(text) -> Column:
 
 
 def cleaned(text) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(blank(text), r"^\([^)]*\)", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(blank(text), r"^\([^)]*\)", ""), r"(?U)\s+", " "))
 
 
 def keeps(text, boilerplate: tuple = ("resume honest", "for this posting")) -> Column:
@@ -152,9 +152,19 @@ def two_sections(paragraphs: DataFrame, starts: dict[str, Column], first: int =
 
 
 def supporting_ids(rules: list[tuple[str, Column]], evidence: DataFrame, key: str) -> DataFrame:
-    """(item, ids): sorted distinct ids of the evidence that meets each item's condition."""
+    """(item, key): the distinct ids of the evidence that meets each item's condition, one row each."""
     hit = F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())).alias("item")
-    return evidence.select(key, hit).groupBy("item").agg(F.array_sort(F.collect_set(key)).alias("ids"))
+    return evidence.select(hit, key).distinct()
+
+
+def folded_ids(supporting: DataFrame, key: str) -> DataFrame:
+    """(item, ids): the sorted ids of each item in one row, for profiles whose items have a few thousand pieces at most."""
+    return supporting.groupBy("item").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+
+
+def references(rules: list[tuple[str, Column]]) -> Column:
+    """Sorted distinct names of the rules (name, condition) that a row meets."""
+    return F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())))
 
 
 def tag_entries(evidence: DataFrame, tags: str, key: str, context: Column) -> DataFrame:

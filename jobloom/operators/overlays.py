@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import blank, clean, filled, first_filled, iso_date
 
@@ -173,12 +174,18 @@ def normalise(df: DataFrame, required: list[str], defaults: dict[str, str]) -> D
 
 
 def prefix_ids(df: DataFrame, doc: str, idx: str, mark: str, width: int) -> DataFrame:
-    """Sequential ids in (document, position) order: document counts, their prefix sums, then ranks inside.
+    """Sequential ids in (document, position) order: sums of blocks, of documents in a block, then ranks inside.
 
-    Only one row per document takes part in the running sum; rows are ranked inside their document.
+    A block is 10,000 document numbers, or the documents whose name begins with the same four characters; one row for each
+    block takes part in the only sum over all.
     """
-    counts = df.groupBy(doc).agg(F.count("*").alias("__n"))
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(doc, "__before")
+    name = isinstance(df.schema[doc].dataType, StringType)
+    block = F.substring(doc, 1, 4) if name else F.floor(F.col(doc) / 10_000)
+    counts = df.groupBy(doc).agg(F.count("*").alias("__n")).withColumn("__block", block)
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("__block").agg(F.sum("__n").alias("__n")).select("__block", before(Window.orderBy("__block")).alias("__first"))
+    inside = counts.select(doc, "__block", before(Window.partitionBy("__block").orderBy(doc)).alias("__own"))
+    offsets = inside.join(blocks, inside["__block"].eqNullSafe(blocks["__block"])).select(doc, (F.col("__first") + F.col("__own")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(idx))
     number = F.col("__before") + rank
     return df.join(offsets, doc).withColumn("id", F.concat(F.lit(mark), F.when(F.length(number.cast("string")) >= width, number.cast("string")).otherwise(F.lpad(number.cast("string"), width, "0")))).drop("__before")
@@ -188,3 +195,14 @@ def by_priority(candidates: DataFrame, key: str, priority: str = "priority") ->
     """The usable candidate of lowest priority number for each key."""
     rest = [c for c in candidates.columns if c != key]
     return candidates.groupBy(key).agg(F.min_by(F.struct(*rest), priority).alias("__r")).select(key, "__r.*")
+
+
+def preferred_text(evidence: DataFrame, wanted: DataFrame, key: str, ref: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((key, ref, text): the first wanted piece with a text, (key): those for which there is none, which is an error to report).
+
+    evidence (ref, text), one or more rows for a reference (an id, or a file and location as a struct); wanted (key,
+    pos, ref).
+    """
+    full = evidence.where(F.coalesce(F.trim(F.col(text)), F.lit("")) != "").groupBy(ref).agg(F.min(text).alias(text))
+    found = wanted.join(full, ref).groupBy(key).agg(F.min_by(F.struct(ref, text), "pos").alias("__r")).select(key, f"__r.{ref}", f"__r.{text}")
+    return found, wanted.select(key).distinct().join(found.select(key), key, "left_anti")

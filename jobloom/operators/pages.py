@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -44,6 +45,27 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if isinstance(t, str) else t)
 
 
+def _walked(value):
+    if isinstance(value, str):
+        return html.unescape(value)
+    if isinstance(value, list):
+        return [_walked(x) for x in value]
+    return {k: _walked(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def _json_walked(text):
+    try:
+        return json.dumps(_walked(json.loads(text)), ensure_ascii=False)
+    except (TypeError, ValueError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def unescaped_json(values: pd.Series) -> pd.Series:
+    """JSON text with the character references of every string in it decoded, at any depth; names stay; no JSON is null."""
+    return values.map(_json_walked)
+
+
 @F.pandas_udf(StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """Links joined with the address of their page."""

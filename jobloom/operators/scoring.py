@@ -20,16 +20,18 @@ def top_by_tags(scored: DataFrame, job: str, limit: int = 8) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*order))).where(F.col("rank") <= limit).drop("rn")
 
 
-def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int = 8, bonus: Column | None = None) -> DataFrame:
+def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int = 8, bonus: Column | None = None, job_marks: str | None = None, piece_marks: str | None = None) -> DataFrame:
     """Best pieces of each job by tags, through an inverted index instead of comparing all jobs with all pieces.
 
     jobs (job, family, tags), evidence (evidence_id, organisation, summary, role_tags, skill_tags, strong,
     quantified). Pieces that share no tag with a job can only score by themselves; the `limit` best of them, one
     for each (organisation, summary), stand in for all others, which is exact: whatever ranks above a piece by
-    itself also ranks above it for the job. A bonus may only be given to pairs that share a tag.
+    itself also ranks above it for the job. A bonus may only be given to pairs that share a tag, or a mark: arrays
+    `job_marks` of jobs and `piece_marks` of evidence hold what else a bonus depends on, as words found in a text.
     """
-    wanted = jobs.select(job, F.explode(F.array_distinct(F.concat(F.array("family"), "tags"))).alias("tag"))
-    offered = evidence.select("evidence_id", F.explode(F.array_distinct(F.concat("role_tags", "skill_tags"))).alias("tag"))
+    marked = lambda name: [] if name is None else [F.transform(F.col(name), lambda m: F.concat(F.lit("mark:"), m))]
+    wanted = jobs.select(job, F.explode(F.array_distinct(F.concat(F.array("family"), "tags", *marked(job_marks)))).alias("tag"))
+    offered = evidence.select("evidence_id", F.explode(F.array_distinct(F.concat("role_tags", "skill_tags", *marked(piece_marks)))).alias("tag"))
     own = F.when(F.col("strong"), 2).otherwise(0) + F.when(F.col("quantified"), 1).otherwise(0)
     order = [F.desc("own"), F.desc("strong"), F.desc("evidence_id")]
     first = evidence.withColumn("own", own).withColumn("rn", F.row_number().over(Window.partitionBy("organisation", "summary").orderBy(*order)))
@@ -53,15 +55,28 @@ def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, s
     return pairs.withColumn("score", 3 * F.col("overlap") + F.col(static))
 
 
-def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12) -> DataFrame:
+def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:
     """Best pieces of each job by (score, strong) descending, then input order (seq); scores above 0.
 
-    A piece that shares no token can still win by its own score, so the `limit` best pieces by that score stand in
-    for all the others: that is exact, as no job needs more of them.
+    With arrays `wants` of jobs and `has` of evidence, a pair that shares an element scores `bonus` more. A piece that
+    shares no token can still win by its own score or with the bonus, so the `limit` best pieces by that score, of all
+    and of each element that is wanted, stand in for all the others: that is exact, as no job needs more of them.
     """
-    shared = overlap_scores(jobs, evidence, job, piece, static)
-    best = evidence.orderBy(F.desc(static), F.desc("strong"), "seq").limit(limit).select(piece, static)
-    idle = jobs.select(job).crossJoin(F.broadcast(best)).join(shared.select(job, piece), [job, piece], "left_anti").select(job, piece, F.lit(0).cast("long").alias("overlap"), static, F.col(static).cast("long").alias("score"))
-    every = shared.unionByName(idle).where("score > 0").join(evidence.select(piece, "strong", "seq"), piece)
-    order = Window.partitionBy(job).orderBy(F.desc("score"), F.desc("strong"), "seq")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    a = jobs.select(job, F.explode(F.array_distinct("tokens")).alias("token"))
+    b = evidence.select(piece, F.explode(F.array_distinct("tokens")).alias("token"))
+    order = [F.desc(static), F.desc("strong"), "seq"]
+    best = evidence.orderBy(*order).limit(limit).select(piece)  # at most `limit` rows
+    none = F.lit(0).alias("n")
+    pairs = a.join(b, "token").select(job, piece, F.lit(1).alias("n")).unionByName(jobs.select(job).crossJoin(F.broadcast(best)).select(job, piece, none))
+    own = [piece, F.col(static).alias("__static"), "strong", "seq"]
+    if wants:
+        tagged = evidence.select(*own, F.explode(F.array_distinct(has)).alias("tag")).withColumn("rn", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("__static"), F.desc("strong"), "seq"))).where(F.col("rn") <= limit)
+        pairs = pairs.unionByName(jobs.select(job, F.explode(F.array_distinct(wants)).alias("tag")).join(tagged.select("tag", piece), "tag").select(job, piece, none))
+    every = pairs.groupBy(job, piece).agg(F.sum("n").alias("overlap")).join(evidence.select(*own, *([F.col(has).alias("__has")] if has else [])), piece)
+    score = 3 * F.col("overlap") + F.col("__static")
+    if wants:
+        every = every.join(jobs.select(job, F.col(wants).alias("__wants")), job)
+        score = score + F.when(F.arrays_overlap("__wants", "__has"), bonus).otherwise(0)
+    ranked = Window.partitionBy(job).orderBy(F.desc("score"), F.desc("strong"), "seq")
+    out = every.withColumn("score", score.cast("long")).where("score > 0").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
+    return out.withColumnRenamed("__static", static).drop("__has", "__wants")

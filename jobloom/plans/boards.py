@@ -79,12 +79,39 @@ def g6(spark, sf):
     return final.join(jobs, ["k", "provider"]).select("k", "provider", "jobs")
 
 
-@query("h10_first_success", "WITH a AS (SELECT user_id AS k, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), s AS (SELECT k, min(event_id) AS stop FROM a WHERE event_type IN ('purchase', 'error') GROUP BY 1), e AS (SELECT k, max(event_id) AS last FROM a WHERE event_type = 'signup' GROUP BY 1) SELECT t.k, CASE WHEN x.event_type = 'purchase' THEN 'b' || s.stop WHEN x.event_type IS NULL AND e.last IS NOT NULL THEN 'b' || e.last END AS board, CASE WHEN x.event_type = 'purchase' THEN 'ok' WHEN x.event_type = 'error' THEN 'HTTP 500' WHEN e.last IS NOT NULL THEN 'no open jobs' ELSE 'not_found' END AS status FROM (SELECT DISTINCT k FROM a) t LEFT JOIN s USING (k) LEFT JOIN events x ON x.event_id = s.stop LEFT JOIN e ON e.k = t.k")
+@query("h10_first_success", "WITH a AS (SELECT user_id AS k, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), s AS (SELECT k, min(event_id) AS stop FROM a WHERE event_type IN ('purchase', 'error') GROUP BY 1), e AS (SELECT k, max(event_id) AS last FROM a WHERE event_type = 'signup' GROUP BY 1) SELECT t.k, CASE WHEN x.event_type = 'purchase' THEN 'b' || s.stop WHEN x.event_type IS NULL AND e.last IS NOT NULL THEN 'b' || e.last END AS board, CASE WHEN x.event_type = 'purchase' THEN 'ok' WHEN x.event_type = 'error' THEN 'HTTP 500' WHEN e.last IS NOT NULL THEN 'No open jobs' ELSE 'Greenhouse board not found' END AS status FROM (SELECT DISTINCT k FROM a) t LEFT JOIN s USING (k) LEFT JOIN events x ON x.event_id = s.stop LEFT JOIN e ON e.k = t.k")
 def h10(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("attempt_no"), F.concat(F.lit("b"), "event_id").alias("board"), F.expr("CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'ok' WHEN 'error' THEN 'HTTP 500' ELSE 'not_found' END").alias("outcome"), F.when(F.col("event_type") == "purchase", 3).otherwise(0).alias("jobs"))
     return B.first_success(e, "k")
 
 
+_CHAIN = """WITH a AS (SELECT user_id AS k, event_id, event_type, user_id % 40 AS brand FROM events WHERE user_id % 11 <> 3),
+s AS (SELECT k, min(event_id) AS stop FROM a WHERE event_type IN ('purchase', 'error') GROUP BY 1),
+r AS (SELECT t.k, x.event_type AS how, EXISTS (SELECT 1 FROM a z WHERE z.k = t.k AND z.event_type = 'signup') AS empty FROM (SELECT DISTINCT k FROM a) t LEFT JOIN s USING (k) LEFT JOIN events x ON x.event_id = s.stop),
+b AS (SELECT 'Brand#' || (c_custkey % 40) AS board, c_custkey AS k FROM customer)
+SELECT b.k, CASE WHEN r.k IS NULL THEN 'No slug candidates' WHEN r.how = 'purchase' THEN coalesce(m.status, 'No open jobs') WHEN r.how = 'error' THEN CASE WHEN b.k % 2 = 0 THEN 'HTTP 500' ELSE 'Network error: timed out' END WHEN r.empty THEN 'No open jobs' ELSE 'Greenhouse board not found' END AS status,
+CASE WHEN r.how = 'purchase' THEN coalesce(m.jobs_seen, 0) ELSE 0 END AS jobs_seen,
+CASE WHEN r.how = 'error' AND b.k % 2 = 1 THEN 'needs_retry' WHEN r.k IS NOT NULL AND r.how IS NULL AND NOT r.empty THEN 'not_found' ELSE 'confirmed' END AS board1
+FROM b LEFT JOIN r USING (k) LEFT JOIN (SELECT * FROM """ + _ASSESS + """ q) m ON m.p_brand = b.board"""
+
+
+@query("f2_status_chain", _CHAIN)
+def f2_chain(spark, sf):
+    """Attempts to a resolved board, its assessment, the status text and what the registry makes of it."""
+    e = table(spark, sf, "events").where("user_id % 11 <> 3")
+    outcome = F.expr("CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'ok' WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'HTTP 500' ELSE 'Network error: timed out' END ELSE 'not_found' END")
+    attempts = e.select(F.col("user_id").alias("k"), F.col("event_id").alias("attempt_no"), F.concat(F.lit("Brand#"), F.col("user_id") % 40).alias("board"), outcome.alias("outcome"), F.when(F.col("event_type") == "purchase", 3).otherwise(0).alias("jobs"))
+    targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    assessed = B.assess(slice_matches(spark, sf), "p_brand").withColumnRenamed("p_brand", "board")
+    out = B.board_statuses(targets, B.first_success(attempts, "k"), assessed, "k")
+    return out.select("k", "status", "jobs_seen", R.provider_status("status", "board1").alias("board1"))
+
+
+@query("e7_explicit_list", "SELECT k, min(seq) AS seq FROM (SELECT s_nationkey AS k, s_suppkey AS seq FROM supplier ORDER BY s_suppkey LIMIT 40) GROUP BY 1")
+def e7_explicit(spark, sf):
+    return B.explicit_targets(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("seq")), 40, "k")
+
+
 @query("l1_slug_candidates", "SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'hinted' END, 'acme' || s_suppkey || 'labs', 'acme-' || s_suppkey || '-labs', 'acme_' || s_suppkey || '_labs', 'acme', 'acmelabs', 'acme-labs'], lambda x: x IS NOT NULL), '|') AS slugs FROM supplier")
 def l1(spark, sf):
     hints = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("-hinted_")))

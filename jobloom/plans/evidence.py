@@ -59,13 +59,25 @@ def d12(spark, sf):
 _QA = "CASE idx % 4 WHEN 0 THEN 'Why (so)I ' || text WHEN 1 THEN 'How? Because ' || text WHEN 2 THEN text || '?' ELSE text END"
 
 
-@query("d13_prompts", r"SELECT doc, idx, CASE idx % 4 WHEN 0 THEN 'Why (so)' WHEN 1 THEN 'How?' END AS prompt, md5(CASE idx % 4 WHEN 0 THEN trim('I ' || text) WHEN 1 THEN trim('Because ' || text) WHEN 2 THEN text || '?' ELSE text END) AS answer, idx % 4 = 2 OR regexp_matches(CASE idx % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'H' ELSE trim(text) END, '^[1-9]\.') AS question FROM " + LINES + " WHERE NOT contains(text, '?') AND NOT regexp_matches(text, '[)](I|At|One) ')")
+def _prompt_sql(t: str) -> str:
+    """Rows doc, idx, prompt, answer, question of a text expression, by the ordered marks and else the last question mark."""
+    at = lambda m: f"strpos(t, '{m}')"
+    prompt = " ".join(f"WHEN {at(m)} > 0 THEN trim(substr(t, 1, {at(m)}))" for m in E.ANSWER_MARKS)
+    answer = " ".join(f"WHEN {at(m)} > 0 THEN trim(regexp_replace(substr(t, {at(m)} + 1), '^[ )]+', ''))" for m in E.ANSWER_MARKS)
+    inner = "contains(t, '?') AND NOT trim(t) LIKE '%?' AND trim(substr(t, q + 1)) <> ''"
+    return f"""SELECT doc, idx, CASE {prompt} WHEN {inner} THEN trim(substr(t, 1, q - 1)) || '?' END AS prompt,
+      md5(CASE {answer} WHEN {inner} THEN trim(substr(t, q + 1)) ELSE t END) AS answer,
+      trim(t) LIKE '%?' OR regexp_matches(trim(t), '^[1-9]\\.') AS question
+      FROM (SELECT doc, idx, t, CASE WHEN contains(t, '?') THEN length(t) - strpos(reverse(t), '?') + 1 ELSE length(t) + 1 END AS q FROM (SELECT doc, idx, coalesce({t}, '') AS t FROM {LINES}))"""
+
+
+@query("d13_prompts", _prompt_sql(_QA))
 def d13(spark, sf):
-    p = lines(spark, sf).where("not contains(text, '?') and not text rlike '[)](I|At|One) '").withColumn("qa", F.expr(_QA))
+    p = lines(spark, sf).withColumn("qa", F.expr(_QA))
     return p.select("doc", "idx", E.prompt_and_answer("qa").alias("x"), (E.is_question("qa")).alias("question")).select("doc", "idx", "x.prompt", F.md5("x.answer").alias("answer"), "question")
 
 
-@query("d13_prompts_all")
+@query("d13_prompts_all", _prompt_sql("text"))
 def d13_all(spark, sf):
     """d13 over all lines as they are, with the prompts that they hold themselves."""
     p = lines(spark, sf)
@@ -77,8 +89,7 @@ def d14(spark, sf):
     d = table(spark, sf, "documents")
     text = F.col("text")
     rules = [("ref_a", text.contains("the")), ("ref_b", text.contains("tion") & (F.col("lang") == "en")), ("ref_c", text.contains("ung")), ("ref_a", F.col("source") == "src1")]
-    refs = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())))
-    return d.select("doc_id", F.array_join(refs, "|").alias("refs"))
+    return d.select("doc_id", F.array_join(E.references(rules), "|").alias("refs"))
 
 
 @query("d15_kept_evidence", rf"SELECT doc, idx, md5(c) AS digest FROM (SELECT doc, idx, trim(regexp_replace(regexp_replace('(n' || idx || ') ' || text, '^\([^)]*\)', ''), '\s+', ' ', 'g')) AS c FROM {LINES}) WHERE length(trim(c)) >= 20 AND NOT (contains(c, '@') AND NOT contains(c, ' ')) AND NOT starts_with(c, 'http') AND NOT regexp_matches(lower(c), '^(location:|mobile:|email:|linkedin:|website:|github|\+1 \(|dear hiring|sincerely)') AND NOT (c LIKE '%?' OR regexp_matches(c, '^[1-9]\.')) AND NOT contains(lower(c), 'resume honest') AND NOT contains(lower(c), 'for this posting')")
@@ -126,10 +137,16 @@ def h3(spark, sf):
 @query("f5_supporting_ids", "SELECT item, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM (SELECT doc_id, 'toxic' AS item FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT doc_id, 'good' FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang = 'en') GROUP BY 1")
 def f5(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    s = E.supporting_ids([("toxic", F.col("toxic") == 1), ("good", (F.col("quality") == 1) & (F.col("lang") == "en"))], d, "doc_id")
+    s = E.folded_ids(E.supporting_ids([("toxic", F.col("toxic") == 1), ("good", (F.col("quality") == 1) & (F.col("lang") == "en"))], d, "doc_id"), "doc_id")
     return s.select("item", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
 
 
+@query("f5_supporting_rows", "SELECT DISTINCT 'toxic' AS item, doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT DISTINCT 'good', doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang = 'en'")
+def f5_rows(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return E.supporting_ids([("toxic", F.col("toxic") == 1), ("good", (F.col("quality") == 1) & (F.col("lang") == "en"))], d, "doc_id")
+
+
 @query("f6_tag_entries", f"WITH t AS (SELECT doc_id, source, unnest(string_split({tag_sql('text')}, '|')) AS tag FROM documents) SELECT tag, count(DISTINCT doc_id) AS n_ids, array_to_string(list_sort(list(DISTINCT source)), ',') AS contexts FROM t WHERE tag <> '' GROUP BY 1")
 def f6(spark, sf):
     d = table(spark, sf, "documents").withColumn("t", tags("text", TAGS))
@@ -146,10 +163,10 @@ def f7(spark, sf):
 _BT = f"list_filter(list_distinct(string_split({S.match('text')}, ' ')), lambda w: length(w) >= 3)"
 
 
-@query("e12_token_overlap", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents WHERE source = 'src3') SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id")
+@query("e12_token_overlap", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents) SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id")
 def e12(spark, sf):
     jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))
-    ev = table(spark, sf, "documents").where("source = 'src3'").select("doc_id", (F.col("doc_id") % 3).alias("static"), tokens("text").alias("tokens"))
+    ev = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("static"), tokens("text").alias("tokens"))
     return scoring.overlap_scores(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "overlap", "score")
 
 
@@ -169,6 +186,20 @@ def h5(spark, sf):
     return scoring.top_by_overlap(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_H5F = ["['x', 'y']", "['z']", "['none']"]
+
+
+@query("h5_family_bonus", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents), s AS (SELECT item_id, doc_id, count(*) AS overlap FROM a JOIN b USING (token) GROUP BY ALL), e AS (SELECT i.item_id, d.doc_id, 3 * coalesce(s.overlap, 0) + CASE WHEN d.doc_id % 5 = 0 THEN 4 ELSE 0 END + 2 + CASE WHEN list_has_any(CASE i.item_id % 3 WHEN 0 THEN {_H5F[0]} WHEN 1 THEN {_H5F[1]} ELSE {_H5F[2]} END, CASE d.doc_id % 4 WHEN 0 THEN ['x'] WHEN 1 THEN ['y', 'z'] WHEN 2 THEN ['z'] ELSE []::VARCHAR[] END) THEN 6 ELSE 0 END AS score, d.doc_id % 5 = 0 AS strong FROM benchmark i CROSS JOIN documents d LEFT JOIN s USING (item_id, doc_id)) SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, strong DESC, doc_id) AS rank FROM e WHERE score > 0) WHERE rank <= 12")
+def h5_bonus(spark, sf):
+    """h5 with the bonus of the job's family: tags that it wants and pieces have."""
+    wants = F.expr("CASE item_id % 3 WHEN 0 THEN array('x', 'y') WHEN 1 THEN array('z') ELSE array('none') END")
+    has = F.expr("CASE doc_id % 4 WHEN 0 THEN array('x') WHEN 1 THEN array('y', 'z') WHEN 2 THEN array('z') ELSE array() END").cast("array<string>")
+    jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"), wants.alias("wants"))
+    static = (F.when(F.col("doc_id") % 5 == 0, 4).otherwise(0) + 2).cast("long")
+    ev = table(spark, sf, "documents").select("doc_id", static.alias("static"), (F.col("doc_id") % 5 == 0).alias("strong"), F.col("doc_id").alias("seq"), tokens("text").alias("tokens"), has.alias("has"))
+    return scoring.top_by_overlap(jobs, ev, "item_id", "doc_id", "static", wants="wants", has="has").select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _PT = "list_distinct([p_type, CASE WHEN p_size > 25 THEN 'big' ELSE 'little' END, split_part(p_name, ' ', 1)])"
 
 
@@ -183,6 +214,18 @@ def h4(spark, sf):
     return top.select("job", F.col("evidence_id").alias("id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("h4_text_bonus", "WITH e AS (SELECT p_partkey AS id, p_brand AS org, p_name AS summary, p_type, p_size % 2 = 0 AS strong, p_size % 5 = 0 AS q, contains(lower(p_name), 'ring') OR contains(lower(p_name), 'hot') AS says FROM part), j AS (SELECT n_nationkey AS job, CASE n_nationkey % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'support' ELSE 'SMALL' END AS family FROM nation), s AS (SELECT job, id, org, summary, strong, CASE WHEN p_type = family THEN 5 ELSE 0 END + CASE WHEN strong THEN 2 ELSE 0 END + CASE WHEN q THEN 1 ELSE 0 END + CASE WHEN family = 'support' AND says THEN 4 ELSE 0 END AS score FROM e CROSS JOIN j), o AS (SELECT *, row_number() OVER (PARTITION BY job, org, summary ORDER BY score DESC, strong DESC, id DESC) AS rn FROM s WHERE score > 0) SELECT job, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY score DESC, strong DESC, id DESC) AS rank FROM o WHERE rn = 1) WHERE rank <= 8")
+def h4_bonus(spark, sf):
+    """h4 with a bonus for words in the text of pieces that share no tag with the job."""
+    says = F.lower("p_name").contains("ring") | F.lower("p_name").contains("hot")
+    none = F.array().cast("array<string>")
+    ev = table(spark, sf, "part").select(F.col("p_partkey").alias("evidence_id"), F.col("p_brand").alias("organisation"), F.col("p_name").alias("summary"), F.array("p_type").alias("role_tags"), none.alias("skill_tags"), (F.col("p_size") % 2 == 0).alias("strong"), (F.col("p_size") % 5 == 0).alias("quantified"), F.when(says, F.array(F.lit("words"))).otherwise(none).alias("says"))
+    family = F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'PROMO' WHEN 1 THEN 'support' ELSE 'SMALL' END")
+    jobs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("job"), family.alias("family"), none.alias("tags"), F.when(family == "support", F.array(F.lit("words"))).otherwise(none).alias("asks"))
+    top = scoring.select_by_tags(jobs, ev, "job", bonus=F.when(F.arrays_overlap("asks", "says"), 4).otherwise(0), job_marks="asks", piece_marks="says")
+    return top.select("job", F.col("evidence_id").alias("id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("j2_tag_sets", f"SELECT p_partkey, array_to_string(list_sort(list_intersect({_PT}, ['big', 'red', 'PROMO'])), '|') AS shared, len(list_filter({_PT}, lambda x: x NOT IN ('big', 'red'))) AS rest FROM part")
 def j2(spark, sf):
     t = F.array("p_type", F.when(F.col("p_size") > 25, "big").otherwise("little"), F.substring_index("p_name", " ", 1))

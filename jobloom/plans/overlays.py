@@ -194,6 +194,25 @@ def e13(spark, sf):
     return parts.join(wanted, "p_type").groupBy("p_brand").agg(F.min_by("text", F.struct("pos", "p_partkey")).alias("text"))
 
 
+_PREF = "(SELECT c_custkey AS k, i AS pos, c_custkey * i % 997 AS ref FROM customer, (VALUES (1), (2), (3)) v(i))"
+
+
+@query("e13_preferred_ids", f"SELECT k, arg_min(ref, pos) AS ref, arg_min(text, pos) AS text FROM {_PREF} w JOIN (SELECT p_partkey AS ref, min(p_name) AS text FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) e USING (ref) GROUP BY 1")
+def e13_ids(spark, sf):
+    return _preferred(spark, sf)[0]
+
+
+@query("e13_missing_ids", f"SELECT DISTINCT k FROM {_PREF} w WHERE k NOT IN (SELECT k FROM {_PREF} x WHERE ref IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0))")
+def e13_missing(spark, sf):
+    return _preferred(spark, sf)[1]
+
+
+def _preferred(spark, sf):
+    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pos")).withColumn("ref", F.col("k") * F.col("pos") % 997)
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("ref"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(" ").alias("text"))
+    return O.preferred_text(parts, wanted, "k", "ref", "text")
+
+
 @query("e14_source_precedence", "SELECT k, arg_min(src, p) AS src FROM (SELECT c_custkey AS k, 1 AS p, 'snapshot' AS src FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, 2, 'page' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT c_custkey, 4, 'fallback' FROM customer) GROUP BY 1")
 def e14(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")

@@ -61,3 +61,13 @@ def c9(spark, sf):
 @query("b14_unescaped", "SELECT page_id, 'a & b <' || page_id || '> é' AS text FROM pages")
 def b14(spark, sf):
     return table(spark, sf, "pages").select("page_id", clean(P.unescaped(F.concat(F.lit("a &amp; b &lt;"), "page_id", F.lit("&gt; &eacute;")))).alias("text"))
+
+
+@query("b14_unescaped_json", "SELECT doc_id, md5(text) AS text, lang, n_chars::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def b14_json(spark, sf):
+    """The texts of documents, escaped as references inside nested JSON, and read back from it."""
+    code = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    d = table(spark, sf, "documents").where("text is not null and lang is not null")
+    value = F.to_json(F.struct(F.struct(F.array(F.struct(code(F.col("text")).alias("t"), "n_chars")).alias("list")).alias("in"), code(F.col("lang")).alias("l")))
+    read = F.from_json(P.unescaped_json(value), "`in` struct<list: array<struct<t: string, n_chars: bigint>>>, l string")
+    return d.select("doc_id", read.alias("v")).select("doc_id", F.md5(F.col("v.in.list")[0]["t"]).alias("text"), F.col("v.l").alias("lang"), F.col("v.in.list")[0]["n_chars"].alias("n_chars"))

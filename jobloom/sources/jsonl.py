@@ -44,15 +44,24 @@ def canonical_lines(df: DataFrame) -> DataFrame:
 
 
 def write_canonical(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Sorted canonical lines, written beside the target and then renamed over it; returns the row count."""
+    """Sorted canonical lines, written beside the target; the old table is moved aside first and deleted last; returns the row count.
+
+    A crash at any point leaves the old or the new table, at `path` or beside it as `path.old` until the next write.
+    """
     spark = df.sparkSession
     staging = f"{path}.{uuid.uuid4().hex}"
     canonical_lines(df.orderBy(*keys)).write.text(staging)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(staging), hadoop(path)):
+    target, old = hadoop(path), hadoop(f"{path}.old")
+    if fs.exists(target):
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"could not move {path} aside")
+    if not fs.rename(hadoop(staging), target):
+        fs.rename(old, target)
         raise OSError(f"could not move {staging} to {path}")
+    fs.delete(old, True)
     return spark.read.text(path).count()
 
 
