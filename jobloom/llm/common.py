@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -98,6 +99,18 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BY
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a batch has taken and freed to the system: Python workers live on, and add to their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+#: Only the GNU C library has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 BITMAP_MAX_BITS = 1 << 27
