@@ -99,14 +99,22 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BY
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
-    give_back()
+    _give_back(len(raw))
 
 
-def give_back() -> None:
-    """Return memory that a batch has taken and freed to the system: Python workers live on, and add to their executor's memory."""
-    pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
+GIVE_BACK_BYTES = 1 << 23
+_read = 0
+
+
+def _give_back(size: int) -> None:
+    """Return freed memory to the system now and then: Python workers live on, and add to their executor's memory."""
+    global _read
+    _read += size
+    if _read > GIVE_BACK_BYTES:
+        _read = 0
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
 
 
 #: Only the GNU C library has it.

@@ -291,10 +291,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         raise ValueError(f"the match threshold is made for {MIN_PERCENT} percent or more")
     profiles = written(_profiles(docs, size), "profiles")
     real = profiles.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
+    # tables that joins read are written first, so that a join reads two plain shuffles and Spark can split a hot key
+    classes = written(real.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
     first = real.join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
     posted = written(first.select("doc_id", "bits", F.explode("keys").alias("key")), "posted")
-    # written, so that the join reads two plain shuffles and Spark can split a hot key
     leads = written(posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "bits")).alias("lead")).where("n > 1"), "leads")
     lists = written(posted.join(leads, "key").select("key", "n", "doc_id", "bits", F.col("lead.doc_id").alias("lead_id"), F.col("lead.bits").alias("lead_bits")), "lists")
     stars = lists.where("doc_id <> lead_id").where(_close("bits", "lead_bits")).select(F.col("doc_id").alias("a"), F.col("lead_id").alias("b"))
@@ -312,6 +312,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     out = out.join(joined, F.col("class_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "class_id"))
     out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "class_id")
     found = written(out, "near")
-    drop_written(profiles)
-    drop_written(joined)
+    for table in (profiles, classes, joined):
+        drop_written(table)
     return found
