@@ -8,12 +8,14 @@ except the most frequent ones of the corpus (ties by hash), fewer than that numb
 Documents that hold enough seeds are aligned with the item around each hit, as far as gaps can carry the passage.
 Before aligning, pairs are passed over only if the seeds or words that item and passage share cannot reach it.
 
-Test items are taken in blocks of BLOCK_ITEMS, each broadcast in turn, so the broadcast size is bounded whatever
-the benchmark's size; all documents meet all items.
+Test items are taken in blocks of about BLOCK_BYTES of text and BLOCK_ITEMS items, each broadcast in turn, so the
+broadcast size is bounded whatever the benchmark's size (a longer item is a block of its own); all documents meet all
+items, in two scans for each block.
 
 Defined results: null, empty or wordless texts and items match nothing; items too short for
-larger n-grams are seeded by their words; repeated rows of documents give repeated pairs, repeated item ids are all tried; ids
-may be null; other columns are ignored; an empty table on either side gives no pairs.
+larger n-grams are seeded by their words; repeated rows of documents give repeated pairs, repeated rows of items count once,
+and items with equal ids and different texts are all tried; ids may be null; other columns are ignored; an empty table on
+either side gives no pairs.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import text_chunks, utf8_column
+from .common import text_chunks, utf8_column, without_ids, written
 
 NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.6
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES, BLOCK_ITEMS = 1 << 25, 200_000
 MAX_HITS = 1 << 21  # pairs of a hit and a seed that are looked at together
 PAIRS = "doc_id long, item_id long, similarity double, first_word long, last_word long"
 
@@ -245,14 +247,21 @@ def _leaks_of(block: Items, w: V.Words, at: np.ndarray, spot: np.ndarray, repeat
     return rows
 
 
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """Blocks of test items by a hash of id and text: item_id, text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    blocks = max(-(-n // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct() for k in range(blocks)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Leaking pairs: doc_id, item_id, similarity, first_word, last_word (0-based words of the document)."""
     spark = docs.sparkSession
-    blocks = -(-benchmark.count() // BLOCK_ITEMS)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for k in range(blocks):
-        block = build_items(own, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), similarity)
+    for items in _blocks(benchmark):
+        block = build_items(own, items, similarity)
         if block is None:
             continue
         shared = spark.sparkContext.broadcast(block)
@@ -270,23 +279,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     return spark.createDataFrame([], PAIRS) if out is None else out
 
 
+def _filtered(docs: DataFrame, shared, similarity: float, leaking: bool) -> DataFrame:
+    """The documents that leak an item of a block, or those that do not."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, off in text_chunks(batch):
+                take = np.full(hi - lo, not leaking)
+                take[[r[0] for r in find_leaks(shared.value, buf, off, similarity)]] = leaking
+                yield batch.slice(lo, hi - lo).filter(pa.array(take))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents (all their columns) that leak no item; rows are tested in place, texts are not shuffled."""
-    spark = docs.sparkSession
-    blocks = -(-benchmark.count() // BLOCK_ITEMS)
-    own = docs.select("doc_id", "text")
-    for k in range(blocks):
-        block = build_items(own, benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), similarity)
+    """The documents (all their columns) that leak no item.
+
+    Rows are tested in place. With more than one block of items, the leaking rows' hashes (of id and text) are written block by
+    block and taken out in one last scan, so no task holds two blocks; texts are not shuffled, but for those that may leak.
+    """
+    context, own = docs.sparkSession.sparkContext, docs.select("doc_id", "text")
+    parts = _blocks(benchmark)
+    if len(parts) <= 1:
+        block = build_items(own, parts[0], similarity) if parts else None
+        return docs if block is None else _filtered(docs, context.broadcast(block), similarity, leaking=False)
+    key = F.xxhash64("doc_id", "text")
+    gone = None
+    for items in parts:
+        block = build_items(own, items, similarity)
         if block is None:
             continue
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for lo, hi, buf, off in text_chunks(batch):
-                    clean = np.ones(hi - lo, bool)
-                    clean[[r[0] for r in find_leaks(shared.value, buf, off, similarity)]] = False
-                    yield batch.slice(lo, hi - lo).filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        shared = context.broadcast(block)
+        part = written(_filtered(own, shared, similarity, leaking=True).select(key.alias("key")), "leaking")
+        shared.destroy()
+        gone = part if gone is None else gone.unionByName(part)
+    return docs if gone is None else without_ids(docs.withColumn("__leak_key", key), "__leak_key", gone).drop("__leak_key")

@@ -377,6 +377,23 @@ def test_dense_edits_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
+def test_blocks_of_items_change_no_result(spark, monkeypatch):
+    """Many small blocks, with repeated rows of items, null and empty ones, repeated and odd documents."""
+    docs, items = read_table(spark, SF, "documents"), read_table(spark, SF, "benchmark")
+    items = items.select(F.col("item_id"), "text").unionByName(items.select("item_id", "text").limit(5))
+    items = items.unionByName(spark.createDataFrame([(None, None), (7, ""), (None, "?!")], "item_id long, text string"))
+    odd = spark.createDataFrame([(None, None), (3, ""), (3, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd).unionByName(docs.select("doc_id", "text").where("doc_id < 20"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    pairs, kept = rows(decontam.leaks(docs, items)), rows(decontam.keep_clean(docs, items))
+    leaked = {r["doc_id"] for r in decontam.leaks(docs, items).collect()}
+    assert pairs and kept == sorted(str(r) for r in docs.collect() if r["doc_id"] not in leaked)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", items.agg(F.sum(F.octet_length("text"))).first()[0] // 3)
+    assert len(decontam._blocks(items)) > 2
+    assert rows(decontam.leaks(docs, items)) == pairs
+    assert rows(decontam.keep_clean(docs, items)) == kept
+
+
 # 5 near duplicates
 
 
