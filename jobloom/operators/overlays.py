@@ -6,6 +6,8 @@ uses max_by / min_by, so partial results are combined before the shuffle and no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,6 +26,12 @@ def last_by(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order) if isinstance(order, str) else order).alias("__r")).select(*keys, "__r.*")
 
 
+def last_keyed(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
+    """last_by() of the rows that have a key: rows with a null or blank key column are dropped."""
+    has_key = reduce(lambda a, b: a & b, [clean(F.col(k).cast("string")) != "" for k in keys])
+    return last_by(df.where(has_key), keys, order)
+
+
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key, and how many rows there were (seen)."""
     rest = [c for c in df.columns if c not in keys]

@@ -48,8 +48,8 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def unsupported(required: DataFrame, supported: DataFrame, item: str) -> DataFrame:
-    """Required items with no supporting id."""
-    return required.join(supported.where(F.size("ids") > 0), item, "left_anti")
+    """Required items with no supporting id; supported has a row for each item and id, null where there is none."""
+    return required.join(supported.where(F.col("id").isNotNull()).select(item).distinct(), item, "left_anti")
 
 
 def count_violations(counts: DataFrame, expected: DataFrame, family: str) -> DataFrame:

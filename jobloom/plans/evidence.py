@@ -163,16 +163,13 @@ def f7(spark, sf):
 _BT = f"list_filter(list_distinct(string_split({S.match('text')}, ' ')), lambda w: length(w) >= 3)"
 
 
-@query("e12_token_overlap", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents) SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id")
-def e12(spark, sf):
-    jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))
-    ev = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("static"), tokens("text").alias("tokens"))
-    return scoring.overlap_scores(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "overlap", "score")
+_E12 = f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents) SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id"
 
 
-@query("e12_token_overlap_all", f"WITH a AS (SELECT item_id, unnest({_BT}) AS token FROM benchmark), b AS (SELECT doc_id, unnest({_BT}) AS token FROM documents) SELECT item_id, doc_id, count(*) AS overlap, 3 * count(*) + any_value(doc_id % 3) AS score FROM a JOIN b USING (token) GROUP BY item_id, doc_id")
-def e12_all(spark, sf):
-    """e12 over the documents of all sources."""
+@query("e12_token_overlap", _E12)
+@query("e12_token_overlap_all", _E12)
+def e12(spark, sf):
+    """Documents of all sources; registered under both of its names."""
     jobs = table(spark, sf, "benchmark").select("item_id", tokens("text").alias("tokens"))
     ev = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("static"), tokens("text").alias("tokens"))
     return scoring.overlap_scores(jobs, ev, "item_id", "doc_id", "static").select("item_id", "doc_id", "overlap", "score")

@@ -17,7 +17,9 @@ def _events(spark, sf):
 
 @query("g1_last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq FROM events WHERE user_id % 7 <> 0 GROUP BY 1")
 def g1(spark, sf):
-    return O.last_by(_events(spark, sf).where("user_id % 7 <> 0").select("user_id", "event_type", "seq"), ["user_id"], "seq")
+    """All events; every seventh user's have a blank key, and the operator drops them."""
+    key = F.expr("CASE WHEN user_id % 7 = 0 THEN '  ' ELSE CAST(user_id AS STRING) END")
+    return O.last_keyed(_events(spark, sf).select(key.alias("user_id"), "event_type", "seq"), ["user_id"], "seq").withColumn("user_id", F.col("user_id").cast("long"))
 
 
 @query("g1_last_wins_all", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq FROM events GROUP BY 1")

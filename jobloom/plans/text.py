@@ -26,16 +26,13 @@ def b3(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", T.company_fingerprint(name).alias("fp"), T.compact_key(name).alias("compact"))
 
 
-@query("b4_canonical_name", f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Vendor ' || s_suppkey ELSE {S.clean(S.variants('s_name', 's_suppkey'))} END AS canonical_name FROM supplier WHERE s_suppkey % 6 <> 5")
-def b4(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey % 6 <> 5").withColumn("name", F.expr(S.variants("s_name", "s_suppkey")))
-    aliases = s.where("s_suppkey % 3 = 0").select(T.company_fingerprint("name").alias("fingerprint"), F.concat(F.lit("Vendor "), F.col("s_suppkey")).alias("canonical"))
-    return T.canonical_name(s, "name", aliases).select("s_suppkey", "canonical_name")
+_B4 = f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Vendor ' || s_suppkey ELSE {S.clean(S.variants('s_name', 's_suppkey'))} END AS canonical_name FROM supplier"
 
 
-@query("b4_canonical_name_all", f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Vendor ' || s_suppkey ELSE {S.clean(S.variants('s_name', 's_suppkey'))} END AS canonical_name FROM supplier")
-def b4_all(spark, sf):
-    """b4 over all suppliers, those without a name of their own too."""
+@query("b4_canonical_name", _B4)
+@query("b4_canonical_name_all", _B4)
+def b4(spark, sf):
+    """All suppliers, those without a name of their own too; registered under both of its names."""
     s = table(spark, sf, "supplier").withColumn("name", F.expr(S.variants("s_name", "s_suppkey")))
     aliases = s.where("s_suppkey % 3 = 0").select(T.company_fingerprint("name").alias("fingerprint"), F.concat(F.lit("Vendor "), F.col("s_suppkey")).alias("canonical"))
     return T.canonical_name(s, "name", aliases).select("s_suppkey", "canonical_name")

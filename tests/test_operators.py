@@ -255,3 +255,8 @@ def test_queries_on_all_rows_leave_none_out(spark):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     assert count("g1_last_wins_all") == read("events").select("user_id").distinct().count() > count("g1_last_wins")
     assert count("b4_canonical_name_all") == read("supplier").count() > count("b4_canonical_name")
+
+
+def test_last_keyed_drops_rows_without_a_key(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "z", 2), (None, "n", 4), (" \t", "b", 5), ("", "e", 6)], "k string, v string, seq int")
+    assert [(r["k"], r["v"]) for r in overlays.last_keyed(rows, ["k"], "seq").collect()] == [("a", "y")]
