@@ -43,16 +43,31 @@ def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int =
     return top_by_tags(scored.withColumn("score", score), job, limit)
 
 
+def _matches(jobs: DataFrame, pieces: DataFrame, job: str, piece: str, carried: list[str]) -> DataFrame:
+    """(job, piece, overlap, carried columns) of all pairs that share an entry of `entries`, an inverted index.
+
+    An entry is (kind, token); only those of kind 0 count. Pieces are dealt by their id first, so all entries of a pair meet
+    where its piece is: pairs are counted in place and only pieces are shuffled, however many pairs a frequent token makes.
+    Entries of jobs are broadcast where Spark finds them small enough, and joined by token otherwise. The outer explode keeps
+    Spark from adding a filter that makes all tokens a second time; its empty entries join nothing.
+    """
+    a = jobs.select(job, F.explode_outer("entries").alias("entry")).select(job, "entry.*")
+    b = pieces.where(F.col(piece).isNotNull()).repartition(piece).select(piece, *carried, F.explode_outer("entries").alias("entry")).select(piece, *carried, "entry.*")
+    return b.join(a, ["kind", "token"]).groupBy(piece, job).agg(F.count_if(F.col("kind") == 0).alias("overlap"), *[F.first(c).alias(c) for c in carried])
+
+
+def _entries(kind: int, tokens: Column) -> Column:
+    return F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+
+
 def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str) -> DataFrame:
     """(job, piece, overlap, score): 3 for each shared token plus the piece's own score, for pairs that share a token.
 
-    Both sides have (id, tokens); evidence also has its static score. Tokens are joined as an inverted index
-    instead of comparing every job with every piece; partial counts are combined before the shuffle.
+    Both sides have (id, tokens); evidence also has its static score. Ids of evidence are unique; rows without one, or without
+    tokens, are in no pair. Every pair is a row of the result; `top_by_overlap` ranks pairs without shuffling them.
     """
-    a = jobs.select(job, F.explode(F.array_distinct("tokens")).alias("token"))
-    b = evidence.select(piece, static, F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = a.join(b, "token").groupBy(job, piece).agg(F.count("*").alias("overlap"), F.first(static).alias(static))
-    return pairs.withColumn("score", 3 * F.col("overlap") + F.col(static))
+    pairs = _matches(jobs.select(job, _entries(0, F.col("tokens")).alias("entries")), evidence.select(piece, static, _entries(0, F.col("tokens")).alias("entries")), job, piece, [static])
+    return pairs.select(job, piece, "overlap", static, (3 * F.col("overlap") + F.col(static)).alias("score"))
 
 
 def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:
@@ -60,19 +75,25 @@ def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, s
 
     With arrays `wants` of jobs and `has` of evidence, a pair that shares an element scores `bonus` more. A piece that
     shares no token can still win by its own score or with the bonus, so the `limit` best pieces by that score, of all
-    and of each element that is wanted, stand in for all the others: that is exact, as no job needs more of them.
+    and of each element that is wanted, stand in for all the others: that is exact, as no job needs more of them. They are
+    marked with entries of their own. Pieces are dealt by id (those without one are left out), and each task hands on its
+    `limit` best of each job, so a token that all pieces hold costs counting in place and no shuffle. Null arrays are empty.
     """
-    a = jobs.select(job, F.explode(F.array_distinct("tokens")).alias("token"))
-    b = evidence.select(piece, F.explode(F.array_distinct("tokens")).alias("token"))
-    order = [F.desc(static), F.desc("strong"), "seq"]
-    best = evidence.orderBy(*order).limit(limit).select(piece)  # at most `limit` rows
-    none = F.lit(0).alias("n")
-    pairs = a.join(b, "token").select(job, piece, F.lit(1).alias("n")).unionByName(jobs.select(job).crossJoin(F.broadcast(best)).select(job, piece, none))
-    own = [piece, F.col(static).alias("__static"), "strong", "seq"]
+    none = F.array().cast("array<struct<kind:int,token:string>>")
+    order = [F.desc("__static"), F.desc("strong"), "seq"]
+    own = evidence.select(piece, F.col(static).alias("__static"), "strong", "seq", "tokens", *([F.col(has).alias("__has")] if has else []))
+    marks = own.orderBy(*order).limit(limit).select(piece, F.lit(1).alias("kind"), F.lit("").alias("token"))  # at most `limit` rows
+    asked = _entries(0, F.col("tokens")), _entries(1, F.array(F.lit("")))
     if wants:
-        tagged = evidence.select(*own, F.explode(F.array_distinct(has)).alias("tag")).withColumn("rn", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("__static"), F.desc("strong"), "seq"))).where(F.col("rn") <= limit)
-        pairs = pairs.unionByName(jobs.select(job, F.explode(F.array_distinct(wants)).alias("tag")).join(tagged.select("tag", piece), "tag").select(job, piece, none))
-    every = pairs.groupBy(job, piece).agg(F.sum("n").alias("overlap")).join(evidence.select(*own, *([F.col(has).alias("__has")] if has else [])), piece)
+        tagged = own.select(piece, "__static", "strong", "seq", F.explode(F.array_distinct("__has")).alias("token"))
+        tagged = tagged.join(jobs.select(F.explode(wants).alias("token")).distinct(), "token", "left_semi")  # `limit` rows of each wanted tag
+        tagged = tagged.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rn") <= limit)
+        marks = marks.unionByName(tagged.select(piece, F.lit(2).alias("kind"), "token"))
+        asked = *asked, _entries(2, F.col(wants))
+    marks = marks.groupBy(piece).agg(F.collect_list(F.struct("kind", "token")).alias("marks"))
+    entries = F.concat(*[F.coalesce(e, none) for e in (_entries(0, F.col("tokens")), F.col("marks"))])
+    carried = ["__static", "strong", "seq", *(["__has"] if wants else [])]
+    every = _matches(jobs.select(job, F.concat(*[F.coalesce(e, none) for e in asked]).alias("entries")), own.join(marks, piece, "left").select(piece, *carried, entries.alias("entries")), job, piece, carried)
     score = 3 * F.col("overlap") + F.col("__static")
     if wants:
         every = every.join(jobs.select(job, F.col(wants).alias("__wants")), job)

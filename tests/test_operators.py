@@ -102,6 +102,28 @@ def test_overlap_top_equals_cross_join(spark):
         assert have.get(j, []) == [e for s, _, _, e in scored if s < 0][:5]
 
 
+def test_overlap_pairs_are_not_shuffled(spark, tmp_path):
+    """A token that all pieces hold makes a pair of every piece and job; where jobs are known to be small, only pieces and the best of each task move."""
+    jobs = spark.createDataFrame([(j, ["hot", f"w{j}"], ["a"] if j % 2 else None) for j in range(5)] + [(9, None, ["a"])], "j int, tokens array<string>, wants array<string>")
+    pieces = [(i, i % 3, i % 2 == 0, i, ["hot", "hot", f"w{i % 7}"], ["a"] if i % 50 == 0 else None) for i in range(300)] + [(None, 9, True, 0, ["hot"], None), (300, 1, True, 300, None, ["a"]), (301, 1, True, 301, [], None)]
+    ev = spark.createDataFrame(pieces, "e int, static int, strong boolean, seq int, tokens array<string>, has array<string>")
+    top = scoring.top_by_overlap(jobs, ev, "j", "e", "static", 4, wants="wants", has="has")
+    got = {}
+    for r in top.orderBy("j", "rank").collect():
+        got.setdefault(r["j"], []).append((r["e"], r["score"]))
+    for j in jobs.collect():
+        score = lambda p: 3 * len(set(p[4] or []) & set(j["tokens"] or [])) + p[1] + (6 if set(p[5] or []) & set(j["wants"] or []) else 0)  # noqa: B023, E731
+        ranked = sorted((-score(p), not p[2], p[3], p[0]) for p in pieces if p[0] is not None and score(p) > 0)
+        assert got.get(j["j"], []) == [(e, -s) for s, _, _, e in ranked[:4]]
+    jobs.write.parquet(str(tmp_path / "jobs"))
+    small = scoring.top_by_overlap(spark.read.parquet(str(tmp_path / "jobs")), ev, "j", "e", "static", 4, wants="wants", has="has")
+    assert sorted(small.collect(), key=str) == sorted(top.collect(), key=str)
+    moved = [line for line in small._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in moved if "e#" in line.split("hashpartitioning")[1] and "j#" in line.split("hashpartitioning")[1]]
+    pairs = scoring.overlap_scores(jobs, ev, "j", "e", "static")
+    assert pairs.count() == 1500 and pairs.where("overlap = 2").count() == 5 * 300 // 7 + 1
+
+
 def test_top_k_limits_before_the_shuffle(spark):
     scored = spark.createDataFrame([(1, "o", "s", True, 5, "a")], "job int, organisation string, summary string, strong boolean, score int, evidence_id string")
     assert "WindowGroupLimit" in scoring.top_by_tags(scored, "job")._jdf.queryExecution().toString()
