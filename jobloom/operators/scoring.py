@@ -28,21 +28,31 @@ def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int =
     for each (organisation, summary), stand in for all others, which is exact: whatever ranks above a piece by
     itself also ranks above it for the job. A bonus may only be given to pairs that share a tag, or a mark: arrays
     `job_marks` of jobs and `piece_marks` of evidence hold what else a bonus depends on, as words found in a text.
+
+    A pair met through several tags counts once. Pieces stay where they are and are scored there while the jobs' tags are small
+    enough for Spark to broadcast; one row for each job, organisation and summary leaves a task. Pieces without an id are left out.
     """
-    marked = lambda name: [] if name is None else [F.transform(F.col(name), lambda m: F.concat(F.lit("mark:"), m))]
-    wanted = jobs.select(job, F.explode(F.array_distinct(F.concat(F.array("family"), "tags", *marked(job_marks)))).alias("tag"))
-    offered = evidence.select("evidence_id", F.explode(F.array_distinct(F.concat("role_tags", "skill_tags", *marked(piece_marks)))).alias("tag"))
+    none = F.array().cast("array<string>")
+    every = lambda *names: _entries(0, F.concat(*[F.coalesce(F.col(n), none) for n in names if n]))
+    marked = lambda name: [] if name is None else [_entries(2, F.coalesce(F.col(name), none))]
+    rest = _entries(1, F.array(F.lit("")))
+    wanted = jobs.select(job, F.explode_outer(F.concat(_entries(0, F.array("family")), every("tags"), rest, *marked(job_marks))).alias("__entry")).distinct()
     own = F.when(F.col("strong"), 2).otherwise(0) + F.when(F.col("quantified"), 1).otherwise(0)
     order = [F.desc("own"), F.desc("strong"), F.desc("evidence_id")]
-    first = evidence.withColumn("own", own).withColumn("rn", F.row_number().over(Window.partitionBy("organisation", "summary").orderBy(*order)))
-    best = first.where("rn = 1").orderBy(*order).limit(limit).agg(F.collect_list("evidence_id").alias("ids"))
-    idle = jobs.select(job).crossJoin(F.broadcast(best)).select(job, F.explode("ids").alias("evidence_id"))  # one row, `limit` ids
-    pairs = wanted.join(offered, "tag").select(job, "evidence_id").unionByName(idle).distinct()
-    scored = pairs.join(jobs, job).join(evidence, "evidence_id")
+    pieces = evidence.where(F.col("evidence_id").isNotNull())
+    first = pieces.withColumn("own", own).withColumn("rn", F.row_number().over(Window.partitionBy("organisation", "summary").orderBy(*order)))
+    best = first.where("rn = 1").orderBy(*order).limit(limit).select("evidence_id", F.lit(True).alias("__best"))  # at most `limit` rows
+    entries = F.concat(every("role_tags", "skill_tags"), F.when(F.col("__best"), rest).otherwise(F.filter(rest, lambda e: F.lit(False))), *marked(piece_marks))
+    offered = pieces.join(best, "evidence_id", "left").select(*evidence.columns, F.explode_outer(entries).alias("__entry"))
+    scored = offered.join(wanted, "__entry").drop("__entry").join(jobs, job)
     score = tag_score(F.col("family"), F.col("tags"), F.col("role_tags"), F.col("skill_tags"), F.col("strong"), F.col("quantified"), bonus)
     return top_by_tags(scored.withColumn("score", score), job, limit)
 
 
+def _entries(kind: int, tokens: Column) -> Column:
+    return F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+
+
 def _matches(jobs: DataFrame, pieces: DataFrame, job: str, piece: str, carried: list[str]) -> DataFrame:
     """(job, piece, overlap, carried columns) of all pairs that share an entry of `entries`, an inverted index.
 
@@ -56,10 +66,6 @@ def _matches(jobs: DataFrame, pieces: DataFrame, job: str, piece: str, carried:
     return b.join(a, ["kind", "token"]).groupBy(piece, job).agg(F.count_if(F.col("kind") == 0).alias("overlap"), *[F.first(c).alias(c) for c in carried])
 
 
-def _entries(kind: int, tokens: Column) -> Column:
-    return F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
-
-
 def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str) -> DataFrame:
     """(job, piece, overlap, score): 3 for each shared token plus the piece's own score, for pairs that share a token.
 
