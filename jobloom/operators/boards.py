@@ -171,5 +171,24 @@ def discovery_verdict(probes: DataFrame, key: str, connected: bool | DataFrame =
     return g.select(key, outcome.alias("outcome"), F.when(F.lit(connected) & (F.col("hit.outcome") == "confirmed"), F.col("hit.board_url")).otherwise("").alias("board_url"))
 
 
+def grouped_verdict(probes: DataFrame, key: str, connected: bool = True) -> DataFrame:
+    """Verdict per company over probe groups: (key, outcome, board_url, tenant, site_id).
+
+    probes (key, group_no, form_no, outcome, reachable, board_url, tenant, site_id): a group is one site, its forms are addresses
+    of that site. The outcome of a group is that of its first form: `confirmed` and `error` end the search in group order,
+    anything else (not_found, malformed) moves on. A confirmed board's address is the first reachable form of its group, or its first form.
+    Without a connection every company is to be tried again. Both levels are combined before the shuffles.
+    """
+    first = F.min_by(F.struct("outcome", "board_url", "tenant", "site_id"), "form_no").alias("first")
+    answers = F.min_by("board_url", F.when(F.col("reachable"), F.col("form_no"))).alias("answers")
+    groups = probes.groupBy(key, "group_no").agg(first, answers)
+    ends = F.when(F.col("first.outcome").isin("confirmed", "error"), F.col("group_no"))
+    g = groups.groupBy(key).agg(F.min_by(F.struct("first.outcome", F.coalesce("answers", "first.board_url").alias("board_url"), "first.tenant", "first.site_id"), ends).alias("hit"))
+    found = F.lit(connected) & (F.col("hit.outcome") == "confirmed")
+    part = lambda c: F.when(found, F.coalesce(F.col(f"hit.{c}"), F.lit(""))).otherwise("").alias(c)
+    outcome = F.when(F.lit(connected), F.coalesce("hit.outcome", F.lit("not_found"))).otherwise("needs_retry")
+    return g.select(key, outcome.alias("outcome"), *[part(c) for c in ("board_url", "tenant", "site_id")])
+
+
 def named(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("company_key", company_fingerprint(name)).withColumn(name, clean(name))

@@ -1,6 +1,6 @@
 """Evidence records from paragraph tables: line classes, section carry-forward, types, strength and aggregates.
 
-Paragraph tables have (doc, idx, text); windows are partitioned by document, so one shuffle serves all of them.
+Paragraph tables have (doc, idx, text); what lasts from line to line is carried forward by blocks of a document (carry.py).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MONTH_YEAR, blank, column, is_quantified, summary
+from .carry import BLOCK, carry_forward
 from .matching import has_keyword
 
 #: Headings that are not all capitals by rule, and starts of contact lines.
@@ -39,7 +40,7 @@ def is_contact(text, names: tuple = ()) -> Column:
 
 def is_heading(text) -> Column:
     t = blank(text)
-    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
     return t.isin(*HEADINGS) | ((F.upper(t) == t) & (F.lower(t) != t) & (words <= 6))
 
 
@@ -115,38 +116,65 @@ def section_of(upper: Column) -> Column:
     return F.when(upper.contains("SKILLS"), "skills").when(upper.contains("PROJECT"), "projects").when(upper.contains("EXPERIENCE"), "experience").when(upper.contains("EDUCATION"), "education").otherwise("")
 
 
-def resume_sections(paragraphs: DataFrame, doc: str = "doc", idx: str = "idx", text: str = "text") -> DataFrame:
+def resume_sections(paragraphs: DataFrame, doc: str = "doc", idx: str = "idx", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Evidence paragraphs of résumés with section and organisation or project.
 
     Tests run in order: contact, heading, date line, organisation, project, too short, evidence. A heading that
     names no section resets it (the empty string); organisation and project last to the end of the document, and
     a project beats an organisation.
     """
-    w = Window.partitionBy(doc).orderBy(idx)
     t = F.col(text)
     p = paragraphs.withColumn("__contact", is_contact(t)).withColumn("__heading", ~F.col("__contact") & is_heading(t))
-    p = p.withColumn("__section", F.coalesce(F.last(F.when(F.col("__heading"), section_of(F.upper(t))), ignorenulls=True).over(w), F.lit("")))
+    p = carry_forward(p.withColumn("__named", F.when(F.col("__heading"), section_of(F.upper(t)))), doc, idx, {"__section": "__named"}, block)
+    p = p.withColumn("__section", F.coalesce("__section", F.lit("")))
     free = ~F.col("__contact") & ~F.col("__heading") & ~is_date_line(t)
     org = free & t.contains("|") & (F.col("__section") == "experience")
     project = free & ~org & (F.col("__section") == "projects") & t.rlike(r"\(\d{4}\)")
-    p = p.withColumn("__org", F.last(F.when(org, F.trim(F.substring_index(text, "|", 1))), ignorenulls=True).over(w))
-    p = p.withColumn("__project", F.last(F.when(project, F.trim(F.substring_index(text, "(", 1))), ignorenulls=True).over(w))
-    rows = p.where(free & ~org & ~project & (F.length(t) >= 12))
-    out = rows.withColumn("section", F.col("__section")).withColumn("organisation", F.coalesce("__project", "__org"))
-    return out.drop("__contact", "__heading", "__section", "__org", "__project")
+    p = p.withColumn("__said", F.when(org, F.trim(F.substring_index(text, "|", 1)))).withColumn("__begun", F.when(project, F.trim(F.substring_index(text, "(", 1))))
+    p = carry_forward(p.withColumn("__kept", free & ~org & ~project & (F.length(t) >= 12)), doc, idx, {"__org": "__said", "__project": "__begun"}, block)
+    out = p.where("__kept").withColumn("section", F.col("__section")).withColumn("organisation", F.coalesce("__project", "__org"))
+    return out.drop("__contact", "__heading", "__named", "__section", "__said", "__begun", "__kept", "__org", "__project")
 
 
-def carry_question(rows: DataFrame, doc: str, idx: str, is_prompt: Column, text: str, out: str) -> DataFrame:
+def carry_question(rows: DataFrame, doc: str, idx: str, is_prompt: Column, text: str, out: str, block: int = BLOCK) -> DataFrame:
     """The last prompt strictly before each row, or the row's own if it is a prompt."""
-    w = Window.partitionBy(doc).orderBy(idx)
-    return rows.withColumn(out, F.last(F.when(is_prompt, F.col(text)), ignorenulls=True).over(w))
+    return carry_forward(rows.withColumn("__asked", F.when(is_prompt, F.col(text))), doc, idx, {out: "__asked"}, block).drop("__asked")
 
 
-def two_sections(paragraphs: DataFrame, starts: dict[str, Column], first: int = 10, doc: str = "doc", idx: str = "idx", text: str = "text") -> DataFrame:
+#: Words that mark a text about the résumé itself, and starts of prompts and courtesies.
+ABOUT_RESUME = ("your resume", "resume honest", "for this posting")
+PROMPT_STARTS = ("why are you interested", "in 3", "tell us about", "describe a political", "describe an engineering tool", "what should the requirements.txt")
+COURTESIES = ("thank you for considering", "please see my resume", "i would welcome an opportunity")
+MIN_CHARS, PROMPT_WORDS = 25, 12
+
+
+def narrative_paragraphs(paragraphs: DataFrame, doc: str = "doc", idx: str = "idx", text: str = "text", kind: str = "doc_type", names: tuple = (), block: int = BLOCK) -> DataFrame:
+    """Evidence paragraphs of letters and of questions with answers: the text, and the place with the question that it answers.
+
+    In documents of kind application_qa a prompt inside a paragraph becomes the question and the rest the text; a
+    paragraph that is a question only becomes the question and is no evidence. A question lasts until the next one. Contact
+    lines, remarks about the résumé, courtesies of cover letters and texts below MIN_CHARS are no evidence, but a prompt before
+    such a text counts. The place names the question's first PROMPT_WORDS words, unless it is the text itself.
+    """
+    qa = F.col(kind) == "application_qa"
+    split = prompt_and_answer(text)
+    p = paragraphs.withColumn("__split", F.when(qa, split))
+    p = p.withColumn("__text", F.when(blank(F.col("__split.answer")) != "", F.col("__split.answer")).otherwise(blank(text)))
+    aside = is_contact("__text", names) | has_keyword("__text", ABOUT_RESUME)
+    asks = ~aside & qa & (is_question("__text") | _starts(F.lower(F.trim("__text")), PROMPT_STARTS))
+    asked = F.when(asks, F.col("__text")).when(qa & (blank(F.col("__split.prompt")) != ""), F.col("__split.prompt"))
+    courtesy = (F.col(kind) == "cover_letter") & _starts(F.lower("__text"), COURTESIES)
+    p = p.withColumn("__asked", asked).withColumn("__kept", F.coalesce(~aside & ~asks & ~courtesy & (F.length("__text") >= MIN_CHARS), F.lit(False)))
+    p = carry_forward(p, doc, idx, {"question": "__asked"}, block).where("__kept")
+    place = F.concat(F.lit("paragraph_"), F.col(idx).cast("string"))
+    place = F.when(F.coalesce(F.col("question") != F.col("__text"), F.lit(False)), F.concat(place, F.lit(" | prompt="), summary("question", PROMPT_WORDS))).otherwise(place)
+    return p.withColumn("location", place).withColumn(text, F.col("__text")).drop("__split", "__text", "__asked", "__kept")
+
+
+def two_sections(paragraphs: DataFrame, starts: dict[str, Column], first: int = 10, doc: str = "doc", idx: str = "idx", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Marker paragraphs switch the section; the others are numbered inside it, and the first `first` of each are kept."""
-    w = Window.partitionBy(doc).orderBy(idx)
     mark = F.coalesce(*[F.when(c, F.lit(n)) for n, c in starts.items()])
-    p = paragraphs.withColumn("__mark", mark).withColumn("section", F.last("__mark", ignorenulls=True).over(w)).where("__mark is null and section is not null")
+    p = carry_forward(paragraphs.withColumn("__mark", mark), doc, idx, {"section": "__mark"}, block).where("__mark is null and section is not null")
     ranked = p.withColumn("pos", F.row_number().over(Window.partitionBy(doc, "section").orderBy(idx)))
     return ranked.where(F.col("pos") <= first).drop("__mark")
 

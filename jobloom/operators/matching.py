@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,3 +154,18 @@ def ranked_labels(scores: DataFrame, key: str, defaults: list[tuple[str, str]],
     extra = F.filter(F.array(*[F.struct(F.lit(label).alias("label"), F.lit(slot).alias("slot")) for label, slot in defaults]), lambda d: ~F.exists(F.col("o"), lambda x: x["slot"] == d["slot"]))
     every = scores.select(key).distinct().join(chosen, key, "left").withColumn("o", ordered)
     return every.select(key, F.slice(F.concat(F.transform("o", lambda x: x["label"]), F.transform(extra, lambda x: x["label"])), 1, limit).alias("labels"))
+
+
+def best_label(text, labels: list[tuple[str, tuple[str, ...]]], fallback: str) -> Column:
+    """The label whose keywords occur most often in the normal text (earlier ones win ties), the fallback if none occurs."""
+    t = match_text(column(text))
+    scores = [F.struct(reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(re.escape(w))) for w in words]).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("label")) for k, (name, words) in enumerate(labels)]
+    best = F.array_max(F.array(*scores))
+    return F.when(best["score"] > 0, best["label"]).otherwise(fallback)
+
+
+def focus(text, counts: dict[str, tuple[str, ...]], rules: list[tuple[str, Callable[[dict[str, Column]], Column]]], otherwise: str) -> Column:
+    """The value of the first rule that holds for the keyword counts of the normal text; each rule gets them by name."""
+    t = match_text(column(text))
+    seen = {name: reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(re.escape(w))) for w in words]) for name, words in counts.items()}
+    return F.coalesce(*[F.when(rule(seen), F.lit(value)) for value, rule in rules], F.lit(otherwise))

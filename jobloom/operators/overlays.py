@@ -147,6 +147,19 @@ def apply_discoveries(registry: DataFrame, results: DataFrame, key: str, run_dat
     return updated, seen.select(key, "outcome", F.lit(run_date).alias("last_checked"), due.alias("next_revisit"))
 
 
+def hint_rows(hints: DataFrame, results: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """The hint table after a discovery run: a confirmed result replaces its company's hint, others leave it.
+
+    hints (key, tenant, site_id, board_url), results (the same, outcome, seq). A confirmed result without a tenant, site or
+    address is no hint, as the next run could not use it. Of several confirmed results the last counts.
+    """
+    parts = ["tenant", "site_id", "board_url"]
+    whole = reduce(lambda a, b: a & b, [clean(F.col(c)) != "" for c in parts])
+    new = results.where((F.col("outcome") == "confirmed") & whole).select(key, *[clean(F.col(c)).alias(c) for c in parts], F.col(seq).alias("__seq"))
+    both = hints.select(key, *parts, F.lit(None).cast(new.schema["__seq"].dataType).alias("__seq")).unionByName(new)
+    return last_by(both, [key], F.struct(F.col("__seq").isNotNull(), F.col("__seq"))).drop("__seq")
+
+
 def upsert_cache(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Search cache with new records: the latest date wins, then the later row."""
     return latest_by_date(cache.unionByName(new), keys, "last_scraped")

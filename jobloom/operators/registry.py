@@ -60,16 +60,18 @@ def build(existing: DataFrame, search: DataFrame, negatives: DataFrame, revisits
     last_scraped), negatives / revisits / defaults (key, company_name), hints (key), assessments (key, provider,
     status, company_name, seq). Assessments are reduced to the last of each provider, then applied in the order
     board1, board2, other; their check date is the record's, or the run date if it has none.
+
+    The tables are one union of rows with a slot for each table, merged by a single grouping: one exchange by key, into which
+    each task sends one row for each key that it holds. Rows without a key are no company and are left out. The other tables have
+    a row for each key; of several, one is taken.
     """
-    tables = (existing, search, negatives, revisits, defaults, hints, assessments)
-    keys = reduce(lambda a, b: a.union(b), [t.select(key) for t in tables]).distinct()
-    mark = lambda df, name: df.select(key, F.lit(True).alias(f"in_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key])
-    df = keys
-    for table, name in ((existing, "e"), (search, "s"), (negatives, "n"), (revisits, "r"), (defaults, "d")):
-        df = df.join(mark(table, name), key, "left")
-    last = assessments.groupBy(key, "provider").agg(F.max_by(F.struct("status", "company_name"), "seq").alias("a"))
-    wide = last.groupBy(key).agg(*[F.first(F.when(F.col("provider") == p, F.col("a")), ignorenulls=True).alias(f"a_{p}") for p in PROVIDERS])
-    df = df.join(wide, key, "left")
+    slot = lambda df, name: df.select(key, F.struct(F.lit(True).alias("present"), *[c for c in df.columns if c != key]).alias(name))
+    tables = {"e": existing, "s": search, "n": negatives, "r": revisits, "d": defaults, "h": hints, "a": assessments}
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [slot(t, name) for name, t in tables.items()])
+    last = [F.max_by(F.when(F.col("a.provider") == p, F.col("a")), F.when(F.col("a.provider") == p, F.col("a.seq"))).alias(f"a_{p}") for p in PROVIDERS]
+    merged = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.any_value(t, True).alias(t) for t in "esnrd"], *last)
+    flat = [F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "esnrd" for c in tables[t].columns if c != key]
+    df = merged.select(key, *flat, *[F.coalesce(f"{t}.present", F.lit(False)).alias(f"in_{t}") for t in "snr"], *[f"a_{p}" for p in PROVIDERS])
     name = first_filled("s_company_name", "r_company_name", "n_company_name", "e_company_name", F.col(key).cast("string"))
     for p in PROVIDERS:
         name = first_filled(clean(F.col(f"a_{p}.company_name")), name)
@@ -81,5 +83,5 @@ def build(existing: DataFrame, search: DataFrame, negatives: DataFrame, revisits
         df = df.withColumn(f"{p}_status", F.when(F.col(f"a_{p}").isNotNull(), provider_status(F.col(f"a_{p}.status"), p)).otherwise(value))
     assessed = F.col("a_board1").isNotNull() | F.col("a_board2").isNotNull() | F.col("a_other").isNotNull()
     checked = first_filled("s_last_scraped", "e_last_overall_check")
-    df = df.withColumn("company_name", name).withColumn("last_overall_check", F.when(assessed & (checked == ""), F.lit(run_date)).otherwise(checked)).withColumn("has_revisit", F.coalesce("in_r", F.lit(False)))
+    df = df.withColumn("company_name", name).withColumn("last_overall_check", F.when(assessed & (checked == ""), F.lit(run_date)).otherwise(checked)).withColumn("has_revisit", F.col("in_r"))
     return decide(df).select(key, "company_name", *[f"{p}_status" for p in PROVIDERS], "last_overall_check", "has_revisit", "primary", "next_action")

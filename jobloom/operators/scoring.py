@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept_table
+
 
 def tag_score(job_family: Column, job_tags: Column, role_tags: Column, skill_tags: Column, strong: Column, quantified: Column, bonus: Column | None = None) -> Column:
     """5 for the family, 3 for each shared skill, 2 if strong, 1 if quantified, and a bonus."""
@@ -76,34 +78,85 @@ def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, s
     return pairs.select(job, piece, "overlap", static, (3 * F.col("overlap") + F.col(static)).alias("score"))
 
 
+#: Postings of rare tokens, for each piece wanted, from which a job's first bound is taken.
+FIRST_LOOK = 4
+POINTS = 3
+
+
+def _exact(pairs: DataFrame, own: DataFrame, jobs: DataFrame, job: str, piece: str, bonus: int) -> DataFrame:
+    """Scores of the (job, piece) pairs, from their whole token and tag sets."""
+    asked = jobs.select(job, F.col("tokens").alias("__asked"), F.col("__wants"))
+    both = pairs.join(own, piece).join(asked, job)
+    overlap = F.coalesce(F.size(F.array_intersect("tokens", "__asked")), F.lit(0))
+    overlap = F.when(overlap > 0, overlap).otherwise(0)
+    score = POINTS * overlap + F.col("__static") + F.when(F.coalesce(F.arrays_overlap("__wants", "__has"), F.lit(False)), bonus).otherwise(0)
+    return both.select(job, piece, overlap.alias("overlap"), "__static", "strong", "seq", score.cast("long").alias("score"))
+
+
+def _ranked(scored: DataFrame, job: str, limit: int) -> DataFrame:
+    order = Window.partitionBy(job).orderBy(F.desc("score"), F.desc("strong"), "seq")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def _met(own: DataFrame, asked: DataFrame, job: str, piece: str) -> DataFrame:
+    """(piece, job) of pairs that share an entry; pieces are dealt by id, so pairs stay where their piece is."""
+    held = own.repartition(piece).select(piece, F.explode("entries").alias("entry")).select(piece, "entry.*")
+    return held.join(asked, ["kind", "token"]).groupBy(piece, job).agg(F.count("*").alias("__shared")).drop("__shared")
+
+
+def bounded_pairs(jobs: DataFrame, own: DataFrame, job: str, piece: str, limit: int, bonus: int = 0) -> DataFrame:
+    """(piece, job) pairs that can be among the `limit` best of a job; all others are proven not to be.
+
+    jobs (job, tokens, __wants), own (piece, tokens, __static, strong, seq, __has, entries): entries of kind 0 are a piece's tokens, others say
+    that it stands in for pieces without a shared token. Tokens of a job are taken in order of rarity. A few postings of its rarest ones
+    and the pieces that stand in give `limit` exact scores, the last of which is a bound: a piece that reaches it must share so
+    many tokens with the job that it holds one of the job's rarest, however it is made up. Only postings of those are paired; those of
+    frequent tokens never are.
+    """
+    wanted = jobs.select(job, F.explode("tokens").alias("token"))
+    counts = own.select(F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy(job).orderBy("df", "token")
+    reach = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1))
+    terms = kept_table(wanted.join(counts, "token").select(job, "token", F.row_number().over(rare).alias("place"), F.coalesce(reach, F.lit(0)).alias("before"), F.count("*").over(Window.partitionBy(job)).alias("terms")), "terms")
+    token = lambda df: df.select(job, F.lit(0).alias("kind"), "token")
+    standing = jobs.select(job, F.explode(F.concat(_entries(1, F.array(F.lit(""))), _entries(2, F.col("__wants")))).alias("entry")).select(job, "entry.*")
+    first = kept_table(token(terms.where(F.col("before") < FIRST_LOOK * limit)).unionByName(standing), "first-terms")
+    seen = _ranked(_exact(_met(own, first, job, piece), own, jobs, job, piece, bonus), job, limit)
+    bounds = seen.groupBy(job).agg(F.when(F.count("*") == limit, F.min("score")).alias("bound"))
+    most = own.agg((F.max("__static") + bonus).alias("most"))
+    # a piece that reaches the bound shares at least so many tokens, and so one of the others' rarest
+    least = F.ceil((F.col("bound") - F.col("most")) / POINTS)
+    prefix = F.when(F.coalesce(least, F.lit(0)) > 0, F.col("terms") - least + 1).otherwise(F.col("terms"))
+    paired = token(terms.join(bounds, job, "left").join(F.broadcast(most)).where(F.col("place") <= prefix))
+    return _met(own, kept_table(paired.unionByName(standing), "paired-terms"), job, piece)
+
+
 def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:
     """Best pieces of each job by (score, strong) descending, then input order (seq); scores above 0.
 
-    With arrays `wants` of jobs and `has` of evidence, a pair that shares an element scores `bonus` more. A piece that
-    shares no token can still win by its own score or with the bonus, so the `limit` best pieces by that score, of all
-    and of each element that is wanted, stand in for all the others: that is exact, as no job needs more of them. They are
-    marked with entries of their own. Pieces are dealt by id (those without one are left out), and each task hands on its
-    `limit` best of each job, so a token that all pieces hold costs counting in place and no shuffle. Null arrays are empty.
+    The score is POINTS for each shared token and the piece's own; with arrays `wants` of jobs and `has` of evidence, a pair that
+    shares an element scores `bonus` more. A piece that shares no token can still win by its own score or with the bonus, so the
+    `limit` best pieces by that score, of all and of each element that is wanted, stand in for all the others: that is exact, as
+    no job needs more of them. Of the pieces that share a token, only those are scored that bounded_pairs() cannot rule out.
+
+    Tokens are made once, into a table of the shared folder. Ids of pieces are unique and pieces without one are left out; null
+    arrays are empty; jobs without an id have no result.
     """
-    none = F.array().cast("array<struct<kind:int,token:string>>")
+    none = F.array().cast("array<string>")
     order = [F.desc("__static"), F.desc("strong"), "seq"]
-    own = evidence.select(piece, F.col(static).alias("__static"), "strong", "seq", "tokens", *([F.col(has).alias("__has")] if has else []))
+    tags = F.coalesce(F.col(has), none) if has else none
+    own = kept_table(evidence.where(F.col(piece).isNotNull()).select(piece, F.col(static).alias("__static"), "strong", "seq", F.array_distinct(F.coalesce("tokens", none)).alias("tokens"), tags.alias("__has")), "pieces")
+    jobs = jobs.where(F.col(job).isNotNull()).select(job, F.array_distinct(F.coalesce("tokens", none)).alias("tokens"), (F.coalesce(F.col(wants), none) if wants else none).alias("__wants"))
     marks = own.orderBy(*order).limit(limit).select(piece, F.lit(1).alias("kind"), F.lit("").alias("token"))  # at most `limit` rows
-    asked = _entries(0, F.col("tokens")), _entries(1, F.array(F.lit("")))
     if wants:
         tagged = own.select(piece, "__static", "strong", "seq", F.explode(F.array_distinct("__has")).alias("token"))
-        tagged = tagged.join(jobs.select(F.explode(wants).alias("token")).distinct(), "token", "left_semi")  # `limit` rows of each wanted tag
+        tagged = tagged.join(jobs.select(F.explode("__wants").alias("token")).distinct(), "token", "left_semi")  # `limit` rows of each wanted tag
         tagged = tagged.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rn") <= limit)
         marks = marks.unionByName(tagged.select(piece, F.lit(2).alias("kind"), "token"))
-        asked = *asked, _entries(2, F.col(wants))
-    marks = marks.groupBy(piece).agg(F.collect_list(F.struct("kind", "token")).alias("marks"))
-    entries = F.concat(*[F.coalesce(e, none) for e in (_entries(0, F.col("tokens")), F.col("marks"))])
-    carried = ["__static", "strong", "seq", *(["__has"] if wants else [])]
-    every = _matches(jobs.select(job, F.concat(*[F.coalesce(e, none) for e in asked]).alias("entries")), own.join(marks, piece, "left").select(piece, *carried, entries.alias("entries")), job, piece, carried)
-    score = 3 * F.col("overlap") + F.col("__static")
-    if wants:
-        every = every.join(jobs.select(job, F.col(wants).alias("__wants")), job)
-        score = score + F.when(F.arrays_overlap("__wants", "__has"), bonus).otherwise(0)
-    ranked = Window.partitionBy(job).orderBy(F.desc("score"), F.desc("strong"), "seq")
-    out = every.withColumn("score", score.cast("long")).where("score > 0").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
-    return out.withColumnRenamed("__static", static).drop("__has", "__wants")
+    marks = kept_table(marks.groupBy(piece).agg(F.collect_list(F.struct("kind", "token")).alias("marks")), "marks")
+    entries = F.concat(_entries(0, F.col("tokens")), F.coalesce("marks", F.array().cast("array<struct<kind:int,token:string>>")))
+    own = own.join(marks, piece, "left").withColumn("entries", entries).drop("marks")
+    added = bonus if wants else 0
+    pairs = bounded_pairs(jobs, own, job, piece, limit, added)
+    scored = _exact(pairs, own, jobs, job, piece, added).where("score > 0")
+    return _ranked(scored, job, limit).withColumnRenamed("__static", static)

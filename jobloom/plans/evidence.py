@@ -127,6 +127,36 @@ def h2(spark, sf):
     return E.carry_question(c, "conv_id", "turn", F.col("role") == "user", "text", "question").select("conv_id", "turn", F.length("question").cast("long").alias("question_chars"))
 
 
+_NARRATIVE_TEXT = "CASE idx % 8 WHEN 0 THEN 'Why do you write? ' || text WHEN 1 THEN text WHEN 2 THEN left(text, 60) || '?' WHEN 3 THEN 'Tell us about ' || text WHEN 4 THEN 'Thank you for considering ' || text WHEN 5 THEN 'one@example.org' WHEN 6 THEN 'How (so)I ' || text ELSE 'In your resume ' || text END"
+_NARRATIVE_KIND = "CASE doc % 3 WHEN 0 THEN 'application_qa' WHEN 1 THEN 'cover_letter' ELSE 'other' END"
+
+
+def _narrative_sql() -> str:
+    """The same state by a window over each document, the prompt split by cases."""
+    marks = " ".join(f"WHEN strpos(t, '{m}') > 0 THEN {{}}".format(f"trim(substr(t, 1, strpos(t, '{m}')))") for m in E.ANSWER_MARKS)
+    rests = " ".join(f"WHEN strpos(t, '{m}') > 0 THEN trim(regexp_replace(substr(t, strpos(t, '{m}') + 1), '^[ )]+', ''))" for m in E.ANSWER_MARKS)
+    inner = "contains(t, '?') AND NOT trim(t) LIKE '%?' AND trim(substr(t, q + 1)) <> ''"
+    contact = "regexp_matches(lower(x), '^(location:|mobile:|email:|linkedin:|website:|github|\\+1 \\(|dear hiring|sincerely)') OR starts_with(x, 'http://') OR starts_with(x, 'https://') OR (contains(x, '@') AND NOT contains(x, ' '))"
+    about = "contains(lower(x), 'your resume') OR contains(lower(x), 'resume honest') OR contains(lower(x), 'for this posting')"
+    starts = "|".join(E.PROMPT_STARTS).replace(".", "[.]")
+    return f"""WITH b AS (SELECT doc, idx, {_NARRATIVE_KIND} AS kind, {_NARRATIVE_TEXT} AS t FROM {LINES}),
+c AS (SELECT *, CASE WHEN contains(t, '?') THEN length(t) - strpos(reverse(t), '?') + 1 ELSE length(t) + 1 END AS q FROM b),
+d AS (SELECT *, CASE WHEN kind = 'application_qa' THEN CASE {marks} WHEN {inner} THEN trim(substr(t, 1, q - 1)) || '?' END END AS prompt,
+  CASE WHEN kind = 'application_qa' THEN CASE {rests} WHEN {inner} THEN trim(substr(t, q + 1)) ELSE t END ELSE t END AS ans FROM c),
+e AS (SELECT *, CASE WHEN coalesce(ans, '') <> '' THEN ans ELSE t END AS x FROM d),
+f AS (SELECT *, ({contact} OR {about}) AS aside, kind = 'application_qa' AND (trim(x) LIKE '%?' OR regexp_matches(trim(x), '^[1-9][.]') OR regexp_matches(lower(trim(x)), '^({starts})')) AS asks FROM e),
+g AS (SELECT *, last_value(CASE WHEN asks AND NOT aside THEN x WHEN prompt <> '' THEN prompt END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx) AS question FROM f)
+SELECT doc, idx, md5(x) AS digest, 'paragraph_' || idx || CASE WHEN question IS NOT NULL AND question <> x THEN ' | prompt=' || {S.summary('question', 12)} ELSE '' END AS location
+FROM g WHERE NOT aside AND NOT asks AND NOT (kind = 'cover_letter' AND regexp_matches(lower(x), '^(thank you for considering|please see my resume|i would welcome an opportunity)')) AND length(x) >= 25"""
+
+
+@query("h2_narrative_paragraphs", _narrative_sql())
+def h2_narrative(spark, sf):
+    """Evidence of letters and of questions with answers, with the place and the question that it answers."""
+    p = lines(spark, sf).select("doc", "idx", F.expr(_NARRATIVE_KIND).alias("doc_type"), F.expr(_NARRATIVE_TEXT).alias("text"))
+    return E.narrative_paragraphs(p).select("doc", "idx", F.md5("text").alias("digest"), "location")
+
+
 @query("h3_two_sections", f"SELECT doc, section, string_agg(md5(text), '' ORDER BY idx) AS digest, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc, section ORDER BY idx) AS pos FROM (SELECT doc, idx, text, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx) AS section FROM (SELECT doc, idx, text, CASE WHEN idx % 11 = 1 THEN 'duties' WHEN idx % 11 = 6 THEN 'needs' END AS mark FROM {LINES})) WHERE mark IS NULL AND section IS NOT NULL) WHERE pos <= 10 GROUP BY ALL")
 def h3(spark, sf):
     rows = E.two_sections(lines(spark, sf), {"duties": F.col("idx") % 11 == 1, "needs": F.col("idx") % 11 == 6})

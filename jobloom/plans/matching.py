@@ -134,3 +134,21 @@ def h8(spark, sf):
     n = {k: F.regexp_count("text", F.lit(k)) for k in ("the", "ing", "que")}
     focus = F.when((n["the"] > n["ing"]) & (n["the"] >= n["que"]), "first").when(n["que"] > n["ing"], "third").otherwise("second")
     return table(spark, sf, "documents").select("doc_id", focus.alias("focus"))
+
+
+def _said(*words):
+    return " + ".join(f"len(regexp_extract_all(t, '{w}'))" for w in words)
+
+
+@query("h7_document_label", f"SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'none' WHEN a >= b AND a >= c THEN 'plain' WHEN b >= c THEN 'joined' ELSE 'far' END AS label FROM (SELECT doc_id, {_said('the', 'of')} AS a, {_said('and', 'or')} AS b, {_said('tion')} AS c FROM (SELECT doc_id, {S.match('text')} AS t FROM documents))")
+def h7_documents(spark, sf):
+    """The label whose keywords a whole text holds most often."""
+    label = M.best_label("text", [("plain", ("the", "of")), ("joined", ("and", "or")), ("far", ("tion",))], "none")
+    return table(spark, sf, "documents").select("doc_id", label.alias("label"))
+
+
+@query("h8_document_focus", f"SELECT doc_id, CASE WHEN a >= 3 AND a > b THEN 'infra' WHEN c > 0 THEN 'services' ELSE 'plain' END AS focus FROM (SELECT doc_id, {_said('ing', 'ly')} AS a, {_said('tion', 'ent')} AS b, {_said('que', 'ung')} AS c FROM (SELECT doc_id, {S.match('text')} AS t FROM documents))")
+def h8_documents(spark, sf):
+    """The first focus whose rule holds for the keyword counts of a whole text."""
+    rules = [("infra", lambda n: (n["a"] >= 3) & (n["a"] > n["b"])), ("services", lambda n: n["c"] > 0)]
+    return table(spark, sf, "documents").select("doc_id", M.focus("text", {"a": ("ing", "ly"), "b": ("tion", "ent"), "c": ("que", "ung")}, rules, "plain").alias("focus"))

@@ -162,6 +162,19 @@ def g9(spark, sf):
     return updated.join(revisits.select("k", "next_revisit"), "k", "left").withColumn("next_revisit", F.coalesce("next_revisit", F.lit("")))
 
 
+_HINTS = "WITH old AS (SELECT s_suppkey % 300 AS k, arg_max('t' || s_suppkey, s_suppkey) AS tenant, 'old' AS site_id, 'https://old/' || k AS board_url FROM supplier GROUP BY k), new AS (SELECT c_custkey % 300 AS k, max(c_custkey) AS c FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal >= 0 GROUP BY 1) SELECT coalesce(old.k, new.k) AS k, CASE WHEN new.k IS NULL THEN tenant ELSE 'n' || c END AS tenant, CASE WHEN new.k IS NULL THEN site_id ELSE 'jobs' END AS site_id, CASE WHEN new.k IS NULL THEN board_url ELSE 'https://b/' || c END AS board_url FROM old FULL JOIN new USING (k)"
+
+
+@query("g9_hint_rows", _HINTS)
+def g9_hints(spark, sf):
+    """The hint table after a run: confirmed boards replace hints, those without an address do not."""
+    k = (F.col("s_suppkey") % 300).alias("k")
+    old = table(spark, sf, "supplier").groupBy(k).agg(F.max_by(F.concat(F.lit("t"), "s_suppkey"), "s_suppkey").alias("tenant"))
+    old = old.select("k", "tenant", F.lit("old").alias("site_id"), F.concat(F.lit("https://old/"), "k").alias("board_url"))
+    results = table(spark, sf, "customer").select((F.col("c_custkey") % 300).alias("k"), F.when(F.col("c_mktsegment") == "MACHINERY", "confirmed").otherwise("not_found").alias("outcome"), F.concat(F.lit("n"), "c_custkey").alias("tenant"), F.lit(" jobs ").alias("site_id"), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("https://b/"), "c_custkey")).otherwise("").alias("board_url"), F.col("c_custkey").alias("seq"))
+    return O.hint_rows(old, results, "k")
+
+
 @query("g10_detail_backfill", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS place, c_custkey % 3 = 0 AS changed FROM customer")
 def g10(spark, sf):
     c = table(spark, sf, "customer")

@@ -73,6 +73,23 @@ def c8(spark, sf):
     return payloads.missing_pages(landed, "o_custkey", "off", "total", "size")
 
 
+@query("c7_tile_facts", "SELECT o_custkey, n::INT AS n_rows, CASE WHEN o_custkey % 2 = 0 THEN 40 ELSE n::INT END AS total_hits, CASE WHEN n = 0 THEN 12 ELSE n::INT END AS page_size FROM (SELECT o_custkey, count_if(o_orderstatus = 'F') AS n FROM orders GROUP BY 1)")
+def c7_tiles(spark, sf):
+    """Tile listings: the count that the page states, and a page size of 12 where no tile is shown."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("tiles"))
+    return payloads.tile_facts(o.withColumn("hits", F.when(F.col("o_custkey") % 2 == 0, 40)), "tiles", "hits").select("o_custkey", "n_rows", "total_hits", "page_size")
+
+
+_SHORT = "WITH p AS (SELECT o_custkey AS k, 20 * (o_orderkey % 9) AS off, min(CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE 20 END) AS n FROM orders GROUP BY ALL), e AS (SELECT k, min(CASE WHEN n < 20 THEN off END) AS short, max(off) AS top FROM p GROUP BY 1), w AS (SELECT k, unnest(range(0, coalesce(short, top + 20) + 1, 20)) AS off FROM e) SELECT k, off, 'missing' AS state FROM w WHERE (k, off) NOT IN (SELECT (k, off) FROM p) UNION ALL SELECT p.k, p.off, 'beyond' FROM p JOIN e USING (k) WHERE p.off > e.short"
+
+
+@query("c8_short_page_gaps", _SHORT)
+def c8_short(spark, sf):
+    """Paging by offset: pages missing before the first short page, and pages that landed after it."""
+    p = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), (20 * (F.col("o_orderkey") % 9)).alias("off")).agg(F.min(F.when(F.col("o_orderkey") % 5 == 0, 7).otherwise(20)).alias("n"))
+    return payloads.short_page_gaps(p, "k", "off", "n")
+
+
 @query("c10_detail_records", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'ID' || p_partkey WHEN 1 THEN 'R-' || p_size ELSE 'x' || p_partkey END AS job_id, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS title, 'u' || p_partkey AS url FROM part")
 def c10(spark, sf):
     rec = payloads.detail_record(F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'ID' || p_partkey END"), F.expr("CASE WHEN p_partkey % 3 = 1 THEN array('R-' || p_size) ELSE array() END").cast("array<string>"), F.expr("'/job/x' || p_partkey || '/'"), "p_name", F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE ' ' END"), F.expr("'u' || p_partkey"), F.lit(""))

@@ -2,62 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.overlays import refresh_snapshot
+from .state import BUCKETS, KEEP_MS, StateStore
+
+TABLE = "snapshot"
 
 
-def refresh_stream(listings: DataFrame, path: str, company: str, keys: list[str], checkpoint: str, trigger: dict | None = None):
-    """Start a query that keeps the Parquet table under `path` current.
+def refresh_stream(listings: DataFrame, path: str, company: str, keys: list[str], checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS, keep_ms: int = KEEP_MS):
+    """Start a query that keeps the snapshot in the store under `path` current.
 
-    Versions are immutable folders; the file CURRENT, one line, names the valid one and is replaced by one atomic
-    rename, so readers never see a half-written table and a repeated batch writes the same rows again. The version
-    before the valid one stays for those who are reading it; older ones are deleted.
+    The snapshot lies in buckets of the company. A batch reads and rewrites only the buckets of its companies and makes them
+    valid in one step (state.py), so readers never see half a batch and a repeated batch writes the same rows again.
     """
 
     def apply(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
         rows = batch.persist()
-        if not rows.isEmpty():
-            old = current(spark, path)
-            new = rows if old is None else refresh_snapshot(old, rows, rows, company, keys)
-            if old is None:
-                new = refresh_snapshot(rows.limit(0), rows, rows, company, keys)
-            version = f"{path}/v-{uuid.uuid4().hex}"
-            new.write.parquet(version)
-            _point_to(spark, path, version)
+        store = StateStore(batch.sparkSession, path, buckets, keep_ms)
+        touched = store.touched(rows, company)
+        if touched:
+            old = store.read(TABLE, touched)
+            new = refresh_snapshot(rows.limit(0) if old is None else old, rows, rows, company, keys)
+            store.commit({TABLE: (new, company, touched)})
         rows.unpersist()
 
     return listings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _point_to(spark: SparkSession, path: str, version: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop = jvm.org.apache.hadoop.fs
-    fs, pointer, staged = hadoop.Path(path).getFileSystem(conf), hadoop.Path(f"{path}/CURRENT"), hadoop.Path(f"{path}/_{uuid.uuid4().hex}")
-    before = spark.read.text(f"{path}/CURRENT").first()["value"] if fs.exists(pointer) else None
-    out = fs.create(staged, True)
-    out.write(bytearray(f"{version}\n", "utf-8"))
-    out.close()
-    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    over[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(staged, pointer, over)
-    kept = {v.rpartition("/")[2] for v in (version, before) if v}
-    for entry in fs.listStatus(hadoop.Path(path)):
-        name = entry.getPath().getName()
-        if name.startswith("v-") and name not in kept:
-            fs.delete(entry.getPath(), True)
-
-
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The valid version of the table, None before the first batch."""
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
-        return None
-    return spark.read.parquet(spark.read.text(f"{path}/CURRENT").first()["value"])
+    """The valid snapshot, None before the first batch."""
+    return StateStore(spark, path).read(TABLE)
 
 
 def counts(df: DataFrame, company: str) -> DataFrame:
