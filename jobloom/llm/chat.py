@@ -11,7 +11,7 @@ a control string; in roles `%`, line feed and `<` are percent-encoded. loss_span
 
 A conversation is rendered in blocks of BLOCK turn numbers first and then joined, so that a hot conversation is
 sorted and concatenated piece by piece before its blocks meet; what remains is the string that is asked for, one
-row in one task, which Spark bounds by 2 GB.
+row in one task, which Spark bounds by 2 GB. Formatting and reading back take time in proportion to turns and text.
 
 Defined results: null role and text count as empty; equal turn numbers are ordered by role and text, a null turn
 comes first; a null conversation id is a conversation of its own; repeated rows are repeated turns; a record of
@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +63,9 @@ class Mapping:
 _HUMAN = {"human": "user", "gpt": "assistant", "bot": "assistant", "prompter": "user"}
 MAPPINGS = (
     Mapping("turn_rows", ({"conv_id": 0, "turn": 0, "role": "", "text": ""},), row=("$.turn", "$.role", "$.text")),
+    Mapping("nested_rows", ({"conv_id": 0, "index": 0, "message": {"role": "", "content": ""}},), row=("$.index", "$.message.role", "$.message.content")),
+    Mapping("speaker_rows", ({"conv_id": 0, "position": 0, "speaker": "", "utterance": ""},), row=("$.position", "$.speaker", "$.utterance")),
+    Mapping("event_rows", ({"conv_id": 0, "event": {"n": 0, "from": "", "body": {"value": ""}}},), row=("$.event.n", "$.event.from", "$.event.body.value")),
     Mapping("messages", ({"messages": [{"role": "", "content": ""}]}, {"messages": []}), "$.messages", "$.role", "$.content"),
     Mapping("shared", ({"conversations": [{"from": "", "value": ""}]}, {"conversations": []}), "$.conversations", "$.from", "$.value", aliases=_HUMAN),
     Mapping("dialog", ({"dialog": {"turns": [{"speaker": "", "text": ""}]}},), "$.dialog.turns", "$.speaker", "$.text", aliases=_HUMAN),
@@ -136,34 +140,50 @@ def unescape_role(c) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def _before(lengths: Column, i: Column) -> Column:
-    return F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("long"), lambda acc, x: acc + x)
-
-
 def format_turns(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans (1-based start and length in code points)."""
+    """One row per conversation: conv_id, formatted, loss_spans (1-based start and length in code points).
+
+    Places are running sums over the rows of a block and over the blocks of a conversation, so the work grows with the turns.
+    """
     head = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
     body = escape_text(F.coalesce("text", F.lit("")))
     row = turns.select("conv_id", F.floor(F.col("turn") / BLOCK).cast("long").alias("block"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("raw"), F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.char_length(head).cast("long").alias("skip"), F.char_length(body).cast("long").alias("size"))
-    row = row.withColumn("learn", F.col("role") == "assistant")
-    blocks = row.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "raw", "piece", "skip", "size", "learn"))).alias("t"))
-    blocks = blocks.withColumn("ends", F.transform("t", lambda t: t["skip"] + t["size"] + F.lit(len(END) + 1)))
-    spans = F.filter(F.transform("t", lambda t, i: F.struct((_before(F.col("ends"), i) + t["skip"]).alias("at"), t["size"].alias("length"), t["learn"].alias("learn"))), lambda s: s["learn"])
-    blocks = blocks.select("conv_id", "block", F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("text"), _before(F.col("ends"), F.size("ends")).alias("chars"), F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["length"].alias("length"))).alias("spans"))
-    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "text", "chars", "spans"))).alias("b"))
-    whole = whole.withColumn("chars", F.transform("b", lambda b: b["chars"]))
-    whole = whole.withColumn("b", F.transform("b", lambda b, i: F.struct(b["text"].alias("text"), b["spans"].alias("spans"), _before(F.col("chars"), i).alias("before"))))
-    moved = F.flatten(F.transform("b", lambda b: F.transform(b["spans"], lambda s: F.struct((s["at"] + b["before"] + 1).alias("start"), s["length"].alias("length")))))
-    return whole.select("conv_id", F.array_join(F.transform("b", lambda b: b["text"]), "").alias("formatted"), moved.alias("loss_spans"))
+    long = F.col("skip") + F.col("size") + F.lit(len(END) + 1)
+    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "raw")
+    row = row.withColumn("place", F.row_number().over(order)).withColumn("ends", F.sum(long).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.when(F.col("role") == "assistant", F.struct((F.col("ends") - F.col("size") - F.lit(len(END) + 1)).alias("at"), F.col("size").alias("length")))
+    blocks = row.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("p"), F.sort_array(F.collect_list(span)).alias("spans"), F.max("ends").alias("chars"))
+    before = F.coalesce(F.sum("chars").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("before", before).select("conv_id", "block", F.array_join(F.col("p.piece"), "").alias("text"), F.transform("spans", lambda s: F.struct((s["at"] + F.col("before") + 1).alias("start"), s["length"].alias("length"))).alias("spans"))
+    whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "text", "spans"))).alias("b"))
+    return whole.select("conv_id", F.array_join(F.col("b.text"), "").alias("formatted"), F.flatten(F.col("b.spans")).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse formatted conversations again: adds turns array<struct<role, text>> and loss_text (unescaped)."""
+    """Parse formatted conversations again: adds turns array<struct<role, text>> and loss_text (unescaped text under the mask).
+
+    One walk over the turns and one over the mask show whether the mask's spans are the places of the assistant texts, one after the
+    other, by a 64-bit hash chained over both; then those are the text under it. Any other mask is cut out span by span.
+    """
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
     at = lambda p: F.locate("\n", p)
-    turns = F.transform(pieces, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape_text(F.substring(p, at(p) + 1, F.char_length(p) - at(p) - (len(END) + 1))).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape_text(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))), "")
-    return formatted.withColumn("turns", turns).withColumn("loss_text", loss)
+    size = lambda p: F.char_length(p) - at(p) - F.lit(len(END) + 1)
+    raw = F.transform(pieces, lambda p: F.struct(F.substring_index(p, "\n", 1).alias("role"), F.substring(p, at(p) + 1, size(p)).alias("text")))
+    # an aggregate copies what it carries at each step, so it carries numbers only: the chained hash of the spans
+    start = F.struct(F.lit(1).cast("long").alias("place"), F.lit(0).cast("long").alias("chain"))
+
+    def step(acc, t):
+        text_at, chars = acc["place"] + len(START) + F.char_length(t["role"]) + 1, F.char_length(t["text"]).cast("long")
+        chain = F.when(t["role"] == "assistant", F.xxhash64(acc["chain"], text_at, chars)).otherwise(acc["chain"])
+        return F.struct((text_at + chars + F.lit(len(END) + 1)).alias("place"), chain.alias("chain"))
+
+    of_mask = F.aggregate("loss_spans", F.lit(0).cast("long"), lambda acc, s: F.xxhash64(acc, s["start"].cast("long"), s["length"].cast("long")))
+    met = F.aggregate("raw", start, step, lambda acc: acc["chain"]) == of_mask
+    learned = F.array_join(F.transform(F.filter("raw", lambda t: t["role"] == "assistant"), lambda t: unescape_text(t["text"])), "")
+    cut = F.array_join(F.transform("loss_spans", lambda s: unescape_text(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))), "")
+    turns = F.transform("raw", lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape_text(t["text"]).alias("text")))
+    back = formatted.withColumn("raw", raw).withColumn("met", met)
+    return back.withColumn("turns", turns).withColumn("loss_text", F.when(F.col("met"), learned).otherwise(cut)).drop("raw", "met")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -214,6 +234,11 @@ def canonical_rows(table: DataFrame, conv: str = "conv_id", mappings=MAPPINGS) -
     return own.select("conv_id", F.explode(items).alias("t")).select("conv_id", F.col("t.pos").alias("turn"), "t.role", "t.text")
 
 
+def canonical_tables(tables: list[DataFrame], conv: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
+    """Canonical rows of several typed tables, each in a layout of its own."""
+    return reduce(DataFrame.unionByName, [canonical_rows(t, conv, mappings) for t in tables])
+
+
 def rows_as_records(conversations: DataFrame) -> DataFrame:
     """Turn rows as VARIANT records of the layout turn_rows; other columns are left out."""
     own = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]

@@ -44,7 +44,7 @@ class ChunkCache:
             self.reset()
         new = set(chunks).difference(self.index)
         long = sorted(c for c in new if len(c) > LONGEST_KEPT)
-        short = sorted(new.difference(long)) if long else sorted(new)
+        short = sorted(new.difference(long) if long else new, key=lambda c: (c.isalpha(), c))
         if short:
             self._keep(short, *self.learn(short))
         if not long:

@@ -6,11 +6,14 @@ count and order-free sums of hashes of (page, count); tokens with equal vectors
 is valid if it covers at least half of the host's pages, and two at least. Its tokens that do not come in the same order and
 inside the same elements wherever they occur are taken out (a class that repeats may repeat as a whole).
 
-Valid classes nest into the host's template: elements that occur once a page are its nodes, texts on MIN_TEXT_PAGES pages or more its
-words. What lies between nodes are slots. Words are left out. Where the template has nodes that are `main` or
-`article`, the slots inside them are extracted, and those that lie directly in a node around them; the slots of nodes beside
-them are not (menus, adverts, notices, related links, whatever they are called). Where it has none, or a page lacks them,
-every slot is extracted, as nothing but names tells slots apart. A page of nothing but template words keeps them.
+Valid classes nest into the host's template: elements that occur once a page are its nodes, texts on WORD_SUPPORT of its
+pages, and on MIN_WORD_PAGES at least, its words. What lies between nodes are slots. Where the template has nodes that are `main` or
+`article`, the slots inside them are extracted whole: a sentence that every article of a host holds is still its text. Of
+what lies around them, the slots that lie directly in a node around them are extracted, and those of titles (h1) there, both
+without words; the slots of other nodes beside them are not (menus, adverts, notices, related links, whatever they are called).
+Where the template has no main nodes, or a page lacks them, every slot is extracted without words, as nothing but names and
+repetition tells slots apart. Words are left out only where they are less than half of what would be extracted: more than that are editions
+of one text, not a template, and are kept.
 
 Elements whose tag or role says that they are no main text (nav, header, footer, aside, form, script, style and
 others), and elements with a class or id made of names for such things only, are left out too, unless they hold the main text; a class or
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 MIN_SUPPORT, MIN_PAGES = 0.5, 2
-MIN_TEXT_PAGES = 8
+WORD_SUPPORT, MIN_WORD_PAGES = 0.9, 3
 MAX_BROADCAST_TOKENS = 1_000_000  # 16 bytes each
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -248,47 +251,60 @@ def orders_of(page: str, classes: dict[int, int]) -> dict[int, int]:
 
 
 def extract(page: str | None, nodes: frozenset[int] = frozenset(), words: frozenset[int] = frozenset()) -> str:
-    """The text in a page's slots: without template words and the nodes beside main ones; else with words; else without regard to names."""
+    """The text in a page's slots: those of main nodes and around them, else all, else without regard to names; template words as the module says."""
     if not page:
         return ""
     found_in = events(page)
-    for names, slots, left_out in ((True, nodes, words), (True, nodes, frozenset()), (True, frozenset(), frozenset()), (False, frozenset(), frozenset())):
+    for names, slots in ((True, nodes), (True, frozenset()), (False, frozenset())):
         found_in = found_in if names else events(page, False)
-        blocks: list[str] = []
-        parts: list[str] = []
-
-        def flush():
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                blocks.append(text)
-            parts.clear()
-
-        around, main = _around_main(found_in, slots)
-        # of each open element: its path, whether it is skipped, whether it is in a main node, whether its slots are wanted
-        open_: list[tuple[int, bool, bool, bool]] = [(0, False, False, True)]
-        for k, (kind, path, tag, marked) in enumerate(found_in):
-            outer, skipped, inside, wanted = open_[-1]
-            if kind == "text":
-                if not skipped and wanted and not (left_out and text_token(outer, path) in left_out):
-                    parts.append(path)
-                continue
-            if tag in _BLOCK:
-                flush()
-            elif kind == "void" and tag == "br":
-                parts.append(" ")
-            if kind == "open":
-                inside |= path in main
-                if path in slots and main:
-                    wanted = inside or k in around
-                open_.append((path, marked, inside, wanted))
-            elif kind == "close":
-                open_.pop()
-        flush()
+        for left_out in (words, frozenset()) if words else (frozenset(),):
+            blocks, dropped = _blocks_of(found_in, slots, left_out)
+            if 2 * dropped <= dropped + sum(map(len, blocks)):
+                break
         if blocks:
             return "\n".join(blocks)
     return ""
 
 
+def _blocks_of(found_in: list[tuple], slots: frozenset[int], left_out: frozenset[int]) -> tuple[list[str], int]:
+    """(blocks of the wanted slots, characters of the template words that were left out of them)."""
+    blocks: list[str] = []
+    parts: list[str] = []
+    dropped = 0
+
+    def flush():
+        text = " ".join(entities.unescape("".join(parts)).split())
+        if text:
+            blocks.append(text)
+        parts.clear()
+
+    around, main = _around_main(found_in, slots)
+    # of each open element: its path, whether it is skipped, whether it is in a main node, whether its slots are wanted
+    open_: list[tuple[int, bool, bool, bool]] = [(0, False, False, True)]
+    for k, (kind, path, tag, marked) in enumerate(found_in):
+        outer, skipped, inside, wanted = open_[-1]
+        if kind == "text":
+            if not skipped and wanted:
+                if left_out and not inside and text_token(outer, path) in left_out:
+                    dropped += len(" ".join(path.split()))
+                else:
+                    parts.append(path)
+            continue
+        if tag in _BLOCK:
+            flush()
+        elif kind == "void" and tag == "br":
+            parts.append(" ")
+        if kind == "open":
+            inside |= path in main
+            if path in slots and main:
+                wanted = inside or k in around or (tag == "h1" and wanted)
+            open_.append((path, marked, inside, wanted))
+        elif kind == "close":
+            open_.pop()
+    flush()
+    return blocks, dropped
+
+
 def _around_main(found_in: list[tuple], nodes: frozenset[int]) -> tuple[set[int], set[int]]:
     """(events that open nodes around a main node, paths of main nodes); of nested ones the outermost counts."""
     main = {path for kind, path, tag, marked in found_in if kind == "open" and tag in _MAIN and not marked and path in nodes}
@@ -348,7 +364,8 @@ def templates(pages: DataFrame) -> DataFrame:
     size = vectors.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     enough = (F.col("pages") >= MIN_SUPPORT * F.col("host_pages")) & (F.col("pages") >= MIN_PAGES)
     node = ~F.col("is_text") & (F.col("n") == F.col("pages"))
-    found = vectors.where("token <> 0").join(size, "host").where(enough & (node | (F.col("is_text") & (F.col("pages") >= MIN_TEXT_PAGES))))
+    word = F.col("is_text") & (F.col("pages") >= WORD_SUPPORT * F.col("host_pages")) & (F.col("pages") >= MIN_WORD_PAGES)
+    found = vectors.where("token <> 0").join(size, "host").where(enough & (node | word))
     found = written(found.select("host", "token", "is_text", F.xxhash64("pages", "n", "low", "high").alias("class")), "classes")
     known = _bounded(found.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("known")), found)
     laid = own.join(known, "host").select("host", "html", "known")

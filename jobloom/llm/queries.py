@@ -21,7 +21,17 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
-    return chat.digest(chat.format_turns(chat.canonical_rows(rows.unionByName(more))))
+    turns = rows.unionByName(more)
+    # a corpus has its conversations in many layouts: every fourth of them is laid out in another way
+    own = [turns.where(F.pmod("conv_id", F.lit(4)).eqNullSafe(k)) for k in range(3)] + [turns.where(F.coalesce(F.pmod("conv_id", F.lit(4)) == 3, F.lit(True)))]
+    message, event = F.struct("role", F.col("text").alias("content")), F.struct(F.col("turn").alias("n"), F.col("role").alias("from"), F.struct(F.col("text").alias("value")).alias("body"))
+    tables = [
+        own[3],
+        own[0].select("conv_id", F.col("turn").alias("index"), message.alias("message")),
+        own[1].select("conv_id", F.col("turn").alias("position"), F.col("role").alias("speaker"), F.col("text").alias("utterance")),
+        own[2].select("conv_id", event.alias("event")),
+    ]
+    return chat.digest(chat.format_turns(chat.canonical_tables(tables)))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ in the shared folder, whose payload is self-contained:
 Plane k holds bit (planes - 1 - k) of every id, stably sorted by the bits before it. The rank directory counts
 ones before every 512 bits, so access, rank, count, select and occurrence look-up read a few words of each plane.
 
-Encoding caches whole space-separated chunks, which the vocabulary's pre-tokenizer never joins; unseen chunks of
-a block of texts are encoded by the library in bulk.
+Encoding caches whole space-separated chunks, which the vocabulary's pre-tokenizer never joins, within a bound of bytes (chunks.py);
+unseen chunks of a block of texts are encoded by the library in bulk.
 
 Defined results: a null or empty text has only the end id; equal doc_ids are ordered by a hash of the text, a null doc_id comes
 first; repeated rows are repeated documents; an empty table writes no shard; other columns are ignored.
@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import ChunkCache
 from .common import shared_dir
 
 SHARD_TOKENS = 1 << 20
@@ -36,7 +37,7 @@ ROWS_PER_RANGE, MAX_RANGES = 4000, 50_000
 END_ID = 2
 BLOCK_BITS = 512
 PARTS_PER_BLOCK = 4096
-CACHE_CHUNKS = 1_500_000
+WORDS_AT_ONCE = 4096
 _MAGIC = b"WVM1"
 
 
@@ -202,34 +203,29 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._reset()
-
-    def _reset(self):
-        self.index: dict[str, int] = {"": 0}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _learn(self, new: list[str]):
-        """Encode unseen chunks: plain words in one call, as each ends with the one token that closes a word."""
-        words = [c for c in new if c.isalpha()]
-        others = [c for c in new if not c.isalpha()]
-        flat = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(self.closes[flat]) + 1
-        if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
-            words, others, flat, ends = [], new, flat[:0], ends[:0]
-        lists = [e.ids for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
-        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, lists), np.int64, len(lists))]).astype(np.int64)
-        flat = np.concatenate([flat, np.fromiter((i for ids in lists for i in ids), np.uint32)])
-        new, first = words + others, len(self.index)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(new) > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.at[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(new)] = sizes
-        self.used += len(flat)
-        self.index.update(zip(new, range(first, first + len(new))))
+        self.cache = ChunkCache(self._learn)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode chunks: runs of plain words in one call, as each ends with the one token that closes a word."""
+        sizes, parts, lo = np.zeros(len(new), np.int64), [], 0
+        while lo < len(new):
+            plain, hi = new[lo].isalpha(), lo + 1
+            while hi < len(new) and hi - lo < WORDS_AT_ONCE and new[hi].isalpha() == plain:
+                hi += 1
+            some = new[lo:hi]
+            flat = ends = np.zeros(0, np.int64)
+            if plain:
+                flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.closes[flat]) + 1
+            if len(ends) == len(some) and ends[-1] == len(flat):
+                sizes[lo:hi] = np.diff(ends, prepend=0)
+            else:
+                lists = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                sizes[lo:hi] = [len(x) for x in lists]
+                flat = np.fromiter((i for x in lists for i in x), np.uint32)
+            parts.append(flat)
+            lo = hi
+        return np.concatenate(parts), sizes
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -245,26 +241,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; lengths)."""
-        if len(self.index) > CACHE_CHUNKS:
-            self._reset()
         parts = [self.chunks(t or "") for t in texts]
-        every = [c for p in parts for c in p]
-        new = set(every).difference(self.index)
-        if new:
-            self._learn(sorted(new))
-        per_text = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        sizes = self.size[which]
-        ends = np.cumsum(per_text)
+        flat, sizes = self.cache.encode([c for p in parts for c in p])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         total = np.concatenate([[0], np.cumsum(sizes)])
-        lengths = total[ends] - total[ends - per_text]
-        spot = np.repeat(self.at[which] - total[:-1], sizes) + np.arange(total[-1])
+        lengths = np.diff(total[ends], prepend=0)
         out = np.empty(total[-1] + len(texts), np.uint32)
         last = np.cumsum(lengths + 1) - 1
         plain = np.ones(len(out), bool)
         plain[last] = False
         out[last] = end_id
-        out[plain] = self.flat[spot]
+        out[plain] = flat
         return out, lengths + 1
 
 

@@ -305,3 +305,123 @@ def test_sequences_hold_the_ids_of_their_pieces(spark):
     assert all(len(whole[r.sequence_id]) == r.n_tokens <= 64 and r.offsets[0] == 0 for r in made)
     for r in placed.collect():
         assert whole[r.sequence_id][r.offset : r.offset + r.length].tobytes() == bytes(r.ids)
+
+
+# chat formatting of long conversations
+
+
+@pytest.mark.parametrize("shape", ["numbered", "null", "equal"])
+def test_long_conversations_take_linear_time(spark, shape):
+    import time
+
+    from jobloom.llm import chat
+
+    turn = {"numbered": F.col("id"), "null": F.lit(None).cast("long"), "equal": F.lit(7).cast("long")}[shape]
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<|"), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    (got,) = chat.digest(chat.format_turns(chat.canonical_rows(rows))).collect()
+    assert time.time() - began < 60
+    texts = [f"t<|{i}" for i in range(n)]
+    order = list(range(n)) if shape == "numbered" else sorted(range(n), key=lambda i: (i % 2 == 0, texts[i]))
+    turns = "".join(f"{'user' if i % 2 == 0 else 'assistant'}\n{texts[i]}\n" for i in order)
+    loss = "".join(texts[i] for i in order if i % 2)
+    assert got.n_turns == n and got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+    assert got.loss_chars == len(loss) and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_a_mask_that_is_not_the_assistant_texts_is_cut_out(spark):
+    from jobloom.llm import chat
+
+    df = spark.createDataFrame([(1, 0, "user", "one"), (1, 1, "assistant", "two<|x")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(df)
+    moved = formatted.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["length"] - 1).alias("length"))))
+    assert chat.read_back(moved).first().loss_text == "wo<|x" and chat.read_back(formatted).first().loss_text == "two<|x"
+    none = formatted.withColumn("loss_spans", F.filter("loss_spans", lambda s: F.lit(False)))
+    assert chat.read_back(none).first().loss_text == ""
+
+
+def test_typed_layouts_reach_the_same_turns(spark):
+    from jobloom.llm import chat
+
+    t = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, None, None), (None, None, "assistant", "yo")], "conv_id long, turn long, role string, text string")
+    nested = t.select("conv_id", F.col("turn").alias("index"), F.struct("role", F.col("text").alias("content")).alias("message"))
+    spoken = t.select("conv_id", F.col("turn").alias("position"), F.col("role").alias("speaker"), F.col("text").alias("utterance"))
+    event = t.select("conv_id", F.struct(F.col("turn").alias("n"), F.col("role").alias("from"), F.struct(F.col("text").alias("value")).alias("body")).alias("event"))
+    want = sorted(map(str, chat.canonical_rows(t).collect()))
+    for table in (nested, spoken, event):
+        assert sorted(map(str, chat.canonical_rows(table).collect())) == want
+    records = nested.where("conv_id = 1").select("conv_id", F.to_variant_object(F.struct("conv_id", "index", "message")).alias("record"))
+    assert chat.canonical_turns(records).count() == 2 and chat.unmapped(records).count() == 0
+    assert chat.canonical_tables([t, nested, spoken, event]).count() == 12
+
+
+# article text stays whole
+
+
+def site(n, body):
+    return [(k, f"https://site.example/{k}", f"<html><body>{body(k)}</body></html>", "clash", 1) for k in range(n)]
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+
+
+def extracted(spark, rows):
+    from jobloom.llm import htmltemplate
+
+    return {r.page_id: r.text for r in htmltemplate.extract_pages(pages_of(spark, rows)).collect()}
+
+
+SHARED = ["The council met again to speak of the river and its banks.", "Nobody had expected so many people to come to the hall.", "A vote is planned for the first days of autumn."]
+
+
+def test_editions_of_an_article_keep_their_text(spark):
+    def body(k):
+        paragraphs = [f"Edition {k}", *SHARED] if k < 9 else [f"Other story {k} of its own.", f"It tells of thing {k * 7} and more."]
+        return "<div class='x1'>Home | About</div><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><div class='x2'>Copyright</div>"
+
+    got = extracted(spark, site(16, body))
+    assert got[0] == "\n".join(["Edition 0", *SHARED]) and got[8] == "\n".join(["Edition 8", *SHARED])
+    assert got[12] == "Other story 12 of its own.\nIt tells of thing 84 and more."
+
+
+def test_a_fixed_paragraph_of_the_article_is_kept(spark):
+    got = extracted(spark, site(10, lambda k: f"<article><p>This week in review.</p><p>Story {k} begins here.</p></article>"))
+    assert got == {k: f"This week in review.\nStory {k} begins here." for k in range(10)}
+
+
+@pytest.mark.parametrize("n", [4, 7, 8, 40])
+def test_hosts_of_any_size_are_treated_alike(spark, n):
+    got = extracted(spark, site(n, lambda k: f"<div class='a1'>Home and News</div><div class='b1'><p>Story {k} is long enough to be the text of its page.</p><p>It has line {k * 3}.</p></div><div class='c1'>Copyright Example</div>"))
+    assert got == {k: f"Story {k} is long enough to be the text of its page.\nIt has line {k * 3}." for k in range(n)}
+
+
+def test_editions_without_a_main_element_are_kept(spark):
+    got = extracted(spark, site(6, lambda k: f"<div><p>Edition {k}</p>" + "".join(f"<p>{p}</p>" for p in SHARED) + "</div>"))
+    assert got == {k: "\n".join([f"Edition {k}", *SHARED]) for k in range(6)}
+
+
+def test_a_title_beside_the_article_is_kept(spark):
+    got = extracted(spark, site(5, lambda k: f"<div class='p'><h1>Title {k}</h1><article><p>Text {k} of the page.</p></article><div class='q'>More of this</div></div>"))
+    assert got == {k: f"Title {k}\nText {k} of the page." for k in range(5)}
+
+
+# token files: the encoder's cache
+
+
+def test_junk_without_spaces_stays_out_of_the_cache():
+    from tokenizers import Tokenizer
+
+    from jobloom.llm import tokenfile
+
+    rnd = random.Random(1)
+    file = tokenizer_path("word_bpe_49k.json")
+    encoder, library = tokenfile.Encoder(file), Tokenizer.from_file(file)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(20_000)) for _ in range(12)] + ["plain words stay, and Más", "", None]
+    ids, lengths = encoder.encode(texts)
+    at = 0
+    for t, n in zip(texts, lengths.tolist()):
+        assert ids[at : at + n - 1].tolist() == library.encode(t or "", add_special_tokens=False).ids and ids[at + n - 1] == tokenfile.END_ID
+        at += n
+    assert encoder.cache.bytes < 10_000 and encoder.cache.used < 100
