@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, summary
@@ -32,10 +32,19 @@ def reject_reason(messages: Column, roles: tuple = ROLES) -> Column:
     )
 
 
-def validate(df: DataFrame, messages: str = "messages", roles: tuple = ROLES) -> tuple[DataFrame, DataFrame]:
-    """(valid examples, rejects with a reason)."""
+def validate(df: DataFrame, messages: str = "messages", roles: tuple = ROLES, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid examples, rejects with a reason).
+
+    An observation gets examples and rejected of the pass that writes or counts the valid ones, so the gate needs no scan of its own.
+    """
     marked = df.withColumn("reason", reject_reason(F.col(messages), roles))
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+    seen = marked if counts is None else marked.observe(counts, F.count_if(F.expr("reason is null")).alias("examples"), F.count_if(F.expr("reason is not null")).alias("rejected"))
+    return seen.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def passes(counts: Observation, least: int = MIN_EXAMPLES) -> bool:
+    """gate() by the numbers of a pass that validate() observed."""
+    return counts.get["examples"] >= least
 
 
 def gate(valid: DataFrame, least: int = MIN_EXAMPLES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators import needles as N
 from . import query, sqlparts as S, table
 
 FAMILIES = {"warm": ("red widget", "hot gear", "red ring", "hot plate"), "cool": ("blue widget", "cold gear", "blue ring"), "sizes": ("small ring", "large rod", "small widget")}
@@ -140,6 +141,34 @@ def _said(*words):
     return " + ".join(f"len(regexp_extract_all(t, '{w}'))" for w in words)
 
 
+def _rules(spark):
+    """The tag table as rows, one for each keyword."""
+    return spark.createDataFrame([(tag, word) for tag, words in TAGS.items() for word in words], "tag string, needle string")
+
+
+@query("d10_tag_rules", f"SELECT doc_id, {tag_sql('text')} AS tags FROM documents")
+def d10_rules(spark, sf):
+    """d10 with rules that come as rows: an index of the needles' rarest grams instead of a branch for each."""
+    found = N.tags_by_rules(table(spark, sf, "documents"), _rules(spark), "doc_id", "text")
+    return found.select("doc_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query("d14_name_rules", "WITH r AS (SELECT DISTINCT lower(n_name) AS needle FROM nation UNION SELECT DISTINCT p_name FROM part UNION SELECT 'item ' || item_id FROM benchmark UNION SELECT substr(text, 1, 12) FROM benchmark) SELECT d.doc_id, count(*) AS hits, min(r.needle) AS first FROM documents d JOIN r ON contains(lower(d.text), lower(r.needle)) GROUP BY 1")
+def d14_names(spark, sf):
+    """References by rules from the tables: names, and beginnings of test items, found in whole documents."""
+    names = [table(spark, sf, "nation").select(F.lower("n_name").alias("needle")), table(spark, sf, "part").select(F.col("p_name")), table(spark, sf, "benchmark").select(F.concat(F.lit("item "), "item_id")), table(spark, sf, "benchmark").select(F.substring("text", 1, 12))]
+    rules = names[0].union(names[1]).union(names[2]).union(names[3]).distinct()
+    hits = N.rule_hits(table(spark, sf, "documents"), rules.withColumn("name", F.col("needle")), "doc_id", "text")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("name").alias("first"))
+
+
+@query("d17_role_rules", "SELECT doc_id, CASE WHEN contains(lower(text), 'tion') THEN 'one' WHEN contains(lower(text), 'que') OR contains(lower(text), 'ung') THEN 'two' ELSE 'none' END AS role FROM documents")
+def d17_rules(spark, sf):
+    """The first of ordered rules that hits, with the rules as rows."""
+    rules = spark.createDataFrame([("one", 0, "tion"), ("two", 1, "que"), ("two", 1, "ung")], "role string, place int, needle string")
+    return N.first_by_rules(table(spark, sf, "documents"), rules, "doc_id", "text", "role", "place", "none")
+
+
 @query("h7_document_label", f"SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'none' WHEN a >= b AND a >= c THEN 'plain' WHEN b >= c THEN 'joined' ELSE 'far' END AS label FROM (SELECT doc_id, {_said('the', 'of')} AS a, {_said('and', 'or')} AS b, {_said('tion')} AS c FROM (SELECT doc_id, {S.match('text')} AS t FROM documents))")
 def h7_documents(spark, sf):
     """The label whose keywords a whole text holds most often."""

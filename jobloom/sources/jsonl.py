@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, company_fingerprint
 
 
-def parse_tolerant(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
-    """Records of lines that hold a JSON object; blank, broken and other lines are dropped."""
+def parse_tolerant(lines: DataFrame, schema: str, line: str = "value", counts: Observation | None = None) -> DataFrame:
+    """Records of lines that hold a JSON object; blank, broken and other lines are dropped.
+
+    An observation gets the numbers taken, blank and rejected of the same pass, once the records have been written or counted.
+    """
     parsed = lines.withColumn("__v", F.try_parse_json(F.trim(line)))
-    objects = parsed.where(F.schema_of_variant("__v").startswith("OBJECT"))
-    return objects.withColumn("__r", F.from_json(line, schema)).select(*[c for c in lines.columns if c != line], "__r.*")
+    good = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
+    if counts is not None:
+        blank = F.coalesce(F.trim(line) == "", F.lit(False))
+        parsed = parsed.withColumn("__good", good).observe(counts, F.count_if("__good").alias("taken"), F.count_if(blank).alias("blank"), F.count_if(~F.col("__good") & ~blank).alias("rejected"))
+        good = F.col("__good")
+    return parsed.where(good).withColumn("__r", F.from_json(line, schema)).select(*[c for c in lines.columns if c != line], "__r.*")
 
 
 def count_rejects(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -25,12 +32,11 @@ def count_rejects(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.agg(F.count_if(good).alias("taken"), F.count_if(blank).alias("blank"), F.count_if(~good & ~blank).alias("rejected"))
 
 
-def scan_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A tolerant scan of files; a path that does not exist is an empty table."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm):
-        return spark.createDataFrame([], schema)
-    return parse_tolerant(spark.read.text(path), schema)
+def scan_tolerant(spark: SparkSession, path: str, schema: str, counts: Observation | None = None) -> DataFrame:
+    """A tolerant scan of files; a path that does not exist is an empty table, unless write_canonical() has its old table aside."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    there = [p for p in (path, f"{path}.old") if jvm.Path(p).getFileSystem(conf).globStatus(jvm.Path(p))]
+    return parse_tolerant(spark.read.text(there[0]), schema, counts=counts) if there else spark.createDataFrame([], schema)
 
 
 def scan_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,13 +50,14 @@ def canonical_lines(df: DataFrame) -> DataFrame:
 
 
 def write_canonical(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Sorted canonical lines, written beside the target; the old table is moved aside first and deleted last; returns the row count.
+    """Sorted canonical lines, written beside the target; the old table is moved aside first and deleted last; returns the row count, which the write itself has taken.
 
     A crash at any point leaves the old or the new table, at `path` or beside it as `path.old` until the next write.
     """
     spark = df.sparkSession
     staging = f"{path}.{uuid.uuid4().hex}"
-    canonical_lines(df.orderBy(*keys)).write.text(staging)
+    written = Observation()
+    canonical_lines(df.orderBy(*keys)).observe(written, F.count("*").alias("rows")).write.text(staging)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     target, old = hadoop(path), hadoop(f"{path}.old")
@@ -62,7 +69,7 @@ def write_canonical(df: DataFrame, path: str, keys: list[str]) -> int:
         fs.rename(old, target)
         raise OSError(f"could not move {staging} to {path}")
     fs.delete(old, True)
-    return spark.read.text(path).count()
+    return written.get["rows"]
 
 
 def hints_from_json(df: DataFrame, fields: str, required: list[str], text: str = "value") -> DataFrame:

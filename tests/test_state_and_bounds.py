@@ -211,3 +211,74 @@ def test_labels_and_focus(spark):
     assert [r[0] for r in df.select(label).collect()] == ["one", "two", "neither", "neither", "one"]
     value = matching.focus("text", {"x": ("api",), "y": ("data",)}, [("both", lambda n: (n["x"] > 0) & (n["y"] > n["x"])), ("x", lambda n: n["x"] > 0)], "rest")
     assert [r[0] for r in df.select(value).collect()] == ["x", "both", "rest", "rest", "rest"]
+
+
+# rules as rows
+
+
+def test_rule_hits_equal_every_contains(spark):
+    from jobloom.operators import needles
+
+    rnd = random.Random(9)
+    alphabet = "abcde É\n日"
+    texts = [(i, "".join(rnd.choices(alphabet, k=rnd.choice([0, 1, 3, 40, 400])))) for i in range(80)] + [(None, "abc"), (900, None)]
+    rules = [(f"r{i}", "".join(rnd.choices(alphabet, k=rnd.randint(1, 7)))) for i in range(300)] + [("same", "ab"), ("same", "AB"), ("none", None), ("all", "")]
+    got = needles.rule_hits(spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame(rules, "name string, needle string"), "k", "t").collect()
+    want = [(k, name) for k, t in texts if k is not None for name, n in rules if n is not None and n.lower() in (t or "").lower()]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_ten_thousand_rules_make_no_larger_plan(spark):
+    from jobloom.operators import needles
+
+    texts = spark.createDataFrame([(1, "needle 77 and needle 9999 here")], "k long, t string")
+    size = lambda n: len(plan_of(needles.rule_hits(texts, spark.range(n).select(F.concat(F.lit("needle "), "id").alias("needle"), F.col("id").alias("rule")), "k", "t")))
+    assert abs(size(10_000) - size(10)) < 200
+    hits = needles.rule_hits(texts, spark.range(10_000).select(F.concat(F.lit("needle "), "id").alias("needle"), F.col("id").alias("rule")), "k", "t")
+    assert {r["rule"] for r in hits.collect()} == {7, 77, 9, 99, 999, 9999}
+
+
+def test_rules_give_tags_and_first_outcomes(spark):
+    from jobloom.operators import needles
+
+    texts = spark.createDataFrame([(1, "Big red ring"), (2, "nothing"), (3, None)], "k long, t string")
+    rules = spark.createDataFrame([("color", 2, "RED"), ("shape", 1, "ring"), ("shape", 3, "rod"), ("color", 0, "blue")], "tag string, place int, needle string")
+    assert sorted((r["k"], r["tags"]) for r in needles.tags_by_rules(texts, rules, "k", "t").collect()) == [(1, ["color", "shape"]), (2, []), (3, [])]
+    assert sorted(map(tuple, needles.first_by_rules(texts, rules, "k", "t", "tag", "place", "rest").collect())) == [(1, "shape"), (2, "rest"), (3, "rest")]
+
+
+# counts in the same pass
+
+
+def test_distinct_supporters_by_bitmaps(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([rnd.randrange(50), rnd.randrange(10**12), -rnd.randrange(100_000), None]), rnd.choices("abc", k=rnd.randint(0, 3)), rnd.choice(["x", "y", None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "id long, tags array<string>, c string")
+    for ids in (df, df.withColumn("id", F.col("id").cast("string"))):
+        got = {r["tag"]: (r["n_ids"], r["contexts"]) for r in evidence.tag_entries(ids, "tags", "id", F.col("c")).collect()}
+        assert got == {t: (len({i for i, ts, _ in rows if t in ts and i is not None}), sorted({c for _, ts, c in rows if t in ts and c})) for t in "abc"}
+    assert "Expand" not in plan_of(evidence.tag_entries(df, "tags", "id", F.col("c")))
+
+
+def test_rejects_are_counted_with_the_write(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from jobloom.operators import training
+    from jobloom.sources import jsonl
+
+    (tmp_path / "in.jsonl").write_text('{"k": 1}\n\n[1]\nbroken\n{"k": 2}\n')
+    counts = Observation()
+    records = jsonl.scan_tolerant(spark, f"file://{tmp_path}/in.jsonl", "k int", counts)
+    assert plan_of(records).count("FileScan") == 1
+    records.write.parquet(f"file://{tmp_path}/out")
+    want = jsonl.count_rejects(spark.read.text(f"file://{tmp_path}/in.jsonl")).first().asDict()
+    assert counts.get == want == {"taken": 2, "blank": 1, "rejected": 2}
+    assert jsonl.write_canonical(records, f"file://{tmp_path}/canon", ["k"]) == 2
+    os.rename(tmp_path / "canon", tmp_path / "canon.old")  # a reader between the two renames
+    assert jsonl.scan_tolerant(spark, f"file://{tmp_path}/canon", "k int").count() == 2
+    good = [("system", "a"), ("user", "b"), ("assistant", "c")]
+    df = spark.createDataFrame([(1, good), (2, good[:2]), (3, good)], "id int, messages array<struct<role:string,content:string>>")
+    seen = Observation()
+    valid, _ = training.validate(df, counts=seen)
+    valid.write.parquet(f"file://{tmp_path}/valid")
+    assert seen.get == {"examples": 2, "rejected": 1} and training.passes(seen, 2) and not training.passes(seen, 3)
