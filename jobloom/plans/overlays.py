@@ -57,11 +57,11 @@ def _tracking(spark, sf):
 
 
 def _snapshot(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("k"), F.concat(F.lit("https://x/"), "c_name").alias("job_url"))
+    return table(spark, sf, "customer").select((F.col("c_custkey") + 100).alias("k"), F.concat(F.lit("https://x/"), "c_name").alias("job_url"))
 
 
 _T = "(SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS job FROM orders WHERE o_orderdate < '1998-01-01' GROUP BY 1)"
-_S = "(SELECT c_custkey AS k, 'https://x/' || c_name AS job_url FROM customer WHERE c_custkey % 4 <> 1)"
+_S = "(SELECT c_custkey + 100 AS k, 'https://x/' || c_name AS job_url FROM customer)"
 
 
 @query("e3_tracked_in_snapshot", f"SELECT t.k, t.status, s.job_url FROM {_T} t JOIN {_S} s USING (k) UNION ALL SELECT k, status, NULL FROM {_T} t WHERE k NOT IN (SELECT k FROM {_S} s)")
@@ -75,12 +75,12 @@ def e4(spark, sf):
     return O.pending_reviews(_snapshot(spark, sf), _tracking(spark, sf), ["k"], RUN)
 
 
-_CACHE = "(SELECT o_custkey AS k, CASE WHEN o_custkey % 9 = 0 THEN 'bad' WHEN o_custkey % 11 = 0 THEN ' ' ELSE strftime(max(o_orderdate), '%Y-%m-%d') END AS last_scraped FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)"
+_CACHE = "(SELECT o_custkey AS k, CASE WHEN o_custkey % 9 = 0 THEN 'bad' WHEN o_custkey % 11 = 0 THEN ' ' ELSE strftime(max(o_orderdate), '%Y-%m-%d') END AS last_scraped FROM orders GROUP BY 1)"
 
 
 @query("e5_new_revisits", f"SELECT c_custkey AS k, c_name AS company_name, CASE WHEN trim(coalesce(last_scraped, '')) = '' THEN '{RUN}' ELSE last_scraped END AS last_checked, (coalesce(try_cast(nullif(trim(last_scraped), '') AS DATE), DATE '{RUN}') + 30)::DATE::VARCHAR AS next_revisit FROM customer LEFT JOIN {_CACHE} c ON c.k = c_custkey WHERE c_custkey NOT IN (SELECT k FROM {_T} t)")
 def e5(spark, sf):
-    cache = table(spark, sf, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("d"))
+    cache = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("d"))
     cache = cache.select("k", F.when(F.col("k") % 9 == 0, "bad").when(F.col("k") % 11 == 0, " ").otherwise(F.col("d")).alias("last_scraped"))
     who = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("company_name"))
     return O.new_revisits(who, _tracking(spark, sf), cache, "k", RUN)
@@ -128,7 +128,7 @@ def g7(spark, sf):
     return cache.join(negatives, "k", "left").select("k", F.concat("last_scraped", F.lpad(F.col("seq").cast("string"), 12, "0")).alias("mark"), "status", F.coalesce("negative", F.lit(False)).alias("negative"))
 
 
-_PATCH = f"(SELECT o_custkey AS k, CASE max(o_orderkey) % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'nonsense' ELSE 'reviewed' END AS status, CASE WHEN o_custkey % 2 = 0 THEN '' END AS note FROM orders WHERE o_orderdate >= '2001-01-01' GROUP BY 1)"
+_PATCH = f"(SELECT o_custkey AS k, CASE max(o_orderkey) % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'nonsense' ELSE 'reviewed' END AS status, CASE WHEN o_custkey % 2 = 0 THEN '' END AS note FROM orders WHERE o_orderdate >= '1998-01-01' GROUP BY 1)"
 
 
 @query("g8_tracking_patch", f"""
@@ -145,7 +145,7 @@ FROM j WHERE tracked OR reason IS NULL
 UNION ALL SELECT k, 'rejected', '', reason, '', '', '' FROM j WHERE reason IS NOT NULL""")
 def g8(spark, sf):
     tracking = _tracking(spark, sf).select("k", F.lit("old").alias("job_url"), "status", *[F.lit("").alias(c) for c in ("review_date", "application_date", "next_action_date")], F.concat(F.lit("n"), "job").alias("notes"))
-    recent = table(spark, sf, "orders").where("o_orderdate >= '2001-01-01'").groupBy(F.col("o_custkey").alias("k")).agg((F.max("o_orderkey") % 4).alias("m"))
+    recent = table(spark, sf, "orders").where("o_orderdate >= '1998-01-01'").groupBy(F.col("o_custkey").alias("k")).agg((F.max("o_orderkey") % 4).alias("m"))
     null = F.lit(None).cast("string")
     patches = recent.select("k", F.when(F.col("m") == 0, "applied").when(F.col("m") == 1, "nonsense").otherwise("reviewed").alias("status"), null.alias("review_date"), null.alias("application_date"), null.alias("next_action_date"), F.when(F.col("k") % 2 == 0, "").alias("notes"))
     rows, rejected = O.patch_tracking(tracking, patches, _snapshot(spark, sf), ["k"], RUN)
@@ -179,7 +179,7 @@ def g9_hints(spark, sf):
 def g10(spark, sf):
     c = table(spark, sf, "customer")
     snap = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("place"), F.lit("d").alias("description"))
-    det = c.where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "new").otherwise("").alias("place"), F.lit("d").alias("description"))
+    det = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "new").otherwise("").alias("place"), F.lit("d").alias("description"))
     return O.backfill_details(snap, det, ["k"], ["place", "description"]).select("k", "place", "changed")
 
 
@@ -228,9 +228,9 @@ def _preferred(spark, sf):
     return O.preferred_text(parts, wanted, "k", "ref", "text")
 
 
-@query("e14_source_precedence", "SELECT k, arg_min(src, p) AS src FROM (SELECT c_custkey AS k, 1 AS p, 'snapshot' AS src FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, 2, 'page' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT c_custkey, 4, 'fallback' FROM customer) GROUP BY 1")
+@query("e14_source_precedence", "SELECT k, arg_min(src, p) AS src FROM (SELECT c_custkey AS k, CASE c_mktsegment WHEN 'MACHINERY' THEN 1 ELSE 5 END AS p, CASE c_mktsegment WHEN 'MACHINERY' THEN 'snapshot' ELSE 'fallback' END AS src FROM customer UNION ALL SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 4 END, CASE o_orderstatus WHEN 'F' THEN 'page' ELSE 'listing' END FROM orders) GROUP BY 1")
 def e14(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    part = lambda df, k, p, s: df.select(F.col(k).alias("k"), F.lit(p).alias("priority"), F.lit(s).alias("src"))
-    every = part(c.where("c_custkey % 3 = 0"), "c_custkey", 1, "snapshot").union(part(o.where("o_orderkey % 7 = 0"), "o_custkey", 2, "page")).union(part(c, "c_custkey", 4, "fallback"))
+    part = lambda df, k, best, p, s: df.select(F.col(k).alias("k"), F.when(best, p[0]).otherwise(p[1]).alias("priority"), F.when(best, s[0]).otherwise(s[1]).alias("src"))
+    every = part(c, "c_custkey", F.col("c_mktsegment") == "MACHINERY", (1, 5), ("snapshot", "fallback")).union(part(o, "o_custkey", F.col("o_orderstatus") == "F", (2, 4), ("page", "listing")))
     return O.by_priority(every, "k").select("k", "src")
