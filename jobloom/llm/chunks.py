@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
 #: Longer chunks are encoded where they occur and not kept.
 LONGEST_KEPT = 64
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 128 << 20
 #: About what a kept chunk takes besides its characters and ids: its string, its entry and two numbers.
 _ENTRY_BYTES = 180
 
@@ -42,22 +44,21 @@ class ChunkCache:
         """(ids of all chunks in order, ids in each)."""
         if self.bytes > self.kept_bytes:
             self.reset()
-        new = set(chunks).difference(self.index)
-        long = sorted(c for c in new if len(c) > LONGEST_KEPT)
-        short = sorted(new.difference(long) if long else new, key=lambda c: (c.isalpha(), c))
-        if short:
-            self._keep(short, *self.learn(short))
-        if not long:
-            which = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-            at, sizes, flat = self.at[which], self.size[which], self.flat
-        else:
-            more, more_sizes = self.learn(long)
-            own = dict(zip(long, range(len(self.index), len(self.index) + len(long))))
-            which = np.fromiter((own[c] if c in own else self.index[c] for c in chunks), np.int64, len(chunks))
-            n = len(self.index)
-            at = np.concatenate([self.at[:n], self.used + np.cumsum(more_sizes) - more_sizes])[which]
-            sizes = np.concatenate([self.size[:n], more_sizes])[which]
-            flat = np.concatenate([self.flat[: self.used], more])
+        which = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unseen = np.flatnonzero(which < 0).tolist()
+        flat, at, size = self.flat, self.at, self.size
+        if unseen:
+            new = dict.fromkeys(chunks[k] for k in unseen)
+            short, long = [c for c in new if len(c) <= LONGEST_KEPT], [c for c in new if len(c) > LONGEST_KEPT]
+            if short:
+                self._keep(short, *self.learn(short))
+            flat, at, size, own = self.flat, self.at, self.size, self.index
+            if long:
+                n, (more, sizes) = len(self.index), self.learn(long)
+                flat, at, size = np.concatenate([flat[: self.used], more]), np.concatenate([at[:n], self.used + np.cumsum(sizes) - sizes]), np.concatenate([size[:n], sizes])
+                own = ChainMap(dict(zip(long, range(n, n + len(long)))), self.index)
+            which[unseen] = [own[chunks[k]] for k in unseen]
+        at, sizes = at[which], size[which]
         total = np.cumsum(sizes)
         spot = np.repeat(at - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)
         return flat[spot], sizes

@@ -46,7 +46,8 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER, _SIGN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-&(-/:-@\[-`{-~"
 #: The vocabulary's pre-tokenizer never joins these: letters end at a sign (but for an apostrophe), a space goes with what follows it, and white space before that stands alone.
 _CHUNK = re.compile(rf" ?[{_LETTER}]++(?=[{_SIGN}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-_INNER_SPACE = re.compile(rf".[{_SPACE}]|[{_SPACE}]$|^[{_SPACE}](?<! )", re.DOTALL)
+#: Where none of these occurs, a text can be cut before every space, full stop and comma, and on both sides of a line feed.
+_SPACES, _ASCII_SPACES, _BESIDE = re.compile(rf"[{_SPACE}][{_SPACE}]"), re.compile(r"[\t-\r ][\t-\r ]"), re.compile(rf"[^0-9{_LETTER}][.,]")
 _PIECES = "part int, doc_id long, piece int, start long, length int, rank long, ids binary"
 
 
@@ -61,28 +62,42 @@ class ByteEncoder:
         self.cache = ChunkCache(self._learn)
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode chunks; those whose only space is their first character go by the hundred, a line feed between two, which the pre-tokenizer sets apart."""
-        plain = [not (_INNER_SPACE.search(c) or "<|" in c or not c) for c in chunks]
-        sizes, ids = np.zeros(len(chunks), np.int64), []
-        for lo in range(0, len(chunks), LINES_AT_ONCE):
-            some = range(lo, min(lo + LINES_AT_ONCE, len(chunks)))
-            flat = np.zeros(0, np.uint32)
-            if all(plain[lo : some.stop]):
-                flat = np.array(self.library.encode_batch_fast(["\n".join(chunks[lo : some.stop])], add_special_tokens=False)[0].ids, np.uint32)
+        """Encode chunks; those without white space but for a space before them go by the hundred, a line feed between two, which the pre-tokenizer sets apart."""
+        sizes, parts, lo = np.zeros(len(chunks), np.int64), [], 0
+        plain = [bool(c) and not c.isspace() and "<|" not in c for c in chunks]
+        order = np.argsort(plain, kind="stable")
+        chunks = [chunks[k] for k in order.tolist()]
+        first = len(chunks) - sum(plain)
+        while lo < len(chunks):
+            hi = min(lo + LINES_AT_ONCE, first if lo < first else len(chunks))
+            if lo >= first:
+                flat = np.array(self.library.encode_batch_fast(["\n".join(chunks[lo:hi])], add_special_tokens=False)[0].ids, np.uint32)
                 cut = np.flatnonzero(flat == self.line)
-                sizes[lo : some.stop] = np.diff(np.concatenate([[-1], cut, [len(flat)]])) - 1
+                sizes[lo:hi] = np.diff(np.concatenate([[-1], cut, [len(flat)]])) - 1
                 flat = np.delete(flat, cut)
             else:
-                lists = [e.ids for e in self.library.encode_batch_fast([chunks[k] for k in some], add_special_tokens=False)]
-                sizes[lo : some.stop] = [len(x) for x in lists]
+                lists = [e.ids for e in self.library.encode_batch_fast(chunks[lo:hi], add_special_tokens=False)]
+                sizes[lo:hi] = [len(x) for x in lists]
                 flat = np.fromiter((i for x in lists for i in x), np.uint32)
-            ids.append(flat)
-        return np.concatenate(ids), sizes
+            parts.append(flat)
+            lo = hi
+        flat = np.concatenate(parts)
+        if first and first < len(chunks):  # back to the order asked for
+            at = np.cumsum(sizes) - sizes
+            back = np.argsort(order, kind="stable")
+            own = sizes[back]
+            flat = flat[np.repeat(at[back] - np.cumsum(own) + own, own) + np.arange(len(flat))]
+            sizes = own
+        return flat, sizes
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         """Chunks that encode alone as they do in the text; a text that may name a special token is one chunk."""
-        return [text] if "<|" in text else _CHUNK.findall(text)
+        if "<|" in text:
+            return [text]
+        if "\0" in text or (_ASCII_SPACES if text.isascii() else _SPACES).search(text) or _BESIDE.search(text):
+            return _CHUNK.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[np.ndarray]:
         """Ids of each text and end_id after them."""
