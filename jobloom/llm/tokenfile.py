@@ -4,10 +4,10 @@ Documents are dealt by ranges of doc_id and sorted inside each, encoded with a `
 into shards of about SHARD_TOKENS ids (a document is never cut). Each shard becomes one Parquet file of one row
 in the shared folder, whose payload is self-contained:
 
-    magic, ids, planes | zeros of each plane | per plane: rank directory and bits, compressed | doc_ids, lengths
+    magic, ids, planes | zeros and bytes of each plane | per plane: ones before each block, its start, blocks | doc_ids, lengths
 
-Plane k holds bit (planes - 1 - k) of every id, stably sorted by the bits before it. The rank directory counts
-ones before every 512 bits, so access, rank, count, select and occurrence look-up read a few words of each plane.
+Plane k holds bit (planes - 1 - k) of every id, stably sorted by the bits before it, in compressed blocks of BLOCK_BYTES; access,
+rank, count, select and occurrence look-up unpack a block or two of each plane.
 
 Encoding caches whole space-separated chunks, which the vocabulary's pre-tokenizer never joins, within a bound of bytes (chunks.py);
 unseen chunks of a block of texts are encoded by the library in bulk.
@@ -22,6 +22,8 @@ import re
 import struct
 import unicodedata
 import zlib
+from bisect import bisect_right
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -32,72 +34,85 @@ from pyspark.sql import functions as F
 from .chunks import ChunkCache
 from .common import shared_dir
 
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 22
 ROWS_PER_RANGE, MAX_RANGES = 4000, 50_000
 END_ID = 2
-BLOCK_BITS = 512
+BLOCK_BYTES, KEPT_BLOCKS = 1 << 13, 64
 PARTS_PER_BLOCK = 4096
 WORDS_AT_ONCE = 4096
-_MAGIC = b"WVM1"
+_MAGIC = b"WVM2"
 
 
 class WaveletMatrix:
-    """Succinct sequence of ids: bit planes with rank and select."""
+    """Succinct sequence of ids: bit planes in compressed blocks, with rank and select.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
-        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
+    A plane is cut into blocks of BLOCK_BYTES, compressed one by one. Before them stand two arrays, the ones before every block and
+    where its bytes begin, so that an access, count or select unpacks a block or two of each plane and reads nothing else
+    of the file. `bytes_read` tells how much that was; a few unpacked blocks are kept.
+    """
+
+    def __init__(self, data):
+        view = memoryview(data)
+        if bytes(view[:4]) != _MAGIC:
+            raise ValueError("not a wavelet matrix file")
+        self.n, bits = struct.unpack_from("<QI", view, 4)
+        self.zeros = np.frombuffer(view, "<u8", bits, 16).tolist()
+        sizes, at = np.frombuffer(view, "<u8", bits, 16 + 8 * bits).tolist(), 16 + 16 * bits
+        self.planes = [view[p : p + size] for p, size in zip(np.cumsum([at, *sizes]).tolist(), sizes)]
+        self.blocks = -(-self.n // (8 * BLOCK_BYTES))
+        self.bytes_read = 16 + 16 * bits
+        self._kept: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+        self._unpack = zstandard.ZstdDecompressor().decompress
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes, zeros, ranks = [], [], []
+        pack = zstandard.ZstdCompressor(level=1).compress
+        planes, zeros = [], []
         for k in reversed(range(bits)):
             b = (now >> now.dtype.type(k) & now.dtype.type(1)).astype(bool)
             packed = np.packbits(b, bitorder="little")
-            ones = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK_BITS // 8)))).reshape(-1, BLOCK_BITS // 8).sum(1, dtype=np.int64)
-            planes.append(packed)
-            zeros.append(int(len(b) - ones.sum()))
-            ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
+            cuts = range(0, len(packed), BLOCK_BYTES)
+            ones = np.cumsum([0, *(int(np.bitwise_count(packed[c : c + BLOCK_BYTES]).sum(dtype=np.int64)) for c in cuts)])
+            parts = [pack(packed[c : c + BLOCK_BYTES]) for c in cuts]
+            starts = np.cumsum([16 * (len(parts) + 1), *map(len, parts)])
+            planes.append(b"".join([ones.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), *parts]))
+            zeros.append(len(b) - int(ones[-1]))
             now = np.concatenate([np.compress(~b, now), np.compress(b, now)])
-        return cls(len(ids), planes, zeros, ranks)
+        head = _MAGIC + struct.pack("<QI", len(ids), bits)
+        return cls(b"".join([head, np.array(zeros, "<u8").tobytes(), np.array([len(p) for p in planes], "<u8").tobytes(), *planes]))
 
     def to_bytes(self) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        out = [_MAGIC, struct.pack("<QI", self.n, len(self.planes)), np.array(self.zeros, np.uint64).tobytes()]
-        for bits, rank in zip(self.planes, self.ranks):
-            for part in (np.diff(rank.astype(np.int64)).astype(np.uint16).tobytes(), bits.tobytes()):
-                squeezed = pack(part)
-                out += [struct.pack("<Q", len(squeezed)), squeezed]
-        return b"".join(out)
-
-    @classmethod
-    def from_bytes(cls, data) -> WaveletMatrix:
-        view = memoryview(data)
-        if bytes(view[:4]) != _MAGIC:
-            raise ValueError("not a wavelet matrix file")
-        n, bits = struct.unpack_from("<QI", view, 4)
-        zeros = np.frombuffer(view, np.uint64, bits, 16).tolist()
-        at, unpack = 16 + 8 * bits, zstandard.ZstdDecompressor().decompress
-        planes, ranks = [], []
-        for _ in range(bits):
-            parts = []
-            for _ in range(2):
-                (size,) = struct.unpack_from("<Q", view, at)
-                parts.append(unpack(view[at + 8 : at + 8 + size]))
-                at += 8 + size
-            ranks.append(np.concatenate([[0], np.cumsum(np.frombuffer(parts[0], np.uint16), dtype=np.int64)]).astype(np.uint32))
-            planes.append(np.frombuffer(parts[1], np.uint8))
-        return cls(n, planes, [int(z) for z in zeros], ranks)
+        head = _MAGIC + struct.pack("<QI", self.n, len(self.planes))
+        return b"".join([head, np.array(self.zeros, "<u8").tobytes(), np.array([len(p) for p in self.planes], "<u8").tobytes(), *map(bytes, self.planes)])
+
+    from_bytes = classmethod(lambda cls, data: cls(data))
+
+    def _ones(self, k: int, block: int) -> int:
+        """Ones of plane k before a block."""
+        self.bytes_read += 8
+        return struct.unpack_from("<Q", self.planes[k], 8 * block)[0]
+
+    def _block(self, k: int, block: int) -> np.ndarray:
+        key = (k, block)
+        if key in self._kept:
+            self._kept.move_to_end(key)
+            return self._kept[key]
+        lo, hi = struct.unpack_from("<QQ", self.planes[k], 8 * (self.blocks + 1 + block))
+        self.bytes_read += 16 + hi - lo
+        self._kept[key] = np.frombuffer(self._unpack(self.planes[k][lo:hi], max_output_size=BLOCK_BYTES), np.uint8)
+        if len(self._kept) > KEPT_BLOCKS:
+            self._kept.popitem(last=False)
+        return self._kept[key]
 
     def _ones_before(self, k: int, i: int) -> int:
-        block = i // BLOCK_BITS
-        lo = block * (BLOCK_BITS // 8)
-        bits = np.unpackbits(self.planes[k][lo : i // 8 + 1], bitorder="little")[: i - lo * 8]
-        return int(self.ranks[k][block]) + int(bits.sum())
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3]) >> (i & 7) & 1
+        block, rest = divmod(i, 8 * BLOCK_BYTES)
+        if not rest:
+            return self._ones(k, block)
+        bits = self._block(k, block)
+        odd = int(bits[rest >> 3]) & (1 << (rest & 7)) - 1 if rest & 7 else 0
+        return self._ones(k, block) + int(np.bitwise_count(bits[: rest >> 3]).sum(dtype=np.int64)) + odd.bit_count()
 
     def __getitem__(self, i: int) -> int:
         """The id at position i."""
@@ -105,7 +120,8 @@ class WaveletMatrix:
             raise IndexError(i)
         out = 0
         for k in range(len(self.planes)):
-            b, ones = self._bit(k, i), self._ones_before(k, i)
+            block, rest = divmod(i, 8 * BLOCK_BYTES)
+            b, ones = int(self._block(k, block)[rest >> 3]) >> (rest & 7) & 1, self._ones_before(k, i)
             out = out << 1 | b
             i = self.zeros[k] + ones if b else i - ones
         return out
@@ -129,31 +145,39 @@ class WaveletMatrix:
     def select(self, symbol: int, j: int) -> int:
         """Position of the j-th occurrence (from 0) of an id; -1 if there are fewer."""
         lo, hi = self._range(symbol, 0, self.n)
-        if not 0 <= j < hi - lo:
-            return -1
-        i = lo + j
-        for k in reversed(range(len(self.planes))):
-            one = symbol >> (len(self.planes) - 1 - k) & 1
-            i = self._select_bit(k, i - self.zeros[k], 1) if one else self._select_bit(k, i, 0)
-        return i
-
-    def _select_bit(self, k: int, j: int, bit: int) -> int:
-        before = self.ranks[k].astype(np.int64)
-        if not bit:
-            before = np.arange(len(before)) * BLOCK_BITS - before
-        block = int(np.searchsorted(before, j, "right")) - 1
-        lo = block * (BLOCK_BITS // 8)
-        bits = np.unpackbits(self.planes[k][lo : lo + BLOCK_BITS // 8], bitorder="little")
-        return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[j - int(before[block])])
+        return int(self._back(symbol, np.array([lo + j]))[0]) if 0 <= j < hi - lo else -1
 
     def occurrences(self, symbol: int) -> list[int]:
-        return [self.select(symbol, j) for j in range(self.count(symbol))]
+        """All positions of an id, by one walk up the planes."""
+        return self._back(symbol, np.arange(*self._range(symbol, 0, self.n))).tolist()
+
+    def _back(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """Positions of the sequence for (rising) positions below the last plane."""
+        for k in reversed(range(len(self.planes))):
+            bit = symbol >> (len(self.planes) - 1 - k) & 1
+            at = self._select_bits(k, at - self.zeros[k] if bit else at, bit)
+        return at
+
+    def _select_bits(self, k: int, js: np.ndarray, bit: int) -> np.ndarray:
+        """Positions of the js-th bits of one kind in plane k; js rise."""
+        before = lambda block: self._ones(k, block) if bit else min(8 * BLOCK_BYTES * block, self.n) - self._ones(k, block)
+        out, done = [], 0
+        while done < len(js):
+            block = bisect_right(range(self.blocks), int(js[done]), key=before) - 1
+            first = before(block)
+            bits = np.unpackbits(self._block(k, block), bitorder="little")[: self.n - 8 * BLOCK_BYTES * block]
+            places = np.flatnonzero(bits == bit)
+            upto = done + int(np.searchsorted(js[done:], first + len(places), "left"))
+            out.append(8 * BLOCK_BYTES * block + places[js[done:upto] - first])
+            done = upto
+        return np.concatenate(out) if out else js
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the last plane to the first."""
         out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in reversed(range(len(self.planes))):
-            b = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            packed = [self._block(k, block) for block in range(self.blocks)]
+            b = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n, bitorder="little").astype(bool)
             up, zeros = np.empty_like(out), self.zeros[k]
             up[~b], up[b] = out[:zeros], out[zeros:]
             out = up | (b.astype(out.dtype) << out.dtype.type(len(self.planes) - 1 - k))
@@ -206,26 +230,24 @@ class Encoder:
         self.cache = ChunkCache(self._learn)
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode chunks: runs of plain words in one call, as each ends with the one token that closes a word."""
-        sizes, parts, lo = np.zeros(len(new), np.int64), [], 0
-        while lo < len(new):
-            plain, hi = new[lo].isalpha(), lo + 1
-            while hi < len(new) and hi - lo < WORDS_AT_ONCE and new[hi].isalpha() == plain:
-                hi += 1
-            some = new[lo:hi]
-            flat = ends = np.zeros(0, np.int64)
-            if plain:
+        """Encode chunks: plain words many in one call, as each ends with the one token that closes a word."""
+        sizes, parts = np.zeros(len(new), np.int64), {}
+        words = [k for k, c in enumerate(new) if c.isalpha()]
+        others = [k for k, c in enumerate(new) if not c.isalpha()]
+        for kind, lo in [(words, k) for k in range(0, len(words), WORDS_AT_ONCE)] + [(others, k) for k in range(0, len(others), WORDS_AT_ONCE)]:
+            own = kind[lo : lo + WORDS_AT_ONCE]
+            some = [new[k] for k in own]
+            flat, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            if kind is words:
                 flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
                 ends = np.flatnonzero(self.closes[flat]) + 1
-            if len(ends) == len(some) and ends[-1] == len(flat):
-                sizes[lo:hi] = np.diff(ends, prepend=0)
-            else:
+            if len(ends) != len(some) or ends[-1] != len(flat):
                 lists = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-                sizes[lo:hi] = [len(x) for x in lists]
+                ends = np.cumsum([len(x) for x in lists])
                 flat = np.fromiter((i for x in lists for i in x), np.uint32)
-            parts.append(flat)
-            lo = hi
-        return np.concatenate(parts), sizes
+            sizes[own] = np.diff(ends, prepend=0)
+            parts.update(zip(own, np.split(flat, ends[:-1])))
+        return np.concatenate([parts[k] for k in range(len(new))]), sizes
 
     @staticmethod
     def chunks(text: str) -> list[str]:

@@ -425,3 +425,23 @@ def test_junk_without_spaces_stays_out_of_the_cache():
         assert ids[at : at + n - 1].tolist() == library.encode(t or "", add_special_tokens=False).ids and ids[at + n - 1] == tokenfile.END_ID
         at += n
     assert encoder.cache.bytes < 10_000 and encoder.cache.used < 100
+
+
+def test_an_access_unpacks_few_blocks():
+    from jobloom.llm import tokenfile
+
+    ids = np.random.default_rng(4).integers(0, 49_408, 600_000)
+    data = tokenfile.WaveletMatrix.build(ids).to_bytes()
+    for use in (lambda m: m[421_337] == ids[421_337], lambda m: m.count(int(ids[5]), 1000, 500_000) == int((ids[1000:500_000] == ids[5]).sum()), lambda m: m.select(int(ids[300_000]), 3) == int(np.flatnonzero(ids == ids[300_000])[3])):
+        m = tokenfile.WaveletMatrix.from_bytes(data)
+        assert use(m) and m.bytes_read < len(data) / 3
+    m = tokenfile.WaveletMatrix.from_bytes(data)
+    m[421_337]
+    assert m.bytes_read < 16 * (tokenfile.BLOCK_BYTES + 200) < len(data) / 8
+    hot = np.where(np.arange(300_000) % 3 == 0, 7, ids[:300_000])
+    m = tokenfile.WaveletMatrix.build(hot)
+    assert m.occurrences(7) == np.flatnonzero(hot == 7).tolist() and m.occurrences(49_409) == [] and (m.decode() == hot).all()
+    for n in (0, 1, 8 * tokenfile.BLOCK_BYTES, 8 * tokenfile.BLOCK_BYTES + 1):
+        some = ids[:n] % 5
+        m = tokenfile.WaveletMatrix.from_bytes(tokenfile.WaveletMatrix.build(some).to_bytes())
+        assert (m.decode() == some).all() and m.count(3) == int((some == 3).sum()) == len(m.occurrences(3)) and m.count(3, n, n) == 0
