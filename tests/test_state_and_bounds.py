@@ -282,3 +282,29 @@ def test_rejects_are_counted_with_the_write(spark, tmp_path):
     valid, _ = training.validate(df, counts=seen)
     valid.write.parquet(f"file://{tmp_path}/valid")
     assert seen.get == {"examples": 2, "rejected": 1} and training.passes(seen, 2) and not training.passes(seen, 3)
+
+
+def test_a_run_reaches_all_tables_by_touched_buckets(spark, tmp_path):
+    from jobloom.streaming.upkeep import apply_run
+
+    store = StateStore(spark, f"file://{tmp_path}/s", buckets=8)
+    jobs = lambda rows: spark.createDataFrame(rows, "c string, id string, job_url string, seq int")
+    looked = lambda rows: spark.createDataFrame(rows, "c string, last_scraped string, seq int, not_found boolean")
+    names = [f"c{k}" for k in range(30)]
+    first = apply_run(store, jobs([(c, "1", f"u{c}", 0) for c in names if c != "c5"]), looked([(c, "2024-01-01", 0, c == "c5") for c in names]), "c", ["c", "id"], "2024-01-01")
+    before = store.manifest()
+    assert len(first) > 3 and {r["c"] for r in store.read("negatives").collect()} == {"c5"}
+    # c5 gets a board, c6 loses its job, c7 is not looked at, a stray listing of it does not count
+    touched = apply_run(store, jobs([("c5", "9", "u9", 1), ("c7", "8", "u8", 1)]), looked([("c5", "2024-02-01", 1, False), ("c6", "2024-02-01", 1, False)]), "c", ["c", "id"], "2024-02-01")
+    after = store.manifest()
+    for table in ("snapshot", "search_cache", "negatives", "tracking"):
+        parts = [m["tables"][table]["parts"] for m in (before, after)]
+        assert {int(b) for b in parts[0].keys() | parts[1].keys() if parts[0].get(b) != parts[1].get(b)} <= set(touched) and len(touched) <= 2
+    snapshot = {(r["c"], r["id"]) for r in store.read("snapshot").collect()}
+    assert snapshot == {(c, "1") for c in names if c not in ("c5", "c6")} | {("c5", "9")}
+    assert store.read("negatives").count() == 0
+    dates = {r["c"]: r["last_scraped"] for r in store.read("search_cache").collect()}
+    assert len(dates) == 30 and dates["c5"] == dates["c6"] == "2024-02-01" and dates["c7"] == "2024-01-01"
+    reviews = {(r["c"], r["id"]): r["review_date"] for r in store.read("tracking").collect()}
+    assert len(reviews) == 30 and reviews[("c5", "9")] == "2024-02-01" and reviews[("c6", "1")] == "2024-01-01"
+    assert apply_run(store, jobs([]), looked([]), "c", ["c", "id"], "2024-03-01") == []
