@@ -16,9 +16,9 @@ _ENTRY_BYTES = 180
 
 
 class ChunkCache:
-    """Ids of chunks of text; `learn` encodes a list of unseen chunks to (ids of all, ids in each)."""
+    """Ids of chunks of text; `learn` encodes a list of unseen chunks to (the chunks in an order of its own, ids of all, ids in each)."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept_bytes: int = KEPT_BYTES):
+    def __init__(self, learn: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], kept_bytes: int = KEPT_BYTES):
         self.learn, self.kept_bytes = learn, kept_bytes
         self.reset()
 
@@ -51,10 +51,10 @@ class ChunkCache:
             new = dict.fromkeys(chunks[k] for k in unseen)
             short, long = [c for c in new if len(c) <= LONGEST_KEPT], [c for c in new if len(c) > LONGEST_KEPT]
             if short:
-                self._keep(short, *self.learn(short))
+                self._keep(*self.learn(short))
             flat, at, size, own = self.flat, self.at, self.size, self.index
             if long:
-                n, (more, sizes) = len(self.index), self.learn(long)
+                n, (long, more, sizes) = len(self.index), self.learn(long)
                 flat, at, size = np.concatenate([flat[: self.used], more]), np.concatenate([at[:n], self.used + np.cumsum(sizes) - sizes]), np.concatenate([size[:n], sizes])
                 own = ChainMap(dict(zip(long, range(n, n + len(long)))), self.index)
             which[unseen] = [own[chunks[k]] for k in unseen]

@@ -61,13 +61,12 @@ class ByteEncoder:
         (self.line,) = self.library.encode("\n", add_special_tokens=False).ids
         self.cache = ChunkCache(self._learn)
 
-    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Encode chunks; those without white space but for a space before them go by the hundred, a line feed between two, which the pre-tokenizer sets apart."""
         sizes, parts, lo = np.zeros(len(chunks), np.int64), [], 0
         plain = [bool(c) and not c.isspace() and "<|" not in c for c in chunks]
-        order = np.argsort(plain, kind="stable")
-        chunks = [chunks[k] for k in order.tolist()]
         first = len(chunks) - sum(plain)
+        chunks = [c for c, p in zip(chunks, plain) if not p] + [c for c, p in zip(chunks, plain) if p]
         while lo < len(chunks):
             hi = min(lo + LINES_AT_ONCE, first if lo < first else len(chunks))
             if lo >= first:
@@ -81,14 +80,7 @@ class ByteEncoder:
                 flat = np.fromiter((i for x in lists for i in x), np.uint32)
             parts.append(flat)
             lo = hi
-        flat = np.concatenate(parts)
-        if first and first < len(chunks):  # back to the order asked for
-            at = np.cumsum(sizes) - sizes
-            back = np.argsort(order, kind="stable")
-            own = sizes[back]
-            flat = flat[np.repeat(at[back] - np.cumsum(own) + own, own) + np.arange(len(flat))]
-            sizes = own
-        return flat, sizes
+        return chunks, np.concatenate(parts), sizes
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -274,7 +266,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast(plan)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("part", "length", before.alias("before"))
-    ranked = pieces.join(first, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
+    ranked = pieces.join(first.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
     names = [c for c in ranked.columns if c != "rank"]
     at_length, at_rank = ranked.columns.index("length"), ranked.columns.index("rank")
 

@@ -39,7 +39,7 @@ ROWS_PER_RANGE, MAX_RANGES = 4000, 50_000
 END_ID = 2
 BLOCK_BYTES, KEPT_BLOCKS = 1 << 13, 64
 PARTS_PER_BLOCK = 4096
-WORDS_AT_ONCE = 4096
+WORDS_AT_ONCE = 1024
 _MAGIC = b"WVM2"
 
 
@@ -229,25 +229,24 @@ class Encoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache = ChunkCache(self._learn)
 
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Encode chunks: plain words many in one call, as each ends with the one token that closes a word."""
-        sizes, parts = np.zeros(len(new), np.int64), {}
-        words = [k for k, c in enumerate(new) if c.isalpha()]
-        others = [k for k, c in enumerate(new) if not c.isalpha()]
-        for kind, lo in [(words, k) for k in range(0, len(words), WORDS_AT_ONCE)] + [(others, k) for k in range(0, len(others), WORDS_AT_ONCE)]:
-            own = kind[lo : lo + WORDS_AT_ONCE]
-            some = [new[k] for k in own]
-            flat, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-            if kind is words:
-                flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.flatnonzero(self.closes[flat]) + 1
-            if len(ends) != len(some) or ends[-1] != len(flat):
-                lists = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-                ends = np.cumsum([len(x) for x in lists])
-                flat = np.fromiter((i for x in lists for i in x), np.uint32)
-            sizes[own] = np.diff(ends, prepend=0)
-            parts.update(zip(own, np.split(flat, ends[:-1])))
-        return np.concatenate([parts[k] for k in range(len(new))]), sizes
+        words, others = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
+        sizes, parts = [], []
+        for kind in (words, others):
+            for lo in range(0, len(kind), WORDS_AT_ONCE):
+                some = kind[lo : lo + WORDS_AT_ONCE]
+                flat, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                if kind is words:
+                    flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                    ends = np.flatnonzero(self.closes[flat]) + 1
+                if len(ends) != len(some) or ends[-1] != len(flat):
+                    lists = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                    ends = np.cumsum([len(x) for x in lists])
+                    flat = np.fromiter((i for x in lists for i in x), np.uint32)
+                sizes.append(np.diff(ends, prepend=0))
+                parts.append(flat)
+        return words + others, np.concatenate(parts), np.concatenate(sizes)
 
     @staticmethod
     def chunks(text: str) -> list[str]:

@@ -205,7 +205,7 @@ def test_cache_is_bounded_by_bytes():
 
     def learn(chunks):
         calls.append(chunks)
-        return np.concatenate([np.arange(len(c), dtype=np.uint32) for c in chunks]), np.array([len(c) for c in chunks])
+        return chunks, np.concatenate([np.arange(len(c), dtype=np.uint32) for c in chunks]), np.array([len(c) for c in chunks])
 
     cache = ChunkCache(learn, 50_000)
     for k in range(400):
