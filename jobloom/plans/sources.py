@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import jsonl, office, payloads
+from ..sources.scratch import shared_folder
 from . import query, table
 
 TURN = "conv_id bigint, turn bigint, role string, text string"
@@ -29,13 +32,18 @@ def a1_rejects(spark, sf):
 
 @query("a2_strict_scan", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")
 def a2(spark, sf):
-    lines = jsonl.canonical_lines(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
-    return lines.select(F.from_json("value", TURN, {"mode": "FAILFAST"}).alias("r")).groupBy("r.conv_id").agg(F.count("*").alias("n"))
+    """All turns as canonical lines in the shared folder, scanned strictly."""
+    path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    jsonl.write_canonical(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), path, ["conv_id", "turn"])
+    return jsonl.scan_strict(spark, path, TURN).groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
 @query("a3_canonical_lines", """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
 def a3(spark, sf):
-    return jsonl.canonical_lines(table(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name"))
+    """The canonical sink, read back line by line."""
+    path = f"{shared_folder(spark)}/nations-{uuid.uuid4().hex}"
+    jsonl.write_canonical(table(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name"), path, ["n_nationkey"])
+    return spark.read.text(path)
 
 
 @query("a4_hint_table", "SELECT 'nation ' || n_nationkey AS company_key, 't' || n_nationkey AS tenant, 'last' AS site_id FROM nation WHERE n_nationkey % 4 <> 0")
