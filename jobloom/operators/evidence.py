@@ -157,15 +157,15 @@ def narrative_paragraphs(paragraphs: DataFrame, doc: str = "doc", idx: str = "id
     lines, remarks about the résumé, courtesies of cover letters and texts below MIN_CHARS are no evidence, but a prompt before
     such a text counts. The place names the question's first PROMPT_WORDS words, unless it is the text itself.
     """
-    qa = F.col(kind) == "application_qa"
+    qa = F.coalesce(F.col(kind) == "application_qa", F.lit(False))
     split = prompt_and_answer(text)
     p = paragraphs.withColumn("__split", F.when(qa, split))
     p = p.withColumn("__text", F.when(blank(F.col("__split.answer")) != "", F.col("__split.answer")).otherwise(blank(text)))
     aside = is_contact("__text", names) | has_keyword("__text", ABOUT_RESUME)
     asks = ~aside & qa & (is_question("__text") | _starts(F.lower(F.trim("__text")), PROMPT_STARTS))
     asked = F.when(asks, F.col("__text")).when(qa & (blank(F.col("__split.prompt")) != ""), F.col("__split.prompt"))
-    courtesy = (F.col(kind) == "cover_letter") & _starts(F.lower("__text"), COURTESIES)
-    p = p.withColumn("__asked", asked).withColumn("__kept", F.coalesce(~aside & ~asks & ~courtesy & (F.length("__text") >= MIN_CHARS), F.lit(False)))
+    courtesy = F.coalesce(F.col(kind) == "cover_letter", F.lit(False)) & _starts(F.lower("__text"), COURTESIES)
+    p = p.withColumn("__asked", asked).withColumn("__kept", ~aside & ~asks & ~courtesy & (F.length("__text") >= MIN_CHARS))
     p = carry_forward(p, doc, idx, {"question": "__asked"}, block).where("__kept")
     place = F.concat(F.lit("paragraph_"), F.col(idx).cast("string"))
     place = F.when(F.coalesce(F.col("question") != F.col("__text"), F.lit(False)), F.concat(place, F.lit(" | prompt="), summary("question", PROMPT_WORDS))).otherwise(place)
