@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import kept_table
+from ..sources.scratch import forget, kept_table
 
 
 def tag_score(job_family: Column, job_tags: Column, role_tags: Column, skill_tags: Column, strong: Column, quantified: Column, bonus: Column | None = None) -> Column:
@@ -128,7 +128,10 @@ def bounded_pairs(jobs: DataFrame, own: DataFrame, job: str, piece: str, limit:
     least = F.ceil((F.col("bound") - F.col("most")) / POINTS)
     prefix = F.when(F.coalesce(least, F.lit(0)) > 0, F.col("terms") - least + 1).otherwise(F.col("terms"))
     paired = token(terms.join(bounds, job, "left").join(F.broadcast(most)).where(F.col("place") <= prefix))
-    return _met(own, kept_table(paired.unionByName(standing), "paired-terms"), job, piece)
+    asked = kept_table(paired.unionByName(standing), "paired-terms")
+    forget(terms)
+    forget(first)
+    return _met(own, asked, job, piece)
 
 
 def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:

@@ -23,4 +23,13 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: computed once, and safe from the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of kept_table() that no later plan reads."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["_kept_at"])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
