@@ -12,8 +12,8 @@ pages, and on MIN_WORD_PAGES at least, its words. What lies between nodes are sl
 what lies around them, the slots that lie directly in a node around them are extracted, and those of titles (h1) there, both
 without words; the slots of other nodes beside them are not (menus, adverts, notices, related links, whatever they are called).
 Where the template has no main nodes, or a page lacks them, every slot is extracted without words, as nothing but names and
-repetition tells slots apart. Words are left out only where they are less than half of what would be extracted: more than that are editions
-of one text, not a template, and are kept.
+repetition tells slots apart. Words are left out only where a tenth (LEAST_OWN) of the text at least remains: pages with less of their own are editions
+of one text, and keep them.
 
 Elements whose tag or role says that they are no main text (nav, header, footer, aside, form, script, style and
 others), and elements with a class or id made of names for such things only, are left out too, unless they hold the main text; a class or
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 MIN_SUPPORT, MIN_PAGES = 0.5, 2
-WORD_SUPPORT, MIN_WORD_PAGES = 0.9, 3
+WORD_SUPPORT, MIN_WORD_PAGES, LEAST_OWN = 0.9, 5, 0.1
 MAX_BROADCAST_TOKENS = 1_000_000  # 16 bytes each
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -259,7 +259,7 @@ def extract(page: str | None, nodes: frozenset[int] = frozenset(), words: frozen
         found_in = found_in if names else events(page, False)
         for left_out in (words, frozenset()) if words else (frozenset(),):
             blocks, dropped = _blocks_of(found_in, slots, left_out)
-            if 2 * dropped <= dropped + sum(map(len, blocks)):
+            if sum(map(len, blocks)) >= LEAST_OWN * (dropped + sum(map(len, blocks))):
                 break
         if blocks:
             return "\n".join(blocks)
