@@ -78,6 +78,39 @@ def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, s
     return pairs.select(job, piece, "overlap", static, (3 * F.col("overlap") + F.col(static)).alias("score"))
 
 
+def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:
+    """Best pieces of each job by (score, strong) descending, then input order (seq); scores above 0.
+
+    With arrays `wants` of jobs and `has` of evidence, a pair that shares an element scores `bonus` more. A piece that
+    shares no token can still win by its own score or with the bonus, so the `limit` best pieces by that score, of all
+    and of each element that is wanted, stand in for all the others: that is exact, as no job needs more of them. They are
+    marked with entries of their own. Pieces are dealt by id (those without one are left out), and each task hands on its
+    `limit` best of each job, so a token that all pieces hold costs counting in place and no shuffle. Null arrays are empty.
+    """
+    none = F.array().cast("array<struct<kind:int,token:string>>")
+    order = [F.desc("__static"), F.desc("strong"), "seq"]
+    own = evidence.select(piece, F.col(static).alias("__static"), "strong", "seq", "tokens", *([F.col(has).alias("__has")] if has else []))
+    marks = own.orderBy(*order).limit(limit).select(piece, F.lit(1).alias("kind"), F.lit("").alias("token"))  # at most `limit` rows
+    asked = _entries(0, F.col("tokens")), _entries(1, F.array(F.lit("")))
+    if wants:
+        tagged = own.select(piece, "__static", "strong", "seq", F.explode(F.array_distinct("__has")).alias("token"))
+        tagged = tagged.join(jobs.select(F.explode(wants).alias("token")).distinct(), "token", "left_semi")  # `limit` rows of each wanted tag
+        tagged = tagged.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rn") <= limit)
+        marks = marks.unionByName(tagged.select(piece, F.lit(2).alias("kind"), "token"))
+        asked = *asked, _entries(2, F.col(wants))
+    marks = marks.groupBy(piece).agg(F.collect_list(F.struct("kind", "token")).alias("marks"))
+    entries = F.concat(*[F.coalesce(e, none) for e in (_entries(0, F.col("tokens")), F.col("marks"))])
+    carried = ["__static", "strong", "seq", *(["__has"] if wants else [])]
+    every = _matches(jobs.select(job, F.concat(*[F.coalesce(e, none) for e in asked]).alias("entries")), own.join(marks, piece, "left").select(piece, *carried, entries.alias("entries")), job, piece, carried)
+    score = 3 * F.col("overlap") + F.col("__static")
+    if wants:
+        every = every.join(jobs.select(job, F.col(wants).alias("__wants")), job)
+        score = score + F.when(F.arrays_overlap("__wants", "__has"), bonus).otherwise(0)
+    ranked = Window.partitionBy(job).orderBy(F.desc("score"), F.desc("strong"), "seq")
+    out = every.withColumn("score", score.cast("long")).where("score > 0").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
+    return out.withColumnRenamed("__static", static).drop("__has", "__wants")
+
+
 #: Postings of rare tokens, for each piece wanted, from which a job's first bound is taken.
 FIRST_LOOK = 4
 POINTS = 3
@@ -134,10 +167,11 @@ def bounded_pairs(jobs: DataFrame, own: DataFrame, job: str, piece: str, limit:
     return _met(own, asked, job, piece)
 
 
-def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:
-    """Best pieces of each job by (score, strong) descending, then input order (seq); scores above 0.
+def top_by_bounds(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str, limit: int = 12, wants: str | None = None, has: str | None = None, bonus: int = 6) -> DataFrame:
+    """top_by_overlap() by bounds: frequent tokens are never paired, but every pair that is left is compared on its whole tokens.
 
-    The score is POINTS for each shared token and the piece's own; with arrays `wants` of jobs and `has` of evidence, a pair that
+    That pays where jobs hold tokens that most pieces hold and rare ones that tell them apart; where all tokens are about as frequent,
+    counting every pair in place is faster. The score is POINTS for each shared token and the piece's own; with arrays `wants` of jobs and `has` of evidence, a pair that
     shares an element scores `bonus` more. A piece that shares no token can still win by its own score or with the bonus, so the
     `limit` best pieces by that score, of all and of each element that is wanted, stand in for all the others: that is exact, as
     no job needs more of them. Of the pieces that share a token, only those are scored that bounded_pairs() cannot rule out.

@@ -96,7 +96,7 @@ def test_bounded_top_equals_cross_join_and_looks_at_fewer_pairs(spark, monkeypat
     plain = scoring.bounded_pairs
     monkeypatch.setattr(scoring, "bounded_pairs", lambda *a: looked.append(plain(*a)) or looked[-1])
     got = {}
-    for r in scoring.top_by_overlap(job_rows, piece_rows, "j", "e", "static", 5).orderBy("j", "rank").collect():
+    for r in scoring.top_by_bounds(job_rows, piece_rows, "j", "e", "static", 5).orderBy("j", "rank").collect():
         got.setdefault(r["j"], []).append((r["e"], r["score"]))
     for j, t in jobs:
         scored = sorted((-(3 * len(set(t or []) & set(w)) + s), not b, q, e) for e, s, b, q, w in pieces)
@@ -109,7 +109,7 @@ def test_bounded_top_of_ties_and_hot_tokens(spark):
     pieces = [(i, 0, False, i, ["hot", "a"] if i % 2 else ["hot"]) for i in range(300)]
     rows = spark.createDataFrame(pieces, "e int, static int, strong boolean, seq int, tokens array<string>")
     jobs = spark.createDataFrame([(1, ["hot"]), (2, ["hot", "a"]), (None, ["hot"])], "j int, tokens array<string>")
-    top = scoring.top_by_overlap(jobs, rows, "j", "e", "static", 3).orderBy("j", "rank").collect()
+    top = scoring.top_by_bounds(jobs, rows, "j", "e", "static", 3).orderBy("j", "rank").collect()
     assert [(r["j"], r["e"], r["score"]) for r in top] == [(1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 1, 6), (2, 3, 6), (2, 5, 6)]
 
 
