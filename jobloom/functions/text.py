@@ -81,6 +81,7 @@ def iso_date(c) -> Column:
     return F.when(column(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(column(c), "yyyy-MM-dd"))
 
 
+#: Fixed value: a month and a year.
 MONTH_YEAR = r"(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\s+\d{4}"
 
 

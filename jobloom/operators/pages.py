@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import json
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -12,85 +9,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.markup import page_text, unescaped, unescaped_json  # noqa: F401
 from ..functions.text import blank, clean, first_filled
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if text:
-            self.parts.append(text)
-
-
-def _plain(page: str | None) -> str:
-    parser = _Text()
-    parser.feed(page or "")
-    parser.close()
-    return " ".join(parser.parts)
-
-
-@F.pandas_udf(StringType())
-def page_text(pages: pd.Series) -> pd.Series:
-    """Every text node of a page, cleaned and joined by spaces; scripts and styles stay, comments do not."""
-    return pages.map(_plain)
-
-
-@F.pandas_udf(StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    """Character references decoded."""
-    return texts.map(lambda t: html.unescape(t) if isinstance(t, str) else t)
-
-
-def _walked(value):
-    if isinstance(value, str):
-        return html.unescape(value)
-    if isinstance(value, list):
-        return [_walked(x) for x in value]
-    return {k: _walked(x) for k, x in value.items()} if isinstance(value, dict) else value
-
-
-def _json_walked(text):
-    try:
-        return json.dumps(_walked(json.loads(text)), ensure_ascii=False)
-    except (TypeError, ValueError):
-        return None
-
-
-@F.pandas_udf(StringType())
-def unescaped_json(values: pd.Series) -> pd.Series:
-    """JSON text with the character references of every string in it decoded, at any depth; names stay; no JSON is null."""
-    return values.map(_json_walked)
-
-
 @F.pandas_udf(StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """Links joined with the address of their page."""
     return pd.Series([urljoin(b or "", t or "") for b, t in zip(base, link)])
 
 
+#: Patterns of the address, the graph tags, the JSON-LD scripts and the state object of a page.
+CANONICAL = r'(?i)<link\s+rel="canonical"\s+href="([^"]+)"'
+GRAPH = r'(?i)<meta\s+name="[^"]*"\s+property="{name}"\s+content="([^"]*)"'
+POSTING = r'(?is)<script\s+type="application/ld\+json">\s*(.*?)\s*</script>'
+STATE = r"(?s)phApp\.ddo\s*=\s*(\{.*?\});\s*phApp\."
+
+
 def canonical_url(page) -> Column:
-    return clean(unescaped(F.regexp_extract(blank(page), r'(?i)<link\s+rel="canonical"\s+href="([^"]+)"', 1)))
+    return clean(unescaped(F.regexp_extract(blank(page), CANONICAL, 1)))
 
 
 def open_graph(page, name: str) -> Column:
-    quoted = name.replace(":", "\\:")
-    return clean(unescaped(F.regexp_extract(blank(page), rf'(?i)<meta\s+name="[^"]*"\s+property="{quoted}"\s+content="([^"]*)"', 1)))
+    return clean(unescaped(F.regexp_extract(blank(page), GRAPH.format(name=name.replace(":", "\\:")), 1)))
 
 
 def job_posting(page) -> Column:
     """The first JSON-LD object of type JobPosting as VARIANT; broken scripts are passed over."""
-    scripts = F.regexp_extract_all(blank(page), F.lit(r'(?is)<script\s+type="application/ld\+json">\s*(.*?)\s*</script>'), F.lit(1))
+    scripts = F.regexp_extract_all(blank(page), F.lit(POSTING), F.lit(1))
     parsed = F.transform(scripts, lambda s: F.try_parse_json(s))
     return F.get(F.filter(parsed, lambda v: F.try_variant_get(v, "$['@type']", "string") == "JobPosting"), F.lit(0))
 
 
 def state_object(page) -> Column:
     """The embedded page state as VARIANT; NULL if it is missing or broken."""
-    return F.try_parse_json(F.regexp_extract(blank(page), r"(?s)phApp\.ddo\s*=\s*(\{.*?\});\s*phApp\.", 1))
+    return F.try_parse_json(F.regexp_extract(blank(page), STATE, 1))
 
 
 def description(posting: Column, state: Column, text, title: str, ends: tuple, graph) -> Column:

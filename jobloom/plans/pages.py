@@ -9,7 +9,18 @@ from ..operators import pages as P
 from . import query, table
 
 
-@query("c1_page_text")
+_DECODED = "replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
+
+
+def _text_sql() -> str:
+    """Text nodes of pages whose tags hold no quoted ">", and which use few kinds of references."""
+    parts = "regexp_extract_all(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+')"
+    node = f"CASE WHEN regexp_matches(x, '(?i)^<(script|style)') THEN regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '</[a-zA-Z]*>$', '') WHEN starts_with(x, '<') THEN '' ELSE regexp_replace({_DECODED}, '&amp;?', '&', 'g') END"
+    cleaned = rf"list_transform({parts}, lambda x: trim(regexp_replace({node}, '\s+', ' ', 'g')))"
+    return f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, array_to_string(list_filter({cleaned}, lambda y: y <> ''), ' ') AS t FROM pages)"
+
+
+@query("c1_page_text", _text_sql())
 def c1(spark, sf):
     t = table(spark, sf, "pages").select("page_id", P.page_text("html").alias("t"))
     return t.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
