@@ -2,8 +2,10 @@
 
 1. Every text becomes its set of word shingles; equal sets form a class, represented by its smallest doc_id.
 2. A representative's MinHash signature has K coordinates. Two sets at the threshold agree on about 0.8 K of
-   them; a pair has to agree on at least M. Such a pair agrees on one of the first K - M + 1 coordinates at
-   least, so a document is posted only under its coordinate-value pairs of that prefix.
+   them; a pair has to agree on at least M. All coordinate-value pairs have one order, in which those that more
+   than CELL documents hold come after the others, and those that far more hold come last. Whatever that order is,
+   two documents that agree on M pairs have one in common among the first K - M + 1 of each, so a document is
+   posted only under that prefix: a passage that many unlinked documents share takes part only where it is most of them.
 3. Collisions are counted on one bit of every coordinate, packed into a long that travels with the posting:
    pairs below the match threshold never leave their list.
 4. Merging skips what is settled. First each list only proposes its members with its smallest member; those
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import drop_written, maybe_in, text_chunks, written
+from .common import BITMAP_MAX_BITS, drop_written, maybe_in, text_chunks, written
 from .graph import components
 
 K, M = 64, 35
 PREFIX = K - M + 1
+#: Coordinate-value pairs held by more than so many times CELL documents come later in the order, by level.
+LEVELS = (1, 64)
 #: Of the 64 packed bits of a pair at similarity 0.8, 57.6 agree on average (deviation 2.4).
 MIN_EQUAL_BITS = 47
 #: Members of a list that are looked at together.
@@ -93,13 +97,57 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
                 packed = ((mins & np.uint64(1)) << np.arange(K, dtype=np.uint64)).sum(1, dtype=np.uint64)
                 bits = np.zeros(hi - lo, np.uint64)
                 bits[n > 0] = packed
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, PREFIX, 0))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(mins[:, :PREFIX].reshape(-1).view(np.int64)))
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, K, 0))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(mins.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *[pa.array(x.view(np.int64)) for x in (fp1, fp2, bits)], keys], names=["doc_id", "n_shingles", "fp1", "fp2", "bits", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def _frequent(profiles: DataFrame) -> list[np.ndarray]:
+    """For each level a bitmap over the low bits of keys, of at most 16 MB: set for the keys that go to it or beyond.
+
+    A key that shares its bit with a frequent one is taken for frequent too, everywhere alike, so the order stays an order.
+    """
+    counts = written(profiles.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LEVELS[0] * CELL), "frequent")
+    out = []
+    for level in LEVELS:
+        keys = counts.where(F.col("n") > level * CELL)
+        bits, n = 1 << 20, keys.count()
+        while bits < 64 * n and bits < BITMAP_MAX_BITS:
+            bits *= 2
+        spot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+        slices = keys.groupBy(F.bitmap_bucket_number(spot).alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).toArrow()
+        found = np.zeros((bits >> 15, 1 << 12), np.uint8)
+        for k, part in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
+            found[k - 1] = np.frombuffer(part, np.uint8)
+        out.append(found.reshape(-1))
+    drop_written(counts)
+    return out
+
+
+def _chosen(first: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(doc_id, size, bits, posted: coordinates of the prefix as bits, keys: theirs) of representatives; keys are counted over all rows."""
+    shared = first.sparkSession.sparkContext.broadcast(_frequent(profiles))
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(3).flatten().to_numpy().reshape(-1, K)
+            level = np.zeros(keys.shape, np.int64)
+            for bits in shared.value:
+                spot = keys & np.int64(8 * len(bits) - 1)
+                level += (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
+            take = np.sort(np.argsort(level * K + np.arange(K), axis=1)[:, :PREFIX], axis=1)
+            posted = (np.uint64(1) << take.astype(np.uint64)).sum(1, dtype=np.uint64)
+            heads = pa.ListArray.from_arrays(pa.array(np.arange(0, PREFIX * len(keys) + 1, PREFIX, dtype=np.int32)), pa.array(np.take_along_axis(keys, take, 1).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(posted.view(np.int64)), heads], names=["doc_id", "size", "bits", "posted", "keys"])
+
+    plain = first.select("doc_id", F.col("n_shingles").alias("size"), "bits", "keys")
+    found = written(plain.mapInArrow(run, "doc_id long, size long, bits long, posted long, keys array<long>"), "chosen")
+    shared.destroy()
+    return found
+
+
 def _wrapped_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x, out=total[1:])
@@ -150,10 +198,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 def _cells(lists: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """(key, lo, hi, members: one or two blocks): what is looked at together, of at most about 2 * CELL members; written tables to drop.
 
-    lists: (key, n, doc_id, size, bits, component, heads), each with more than one component. In a list split by
+    lists: (key, n, doc_id, size, bits, posted, component, heads), each with more than one component. In a list split by
     bands a member stands in its own band and as a guest in the next one; two guests are not compared there.
     """
-    member = F.struct("doc_id", "size", "bits", "component", "heads", "guest")
+    member = F.struct("doc_id", "size", "bits", "component", "heads", "guest", "posted")
     short = lists.where(F.col("n") <= CELL).withColumn("guest", F.lit(False))
     short = short.groupBy("key").agg(F.collect_list(member).alias("block")).select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.array("block").alias("members"))
     # a little more than the ratio of sizes at the threshold, so that linked sets are in one band or in neighbouring ones
@@ -174,7 +222,7 @@ def _cells(lists: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
 def _suspects(cells: DataFrame, percent: int) -> DataFrame:
     """(key, lo, hi, group, doc_id, component): members of a cell with a close partner of another component in it.
 
-    A pair is looked at in the first list that it shares and skipped in later ones; lists are told apart by 32 bits
+    A pair is looked at in the list of the first coordinate that it shares and skipped in later ones; lists are told apart by 32 bits
     of their keys here. Suspects of a cell are dealt into groups that can be compared in one place.
     """
 
@@ -199,8 +247,10 @@ def _close_members(key: int, blocks: pa.ListScalar, percent: int):
     ids, size, bits, comp, guest = (members.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5))
     if comp.min() == comp.max():
         return None
-    heads = members.field(4).flatten().to_numpy().reshape(-1, PREFIX)
-    before = int(np.argmax(heads[0] == int(np.fmod(np.int64(key), np.int64(1 << 31)))))
+    posted = ((members.field(6).to_numpy().view(np.uint64)[:, None] >> np.arange(K, dtype=np.uint64)) & np.uint64(1)).astype(bool)
+    heads = np.zeros(posted.shape, np.int32)
+    heads[posted] = members.field(4).flatten().to_numpy()
+    before = int(np.argmax(posted[0] & (heads[0] == int(np.fmod(np.int64(key), np.int64(1 << 31))))))
     first = len(blocks.values[0])  # in a cell of two blocks, pairs within a block belong to other cells
     other = np.arange(len(ids)) if len(blocks.values) == 1 else np.arange(first, len(ids))
     hit = np.zeros(len(ids), bool)
@@ -215,7 +265,7 @@ def _close_members(key: int, blocks: pa.ListScalar, percent: int):
         i, j = i[fit], j[fit]
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            new = ~(heads[x, :before] == heads[y, :before]).any(1)
+            new = ~((heads[x, :before] == heads[y, :before]) & posted[x, :before] & posted[y, :before]).any(1)
             hit[x[new]], hit[y[new]] = True, True
     found = np.flatnonzero(hit)
     if not len(found):
@@ -294,7 +344,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # tables that joins read are written first, so that a join reads two plain shuffles and Spark can split a hot key
     classes = written(real.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
     first = real.join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
-    posted = written(first.select("doc_id", "bits", F.explode("keys").alias("key")), "posted")
+    chosen = _chosen(first, real)
+    posted = written(chosen.select("doc_id", "bits", F.explode("keys").alias("key")), "posted")
     leads = written(posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "bits")).alias("lead")).where("n > 1"), "leads")
     lists = written(posted.join(leads, "key").select("key", "n", "doc_id", "bits", F.col("lead.doc_id").alias("lead_id"), F.col("lead.bits").alias("lead_bits")), "lists")
     stars = lists.where("doc_id <> lead_id").where(_close("bits", "lead_bits")).select(F.col("doc_id").alias("a"), F.col("lead_id").alias("b"))
@@ -302,10 +353,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     joined = stars_joined = components(links)
     labelled = written(lists.select("key", "n", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
     mixed = written(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    wide = first.select("doc_id", F.col("n_shingles").alias("size"), "bits", F.transform("keys", lambda k: (k % F.lit(1 << 31)).cast("int")).alias("heads"))
+    wide = chosen.select("doc_id", "size", "bits", "posted", F.transform("keys", lambda k: (k % F.lit(1 << 31)).cast("int")).alias("heads"))
     more = _links_across(docs, labelled.join(mixed, "key", "left_semi").join(wide, "doc_id"), size, percent)
     joined = components(links.union(more))
-    for table in (posted, leads, lists, labelled, mixed, links, more, stars_joined):
+    for table in (chosen, posted, leads, lists, labelled, mixed, links, more, stars_joined):
         drop_written(table)
     out = profiles.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))

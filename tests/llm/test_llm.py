@@ -459,7 +459,7 @@ def test_large_group_of_long_near_copies_is_compared_in_bounded_groups():
     import pyarrow as pa
 
     n, size = 400, 20_000
-    member = {"doc_id": pa.array(range(n), pa.int64()), "size": pa.array([size] * n, pa.int64()), "bits": pa.array([5] * n, pa.int64()), "component": pa.array(range(n), pa.int64()), "heads": pa.array([[7] + [k] * (neardup.PREFIX - 1) for k in range(n)], pa.list_(pa.int32())), "guest": pa.array([False] * n)}
+    member = {"doc_id": pa.array(range(n), pa.int64()), "size": pa.array([size] * n, pa.int64()), "bits": pa.array([5] * n, pa.int64()), "component": pa.array(range(n), pa.int64()), "heads": pa.array([[7] + [k] * (neardup.PREFIX - 1) for k in range(n)], pa.list_(pa.int32())), "guest": pa.array([False] * n), "posted": pa.array([(1 << neardup.PREFIX) - 1] * n, pa.int64())}
     block = pa.StructArray.from_arrays(list(member.values()), names=list(member))
     cell = pa.ListArray.from_arrays(pa.array([0, 1], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), block))
     group, ids, _ = neardup._close_members(7, cell[0], 80)
