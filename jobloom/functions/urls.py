@@ -72,3 +72,27 @@ def board_and_job(url, board_suffix: str) -> Column:
         .when(named, pair(query_value(url, "for"), query_value(url, "token")))
         .when(number.rlike(r"^\d+$"), pair(owner, number))
     )
+
+
+#: Scheme, authority, path, query and fragment of an address, each with its marks.
+_ADDRESS = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose "." and ".." segments are carried out; it begins with a slash."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def absolute_url(base, link) -> Column:
+    """A link joined with the address of its page; a link with a scheme stays as it is, a missing one is the page itself."""
+    page, to = blank(base), blank(link)
+    scheme, authority, path, query, _ = (F.regexp_extract(page, _ADDRESS, k) for k in range(1, 6))
+    own, at, way, asks, mark = (F.regexp_extract(to, _ADDRESS, k) for k in range(1, 6))
+    folder = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path, "[^/]*$", ""), way), "/+", "/")
+    found = F.when(way == "", path).when(F.startswith(way, F.lit("/")), _without_dots(way)).otherwise(_without_dots(folder))
+    search = F.when((way == "") & (asks == ""), query).otherwise(asks)
+    joined = F.concat(scheme, authority, found, search, mark)
+    return F.when((page == "") | (own != ""), to).when(to == "", page).when(at != "", F.concat(scheme, to)).otherwise(joined)

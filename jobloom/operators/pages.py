@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.markup import page_text, unescaped, unescaped_json  # noqa: F401
 from ..functions.text import blank, clean, first_filled
-
-
-@F.pandas_udf(StringType())
-def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
-    """Links joined with the address of their page."""
-    return pd.Series([urljoin(b or "", t or "") for b, t in zip(base, link)])
-
+from ..functions.urls import absolute_url  # noqa: F401
 
 #: Patterns of the address, the graph tags, the JSON-LD scripts and the state object of a page.
 CANONICAL = r'(?i)<link\s+rel="canonical"\s+href="([^"]+)"'

@@ -4,11 +4,13 @@ import html
 import json
 from html.entities import html5
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import markup as M
+from jobloom.functions.urls import absolute_url
 from tests.conftest import SF
 
 
@@ -78,3 +80,12 @@ def test_no_python_runs(spark):
 @pytest.mark.parametrize("fn", [M.page_text, M.unescaped, M.unescaped_json])
 def test_empty_table(spark, fn):
     assert spark.createDataFrame([], "c string").select(fn("c")).collect() == []
+
+
+def test_absolute_urls_equal_the_library(spark):
+    bases = ["https://x.io", "https://x.io/", "https://x.io/list/?page=2", "https://x.io/a/b/c.html?q=1#top", "http://x.io/a//b/"]
+    links = ["job/1", "/job/1", "../job", "../../../job", "./a/./b", "a/../b/..", "a/.", "?p=3", "#end", "//y.io/z", "https://z.io/a/../b", "mailto:a@b.c", "", "a//b", "/a//b/../c", "a?x=/../y#z", "/..", "a b"]
+    cells = [(b, k) for b in bases for k in links] + [("", "a/b"), ("", "")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "i int, base string, link string").select("base", "link", absolute_url("base", "link").alias("v")).collect()
+    assert {(r["base"], r["link"]): r["v"] for r in rows} == {c: urljoin(*c) for c in cells}
+    assert spark.createDataFrame([(None, "a"), ("https://x.io/b", None)], "base string, link string").select(absolute_url("base", "link").alias("v")).toPandas()["v"].tolist() == ["a", "https://x.io/b"]
