@@ -28,7 +28,13 @@ def d8(spark, sf):
     return E.document_types(p.select(name.alias("doc"), F.when((F.col("doc") % 4 == 2) & (F.col("idx") == 0), "Dear Hiring team").otherwise(F.col("text")).alias("text")))
 
 
-@query("d9_line_classes", f"SELECT doc, count_if({_UPPER}) AS headings, count_if(contains(text, '@') AND NOT contains(text, ' ') OR starts_with(lower(text), 'email:') OR starts_with(text, 'http')) AS contacts, count_if(regexp_matches(text, '(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\\s+\\d{{4}}')) AS dates FROM {LINES} GROUP BY 1")
+#: The rules of is_contact() and is_heading() in full; the white space of headings is Unicode's.
+_SPACE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_D9_CONTACT = "(" + " OR ".join(f"starts_with(lower(text), '{x}')" for x in E.CONTACT_STARTS) + " OR starts_with(text, 'http://') OR starts_with(text, 'https://') OR contains(text, '@') AND NOT contains(text, ' '))"
+_D9_HEADING = "(text IN (" + ", ".join(f"'{x}'" for x in E.HEADINGS) + f") OR upper(text) = text AND lower(text) <> text AND len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) <= 6)"
+
+
+@query("d9_line_classes", f"SELECT doc, count_if({_D9_HEADING}) AS headings, count_if({_D9_CONTACT}) AS contacts, count_if(regexp_matches(text, '(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[\\s\\x0B]+\\d{{4}}')) AS dates FROM {LINES} GROUP BY 1")
 def d9(spark, sf):
     return lines(spark, sf).groupBy("doc").agg(F.count_if(E.is_heading("text")).alias("headings"), F.count_if(E.is_contact("text")).alias("contacts"), F.count_if(E.is_date_line("text")).alias("dates"))
 
