@@ -150,14 +150,21 @@ def site_candidates(name) -> Column:
 
 
 def board_candidates(companies: DataFrame, key: str, name: str) -> DataFrame:
-    """Board addresses to probe in order: tenant x host x site x form; probe_key groups the forms of one site."""
-    rows = companies.select(key, F.posexplode(tenant_candidates(name)).alias("t", "tenant"), site_candidates(name).alias("sites"))
-    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, HOSTS))).alias("h", "host")).select("*", F.posexplode("sites").alias("s", "site_id"))
+    """Board addresses to probe in order: tenant x host x site x form; probe_key groups the forms of one site.
+
+    A key's names can lead to the same tenant and site, so those are made distinct first, in as many tasks as the session shuffles to;
+    hosts and forms, the same for all, are added to the distinct ones one by one and are held by no task. Each probe_key has one row of every form.
+    """
+    parts = int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = companies.select(key, name).repartition(parts, key).select(key, F.posexplode(tenant_candidates(name)).alias("t", "tenant"), site_candidates(name).alias("sites"))
+    rows = rows.select(key, "tenant", "t", F.posexplode("sites").alias("s", "site_id"))
+    rows = rows.groupBy(key, "tenant", "site_id").agg(F.min(F.col("t").cast("long") * (1 << 31) + F.col("s")).alias("__at"))
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, HOSTS))).alias("h", "host"))
     forms = F.array(*[F.concat(F.lit("https://"), F.col("tenant"), F.lit("."), F.col("host"), F.lit(".myworkdayjobs.com"), F.lit(a), F.col("site_id"), F.lit(b)) for a, b in (("/en-US/", ""), ("/en-US/", "/jobs"), ("/", ""))])
     rows = rows.select("*", F.posexplode(forms).alias("f", "board_url"))
     probe = F.concat_ws("|", F.concat("tenant", F.lit("."), "host", F.lit(".myworkdayjobs.com")), "tenant", "site_id")
-    first = F.min(F.struct("t", "h", "s", "f")).alias("order")
-    return rows.groupBy(key, "tenant", "site_id", "board_url", probe.alias("probe_key")).agg(first)
+    at = (F.shiftright("__at", 31)).cast("int").alias("t"), F.col("h"), (F.col("__at") % (1 << 31)).cast("int").alias("s"), F.col("f")
+    return rows.select(key, "tenant", "site_id", "board_url", probe.alias("probe_key"), F.struct(*at).alias("order"))
 
 
 def discovery_verdict(probes: DataFrame, key: str, connected: bool | DataFrame = True) -> DataFrame:

@@ -65,3 +65,27 @@ def test_rules_are_found_in_place(spark, monkeypatch):
     monkeypatch.undo()
     plan = needles.rule_hits(*frames, "k", "t")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_board_candidates_are_made_in_place(spark):
+    from jobloom.operators import boards
+
+    names = [(1, "Acme Widget Group"), (1, "Acme Inc"), (1, "Acme Widget Group"), (2, "Bolt Co"), (None, "Bolt"), (3, None), (4, "")]
+    out = boards.board_candidates(spark.createDataFrame(names, "k int, name string"), "k", "name")
+    rows = out.collect()
+    assert [tuple(f) for f in out.dtypes][-1] == ("order", "struct<t:int,h:int,s:int,f:int>")
+    assert len({(r["k"], r["board_url"]) for r in rows}) == len(rows)
+    best = {}
+    for k, name in names:
+        if name:
+            mine = spark.createDataFrame([(name,)], "n string").select(boards.tenant_candidates("n").alias("t"), boards.site_candidates("n").alias("s")).first()
+            for t, tenant in enumerate(mine["t"]):
+                for h, host in enumerate(boards.HOSTS):
+                    for s, site in enumerate(mine["s"]):
+                        for f, (a, b) in enumerate((("/en-US/", ""), ("/en-US/", "/jobs"), ("/", ""))):
+                            url = (k, f"https://{tenant}.{host}.myworkdayjobs.com{a}{site}{b}")
+                            best[url] = min(best.get(url, (99,)), (t, h, s, f))
+    assert {(r["k"], r["board_url"]): tuple(r["order"]) for r in rows} == best
+    assert {(r["k"], r["probe_key"]) for r in rows if r["order"]["f"] == 0} == {(r["k"], r["probe_key"]) for r in rows}
+    plan = boards.board_candidates(spark.range(9).select("id", F.lit("A B").alias("n")), "id", "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
