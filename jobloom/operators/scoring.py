@@ -31,8 +31,9 @@ def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int =
     itself also ranks above it for the job. A bonus may only be given to pairs that share a tag, or a mark: arrays
     `job_marks` of jobs and `piece_marks` of evidence hold what else a bonus depends on, as words found in a text.
 
-    A pair met through several tags counts once. Pieces stay where they are and are scored there while the jobs' tags are small
-    enough for Spark to broadcast; one row for each job, organisation and summary leaves a task. Pieces without an id are left out.
+    A pair met through several tags counts once. Pieces are dealt by their id into as many tasks as the session shuffles to, as a small file
+    can make many pairs, and are scored there while the jobs' tags are small enough for Spark to broadcast; one row for each job, organisation
+    and summary leaves a task. Pieces without an id are left out.
     """
     none = F.array().cast("array<string>")
     every = lambda *names: _entries(0, F.concat(*[F.coalesce(F.col(n), none) for n in names if n]))
@@ -41,7 +42,7 @@ def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int =
     wanted = jobs.select(job, F.explode_outer(F.concat(_entries(0, F.array("family")), every("tags"), rest, *marked(job_marks))).alias("__entry")).distinct()
     own = F.when(F.col("strong"), 2).otherwise(0) + F.when(F.col("quantified"), 1).otherwise(0)
     order = [F.desc("own"), F.desc("strong"), F.desc("evidence_id")]
-    pieces = evidence.where(F.col("evidence_id").isNotNull())
+    pieces = evidence.where(F.col("evidence_id").isNotNull()).repartition(_parts(evidence), "evidence_id")
     first = pieces.withColumn("own", own).withColumn("rn", F.row_number().over(Window.partitionBy("organisation", "summary").orderBy(*order)))
     best = first.where("rn = 1").orderBy(*order).limit(limit).select("evidence_id", F.lit(True).alias("__best"))  # at most `limit` rows
     entries = F.concat(every("role_tags", "skill_tags"), F.when(F.col("__best"), rest).otherwise(F.filter(rest, lambda e: F.lit(False))), *marked(piece_marks))
@@ -51,21 +52,35 @@ def select_by_tags(jobs: DataFrame, evidence: DataFrame, job: str, limit: int =
     return top_by_tags(scored.withColumn("score", score), job, limit)
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _entries(kind: int, tokens: Column) -> Column:
     return F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
 
 
-def _matches(jobs: DataFrame, pieces: DataFrame, job: str, piece: str, carried: list[str]) -> DataFrame:
+#: Pairs of a job and a piece that a task counts: pieces are dealt into tasks by the number of jobs.
+PAIRS_PER_TASK = 2_000_000
+
+
+def _tasks(jobs: DataFrame, evidence: DataFrame) -> int:
+    """As many tasks as the session shuffles to, or as keep the pairs of each below PAIRS_PER_TASK; counting reads no column."""
+    return max(_parts(evidence), -(-jobs.count() * evidence.count() // PAIRS_PER_TASK))
+
+
+def _matches(jobs: DataFrame, pieces: DataFrame, job: str, piece: str, carried: list[str], tasks: int) -> DataFrame:
     """(job, piece, overlap, carried columns) of all pairs that share an entry of `entries`, an inverted index.
 
     An entry is (kind, token); only those of kind 0 count. Pieces are dealt by their id first, so all entries of a pair meet
-    where its piece is: pairs are counted in place and only pieces are shuffled, however many pairs a frequent token makes.
+    where its piece is: pairs are counted in place and only pieces are shuffled, however many pairs a frequent token makes. What is
+    carried is the piece's own, so it is part of the group: the buffer is one count, and the pairs of a task are hashed, not sorted.
     Entries of jobs are broadcast where Spark finds them small enough, and joined by token otherwise. The outer explode keeps
     Spark from adding a filter that makes all tokens a second time; its empty entries join nothing.
     """
     a = jobs.select(job, F.explode_outer("entries").alias("entry")).select(job, "entry.*")
-    b = pieces.where(F.col(piece).isNotNull()).repartition(piece).select(piece, *carried, F.explode_outer("entries").alias("entry")).select(piece, *carried, "entry.*")
-    return b.join(a, ["kind", "token"]).groupBy(piece, job).agg(F.count_if(F.col("kind") == 0).alias("overlap"), *[F.first(c).alias(c) for c in carried])
+    b = pieces.where(F.col(piece).isNotNull()).repartition(tasks, piece).select(piece, *carried, F.explode_outer("entries").alias("entry")).select(piece, *carried, "entry.*")
+    return b.join(a, ["kind", "token"]).groupBy(piece, job, *carried).agg(F.count_if(F.col("kind") == 0).alias("overlap"))
 
 
 def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, static: str) -> DataFrame:
@@ -74,7 +89,7 @@ def overlap_scores(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, s
     Both sides have (id, tokens); evidence also has its static score. Ids of evidence are unique; rows without one, or without
     tokens, are in no pair. Every pair is a row of the result; `top_by_overlap` ranks pairs without shuffling them.
     """
-    pairs = _matches(jobs.select(job, _entries(0, F.col("tokens")).alias("entries")), evidence.select(piece, static, _entries(0, F.col("tokens")).alias("entries")), job, piece, [static])
+    pairs = _matches(jobs.select(job, _entries(0, F.col("tokens")).alias("entries")), evidence.select(piece, static, _entries(0, F.col("tokens")).alias("entries")), job, piece, [static], _tasks(jobs, evidence))
     return pairs.select(job, piece, "overlap", static, (3 * F.col("overlap") + F.col(static)).alias("score"))
 
 
@@ -101,7 +116,7 @@ def top_by_overlap(jobs: DataFrame, evidence: DataFrame, job: str, piece: str, s
     marks = marks.groupBy(piece).agg(F.collect_list(F.struct("kind", "token")).alias("marks"))
     entries = F.concat(*[F.coalesce(e, none) for e in (_entries(0, F.col("tokens")), F.col("marks"))])
     carried = ["__static", "strong", "seq", *(["__has"] if wants else [])]
-    every = _matches(jobs.select(job, F.concat(*[F.coalesce(e, none) for e in asked]).alias("entries")), own.join(marks, piece, "left").select(piece, *carried, entries.alias("entries")), job, piece, carried)
+    every = _matches(jobs.select(job, F.concat(*[F.coalesce(e, none) for e in asked]).alias("entries")), own.join(marks, piece, "left").select(piece, *carried, entries.alias("entries")), job, piece, carried, _tasks(jobs, evidence))
     score = 3 * F.col("overlap") + F.col("__static")
     if wants:
         every = every.join(jobs.select(job, F.col(wants).alias("__wants")), job)

@@ -89,3 +89,31 @@ def test_board_candidates_are_made_in_place(spark):
     assert {(r["k"], r["probe_key"]) for r in rows if r["order"]["f"] == 0} == {(r["k"], r["probe_key"]) for r in rows}
     plan = boards.board_candidates(spark.range(9).select("id", F.lit("A B").alias("n")), "id", "n")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+
+
+def test_pieces_of_one_file_are_scored_in_many_tasks(spark):
+    from jobloom.operators import scoring
+
+    pieces = spark.range(0, 40, 1, 1).select(F.col("id").alias("evidence_id"), F.lit("o").alias("organisation"), F.col("id").cast("string").alias("summary"), F.array(F.lit("x")).alias("role_tags"), F.array(F.lit("y")).alias("skill_tags"), (F.col("id") % 2 == 0).alias("strong"), F.lit(False).alias("quantified"))
+    jobs = spark.createDataFrame([(1, "x", ["y"])], "job int, family string, tags array<string>")
+    top = scoring.select_by_tags(jobs, pieces, "job", 4)
+    assert [r["evidence_id"] for r in top.orderBy("rank").collect()] == [38, 36, 34, 32]
+    assert top._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1  # as many tasks as the session shuffles to, whatever the file
+
+
+def test_pairs_are_hashed_and_bounded_by_task(spark, monkeypatch):
+    from jobloom.operators import scoring
+
+    jobs = spark.createDataFrame([(j, [f"t{j}", "all"], ["x"] if j % 2 else ["y"]) for j in range(6)], "j int, tokens array<string>, wants array<string>")
+    ev = spark.createDataFrame([(e, e % 5, e % 2 == 0, e, [f"t{e % 6}", "all"], ["x"] if e % 3 else None) for e in range(90)], "e int, static int, strong boolean, seq int, tokens array<string>, has array<string>")
+    want = {}
+    for j in range(6):
+        scored = [(-(3 * (1 + (e % 6 == j)) + e % 5 + 6 * bool(j % 2 and e % 3)), e % 2, e) for e in range(90)]
+        want |= {(j, k + 1): (e, -s) for k, (s, _, e) in enumerate(sorted(scored)[:4])}
+    for bound in (scoring.PAIRS_PER_TASK, 20):
+        monkeypatch.setattr(scoring, "PAIRS_PER_TASK", bound)
+        top = scoring.top_by_overlap(jobs, ev, "j", "e", "static", 4, wants="wants", has="has")
+        assert {(r["j"], r["rank"]): (r["e"], r["score"]) for r in top.collect()} == want
+    pairs = scoring._matches(jobs.select("j", scoring._entries(0, F.col("tokens")).alias("entries")), ev.select("e", "has", scoring._entries(0, F.col("tokens")).alias("entries")), "j", "e", ["has"], 27)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert ", 27)" in plan and "HashAggregate" in plan and "SortAggregate" not in plan
