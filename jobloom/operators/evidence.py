@@ -5,6 +5,8 @@ Paragraph tables have (doc, idx, text); what lasts from line to line is carried
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -34,9 +36,15 @@ def _starts(c: Column, prefixes) -> Column:
     return out
 
 
+def _lower_start(t: Column, prefixes) -> Column:
+    """The lower-cased beginning of a text, long enough to compare with the prefixes."""
+    return F.lower(F.substring(t, 1, max(map(len, prefixes))))
+
+
 def is_contact(text, names: tuple = ()) -> Column:
     t = blank(text)
-    return _starts(F.lower(t), (*CONTACT_STARTS, *names)) | t.startswith("http://") | t.startswith("https://") | (t.contains("@") & ~t.contains(" "))
+    starts = (*CONTACT_STARTS, *names)
+    return _starts(_lower_start(t, starts), starts) | t.startswith("http://") | t.startswith("https://") | (t.contains("@") & ~t.contains(" "))
 
 
 def is_heading(text) -> Column:
@@ -103,6 +111,13 @@ def cleaned(text) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(blank(text), r"^\([^)]*\)", ""), r"(?U)\s+", " "))
 
 
+def cleaned_lines(text, before: Callable[[Column], Column] | None = None) -> Column:
+    """The cleaned lines of a text as an array; exploded, a line is cleaned once, however often later conditions read it.
+
+    `before` gives what stands before a line, from its place."""
+    return F.transform(F.split(text, "\n"), lambda t, i: cleaned(t if before is None else F.concat(before(i), t)))
+
+
 def keeps(text, boilerplate: tuple = ("resume honest", "for this posting")) -> Column:
     t = blank(text)
     return (F.length(F.trim(t)) >= 20) & ~is_contact(t) & ~is_question(t) & ~has_keyword(t, boilerplate)

@@ -100,7 +100,8 @@ def d14(spark, sf):
 
 @query("d15_kept_evidence", rf"SELECT doc, idx, md5(c) AS digest FROM (SELECT doc, idx, trim(regexp_replace(regexp_replace('(n' || idx || ') ' || text, '^\([^)]*\)', ''), '\s+', ' ', 'g')) AS c FROM {LINES}) WHERE length(trim(c)) >= 20 AND NOT (contains(c, '@') AND NOT contains(c, ' ')) AND NOT starts_with(c, 'http') AND NOT regexp_matches(lower(c), '^(location:|mobile:|email:|linkedin:|website:|github|\+1 \(|dear hiring|sincerely)') AND NOT (c LIKE '%?' OR regexp_matches(c, '^[1-9]\.')) AND NOT contains(lower(c), 'resume honest') AND NOT contains(lower(c), 'for this posting')")
 def d15(spark, sf):
-    p = lines(spark, sf).select("doc", "idx", E.cleaned(F.concat(F.lit("(n"), "idx", F.lit(") "), "text")).alias("c"))
+    c = E.cleaned_lines("text", lambda i: F.concat(F.lit("(n"), i.cast("string"), F.lit(") ")))
+    p = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(c).alias("idx", "c"))
     return p.where(E.keeps("c")).select("doc", "idx", F.md5("c").alias("digest"))
 
 

@@ -117,3 +117,21 @@ def test_pairs_are_hashed_and_bounded_by_task(spark, monkeypatch):
     pairs = scoring._matches(jobs.select("j", scoring._entries(0, F.col("tokens")).alias("entries")), ev.select("e", "has", scoring._entries(0, F.col("tokens")).alias("entries")), "j", "e", ["has"], 27)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert ", 27)" in plan and "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_a_line_is_cleaned_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a  long enough line of text\nSincerely, somebody with words"), (2, None)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    df = registry.queries()["d15_kept_evidence"](spark, f"file://{tmp_path}")
+    assert [(r["doc"], r["idx"]) for r in df.collect()] == [(1, 0), (1, 1)][:1]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?U)") == 1
+
+
+def test_documents_are_handed_on_in_small_batches(spark):
+    from jobloom.sources import office
+
+    schema = office.pa.schema([("path", office.pa.string()), ("content", office.pa.binary())])
+    batches = list(office.in_batches(((f"f{i}", bytes(200_000)) for i in range(30)), schema))
+    assert len(batches) == 5 and sum(b.num_rows for b in batches) == 30 and max(b.nbytes for b in batches) < office.FLUSH + 300_000
+    texts = spark.createDataFrame([(f"f{i}", f"one {i}\n\n two  words ") for i in range(50)], "path string, text string")
+    got = sorted(map(tuple, office.parse_files(office.build_files(texts)).collect()))
+    assert got == sorted(x for i in range(50) for x in ((f"f{i}", 0, f"one {i}"), (f"f{i}", 2, "two words")))
