@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import jsonl, office, payloads
@@ -111,10 +110,6 @@ def a9(spark, sf):
 
 @query("a8_office_documents", r"SELECT 'doc' || doc_id AS source_file, idx, md5(t) AS digest FROM (SELECT doc_id, (unnest(range(0, len(string_split(text, chr(10))))))::INT AS idx, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS t FROM documents) WHERE t <> ''")
 def a8(spark, sf):
-    def files(frames):
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "content": [office.build_file((t or "").split("\n")) for t in frame["text"]]})
-
     docs = table(spark, sf, "documents").where(F.trim("text") != "").select(F.concat(F.lit("doc"), "doc_id").alias("path"), "text")
-    p = office.parse_files(docs.mapInPandas(files, "path string, content binary"))
+    p = office.parse_files(office.build_files(docs))
     return p.select("source_file", "idx", F.md5("text").alias("digest"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAGRAPHS = "source_file string, idx int, text string"
+#: Bytes of rows that a task of documents hands on at once.
+FLUSH = 1 << 20
 
 
 def paragraphs_of(data: bytes) -> list[tuple[int, str]]:
@@ -32,20 +35,43 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return parse_files(files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")))
 
 
+def in_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Record batches of about FLUSH bytes, so that a task holds the rows of a few files, however many come to it at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if size >= FLUSH or len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Paragraphs of documents given as (path, content) rows."""
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for name, data in zip(frame["path"], frame["content"]):
-                found = paragraphs_of(data)
+    def rows(batches):
+        for batch in batches:
+            for name, data in zip(*batch.columns):
+                found = paragraphs_of(data.as_py())
                 if not found:
                     raise ValueError(f"empty document: {name}")
-                rows += [(name, i, t) for i, t in found]
-            yield pd.DataFrame(rows, columns=["source_file", "idx", "text"])
+                yield from ((name.as_py(), i, t) for i, t in found)
+
+    shape = pa.schema([("source_file", pa.string()), ("idx", pa.int32()), ("text", pa.string())])
+    return files.select("path", "content").mapInArrow(lambda batches: in_batches(rows(batches), shape), PARAGRAPHS)
+
+
+def build_files(texts: DataFrame) -> DataFrame:
+    """Documents (path, content) of (path, text) rows: one paragraph for each line."""
+
+    def rows(batches):
+        for batch in batches:
+            yield from ((name.as_py(), build_file((text.as_py() or "").split("\n"))) for name, text in zip(*batch.columns))
 
-    return files.select("path", "content").mapInPandas(run, PARAGRAPHS)
+    shape = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    return texts.select("path", "text").mapInArrow(lambda batches: in_batches(rows(batches), shape), "path string, content binary")
 
 
 def build_file(paragraphs: list[str]) -> bytes:
