@@ -9,8 +9,8 @@ in the shared folder, whose payload is self-contained:
 Plane k holds bit (planes - 1 - k) of every id, stably sorted by the bits before it, in compressed blocks of BLOCK_BYTES; access,
 rank, count, select and occurrence look-up unpack a block or two of each plane.
 
-Encoding caches whole space-separated chunks, which the vocabulary's pre-tokenizer never joins, within a bound of bytes (chunks.py);
-unseen chunks of a block of texts are encoded by the library in bulk.
+Texts are cut into pieces that the vocabulary's pre-tokenizer never joins, by array operations on the bytes of a block of texts. The block's
+distinct pieces are looked up in a cache within a bound of bytes (chunks.py); unseen ones are encoded by the library in bulk.
 
 Defined results: a null or empty text has only the end id; equal doc_ids are ordered by a hash of the text, a null doc_id comes
 first; repeated rows are repeated documents; an empty table writes no shard; other columns are ignored.
@@ -19,6 +19,7 @@ first; repeated rows are repeated documents; an empty table writes no shard; oth
 from __future__ import annotations
 
 import re
+import string
 import struct
 import unicodedata
 import zlib
@@ -31,15 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
-from .common import shared_dir
+from .chunks import LONGEST_KEPT, ChunkCache
+from .common import shared_dir, text_chunks, utf8_column
 
 SHARD_TOKENS = 1 << 22
 ROWS_PER_RANGE, MAX_RANGES = 4000, 50_000
 END_ID = 2
 BLOCK_BYTES, KEPT_BLOCKS = 1 << 13, 64
 PARTS_PER_BLOCK = 4096
-WORDS_AT_ONCE = 1024
+WORDS_AT_ONCE, CHUNKS_AT_ONCE = 128, 1024
+TEXT_BYTES = 1 << 21
 _MAGIC = b"WVM2"
 
 
@@ -179,7 +181,7 @@ class WaveletMatrix:
             packed = [self._block(k, block) for block in range(self.blocks)]
             b = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n, bitorder="little").astype(bool)
             up, zeros = np.empty_like(out), self.zeros[k]
-            up[~b], up[b] = out[:zeros], out[zeros:]
+            up[np.flatnonzero(~b)], up[np.flatnonzero(b)] = out[:zeros], out[zeros:]
             out = up | (b.astype(out.dtype) << out.dtype.type(len(self.planes) - 1 - k))
         return out
 
@@ -199,31 +201,101 @@ def unpack_shard(data) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
     return pa.array(ids, pa.int64(), mask=~known), lengths.astype(np.int64), WaveletMatrix.from_bytes(view[16 : 16 + size])
 
 
-_BESIDE = re.compile(r"[^\w\s][.,]|[.,](?:[^\w\s]|_)|_[.,]")
+#: Python's white space has four control characters that the vocabulary's patterns take for signs.
+_MARK = r"(?:[^\w\s]|[_\x1c-\x1f])"
+_BESIDE = re.compile(f"{_MARK}[.,]|[.,]{_MARK}")
+
+# Kinds of bytes in lower case. Letters of Latin-1 are 0xC3 and a byte that is not one of two signs, which takes its kind from it.
+_SPACE, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[ord(c) for c in string.punctuation]] = _SIGN
+_KIND[ord("'")] = _QUOTE
+_KIND[[ord(c) for c in string.digits]] = _DIGIT
+_KIND[[*map(ord, string.ascii_lowercase), 0xC3]] = _LETTER
+#: Whether the pre-tokenizer always parts two neighbours; a quote may begin a contraction, other kinds are left to the library.
+_PARTED = np.zeros((6, 6), bool)
+_PARTED[_SPACE] = True
+for _a, _b in ((_LETTER, _DIGIT), (_LETTER, _SIGN), (_LETTER, _QUOTE), (_SIGN, _LETTER), (_SIGN, _DIGIT), (_QUOTE, _DIGIT), (_DIGIT, _LETTER), (_DIGIT, _DIGIT), (_DIGIT, _SIGN), (_DIGIT, _QUOTE)):
+    _PARTED[_a, _b] = True
+_PARTED = _PARTED.ravel()
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord(",")]] = True
-#: ASCII letters, digits and white space: bytes that never make _BESIDE match next to a full stop or comma.
-_HARMLESS = np.array([chr(b).isalnum() or chr(b).isspace() for b in range(128)] + [False] * 128)
+_LOWER = bytes(range(256)).lower()
+_LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
 
 
-def _stops_beside(text: str) -> bool:
-    """Whether _BESIDE matches; most texts are settled by a look at the bytes next to full stops and commas."""
-    raw = np.frombuffer(f"  {text}  ".encode(), np.uint8)
-    at = np.flatnonzero(_STOP[raw])
-    # letters of Latin-1 are 0xC3 and a byte that is not one of two signs
-    letter = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
-    if (_HARMLESS[raw[at - 1]] | letter[at - 2]).all() and (_HARMLESS[raw[at + 1]] | letter[at + 1]).all():
-        return False
-    return _BESIDE.search(text) is not None
+def _rows(off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts hold one of some places."""
+    out = np.zeros(len(off) - 1, bool)
+    out[np.searchsorted(off, at, "right") - 1] = True
+    return out
+
+
+def _special(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts that may hold a special token."""
+    return _rows(off, np.array([m.start() for m in re.finditer(rb"<\|", raw.tobytes())], np.int64))
+
+
+def _foreign(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts with characters beyond Latin-1 and the dashes, quotes and spaces of U+2000 to U+203F."""
+    at = np.flatnonzero(raw >= 0xC4)
+    return _rows(off, at[(raw[at] != 0xE2) | (raw[at + 1] != 0x80)] if len(at) else at)
+
+
+def pieces(raw: np.ndarray, off: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all pieces, where each begins and the last ends, pieces in each text): parts of texts that encode alone as they do in the text.
+
+    Letters of Latin-1 are put into lower case, unless a mark could follow, and texts are cut at white space and wherever the pre-tokenizer
+    always parts two characters of Latin-1; special texts are cut at white space only. A stretch without white space of more than
+    LONGEST_KEPT bytes is cut at full stops and commas only, so that junk makes no cache entries.
+    """
+    own = np.repeat(special, np.diff(off)) if special.any() else None
+    low = np.frombuffer(bytearray(raw.tobytes().translate(_LOWER)), np.uint8)
+    wide = np.flatnonzero(raw == 0xC3)
+    after = raw[wide + 1]
+    low[wide[(after <= 0x9E) & (after != 0x97)] + 1] += 0x20
+    marked = np.flatnonzero(raw[1:] >= 0xC4)
+    low[marked] = raw[marked]
+    if own is not None:
+        low = np.where(own, raw, low)
+    kind = _KIND[low]
+    signs = (after == 0x97) | (after == 0xB7)
+    kind[wide + 1] = _LETTER
+    kind[wide[signs]] = kind[wide[signs] + 1] = _OTHER
+    if own is not None:
+        kind[own & (kind != _SPACE)] = _OTHER
+    kept = kind != _SPACE
+    first = np.ones(len(low), bool)
+    first[1:] = _PARTED[6 * kind[:-1] + kind[1:]]
+    first[off[:-1][np.diff(off) > 0]] = True
+    first &= kept
+    begins = np.flatnonzero(first)
+    # stretches without white space
+    whole = kept.copy()
+    whole[1:] &= ~kept[:-1]
+    whole[off[:-1][np.diff(off) > 0]] = True
+    whole = np.flatnonzero(whole & kept)
+    place = np.cumsum(kept, dtype=np.int64) - kept
+    sizes = np.diff(np.append(place[whole], place[-1] + kept[-1])) if len(low) else whole
+    if (sizes > LONGEST_KEPT).any():
+        of = np.searchsorted(whole, begins, "right") - 1
+        inside = (sizes > LONGEST_KEPT)[of] & (begins != whole[of])
+        begins = begins[~inside | _STOP[low[begins]] | _STOP[low[begins - 1]]]
+    ends = np.append(place[begins], place[-1] + kept[-1]) if len(low) else np.zeros(1, np.int64)
+    return low[kept], ends, np.diff(np.searchsorted(begins, off))
 
 
 class Encoder:
-    """The library's encoding of whole texts, by cached chunks between spaces and line feeds."""
+    """The library's encoding of whole texts, by cached pieces that its pre-tokenizer parts."""
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(tokenizer_file)
+        #: The same model for words that normalizing leaves as they are.
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -231,14 +303,17 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Encode chunks: plain words many in one call, as each ends with the one token that closes a word."""
-        words, others = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
+        latin = [c for c in new if _LATIN_WORD.fullmatch(c)]
+        rest = [c for c in new if not _LATIN_WORD.fullmatch(c)]
+        words, others = [c for c in rest if c.isalpha()], [c for c in rest if not c.isalpha()]
         sizes, parts = [], []
-        for kind in (words, others):
-            for lo in range(0, len(kind), WORDS_AT_ONCE):
-                some = kind[lo : lo + WORDS_AT_ONCE]
+        for kind, by in ((latin, self.words), (words, self.library), (others, None)):
+            step = WORDS_AT_ONCE if by is self.words else CHUNKS_AT_ONCE
+            for lo in range(0, len(kind), step):
+                some = kind[lo : lo + step]
                 flat, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                if kind is words:
-                    flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                if by is not None:
+                    flat = np.array(by.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
                     ends = np.flatnonzero(self.closes[flat]) + 1
                 if len(ends) != len(some) or ends[-1] != len(flat):
                     lists = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
@@ -246,7 +321,7 @@ class Encoder:
                     flat = np.fromiter((i for x in lists for i in x), np.uint32)
                 sizes.append(np.diff(ends, prepend=0))
                 parts.append(flat)
-        return words + others, np.concatenate(parts), np.concatenate(sizes)
+        return latin + words + others, np.concatenate(parts), np.concatenate(sizes)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -256,18 +331,27 @@ class Encoder:
                 text = text.lower()
             # a letter that becomes letter and mark could join the mark to a full stop
             steady = text.isascii() or ("İ" not in text and unicodedata.is_normalized("NFC", text))
-            if steady and not _stops_beside(text):
+            if steady and not _BESIDE.search(text):
                 text = text.replace(".", " . ").replace(",", " , ")
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; lengths)."""
-        parts = [self.chunks(t or "") for t in texts]
-        flat, sizes = self.cache.encode([c for p in parts for c in p])
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        return self.encode_utf8(*utf8_column(pa.array(texts, pa.string())), end_id)
+
+    def encode_utf8(self, raw: np.ndarray, off: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that lie end to end in a buffer."""
+        special = _special(raw, off)
+        foreign = _foreign(raw, off) & ~special
+        if foreign.any():
+            texts = [" ".join(self.chunks(raw[lo:hi].tobytes().decode())).encode() if other else raw[lo:hi].tobytes() for other, lo, hi in zip(foreign.tolist(), off[:-1].tolist(), off[1:].tolist())]
+            raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        data, ends, counts = pieces(raw, off, special)
+        column = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        flat, sizes = self.cache.encode(column.dictionary.to_numpy(zero_copy_only=False).tolist(), column.indices.to_numpy())
         total = np.concatenate([[0], np.cumsum(sizes)])
-        lengths = np.diff(total[ends], prepend=0)
-        out = np.empty(total[-1] + len(texts), np.uint32)
+        lengths = np.diff(total[np.cumsum(counts)], prepend=0)
+        out = np.empty(total[-1] + len(counts), np.uint32)
         last = np.cumsum(lengths + 1) - 1
         plain = np.ones(len(out), bool)
         plain[last] = False
@@ -293,7 +377,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     ordered = own.repartitionByRange(ranges, *order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        encode, held, count, seq, part = encoder(tokenizer_file).encode, [], 0, 0, 0
+        encode, held, count, seq, part = encoder(tokenizer_file).encode_utf8, [], 0, 0, 0
 
         def shard():
             ids, lengths = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
@@ -302,10 +386,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for lo in range(0, batch.num_rows, 200):
-                rows = batch.slice(lo, 200)
-                ids, lengths = encode(rows.column(1).to_pylist(), end_id)
-                held.append((rows.column(0), ids, lengths))
+            for lo, hi, raw, off in text_chunks(batch, limit=TEXT_BYTES):
+                ids, lengths = encode(raw, off, end_id)
+                held.append((batch.column(0).slice(lo, hi - lo), ids, lengths))
                 count += len(ids)
                 if count >= shard_tokens:
                     yield shard()
